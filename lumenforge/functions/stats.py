@@ -14,7 +14,8 @@ def wilson(successes: Column, total: Column, z: float = 1.96) -> tuple[Column, C
     denom = 1 + z * z / n
     centre = p + z * z / (2 * n)
     margin = z * F.sqrt((p * (1 - p) + z * z / (4 * n)) / n)
-    return F.greatest(F.lit(0.0), (centre - margin) / denom), F.least(F.lit(1.0), (centre + margin) / denom)
+    low, high = F.greatest(F.lit(0.0), (centre - margin) / denom), F.least(F.lit(1.0), (centre + margin) / denom)
+    return F.when(total > 0, low), F.when(total > 0, high)
 
 
 def confusion(predicted: Column, actual: Column) -> dict[str, Column]:
@@ -46,20 +47,20 @@ def auroc(df: DataFrame, score: str, y: str, by: list[str] | None = None, least:
     Rows are first counted by score, so what is sorted are distinct scores, not rows.
     """
     by = by or []
-    s = df.groupBy(*by, score).agg(F.count_if(F.col(y)).alias("p"), F.count_if(~F.col(y)).alias("q"))
+    s = df.groupBy(*by, score).agg(F.count_if(F.col(y)).alias("__pos"), F.count_if(~F.col(y)).alias("__neg"))
     w = (W.partitionBy(*by) if by else W.partitionBy(F.lit(1))).orderBy(score)
-    below = F.coalesce(F.sum("q").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    u = s.withColumn("u", F.col("p") * (below + F.col("q") / 2))
-    g = (u.groupBy(*by) if by else u.groupBy()).agg(F.sum("p").alias("positives"), F.sum("q").alias("negatives"), F.sum("u").alias("u"))
-    return g.where(F.col("positives") + F.col("negatives") >= least).select(*by, "positives", "negatives", F.round(F.try_divide(F.col("u"), F.col("positives") * F.col("negatives")), 6).alias("auroc"))
+    below = F.coalesce(F.sum("__neg").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    u = s.withColumn("__u", F.col("__pos") * (below + F.col("__neg") / 2))
+    g = (u.groupBy(*by) if by else u.groupBy()).agg(F.sum("__pos").alias("positives"), F.sum("__neg").alias("negatives"), F.sum("__u").alias("__u"))
+    return g.where(F.col("positives") + F.col("negatives") >= least).select(*by, "positives", "negatives", F.round(F.try_divide(F.col("__u"), F.col("positives") * F.col("negatives")), 6).alias("auroc"))
 
 
 def best_threshold(df: DataFrame, score: str, y: str, floor: float) -> DataFrame:
     """The threshold of highest recall whose precision reaches the floor; ties: the higher threshold."""
-    s = df.groupBy(score).agg(F.count_if(F.col(y)).alias("p"), F.count(F.lit(1)).alias("n"))
+    s = df.groupBy(score).agg(F.count_if(F.col(y)).alias("__pos"), F.count(F.lit(1)).alias("__n"))
     w = W.partitionBy(F.lit(1)).orderBy(F.desc(score)).rowsBetween(W.unboundedPreceding, 0)
-    c = s.select(F.col(score).alias("threshold"), F.sum("p").over(w).alias("tp"), F.sum("n").over(w).alias("selected"))
-    all_ = s.groupBy().agg(F.sum("p").alias("positives"))
+    c = s.select(F.col(score).alias("threshold"), F.sum("__pos").over(w).alias("tp"), F.sum("__n").over(w).alias("selected"))
+    all_ = s.groupBy().agg(F.sum("__pos").alias("positives"))
     ok = c.join(F.broadcast(all_)).withColumn("precision", F.col("tp") / F.col("selected")).withColumn("recall", F.col("tp") / F.col("positives")).where(F.col("precision") >= floor)
     best = ok.groupBy().agg(F.max_by(F.struct("threshold", "tp", "selected", "precision", "recall"), F.struct("recall", "threshold")).alias("b")).where("b IS NOT NULL").select("b.*")
     return best.select("threshold", "tp", "selected", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))

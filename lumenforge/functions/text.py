@@ -170,19 +170,17 @@ def language_guess(c: Column, least_letters: int = 6) -> Column:
     letters = F.regexp_count(text, F.lit(r"\p{L}"))
     scripts = {"latin": r"\p{IsLatin}", "cyrillic": r"\p{IsCyrillic}", "greek": r"\p{IsGreek}", "arabic": r"\p{IsArabic}", "hebrew": r"\p{IsHebrew}", "devanagari": r"\p{IsDevanagari}", "hangul": r"\p{IsHangul}", "cjk": r"\p{IsHan}"}
     counts = F.array(*[F.struct(F.regexp_count(text, F.lit(p)).alias("n"), F.lit(s).alias("s")) for s, p in scripts.items()])
+    # transform over an array of one binds a value to a name, so it's computed once and the expression stays small
+    let = lambda x, f: F.element_at(F.transform(F.array(x), f), 1)
     script = F.array_max(counts)["s"]
     words = F.array_distinct(F.split(F.lower(F.regexp_replace(text, r"[^\p{L}'\s]+", "")), r"\s+"))
     half = F.array(*[F.lit(w) for w in AMBIGUOUS.split()])
-    votes = F.array(
-        *[
-            F.struct((F.size(F.array_except(hit := F.array_intersect(F.array(*[F.lit(w) for w in s.split()]), words), half)) + 0.5 * F.size(F.array_intersect(hit, half))).alias("n"), F.lit(name).alias("l"))
-            for name, s in STOPWORDS.items()
-        ]
-    )
-    best = F.array_max(votes)
-    unique = F.size(F.filter(votes, lambda v: v["n"] == best["n"])) == 1
-    latin = F.when((best["n"] >= 1.5) & unique, best["l"]).otherwise("unknown_latin")
-    return F.when(letters < least_letters, "too_short").when(script == "latin", latin).otherwise(F.concat(F.lit("script:"), script))
+    banks = F.array(*[F.struct(F.lit(name).alias("l"), F.array(*[F.lit(w) for w in s.split()]).alias("w")) for name, s in STOPWORDS.items()])
+    weight = lambda hit: F.size(F.array_except(hit, half)) + 0.5 * F.size(F.array_intersect(hit, half))
+    votes = lambda ws: F.transform(banks, lambda b: F.struct(weight(F.array_intersect(b["w"], ws)).alias("n"), b["l"].alias("l")))
+    ranked = let(words, lambda ws: F.sort_array(votes(ws), asc=False))
+    latin = let(ranked, lambda r: F.when((r[0]["n"] >= 1.5) & (r[0]["n"] > r[1]["n"]), r[0]["l"]).otherwise("unknown_latin"))
+    return F.when(letters < least_letters, "too_short").otherwise(let(script, lambda s: F.when(s == "latin", latin).otherwise(F.concat(F.lit("script:"), s))))
 
 
 def iso_duration(c: Column) -> Column:

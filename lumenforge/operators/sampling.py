@@ -42,7 +42,7 @@ def capped_cohort(df: DataFrame, key: str, stratum: str, unique: str, seed: str,
         return pd.DataFrame(out, columns=[key, stratum, unique])
 
     kind = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    return d.groupBy(F.lit(1)).applyInPandas(lambda p: fill(p), f"{key} {kind[key]}, {stratum} {kind[stratum]}, {unique} {kind[unique]}")
+    return d.withColumn("__g", F.lit(1)).groupBy("__g").applyInPandas(fill, f"{key} {kind[key]}, {stratum} {kind[stratum]}, {unique} {kind[unique]}")
 
 
 def percentile_of(c: str, n: int | None = None) -> Column:

@@ -6,12 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-FLAGSHIP = "label_model"
+from .registry import ORACLES, QUERIES
+
+FLAGSHIP = "flagship_shadow_rank"
+
+
+def _load() -> None:
+    from . import interval_queries, label_queries, relational_queries, sampling_queries, stream_queries, text_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    _load()
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _load()
+    return dict(ORACLES)
