@@ -39,8 +39,12 @@ from .common import NULL_ID, U64, Written, mix, partitions, pieces, release, shi
 
 NUM, DEN, SIZE = 75, 100, 5
 #: Sets that share a signature from which on it makes no pairs, by level; from the last on, times eight.
-LIMITS = (16, 64, 512)
+LIMITS = (16, 16, 32, 128)
 PROBES = 12
+#: Rounds of the first, cheap pass at most.
+ROUNDS = 5
+#: Fewer links in a round end the pass.
+MERGED = 20
 _BITS38 = (1 << 38) - 1
 _K = np.random.default_rng(3).integers(1, 2**63, 4, dtype=np.uint64) * U64(2) + U64(1)
 
@@ -91,7 +95,7 @@ def signatures(sets: list[np.ndarray], level: int) -> tuple[np.ndarray, ...]:
         held = np.diff(np.append(first, len(tok)))
         value = mix(tok ^ _K[3])
         total = np.add.reduceat(value, first)
-        place = mix(seg[first] * _K[0] + band.astype(U64)[at[first]] * _K[1] + U64(level) * _K[2])
+        place = mix(seg[first] * _K[0] + band.astype(U64)[at[first]] * _K[1] + np.full(len(first), level, U64) * _K[2])
         units = np.bincount(at[first], minlength=len(use))
         out.append((mix(total + place), use[at[first]], np.full(len(first), ahead, np.uint8), np.zeros(len(first), np.uint8)))
         if level == 1:
@@ -372,13 +376,22 @@ class _Join:
         one = lambda x: self.labels.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}"))
         return pairs.join(one("a"), "a", "left").join(one("b"), "b", "left").where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b")
 
-    def likely(self) -> None:
-        """Each set with the partner that it shares most probes with. What this finds is only found sooner."""
+    def likely(self, rounds: int = ROUNDS) -> None:
+        """Each set with one partner of another component, that with which it shares most probes; again while it finds
+        links. What this finds is only found sooner, and large groups of near copies become one component."""
         probe = self.sets.select("name", F.explode("probes").alias("sig"))
-        lead = probe.groupBy("sig").agg(F.min("name").alias("lead"), F.count(F.lit(1)).alias("k")).where("k > 1").select("sig", "lead")
-        shared = probe.join(lead, "sig").where("name <> lead").groupBy("name", "lead").agg(F.count(F.lit(1)).alias("k"))
-        best = shared.groupBy("name").agg(F.max_by("lead", F.struct("k", "lead")).alias("lead"))
-        self.link(self.verified(best.select(F.col("name").alias("a"), F.col("lead").alias("b"))))
+        for turn in range(rounds):
+            # another order each time, the same for all signatures, so that a set meets others than those that failed
+            place = F.struct(F.xxhash64("label", F.lit(turn)).alias("h"), F.xxhash64("name", F.lit(turn)).alias("g"), F.col("name").alias("name"), F.col("label").alias("label"))
+            own = probe.join(self.labels, F.col("name") == F.col("node"), "left").select("sig", "name", F.coalesce("label", "name").alias("label"))
+            ends = own.groupBy("sig").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo.label <> hi.label")
+            other = F.when(F.col("label") != F.col("lo.label"), F.col("lo.name")).otherwise(F.col("hi.name"))
+            shared = own.join(ends, "sig").select("name", other.alias("lead")).groupBy("name", "lead").agg(F.count(F.lit(1)).alias("k"))
+            best = shared.groupBy("name").agg(F.max_by("lead", F.struct("k", "lead")).alias("lead"))
+            found = self.verified(best.select(F.col("name").alias("a"), F.col("lead").alias("b")))
+            self.link(found)
+            if turn and found.limit(MERGED).count() < MERGED:
+                break
 
     def run_level(self, level: int, limit: int, overdrawn: DataFrame | None) -> DataFrame:
         """One level over all sets (level 0) or the overdrawn ones; returns the names of sets that overdraw their budgets in it."""
