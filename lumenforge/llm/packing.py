@@ -16,7 +16,6 @@ column can clash.
 from __future__ import annotations
 
 import bisect
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -30,51 +29,91 @@ from .common import checkpoint, dense_rank_by, table, whole_text, with_schema
 
 CAPACITY, END = 1024, 2
 #: Strings between blanks whose ids a worker remembers; the memory is emptied when full.
-MEMORY = 300_000
+MEMORY = 600_000
 _loaded: dict = {}
-#: A blank beside other white space: such a text is encoded as a whole.
-_WIDE = re.compile(r"\s | \s|^ | $")
 
 
-def _tokenizer(path: str):
-    if path not in _loaded:
+class _Memo:
+    """The tokenizers library with a memory of the ids of strings that stand between blanks."""
+
+    def __init__(self, path: str):
         import os
 
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True  # their strings in a text are ordinary text
-        _loaded[path] = t, {}, {}
-    return _loaded[path]
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.bytes = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())].__getitem__
+        self.first: dict[str, bytes] = {}  # without a blank before
+        self.later: dict[str, bytes] = {}  # with one
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for i in range(0, len(texts), 20_000):
+            out += [b"".join(map(self.bytes, x.ids)) for x in self.tokenizer.encode_batch_fast(texts[i : i + 20_000], add_special_tokens=False)]
+        return out
+
+    def learn(self, new: set[str], known: dict[str, bytes | None], blank: str) -> None:
+        """Adds strings between blanks. Letters before one mark, and the sides of a line feed, certainly are matches of
+        their own, so only the parts that are new go to the tokenizer. None: other white space touches the blank."""
+        base, marked, lines, rest = set(), [], [], set()
+        for s in new:
+            if not s or s[0].isspace() or s[-1].isspace():
+                known[s] = None
+            elif s[-1] in _MARKS and (w := s[:-1]).isalpha():
+                marked.append((s, w, s[-1]))
+                if w not in known:
+                    base.add(w)
+                rest.add(s[-1])
+            elif 0 < s.count("\n") <= 20 and not (a := s[: (i := s.index("\n"))])[-1].isspace() and not (b := s[i + 1 :])[0].isspace():
+                lines.append((s, a, b))
+                rest.add(b)
+                if a not in known:
+                    base.add(a)
+            else:
+                base.add(s)
+        if lines:
+            rest.add("\n")
+        words = [s for s in base if s not in known]
+        known.update(zip(words, self.encode([blank + w for w in words] if blank else words), strict=True))
+        first = self.first
+        if lines and (again := {b for _, _, b in lines if b not in first}):
+            self.learn(again, first, "")
+        small = [x for x in rest if x not in first]
+        first.update(zip(small, self.encode(small), strict=True))
+        for s, w, m in marked:
+            known[s] = known[w] + first[m]
+        for s, a, b in lines:
+            known[s] = known[a] + first["\n"] + first[b]
+
+
+_MARKS = frozenset(".,;:!?")
 
 
 def encode_all(texts: list[str], path: str) -> list[bytes]:
     """Little-endian unsigned 32-bit ids of each text by the tokenizers library.
 
     Between two characters that aren't white space a blank always starts a new match of the splitting pattern, so the
-    strings between such blanks can be encoded by themselves; most recur, and are encoded once.
+    strings between such blanks can be encoded by themselves; most recur, and are encoded once. A text in which other
+    white space touches a blank is encoded as a whole.
     """
-    t, first, later = _tokenizer(path)
-    raw = lambda x: b"".join(i.to_bytes(4, "little") for i in x.ids)
-    if len(later) > MEMORY:
-        first.clear()
-        later.clear()
-    split = [None if _WIDE.search(x) else x.split(" ") for x in texts]
-    new_first = list({s[0] for s in split if s} - first.keys())
-    new_later: set[str] = set()
+    memo = _loaded.get(path) or _loaded.setdefault(path, _Memo(path))
+    if len(memo.later) > MEMORY:
+        memo.first.clear()
+        memo.later.clear()
+    split = [x.split(" ") for x in texts]
+    later: set[str] = set()
     for s in split:
-        if s:
-            new_later.update(s[1:])
-    new = list(new_later - later.keys())
-    for i in range(0, len(new), 20_000):
-        part = new[i : i + 20_000]
-        later.update(zip(part, map(raw, t.encode_batch_fast([" " + x for x in part], add_special_tokens=False)), strict=True))
-    first.update(zip(new_first, map(raw, t.encode_batch_fast(new_first, add_special_tokens=False)), strict=True))
-    out = [b"" if s is None else first[s[0]] + b"".join(map(later.__getitem__, s[1:])) for s in split]
-    for i, s in enumerate(split):
-        if s is None:
-            out[i] = raw(t.encode_batch_fast([texts[i]], add_special_tokens=False)[0])
+        later.update(s[1:])
+    memo.learn({s[0] for s in split} - memo.first.keys(), memo.first, "")
+    memo.learn(later - memo.later.keys(), memo.later, " ")
+    first, get, out = memo.first, memo.later.__getitem__, []
+    for x, s in zip(texts, split, strict=True):
+        try:
+            out.append(first[s[0]] + b"".join(map(get, s[1:])))
+        except TypeError:
+            out.append(memo.encode([x])[0])
     return out
 
 
