@@ -135,13 +135,14 @@ def fuse(scored: DataFrame, languages: list[str]) -> DataFrame:
     fallback = F.array(*[F.lit(float(np.log(x))) for x in overall])
     joint = F.when(F.col("ll").isNotNull(), F.zip_with(F.zip_with("ll", declared, lambda a, b: a + b), F.coalesce("__prior", fallback), lambda a, b: a + b))
     names = F.array(*[F.lit(x) for x in languages])
+    first = lambda c: F.get(names, -F.array_max(F.transform(c, lambda x, i: F.struct(x.alias("x"), (-i).alias("i"))))["i"])
     d = d.withColumn("__joint", joint)
     best = F.array_max("__joint")
     d = d.withColumns(
         {
-            "lang": names[F.array_position("__joint", best).cast("int") - 1],
+            "lang": first("__joint"),
             "posterior": F.round(1.0 / F.aggregate("__joint", F.lit(0.0), lambda s, x: s + F.exp(x - best)), 4),
-            "text_lang": names[F.array_position("ll", F.array_max("ll")).cast("int") - 1],
+            "text_lang": first("ll"),
         }
     )
     return d.withColumn("accepted", F.coalesce(F.col("posterior") >= ACCEPT, F.lit(False))).drop("__said", "__host", "__suffix", "__prior", "__joint", "ll")
