@@ -29,7 +29,7 @@ from .common import checkpoint, dense_rank_by, table, whole_text, with_schema
 
 CAPACITY, END = 1024, 2
 #: Strings between blanks whose ids a worker remembers; the memory is emptied when full.
-MEMORY = 600_000
+MEMORY = 300_000
 _loaded: dict = {}
 
 
