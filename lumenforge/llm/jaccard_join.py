@@ -172,7 +172,7 @@ def entries(docs: DataFrame, level: int, buckets: int) -> DataFrame:
         for b in batches:
             texts = b.column(0).to_pylist()
             labels = b.column(1).to_numpy(zero_copy_only=False).astype(np.int64) if b.num_columns > 1 else None
-            for i, j in pieces(texts, 1 << 23):
+            for i, j in pieces(texts, 1 << 22):
                 kept: list[np.ndarray] = []
                 names: list[int] = []
                 where: list[int] = []
