@@ -44,7 +44,9 @@ class _Memo:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.model = self.tokenizer.model
         self.bytes = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())].__getitem__
+        self.feed = self.encode(["\n"])[0]
         self.first: dict[str, bytes] = {}  # without a blank before
         self.later: dict[str, bytes] = {}  # with one
 
@@ -54,29 +56,39 @@ class _Memo:
             out += [b"".join(map(self.bytes, x.ids)) for x in self.tokenizer.encode_batch_fast(texts[i : i + 20_000], add_special_tokens=False)]
         return out
 
+    def spell(self, words: list[str], blank: str) -> list[bytes]:
+        """Ids of strings of letters, each with the blank before it a match of its own: the model alone, without the splitting."""
+        code, get = self.model.tokenize, self.bytes
+        shown = "\n".join(blank + w for w in words).encode().decode("latin-1").translate(_SHOWN).split(_SHOWN[10])
+        return [b"".join([get(t.id) for t in code(w)]) for w in shown] if words else []
+
     def learn(self, new: set[str], known: dict[str, bytes | None], blank: str) -> None:
-        """Adds strings between blanks. Letters before one mark, and the sides of a line feed, certainly are matches of
+        """Adds strings between blanks. Letters before a run of marks, and the sides of a line feed, certainly are matches of
         their own, so only the parts that are new go to the tokenizer. None: other white space touches the blank."""
-        base, marked, lines, rest = set(), [], [], set()
+        words, base, marked, lines, rest = [], set(), [], [], set()
         for s in new:
-            if not s or s[0].isspace() or s[-1].isspace():
+            if _letters(s):
+                words.append(s)
+            elif not s or s[0].isspace() or s[-1].isspace():
                 known[s] = None
-            elif s[-1] in _MARKS and (w := s[:-1]).isalpha():
-                marked.append((s, w, s[-1]))
-                if w not in known:
+            elif (w := s.rstrip(_MARKS)) is not s and _letters(w):
+                m = s[len(w) :]
+                marked.append((s, w, m))
+                if w not in known and w not in new:
                     base.add(w)
-                rest.add(s[-1])
+                rest.add(m)
             elif 0 < s.count("\n") <= 20 and not (a := s[: (i := s.index("\n"))])[-1].isspace() and not (b := s[i + 1 :])[0].isspace():
                 lines.append((s, a, b))
                 rest.add(b)
-                if a not in known:
+                if a not in known and a not in new:
                     base.add(a)
             else:
                 base.add(s)
-        if lines:
-            rest.add("\n")
-        words = [s for s in base if s not in known]
-        known.update(zip(words, self.encode([blank + w for w in words] if blank else words), strict=True))
+        other = []
+        for s in base:
+            (words if _letters(s) else other).append(s)
+        known.update(zip(words, self.spell(words, blank), strict=True))
+        known.update(zip(other, self.encode([blank + s for s in other] if blank else other), strict=True))
         first = self.first
         if lines and (again := {b for _, _, b in lines if b not in first}):
             self.learn(again, first, "")
@@ -85,10 +97,19 @@ class _Memo:
         for s, w, m in marked:
             known[s] = known[w] + first[m]
         for s, a, b in lines:
-            known[s] = known[a] + first["\n"] + first[b]
+            known[s] = known[a] + self.feed + first[b]
+
+
+#: Any run of these after letters is one match; the apostrophe, with which some matches begin, isn't among them.
+_MARKS = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
+#: How byte-level vocabularies show a byte: printable Latin-1 as itself, the others from U+0100 on.
+_PRINTED = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_SHOWN = {b: chr(b) for b in _PRINTED} | {b: chr(0x100 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
 
 
-_MARKS = frozenset(".,;:!?")
+def _letters(s: str) -> bool:
+    """Letters by every version of Unicode: those of scripts that grow go to the tokenizer."""
+    return s.isalpha() and (s.isascii() or max(s) < "\u0250")
 
 
 def encode_all(texts: list[str], path: str) -> list[bytes]:

@@ -280,3 +280,19 @@ def test_pipeline(spark, tmp_path):
     kept = language_id.accepted_documents(spark.read.parquet(str(d)))
     after = corpus_pipeline.near_duplicates(spark, corpus_pipeline.lines(spark, kept, ""), "")
     assert {r.doc_id for r in out.select("doc_id").distinct().collect()} == {r.doc_id for r in after.collect()}
+
+
+def test_encode_all_is_the_library():
+    import random
+
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    library.encode_special_tokens = True
+    r = random.Random(5)
+    bits = ["a", "été", "ж", "中", "word", "'s", "don't", "  ", "\n", "\n\n", "\t", ".", "!?", "&&&", "12", "<|endoftext|>", "́", "🙂", "end.\nNext", "x--y", '"', " "]
+    texts = ["", "\n a\nb c\nd"] + ["".join(r.choice(bits) + (" " if r.random() < 0.5 else "") for _ in range(r.randint(0, 30))) for _ in range(2000)]
+    assert packing.encode_all(texts, path) == [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
