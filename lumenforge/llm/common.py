@@ -7,6 +7,8 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,6 +28,18 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+#: Rows of an Arrow batch handed to Python, where the session keeps Spark's own 10,000: whole texts are long rows.
+BATCH_ROWS = 1000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, after its session is set to BATCH_ROWS unless it names another number."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(key) == "10000":
+        conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share; a folder of our own only where the session names none (tests)."""
     sc = spark.sparkContext
@@ -196,4 +210,14 @@ def pieces(texts: list, most: int = 1 << 21):
         yield i, len(texts)
 
 
+def spans(column: pa.Array, most: int = 1 << 21):
+    """Slices (from, to) of an Arrow column of texts that hold about `most` bytes, one text at least, without making its texts."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, i, n = np.cumsum(sizes), 0, len(sizes)
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + most, side="right")))
+        yield i, j
+        i = j
+
+
 SCHEMA = T

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, U64, Written, mix, partitions, pieces, release, shingle_sets, table, whole_text, with_schema
+from .common import NULL_ID, U64, Written, mix, partitions, pieces, release, shingle_sets, small_batches, spans, table, whole_text, with_schema
 
 NUM, DEN, SIZE = 75, 100, 5
 #: Sets that share a signature from which on it makes no pairs, by level; from the last on, times eight.
@@ -138,9 +138,9 @@ def summaries(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(1).to_pylist()
-            for i, j in pieces(texts):
-                sets = shingle_sets([t.encode() for t in texts[i:j]], SIZE)
+            texts = b.column(1).cast(pa.binary())
+            for i, j in spans(texts):
+                sets = shingle_sets(texts[i:j].to_pylist(), SIZE)
                 sig, which, ahead, _, _, _, _ = signatures(sets, 0)
                 own = ahead == 0
                 sig, which = sig[own], which[own]
@@ -154,7 +154,7 @@ def summaries(docs: DataFrame) -> DataFrame:
                     ["doc_id", "n", "name", "probes", "sketch"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, n long, name long, probes array<long>, sketch binary")
+    return small_batches(docs).mapInArrow(run, "doc_id long, n long, name long, probes array<long>, sketch binary")
 
 
 _PACKED = ["sig_lo", "sig_hi", "node_lo", "node_hi", "budget", "label"]
@@ -170,14 +170,14 @@ def entries(docs: DataFrame, level: int, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for b in batches:
-            texts = b.column(0).to_pylist()
+            texts = b.column(0).cast(pa.binary())
             labels = b.column(1).to_numpy(zero_copy_only=False).astype(np.int64) if b.num_columns > 1 else None
-            for i, j in pieces(texts, 1 << 22):
+            for i, j in spans(texts, 1 << 22):
                 kept: list[np.ndarray] = []
                 names: list[int] = []
                 where: list[int] = []
-                for p, q in pieces(texts[i:j]):
-                    for k, s in enumerate(shingle_sets([t.encode() for t in texts[i + p : i + q]], SIZE)):
+                for p, q in spans(texts[i:j]):
+                    for k, s in enumerate(shingle_sets(texts[i + p : i + q].to_pylist(), SIZE)):
                         # an equal set of this task has entered the same signatures
                         if len(s) and (name := name_of(s)) not in seen:
                             if len(seen) > 1_000_000:
@@ -211,7 +211,7 @@ def entries(docs: DataFrame, level: int, buckets: int) -> DataFrame:
                         r.append(x)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), *(pa.array(r, pa.binary()) for r in rows)], ["bucket", *_PACKED])
 
-    return docs.mapInArrow(run, _ENTRIES)
+    return small_batches(docs).mapInArrow(run, _ENTRIES)
 
 
 def _unique(*cols: np.ndarray) -> tuple[np.ndarray, ...]:

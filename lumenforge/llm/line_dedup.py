@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, table, whole_text
+from .common import NULL_ID, small_batches, spans, table, whole_text
 
 MIN_WORDS = 10
 
@@ -61,9 +61,9 @@ def fingerprints(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("w", pa.int64())]))
         for b in batches:
-            for i in range(0, b.num_rows, 1000):
+            for i, j in spans(b.column(2)):
                 ids, hs, fps, wins = [], [], [], []
-                for d, h, t in zip(*(b.column(c)[i : i + 1000].to_pylist() for c in range(3)), strict=True):
+                for d, h, t in zip(*(b.column(c)[i:j].to_pylist() for c in range(3)), strict=True):
                     by: dict[int, list] = {}
                     for fp, a, z, w in windows(t, least):
                         by.setdefault(fp, []).append({"a": a, "b": z, "w": w})
@@ -73,7 +73,7 @@ def fingerprints(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
                     wins += by.values()
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hs, pa.int64()), pa.array(fps, pa.int64()), pa.array(wins, kind)], ["__id", "__h", "fp", "wins"])
 
-    return docs.select("__id", "__h", whole_text().alias("text")).mapInArrow(run, "__id long, __h long, fp long, wins array<struct<a: int, b: int, w: long>>")
+    return small_batches(docs).select("__id", "__h", whole_text().alias("text")).mapInArrow(run, "__id long, __h long, fp long, wins array<struct<a: int, b: int, w: long>>")
 
 
 def keyed(df: DataFrame) -> DataFrame:

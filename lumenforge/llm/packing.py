@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpoint, dense_rank_by, table, whole_text, with_schema
+from .common import checkpoint, dense_rank_by, small_batches, spans, table, whole_text, with_schema
 
 CAPACITY, END = 1024, 2
 #: Strings between blanks whose ids a worker remembers; the memory is emptied when full.
@@ -144,9 +144,9 @@ def cut(df: DataFrame, path: str, capacity: int = CAPACITY, end: int = END) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(0, b.num_rows, 500):
-                ids, cols = b.column(0)[i : i + 500].to_pylist(), ([], [], [], [], [])
-                for d, raw in zip(ids, encode_all(b.column(1)[i : i + 500].to_pylist(), path), strict=True):
+            for i, j in spans(b.column(1), 1 << 20):
+                ids, cols = b.column(0)[i:j].to_pylist(), ([], [], [], [], [])
+                for d, raw in zip(ids, encode_all(b.column(1)[i:j].to_pylist(), path), strict=True):
                     raw += tail
                     n = len(raw) // 4
                     at, k = 0, 0
@@ -158,7 +158,7 @@ def cut(df: DataFrame, path: str, capacity: int = CAPACITY, end: int = END) -> D
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return with_schema(df, ("doc_id", "long"), ("text", "string")).select("doc_id", whole_text().alias("text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return small_batches(with_schema(df, ("doc_id", "long"), ("text", "string"))).select("doc_id", whole_text().alias("text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
