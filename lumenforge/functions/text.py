@@ -192,3 +192,16 @@ def iso_duration(c: Column) -> Column:
 def json_object(c: Column) -> Column:
     """The text from the first brace to the last, without code fences: what a model's answer holds of JSON."""
     return F.nullif(F.regexp_extract(c, r"(?s)(\{.*\})", 1), F.lit(""))
+
+
+def quoted(c: Column) -> Column:
+    """A string as JSON, characters outside ASCII as they are."""
+    shown = F.to_json(F.array(c))
+    return F.substring(shown, F.lit(2), F.length(shown) - 2)
+
+
+def context_prompt(platform: Column, fields: dict[str, Column], comments: Column, scores: str = "score", body: str = "body") -> Column:
+    """The lines of a prompt on one source: its platform, each field that isn't null or empty, and its comments, an array of structs."""
+    line = lambda name, c: F.when(c != "", F.concat(F.lit(f"{name}: "), quoted(c)))
+    said = F.transform(F.coalesce(comments, F.array()), lambda x: F.concat(F.lit("comment (score "), F.coalesce(x[scores].cast("string"), F.lit("None")), F.lit("): "), quoted(F.coalesce(x[body], F.lit("")))))
+    return F.concat_ws("\n", F.concat(F.lit("platform: "), F.coalesce(platform, F.lit("None"))), *[line(k, c) for k, c in fields.items()], said)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumenforge.functions import contracts, hashing, stats, text
+from lumenforge.functions import contracts, hashing, stats, text, vectors
 from lumenforge.operators import intervals, labelmodel, relational, scheduling
 from lumenforge.sources import feed, ledgers
 
@@ -117,3 +117,30 @@ def test_entry_works_without_the_other_subpackage():
     import __spark_entry__ as e
 
     assert "flagship_shadow_rank" in e.queries() and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_perceptual_hash_and_hamming(spark):
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    pictures = r.random((3, 16, 16))
+    k, x = np.arange(16)[:, None], np.arange(16)
+    basis = np.cos(np.pi * (2 * x + 1) * k / 32) * np.where(k == 0, np.sqrt(1 / 16), np.sqrt(2 / 16))
+    want = []
+    for p in pictures:
+        c = (basis @ p @ basis.T)[:8, :8].ravel()
+        want.append("".join("1" if v > np.median(c[1:]) else "0" for v in c))
+    df = spark.createDataFrame([(i, p.ravel().tolist()) for i, p in enumerate(pictures)] + [(3, None), (4, [1.0])], "id long, px array<double>")
+    got = df.select("id", vectors.perceptual_hash(F.col("px"), 16).alias("h")).orderBy("id").collect()
+    assert [g["h"] for g in got] == [*want, None, None]
+    pair = spark.createDataFrame([("0011", "0101"), ("1", "1")], "a string, b string")
+    assert [g[0] for g in pair.select(vectors.hamming(F.col("a"), F.col("b"))).collect()] == [2, 0]
+
+
+def test_context_prompt(spark):
+    rows = [(None, None, None), ("é \"q\"\n", "", [(3, "hi"), (None, None)])]
+    df = spark.createDataFrame(rows, "title string, tags string, comments array<struct<score: int, body: string>>")
+    got = [g[0] for g in df.select(text.context_prompt(F.lit("yt"), {"title": F.col("title"), "tags": F.col("tags")}, F.col("comments"))).collect()]
+    assert got[0] == "platform: yt"
+    assert got[1].startswith('platform: yt\ntitle: "é \\"q\\"\\n"\ncomment (score 3): "hi"')
+    assert "tags" not in got[1] and got[1].endswith('comment (score None): ""')
