@@ -20,7 +20,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later repeated runs of lines go, and documents of which nothing but white space is left by that."""
-    out = line_dedup.dedup_lines(docs)
+    out = line_dedup.dedup_lines(docs, runs=True)
     return out.where("lines_removed = 0 OR trim(translate(text, '\\n\\t\\r', '   ')) <> ''").select(*docs.columns)
 
 

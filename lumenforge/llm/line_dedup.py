@@ -3,12 +3,15 @@
 Lines are hashed (ends trimmed; lines without words don't count). From every line begins a window: as few lines as
 hold MIN_WORDS words. Each window selects its smallest line hash (the last of equal ones) as a fingerprint, so two
 texts that share a run of lines with MIN_WORDS words or more are guaranteed to share a fingerprint. Fingerprints that
-occur at two places or more are joined to their positions, and each is extended both ways: over all windows that
-selected it, whose lines must agree. Of each repeated window the earliest place in the corpus (by doc_id, then line) stays; the later
-ones go. The windows of a longer repeated run overlap, so together they delete the run as a whole.
+occur at two places or more are joined to their positions, and each is extended both ways while the lines agree. To the
+left, the windows that begin before are in the run themselves. To the right, a window comes with its longer versions,
+line by line, until the lines after its first hold MIN_WORDS words, where the next window takes over. Of each
+repeated window or longer version the earliest place in the corpus (by doc_id, then line) stays; the later ones go. So
+what goes is every run of MIN_WORDS words or more, to its last line, that stands at an earlier place as well.
 
-Nothing pairs up places: a window's first place is a minimum, taken before the shuffle, and later places are joined
-to that one row, so a line that a third of all documents hold costs as much as any other.
+Nothing pairs up places: lines agree if the hash of all of them does, the first place of a hash is a minimum, taken before
+the shuffle, and later places are joined to that one row, so a line that a third of all documents hold costs as much as
+any other. With runs=False, matches aren't extended to the right: whole windows go, shorter tails of a run stay.
 
 Defined cases: a null text has no lines and comes back null; an empty text stays empty; rows with equal doc_id and
 text are one document, none of whose lines repeat the other's; a null doc_id comes first; repeats inside a document go as well;
@@ -30,8 +33,8 @@ from .common import NULL_ID, small_batches, spans, table, whole_text
 MIN_WORDS = 10
 
 
-def windows(text: str, least: int = MIN_WORDS) -> list[tuple[int, int, int, int]]:
-    """(fingerprint, first line, last line, hash of the window's lines) of every window."""
+def windows(text: str, least: int = MIN_WORDS, runs: bool = False) -> list[tuple[int, int, int, int]]:
+    """(fingerprint, first line, last line, hash of its lines) of every window, and with `runs` of its longer versions after it."""
     import xxhash
 
     at, size, mark = [], [], []
@@ -50,52 +53,59 @@ def windows(text: str, least: int = MIN_WORDS) -> list[tuple[int, int, int, int]
             break
         part = mark[i:j]
         whole = part[0] if len(part) == 1 else xxhash.xxh3_64_intdigest(b"".join(x.to_bytes(8, "little") for x in part))
-        out.append((min(part) - 2**63, at[i], at[j - 1], whole - 2**63))
+        fp = min(part) - 2**63
+        out.append((fp, at[i], at[j - 1], whole - 2**63))
         total -= size[i]
+        after, k = total, j
+        while runs and k < len(at) and after + size[k] < least:
+            after += size[k]
+            k += 1
+            out.append((fp, at[i], at[k - 1], xxhash.xxh3_64_intdigest(b"".join(x.to_bytes(8, "little") for x in mark[i:k])) - 2**63))
     return out
 
 
-def fingerprints(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
-    """One row for each fingerprint of a document: __id, __h, fp, and the windows that selected it."""
+def fingerprints(docs: DataFrame, least: int = MIN_WORDS, runs: bool = False) -> DataFrame:
+    """One row for each fingerprint of a document: __id, __h, fp, and the windows that selected it (n, without longer versions)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("w", pa.int64())]))
         for b in batches:
             for i, j in spans(b.column(2)):
-                ids, hs, fps, wins = [], [], [], []
+                ids, hs, fps, wins, n = [], [], [], [], []
                 for d, h, t in zip(*(b.column(c)[i:j].to_pylist() for c in range(3)), strict=True):
                     by: dict[int, list] = {}
-                    for fp, a, z, w in windows(t, least):
+                    for fp, a, z, w in windows(t, least, runs):
                         by.setdefault(fp, []).append({"a": a, "b": z, "w": w})
                     ids += [d] * len(by)
                     hs += [h] * len(by)
                     fps += by
                     wins += by.values()
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hs, pa.int64()), pa.array(fps, pa.int64()), pa.array(wins, kind)], ["__id", "__h", "fp", "wins"])
+                    n += [len({x["a"] for x in part}) for part in by.values()] if runs else map(len, by.values())
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hs, pa.int64()), pa.array(fps, pa.int64()), pa.array(wins, kind), pa.array(n, pa.int32())], ["__id", "__h", "fp", "wins", "n"])
 
-    return small_batches(docs).select("__id", "__h", whole_text().alias("text")).mapInArrow(run, "__id long, __h long, fp long, wins array<struct<a: int, b: int, w: long>>")
+    return small_batches(docs).select("__id", "__h", whole_text().alias("text")).mapInArrow(run, "__id long, __h long, fp long, wins array<struct<a: int, b: int, w: long>>, n int")
 
 
 def keyed(df: DataFrame) -> DataFrame:
     return df.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), "__h": F.xxhash64(whole_text())})
 
 
-def repeated_lines(df: DataFrame, least: int = MIN_WORDS) -> DataFrame:
+def repeated_lines(df: DataFrame, least: int = MIN_WORDS, runs: bool = False) -> DataFrame:
     """__id, __h and gone, the (first, last) lines of the later repeated runs, of each document that has any."""
-    marks = fingerprints(keyed(df), least)
+    marks = fingerprints(keyed(df), least, runs)
     # a fingerprint is repeated if two documents have it, or one document in windows at two places
-    seen = marks.groupBy("fp").agg(F.sum(F.size("wins")).alias("n")).where("n > 1").select("fp")
+    seen = marks.groupBy("fp").agg(F.sum("n").alias("n")).where("n > 1").select("fp")
     live = marks.join(seen, "fp").select("__id", "__h", F.explode("wins").alias("x")).select("__id", "__h", "x.*")
     first = live.groupBy("w").agg(F.min(F.struct("__id", "__h", "a")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("w", "first")
     later = live.join(first, "w").where(F.struct("__id", "__h", "a") > F.col("first"))
     return later.groupBy("__id", "__h").agg(F.collect_list(F.struct("a", "b")).alias("gone"))
 
 
-def dedup_lines(df: DataFrame, least: int = MIN_WORDS) -> DataFrame:
+def dedup_lines(df: DataFrame, least: int = MIN_WORDS, runs: bool = False) -> DataFrame:
     """The rows of df, their texts without later repeated runs of lines, n_chars (where it is a column) to match, and lines_removed."""
     kept = [c for c in df.columns if c not in ("lines_removed", "__id", "__h")]
     base = df.select(*kept)
-    gone = repeated_lines(base, least)
+    gone = repeated_lines(base, least, runs)
     joined = keyed(base).join(gone, ["__id", "__h"], "left")
 
     @F.pandas_udf("struct<text: string, n: long>")
@@ -123,4 +133,4 @@ def dedup_lines(df: DataFrame, least: int = MIN_WORDS) -> DataFrame:
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, lines_removed, and the text that is left."""
-    return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "lines_removed", "text")
+    return dedup_lines(table(spark, sf_dir, "documents"), runs=True).select("doc_id", "lines_removed", "text")

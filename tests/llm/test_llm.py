@@ -92,6 +92,33 @@ def test_line_dedup(docs):
         assert r.lines_removed == len(gone[r.doc_id]) and (r.text is None or r.n_chars == len(r.text))
 
 
+def test_line_dedup_deletes_whole_runs(docs, spark):
+    """All runs of MIN_WORDS words or more that an earlier place holds as well, whatever their length."""
+    long = [" ".join(WORDS[i : i + n]) for i, n in ((5, 12), (40, 11), (90, 3))]
+    texts = {**TEXTS, 1000: f"{long[0]}\na b\nc\n{long[1]}\nd e f\n\ng", 1003: f"own\n{long[2]}"}
+    texts |= {1001: texts[1000], 1002: texts[1000] + "\nown line", 1004: texts[1003] + "\n" + texts[1000]}
+    first, spans = {}, []
+    for d in sorted(texts):
+        lines = texts[d].split("\n")
+        at = [i for i, x in enumerate(lines) if x.split()]
+        for p in range(len(at)):
+            for q in range(p, min(len(at), p + 40)):
+                if sum(len(lines[i].split()) for i in at[p : q + 1]) >= line_dedup.MIN_WORDS:
+                    key = tuple(lines[i].strip() for i in at[p : q + 1])
+                    spans.append((d, at[p], at[q], key))
+                    first.setdefault(key, (d, at[p]))
+    gone = defaultdict(set)
+    for d, a, b, key in spans:
+        if first[key] != (d, a):
+            gone[d].update(range(a, b + 1))
+    more = spark.createDataFrame([(d, texts[d]) for d in range(1000, 1005)], "doc_id long, text string")
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(docs.select("doc_id", "text").unionByName(more), runs=True).collect()}
+    assert got[1001].text == "" and got[1002].text == "own line" and len(gone[1004]) == 7
+    for d, t in texts.items():
+        assert (got[d].text or "") == "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[d])
+        assert got[d].lines_removed == len(gone[d])
+
+
 def test_flac_round_trip_and_damage(docs):
     for r in flac.read(flac.store(docs)).collect():
         b = TEXTS[r.doc_id].encode()
