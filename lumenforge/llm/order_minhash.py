@@ -1,8 +1,8 @@
 """Operator 8, document fingerprints: Order MinHash.
 
 A text's k-mers are numbered by occurrence, so a repeated k-mer counts as often as it stands there. For each of
-SKETCHES hash functions the LEAST k-mers of smallest hash are selected (from one class of k-mers where it has enough), put back into text order, and hashed as a
-tuple. The share of equal tuples falls with the edit distance: moving passages about changes the order and so the
+SKETCHES hash functions the LEAST k-mers of smallest hash are selected among all of them, put back into text order, and
+hashed as a tuple. The share of equal tuples falls with the edit distance: moving passages about changes the order and so the
 tuples, which a plain MinHash would not see. K-mers are of K bytes of the UTF-8 text.
 
 Defined cases: a null text is empty; an empty text has the fingerprint of no k-mers, and two empty texts have
@@ -25,8 +25,6 @@ from pyspark.sql import functions as F
 from .common import NULL_ID, U64, mix, partitions, table, whole_text, with_schema
 
 K, LEAST, SKETCHES = 12, 2, 32
-#: One k-mer in CLASS, chosen by its hash, comes before all others in the order of every hash function.
-CLASS = 4
 _ODD = np.random.default_rng(88).integers(1, 2**63, (SKETCHES, 2), dtype=np.uint64) * U64(2) + U64(1)
 #: K-mers of a batch at most; a longer text is a batch of its own.
 BATCH = 1 << 19
@@ -82,19 +80,7 @@ def _sketch(texts: list[bytes]) -> np.ndarray:
         begins = np.flatnonzero(np.concatenate(([True], again[1:] != again[:-1] + 1)))
         nth = np.arange(len(again)) - np.repeat(begins, np.diff(np.append(begins, len(again)))) + 1
         h[at] = mix(h[at] + nth.astype(U64) * _ODD[3, 0])
-    # the order of each hash function: k-mers of this class first, then the others, which matter to the shortest texts only
-    mask = (h & U64(CLASS - 1)) == 0
-    kept = np.flatnonzero(mask)
-    got = np.searchsorted(kept, np.append(first, len(h)))
-    few = np.flatnonzero((np.diff(got) < LEAST) & (count > 0))
-    if len(few):
-        for d in few.tolist():
-            mask[first[d] : first[d] + count[d]] = True
-        kept = np.flatnonzero(mask)
-        got = np.searchsorted(kept, np.append(first, len(h)))
-    h, doc = h[kept], np.repeat(each, np.diff(got))
-    count = np.bincount(doc, minlength=len(texts))
-    first = np.cumsum(count) - count
+    doc = np.repeat(each, count)
     small = (h >> U64(32)).astype(np.uint32)
     # a k-mer that is among the LEAST lies below this bound, but for one text in some ten thousand; those are done in full
     share = np.minimum(1.0, (LEAST + 14.0) / np.maximum(count, 1))

@@ -248,6 +248,16 @@ def test_order_minhash(docs):
     assert 0.2 < order_minhash.likeness(same, moved) < 1
 
 
+def test_order_minhash_reads_every_kmer():
+    """A last byte that changes is one k-mer of n: a tuple stays if, of the n + 1 k-mers of both texts, neither that one nor its successor is among the two least."""
+    r = random.Random(3)
+    for n, most in ((8, 1), (19, 5)):
+        texts = ["".join(r.choice("abcdefghij ") for _ in range(order_minhash.K + n - 1)).encode() for _ in range(300)]
+        a, b = order_minhash.sketches(texts), order_minhash.sketches([t[:-1] + b"x" for t in texts])
+        assert (a == b).all(1).sum() <= most
+        assert abs(order_minhash.likeness(a, b).mean() - (n - 1) * (n - 2) / ((n + 1) * n)) < 0.03
+
+
 def test_packing(docs):
     from tokenizers import Tokenizer
 
