@@ -2,11 +2,13 @@
 
 Text gives a likelihood of each language: hashed byte trigrams under a naive Bayes model, fitted on about FIT_ROWS
 labelled rows (those with the lowest hash, a bounded sample), tempered to the weight of WORTH trigrams because
-neighbours aren't independent. Three more pieces of evidence come from grouped aggregation over all rows, in which each
+neighbours aren't independent. Beside the languages stands a background class for all other text, junk included: every
+bucket is equally likely under it. Three more pieces of evidence come from grouped aggregation over all rows, in which each
 row counts by its text's posterior: how often rows of a language declare which markup language, and what share each
 language has overall, in an address suffix, and on a host. The host's share is smoothed towards its suffix's, and that
-towards the overall one. The posterior is the normalised product. A row is accepted if it holds letters and its best language
-reaches ACCEPT.
+towards the overall one. The posterior is the product, normalised over the languages and the background. lang
+is the best of the languages; a row is accepted if it holds letters and that one reaches ACCEPT, so text that is likelier
+under the background is not. A language without labelled rows stays below the background, so it is never accepted.
 
 Defined cases: null and empty texts and texts without letters are undetermined (lang null, accepted false); a null
 host or suffix is one group; a null or unknown declared language counts as "other"; ties go to the first language by
@@ -30,6 +32,8 @@ FIT_ROWS = 8000
 BUCKETS = 1 << 15
 WORTH = 40
 SMOOTH = 20.0
+#: Log probability of any bucket under the background class.
+BACKGROUND = -float(np.log(BUCKETS))
 ACCEPT = 0.5
 #: Hosts and suffixes up to this number of rows are broadcast; beyond it they are joined by a shuffle.
 BROADCAST_ROWS = 20_000
@@ -70,12 +74,13 @@ def fit(rows: DataFrame, languages: list[str], most: int = FIT_ROWS) -> np.ndarr
     c = np.zeros((len(languages), BUCKETS))
     found = counts.toPandas()  # languages times buckets at most
     c[found["lang"], found["bucket"]] = found["n"]
-    p = (c + 0.05) / (c.sum(1, keepdims=True) + 0.05 * BUCKETS)
+    total = c.sum(1, keepdims=True)
+    p = (c + 0.05) / (np.where(total > 0, total, total.max()) + 0.05 * BUCKETS)  # without labelled rows, all is unseen
     return np.concatenate([np.log(p), np.zeros((len(languages), 1))], 1).astype(np.float32)
 
 
 def text_likelihoods(rows: DataFrame, model: np.ndarray) -> DataFrame:
-    """key columns, host, suffix and declared, and ll, the tempered log likelihoods (null: no letters)."""
+    """key columns, host, suffix and declared, and ll, the tempered log likelihoods, the background's last (null: no letters)."""
     keys = [c for c in rows.columns if c != "text"]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "text")
 
@@ -94,6 +99,7 @@ def text_likelihoods(rows: DataFrame, model: np.ndarray) -> DataFrame:
                 n = np.add.reduceat(np.append(g < BUCKETS, False), begin)
                 sums = np.stack([np.add.reduceat(np.append(m[g], np.float32(0)), begin) for m in model], 1)
                 mean = sums / np.maximum(n, 1)[:, None]
+                mean = np.append(mean, np.full((len(mean), 1), BACKGROUND), 1)
                 for t, k, row in zip(texts[i:j], n.tolist(), (mean * np.minimum(n, WORTH)[:, None]).astype(float).round(6).tolist(), strict=True):
                     out.append(row if k and _LETTER.search(t) else None)
                 i = j
@@ -121,28 +127,30 @@ def fuse(scored: DataFrame, languages: list[str]) -> DataFrame:
     overall = [((x or 0.0) + 1.0) / (whole + n) for x in total]
     said = {r["__said"]: [r[f"s{i}"] for i in range(n)] for r in hosts.groupBy("__said").agg(*add).collect()}  # languages and "other"
     kinds = [*languages, "other"]
-    table_ = {k: [float(np.log((said.get(k, [0.0] * n)[i] + 1.0) / ((total[i] or 0.0) + len(kinds)))) for i in range(n)] for k in kinds}
+    table_ = {k: [float(np.log((said.get(k, [0.0] * n)[i] + 1.0) / ((total[i] or 0.0) + len(kinds)))) for i in range(n)] + [-float(np.log(len(kinds)))] for k in kinds}
     declared = F.create_map(*[x for k in kinds for x in (F.lit(k), F.array(*[F.lit(v) for v in table_[k]]))])[F.col("__said")]
 
+    even = -float(np.log(n + 1))  # the background's prior on any host
     up = hosts.groupBy("__suffix").agg(*add)
     mass = sum((F.col(f"s{i}") for i in range(1, n)), F.col("s0"))
     up = up.select("__suffix", F.array(*[(F.col(f"s{i}") + SMOOTH * overall[i]) / (mass + SMOOTH) for i in range(n)]).alias("__up"))
     own = hosts.groupBy("__suffix", "__host").agg(*add).join(up, "__suffix")
-    prior = own.select("__suffix", "__host", F.array(*[F.log((F.col(f"s{i}") + SMOOTH * F.col("__up")[i]) / (mass + SMOOTH)) for i in range(n)]).alias("__prior"))
+    prior = own.select("__suffix", "__host", F.array(*[F.log((F.col(f"s{i}") + SMOOTH * F.col("__up")[i]) / (mass + SMOOTH)) for i in range(n)], F.lit(even)).alias("__prior"))
     if hosts.count() <= BROADCAST_ROWS:
         prior = F.broadcast(prior)
     d = d.join(prior, ["__suffix", "__host"], "left")
-    fallback = F.array(*[F.lit(float(np.log(x))) for x in overall])
+    fallback = F.array(*[F.lit(float(np.log(x))) for x in overall], F.lit(even))
     joint = F.when(F.col("ll").isNotNull(), F.zip_with(F.zip_with("ll", declared, lambda a, b: a + b), F.coalesce("__prior", fallback), lambda a, b: a + b))
     names = F.array(*[F.lit(x) for x in languages])
     first = lambda c: F.get(names, -F.array_max(F.transform(c, lambda x, i: F.struct(x.alias("x"), (-i).alias("i"))))["i"])
     d = d.withColumn("__joint", joint)
-    best = F.array_max("__joint")
+    own_ = lambda c: F.slice(c, 1, n)
+    best = F.array_max(own_("__joint"))
     d = d.withColumns(
         {
-            "lang": first("__joint"),
+            "lang": first(own_("__joint")),
             "posterior": F.round(1.0 / F.aggregate("__joint", F.lit(0.0), lambda s, x: s + F.exp(x - best)), 4),
-            "text_lang": first("ll"),
+            "text_lang": first(own_("ll")),
         }
     )
     return d.withColumn("accepted", F.coalesce(F.col("posterior") >= ACCEPT, F.lit(False))).drop("__said", "__host", "__suffix", "__prior", "__joint", "ll")

@@ -205,6 +205,19 @@ def test_language(spark):
     assert {r.doc_id for r in kept.collect()} == {i for i, *_ in rows} - {900, 901}
 
 
+def test_language_rejects_other_text(spark):
+    """Unlisted languages and random letters go, also where a listed language is declared or has no labelled rows; clean texts stay."""
+    r = random.Random(4)
+    stems = {"en": ["the", "thing", "of", "and", "ation"], "de": ["der", "ung", "und", "schen", "nicht"], "es": ["los", "cion", "que", "ando", "para"], "fr": ["les", "eaux", "vous", "ment", "pour"]}
+    other = ["Все люди рождаются свободными и равными в своем достоинстве и правах", "人人生而自由在尊严和权利上一律平等", "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan", " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(40))]
+    for names in (["en", "de", "es", "fr"], ["en", "de", "fr"]):
+        clean = [(i, " ".join(r.choice(stems[x]) for _ in range(r.choice((2, 30, 300)))), x, f"h{i % 7}") for i, x in enumerate(names * 40)]
+        odd = [(1000 + i, t, declared, "h1") for i, (t, declared) in enumerate((t, x) for t in other for x in (None, "xx"))]
+        out = {x.doc_id: x for x in language_id.identify(language_id.document_rows(spark.createDataFrame(clean + odd, "doc_id long, text string, lang string, source string"))).collect()}
+        assert all(out[i].accepted and out[i].lang == x for i, _, x, _ in clean)
+        assert not any(out[i].accepted for i, *_ in odd)
+
+
 def test_html(spark):
     body = "<p>" + words(40) + " a &amp; b</p><p>" + words(30) + "</p>"
     plain = "\n".join([re.sub(r"\s+", " ", re.sub("<[^>]*>", "", p)).replace("&amp;", "&").strip() for p in body.split("</p>") if p])
