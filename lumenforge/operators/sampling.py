@@ -23,10 +23,13 @@ def representative(df: DataFrame, group: str, key: str, seed: str) -> DataFrame:
 
 def capped_cohort(df: DataFrame, key: str, stratum: str, unique: str, seed: str, per_stratum: int, cap: int) -> DataFrame:
     """per_stratum rows of each stratum in seeded order, `cap` rows of a `unique` value at most. Strata are filled one
-    by one, so the last step is sequential; it sees a bounded number of rows: those that can be taken at all."""
+    by one, so the last step is sequential; it sees a bounded number of rows: those that can be taken at all. Of a stratum
+    and value these are the first `cap`. In a stratum no more of them are passed over than rows were taken before it, so
+    the first per_stratum for each stratum are enough."""
+    strata = df.select(stratum).distinct().count()
     d = df.select(key, stratum, unique).withColumn("h", order(seed, F.col(key)))
     d = d.withColumn("__u", F.row_number().over(W.partitionBy(stratum, unique).orderBy("h", key))).where(F.col("__u") <= cap)
-    d = d.withColumn("__s", F.row_number().over(W.partitionBy(stratum).orderBy("__u", "h", key))).where(F.col("__s") <= 50 * per_stratum)
+    d = d.withColumn("__s", F.row_number().over(W.partitionBy(stratum).orderBy("h", key))).where(F.col("__s") <= per_stratum * strata)
 
     def fill(rows: pd.DataFrame) -> pd.DataFrame:
         used: dict = {}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenforge.functions import contracts, hashing, stats, text, vectors
-from lumenforge.operators import intervals, labelmodel, relational, scheduling
+from lumenforge.operators import intervals, labelmodel, relational, sampling, scheduling
 from lumenforge.sources import feed, ledgers
 
 VOTES = "item_id string, lf_id string, family string, vote int"
@@ -144,3 +144,21 @@ def test_context_prompt(spark):
     assert got[0] == "platform: yt"
     assert got[1].startswith('platform: yt\ntitle: "é \\"q\\"\\n"\ncomment (score 3): "hi"')
     assert "tags" not in got[1] and got[1].endswith('comment (score None): ""')
+
+
+def test_capped_cohort_is_the_sequential_fill(spark):
+    """Many sources with a hot one in one stratum, and as many strata that all draw on the same few sources first."""
+    rnd = random.Random(9)
+    rows = [(i, "many", "hot" if i % 3 else f"s{i}") for i in range(2400)]
+    rows += [(3000 + i, f"t{i % 70:02}", f"u{rnd.randrange(3) if rnd.random() < 0.9 else rnd.randrange(400)}") for i in range(4200)]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, source string")
+    hashed = df.withColumn("h", hashing.order("cohort", F.col("doc_id"))).collect()
+    for per_stratum, cap in ((12, 2), (3, 5)):
+        used, filled, want = {}, {}, set()
+        for x in sorted(hashed, key=lambda x: (x.lang, x.h, x.doc_id)):
+            if filled.get(x.lang, 0) < per_stratum and used.get(x.source, 0) < cap:
+                used[x.source] = used.get(x.source, 0) + 1
+                filled[x.lang] = filled.get(x.lang, 0) + 1
+                want.add((x.doc_id, x.lang, x.source))
+        got = sampling.capped_cohort(df, "doc_id", "lang", "source", "cohort", per_stratum, cap).collect()
+        assert {tuple(x) for x in got} == want and len(got) == len(want)
