@@ -4,7 +4,9 @@ A page is a sequence of tokens. Words score positive and tags negative; the weig
 add-one smoothed log odds of a token's class (the tag's name, or a word with the state of the scan around it: inside a link,
 a list, a block that is named like page furniture) inside against outside the content. One linear scan finds the
 contiguous region with the largest sum. Blocks that overlap it are kept whole; furniture within it (scripts, forms,
-asides, adverts, comment lists) is left out. Pages are labelled where their own markup names one main element
+asides, adverts, comment lists) is left out. A block that only its class, id or role names as furniture is left out if it
+holds less than half of the page's words outside links and other furniture; a wrapper around the content isn't. Where
+a page names main elements, all of them are kept. Pages are labelled where their own markup names one main element
 (`article`, `main`), which is what the weights are fitted on: at most FIT_PAGES such pages, those with the lowest hash.
 
 Defined cases: null or empty html gives an empty text; html without words as well; a page of text without any tag is
@@ -36,6 +38,8 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 FURNITURE = frozenset("nav header footer aside form dialog menu button select fieldset object svg canvas audio video head iframe noscript template".split())
 MAIN = frozenset("article main".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
+#: First parts of a class that tell a state of the page, not what the block is: has-sidebar, no-comments.
+STATES = frozenset("has have with without no not is".split())
 #: Words of class, id and role that name furniture.
 NAMES = frozenset("ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion promoted breadcrumb breadcrumbs comment comments respond reply replies disqus cookie cookies consent gdpr notice notices notification popup modal overlay footer foot header masthead menu nav navbar navigation navi sidebar aside related recommended share sharing social newsletter subscribe subscription signup login search widget toolbar pagination pager skip copyright legal disclaimer tags contentinfo complementary".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -46,23 +50,25 @@ _PART = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])")
 
 
 def named_like_furniture(attributes: str) -> bool:
-    if not attributes:
-        return False
     for m in _NAMED.finditer(attributes):
-        if not NAMES.isdisjoint(p.lower() for p in _PART.split(m[1] or m[2] or m[3] or "")):
-            return True
-    return bool(_HIDDEN.search(attributes))
-
-
-def tokens(page: str) -> Iterator[tuple[str, str, bool, int]]:
-    """(class, text, inside furniture, main elements open) of each tag and each run of text; class "#text" for text."""
-    at, open_, bad, mains = 0, [], 0, 0  # open_: (name, furniture, main)
+        for word in (m[1] or m[2] or m[3] or "").split():
+            parts = [p.lower() for p in _PART.split(word)]
+            if not NAMES.isdisjoint(parts) and parts[0] not in STATES:
+                return True
+    return False
+
+
+def tokens(page: str) -> Iterator[tuple[str, str, bool, int, tuple[int, ...]]]:
+    """(class, text, inside furniture, main elements open, blocks around that are named like furniture) of each tag and
+    each run of text; class "#text" for text."""
+    at, open_, bad, mains = 0, [], 0, 0  # open_: (name, furniture, main, named blocks around)
+    named: tuple[int, ...] = ()
     n = len(page)
 
     def close(to: int) -> None:
-        nonlocal bad, mains
+        nonlocal bad, mains, named
         while len(open_) > to:
-            _, f, m = open_.pop()
+            _, f, m, named = open_.pop()
             bad -= f
             mains -= m
 
@@ -70,13 +76,13 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool, int]]:
         m = _TOKEN.search(page, at)
         stop = m.start() if m else n
         if stop > at:
-            yield "#text", page[at:stop], bad > 0, mains
+            yield "#text", page[at:stop], bad > 0, mains, named
         if not m:
             return
         at = m.end()
         if m[2] is None:
             if m[0].startswith("<![CDATA["):
-                yield "#text", html.escape(m[0][9:-3]), bad > 0, mains
+                yield "#text", html.escape(m[0][9:-3]), bad > 0, mains, named
             continue
         name = m[2].lower()
         if m[1]:
@@ -86,7 +92,7 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool, int]]:
                     break
                 if open_[i][0] in MAIN and name in INLINE:
                     break
-            yield "/" + name, "", bad > 0, mains
+            yield "/" + name, "", bad > 0, mains, named
             continue
         if name in CLOSES_P and open_ and any(x[0] == "p" for x in open_[-6:]):
             for i in range(len(open_) - 1, -1, -1):
@@ -98,18 +104,24 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool, int]]:
         elif name in ("li", "option", "tr", "td", "th", "dt", "dd") and open_ and open_[-1][0] == name:
             close(len(open_) - 1)
         article = bool(mains)
-        furniture = name in FURNITURE and not (name == "header" and article) or name in RAW or named_like_furniture(m[3]) and name not in ("html", "body", *MAIN)
+        furniture = name in FURNITURE and not (name == "header" and article) or name in RAW
+        exempt = not m[3] or name in ("html", "body", *MAIN)
+        furniture = furniture or not exempt and bool(_HIDDEN.search(m[3]))
         if name in RAW:
             end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-            yield name, "", True, mains
+            yield name, "", True, mains, named
             at = end.end() if end else n
             continue
         if name not in VOID and not m[3].rstrip().endswith("/"):
             # a main element isn't furniture because of how a wrapper around the page is named
-            open_.append((name, -bad if name in MAIN else int(furniture), int(name in MAIN)))
+            open_.append((name, -bad if name in MAIN else int(furniture), int(name in MAIN), named))
+            if name in MAIN:
+                named = ()
+            elif not exempt and named_like_furniture(m[3]):
+                named += (at,)
             bad += open_[-1][1]
             mains += name in MAIN
-        yield name, "", bad > 0, mains
+        yield name, "", bad > 0, mains, named
 
 
 def _classes(page: str) -> tuple[list[tuple[str, int]], list[list[tuple[int, str]]], list[int], list[bool]]:
@@ -118,8 +130,19 @@ def _classes(page: str) -> tuple[list[tuple[str, int]], list[list[tuple[int, str
     mains: list[int] = []
     bad: list[bool] = []
     blocks: list[list[tuple[int, str]]] = [[]]
+    link = total = 0
+    found = list(tokens(page))
+    held: Counter = Counter()  # words outside links and other furniture of each named block
+    for kind, text, furniture, _, named in found:
+        link = link + 1 if kind == "a" else max(0, link - 1) if kind == "/a" else link
+        if kind == "#text" and not furniture and not link:
+            n = len(text.split())
+            total += n
+            for x in named:
+                held[x] += n
     link = 0
-    for kind, text, furniture, inside in tokens(page):
+    for kind, text, furniture, inside, named in found:
+        furniture = furniture or any(not held[x] or 2 * held[x] < total for x in named)
         if kind == "#text":
             words = len(text.split())
             state = "furniture" if furniture else "link" if link else "plain"
@@ -198,15 +221,14 @@ def extract(page: str | None, score: dict[str, float]) -> str:
     if not page:
         return ""
     scored, blocks, mains, bad = _classes(page)
-    plain = score.get("word plain", 1.0)
     if any(m and not b for m, b in zip(mains, bad, strict=True)):
-        # the page names its main element: words outside count as furniture, tags inside hardly at all
-        values = [(plain * n if k.startswith("word") and not b else -0.01) if m else (-100.0 * n if k.startswith("word") else score.get(k, -1.0)) for (k, n), m, b in zip(scored, mains, bad, strict=True)]
+        # the page names its main elements: all of them are the content
         inside = [bool(m) for m in mains]
+        lo, hi = 0, len(scored)
     else:
         values = [score.get(k, -1.0) * n for k, n in scored]
         inside = [True] * len(scored)
-    lo, hi = region(values)
+        lo, hi = region(values)
     out = []
     for block in blocks:
         part = [(i, t) for i, t in block if not bad[i] and inside[i]]

@@ -229,6 +229,18 @@ def test_html(spark):
     assert html_extract.region([-1, 2, -1, 3, -9, 4]) == (1, 4) and html_extract.region([-1, -2]) == (0, 0)
 
 
+def test_html_keeps_wrapped_content_and_all_main_elements():
+    text = lambda i, n: " ".join(WORDS[i : i + n])
+    body, score = f"<p>{text(0, 40)}</p><p>{text(50, 30)}</p>", {"word plain": 1.0}
+    want = f"{text(0, 40)}\n{text(50, 30)}"
+    rest = f"<div class='comments'><p>{text(100, 9)}</p></div><div id=sidebar><p>{text(120, 6)}</p></div>"
+    for name in ("class=has-sidebar", "class='page with-header'", "id=search-results", "class='no-comments'", "class=commentsWrapper", "id=header-wrap"):
+        assert html_extract.extract(f"<body><div {name}><div>{body}</div>{rest}</div></body>", score) == want
+        assert html_extract.extract(f"<body><div {name}><article>{body}</article>{rest}</div></body>", score) == want
+    between = f"<p>{text(150, 100)}</p>"
+    assert html_extract.extract(f"<body><article><p>{text(0, 40)}</p></article>{between}<article><p>{text(50, 30)}</p></article></body>", score) == want
+
+
 def test_licenses(docs):
     got = {r.doc_id: r for r in licenses.scan(docs).collect()}
     hits = {d: r.license for d, r in got.items() if r.license}
