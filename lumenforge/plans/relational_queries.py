@@ -103,6 +103,13 @@ def vector_pairs_of_first(t: Tables) -> DataFrame:
     return a.join(b, "label").where("a < b").select("a", "b", F.round(vectors.cosine(F.col("ea"), F.col("eb")), 4).alias("cosine"))
 
 
+@query("""WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)
+ SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.e, b.e), 4) AS cosine FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id""")
+def vector_pairs(t: Tables) -> DataFrame:
+    """Cosine of all pairs of equal label. Each label is cut into blocks, whose pairs are the join key, so a common label is spread over tasks."""
+    return relational.pairs_in_blocks(t.embeddings.select("vec_id", "label", "embedding"), "label", "vec_id", 16).select("a", "b", F.round(vectors.cosine(F.col("ea.embedding"), F.col("eb.embedding")), 4).alias("cosine"))
+
+
 @query("""WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), n AS (SELECT vec_id, label, e, lead(e) OVER (PARTITION BY label ORDER BY vec_id) AS f, lag(e) OVER (PARTITION BY label ORDER BY vec_id) AS g FROM v)
  SELECT vec_id, label, round(list_cosine_similarity(e, f), 4) AS next_sim, round(list_cosine_similarity(e, g), 4) AS prev_sim, coalesce(list_cosine_similarity(g, f) > list_cosine_similarity(e, f), false) AS sandwich FROM n""")
 def voice_sandwich(t: Tables) -> DataFrame:
