@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -41,13 +40,15 @@ def small_batches(df: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a folder of our own only where the session names none (tests)."""
+    """The folder all executors share, as the session names it. Only in local mode, where all share one machine, is it made when unset."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or None
     if found is None:
         held = sc._jsc.sc().getCheckpointDir()
         found = held.get() if held.isDefined() else None
     if found is None:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="lumenforge-")
         sc.setCheckpointDir(found)
     return found
@@ -63,22 +64,40 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 class Written:
-    """Tables written as Parquet under the shared folder during one call of an operator, dropped with it."""
+    """Tables written as Parquet under the shared folder during one call of an operator; `drop` deletes those that are no longer read."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root = spark, f"{shared_dir(spark)}/lumenforge/{uuid.uuid4().hex}"
-        self.n = 0
+        self.n, self.paths = 0, {}
 
     def keep(self, df: DataFrame) -> DataFrame:
         path, self.n = f"{self.root}/{self.n}", self.n + 1
         df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of frames that are no longer used."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = out, path
+        return out
+
+    def drop(self, *frames: DataFrame) -> None:
+        for f in frames:
+            if held := self.paths.pop(id(f), None):
+                delete(self.spark, held[1])
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared store through Spark's own file system."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Each name with as many underscores at its end as it takes to be no column of df."""
+    have, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in have:
+            n += "_"
+        have.add(n.lower())
+        out.append(n)
+    return out
 
 
 def with_schema(df: DataFrame, *columns: tuple[str, str]) -> DataFrame:

@@ -2,50 +2,58 @@
 
 A document is its set of word 5-grams. Two sets of sizes a and b link when their Jaccard similarity is 0.75 or more,
 so when they differ in H(a, b) = floor((a + b) / 7) tokens at most. Sets are grouped by size band; for each band the
-universe of tokens (their 64-bit hashes) is cut into so many segments that a linked pair must agree on one segment that isn't
-empty. The hash of a segment's tokens is a signature. A set is entered under its own band and, where larger
-partners can lie there, the next. Signatures are sorted in blocks and those that two sets share make candidates.
-
-Costs are allotted by how many sets a signature has. A rare one makes pairs. A frequent one (more than LIMITS sets
-that aren't yet in one component) makes none: it's taken off the set's budget, the number of its segments beyond
-H. A pair is missed only if both sets have overdrawn their budgets, so exactly these go to the next level: level 1
-adds the one-deletion neighbourhoods (each segment without one of its tokens), by which a segment counts twice; later levels
-have four times as many segments each, and higher limits, until no set is overdrawn. Nothing is capped.
-
-Candidates pass a bound from parity sketches (a bit for each residue, flipped by each token: two sketches differ in
-no more bits than the sets in tokens) and are then compared token by token. Equal sets are one vertex throughout. Before all
-that, a cheap pass joins each set to one likely partner, so that large groups of near copies are one component
-before pairs are made, and only pairs across components matter. The result holds the components, not the pairs.
-
-Sets are compared through 64-bit hashes of their tokens, and equal sets are recognised by a 64-bit hash.
+universe of tokens (their 64-bit hashes) is cut into segments, more than H. The hash of the tokens that a set has in a
+segment is a signature. A set is entered under its own band and, where larger partners can lie there, the next.
+
+What two linked sets share. A segment that isn't empty is worth one unit (level 0), or, with the one-deletion
+neighbourhoods (level 1: each segment also without one of its tokens), two units where it holds two tokens or more. A
+differing token takes one unit at most, so linked sets share more units than a set's budget, its units less H + 1.
+
+Costs are allotted by how many sets have a signature. One that LIMIT sets or fewer have makes pairs. A frequent one
+makes none; its units are taken off the budgets of its sets. So a pair must share more rare units than what is left of
+either budget, which refuses almost all chance pairs by counting, and it is missed only if both sets have overdrawn their
+budgets. Exactly these go to the next level: 0 (segments), 1 (with deletions), 2 (each token a segment of its own).
+
+Cells. Sets that are overdrawn at level 2 share a frequent signature with each linked set that is, too. The first set
+of a frequent signature leads it; a set belongs to the cells of the leaders of its signatures, but for the leaders with so
+few of them that half of its budget pays for those (two linked sets can't both be spared all that they share). The
+pairs of all levels make cells as well: the connected parts of their graph. In a cell, sets are compared as parity sketches
+(a bit for each residue, flipped by each token: two sketches differ in no more bits than the sets in tokens) and,
+where these allow it, token by token, but only while they aren't in one component yet. A task returns only links that join
+two components: fewer than it has sets. A cell above BLOCK is cut into blocks, and each two blocks are a task of their own, so no
+task holds more than two blocks, however large a group of near copies is.
+
+Sets are compared through 64-bit hashes of their tokens, and equal sets, which are one vertex throughout, are recognised
+by a 64-bit hash. The result holds the components, not the pairs.
 
 Defined cases: a null or empty text, or one without words, has an empty set and links to nothing; fewer than five
 words make one token; equal rows are one vertex; a null doc_id stands before all others and comes back null;
-two rows with the same doc_id and different texts each have their own text's links; very long texts are taken whole; an empty table
-gives an empty result; only doc_id and the columns made here are returned, so no column can clash.
+two rows with the same doc_id and different texts each have their own text's links; very long texts are taken whole; an
+empty table gives an empty result; only doc_id and the columns made here are returned, so no column can clash.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-from .common import NULL_ID, U64, Written, mix, partitions, pieces, release, shingle_sets, small_batches, spans, table, whole_text, with_schema
+from .common import NULL_ID, U64, Written, fresh, mix, partitions, shingle_sets, small_batches, spans, table, whole_text, with_schema
 
 NUM, DEN, SIZE = 75, 100, 5
-#: Sets that share a signature from which on it makes no pairs, by level; from the last on, times eight.
-LIMITS = (16, 16, 32, 128)
-PROBES = 12
-#: Rounds of the first, cheap pass at most.
-ROUNDS = 5
-#: Fewer links in a round end the pass.
-MERGED = 20
-_BITS38 = (1 << 38) - 1
+#: Sets that share a signature up to which it makes pairs.
+LIMIT = 16
+#: The last level, at which no budget can be negative from the start.
+LAST = 2
+#: Tokens, with EXTRA for each set, that a block of a cell holds about.
+BLOCK, EXTRA = 1 << 21, 128
+#: Sets that are put into signatures at a time; their places take 14 bits.
+AT_ONCE = 1 << 14
 _K = np.random.default_rng(3).integers(1, 2**63, 4, dtype=np.uint64) * U64(2) + U64(1)
 
 
@@ -70,10 +78,10 @@ def partner(n):
     return n * DEN // NUM
 
 
-def _segments(band: np.ndarray, level: int) -> np.ndarray:
+def _segments(band: np.ndarray) -> np.ndarray:
     top = BANDS[band + 1] - 1
     need = most_differing(top, top) + 1
-    return ((need * 115 + 99) // 100 + 4) * 4 ** max(0, level - 1)
+    return (need * 115 + 99) // 100 + 4
 
 
 def signatures(sets: list[np.ndarray], level: int) -> tuple[np.ndarray, ...]:
@@ -86,23 +94,26 @@ def signatures(sets: list[np.ndarray], level: int) -> tuple[np.ndarray, ...]:
         if not len(use):
             continue
         size, band = n[use], own[use] + ahead
-        m = _segments(band, level)
         tok = np.concatenate([sets[i] for i in use])
         at = np.repeat(np.arange(len(use)), size)
-        seg = ((tok >> U64(32)) * m.astype(U64)[at]) >> U64(32)
-        new = np.concatenate(([True], (seg[1:] != seg[:-1]) | (at[1:] != at[:-1])))
-        first = np.flatnonzero(new)
-        held = np.diff(np.append(first, len(tok)))
-        value = mix(tok ^ _K[3])
-        total = np.add.reduceat(value, first)
-        place = mix(seg[first] * _K[0] + band.astype(U64)[at[first]] * _K[1] + np.full(len(first), level, U64) * _K[2])
-        units = np.bincount(at[first], minlength=len(use))
-        out.append((mix(total + place), use[at[first]], np.full(len(first), ahead, np.uint8), np.zeros(len(first), np.uint8)))
-        if level == 1:
-            units = units + np.bincount(at[first[held > 1]], minlength=len(use))
-            where = np.repeat(np.arange(len(first)), held)
-            cut = np.flatnonzero(held[where] > 1)
-            out.append((mix(total[where[cut]] - value[cut] + place[where[cut]]), use[at[cut]], np.full(len(cut), ahead, np.uint8), np.ones(len(cut), np.uint8)))
+        if level == LAST:
+            first, units = np.arange(len(tok)), size
+            place = mix(band.astype(U64)[at] * _K[1] + np.full(len(tok), level, U64) * _K[2])
+            out.append((mix(mix(tok ^ _K[3]) + place), use[at], np.full(len(tok), ahead, np.uint8), np.zeros(len(tok), np.uint8)))
+        else:
+            seg = ((tok >> U64(32)) * _segments(band).astype(U64)[at]) >> U64(32)
+            first = np.flatnonzero(np.concatenate(([True], (seg[1:] != seg[:-1]) | (at[1:] != at[:-1]))))
+            held = np.diff(np.append(first, len(tok)))
+            value = mix(tok ^ _K[3])
+            total = np.add.reduceat(value, first)
+            place = mix(seg[first] * _K[0] + band.astype(U64)[at[first]] * _K[1] + np.full(len(first), level, U64) * _K[2])
+            units = np.bincount(at[first], minlength=len(use))
+            out.append((mix(total + place), use[at[first]], np.full(len(first), ahead, np.uint8), np.zeros(len(first), np.uint8)))
+            if level == 1:
+                units = units + np.bincount(at[first[held > 1]], minlength=len(use))
+                where = np.repeat(np.arange(len(first)), held)
+                cut = np.flatnonzero(held[where] > 1)
+                out.append((mix(total[where[cut]] - value[cut] + place[where[cut]]), use[at[cut]], np.full(len(cut), ahead, np.uint8), np.ones(len(cut), np.uint8)))
         other = partner(size)
         need = most_differing(size, other if ahead else np.minimum(other, BANDS[band + 1] - 1)) + 1
         budgets.append((use, np.full(len(use), ahead, np.uint8), units - need))
@@ -110,192 +121,255 @@ def signatures(sets: list[np.ndarray], level: int) -> tuple[np.ndarray, ...]:
     return *join(out, 4), *join(budgets, 3)
 
 
-def sketch(tokens: np.ndarray) -> bytes:
-    """Parities of the tokens' residues, about two bits for each token."""
-    words = 4
-    while words * 32 < len(tokens):
-        words *= 2
-    bits = np.bincount((tokens & U64(words * 64 - 1)).astype(np.int64), minlength=words * 64) & 1
-    return np.packbits(bits.astype(np.uint8)).tobytes()
-
-
-def sketch_distance(a: bytes, b: bytes) -> int:
-    """No more than the number of tokens in which the two sets differ."""
-    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-    while len(x) > len(y):
-        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-    while len(y) > len(x):
-        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
-    return int(np.bitwise_count(x ^ y).sum())
-
-
 def name_of(tokens: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
+    return xxhash.xxh3_64_intdigest(tokens.tobytes()) - 2**63
 
 
-def summaries(docs: DataFrame) -> DataFrame:
-    """doc_id, n, and of sets with tokens: name (of the set), probes (some of its signatures) and sketch."""
+def described(docs: DataFrame) -> DataFrame:
+    """doc_id, n (tokens of its set), and name of the set, null where it is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(1).cast(pa.binary())
             for i, j in spans(texts):
                 sets = shingle_sets(texts[i:j].to_pylist(), SIZE)
-                sig, which, ahead, _, _, _, _ = signatures(sets, 0)
-                own = ahead == 0
-                sig, which = sig[own], which[own]
-                probes: list = [None] * len(sets)
-                ends = np.searchsorted(which, np.arange(len(sets) + 1))
-                for k in range(len(sets)):
-                    x = sig[ends[k] : ends[k + 1]]
-                    probes[k] = np.sort(x)[:PROBES].view(np.int64).tolist()
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0)[i:j], pa.array([len(s) for s in sets], pa.int64()), pa.array([name_of(s) if len(s) else None for s in sets], pa.int64()), pa.array(probes, pa.list_(pa.int64())), pa.array([sketch(s) if len(s) else None for s in sets], pa.binary())],
-                    ["doc_id", "n", "name", "probes", "sketch"],
-                )
-
-    return small_batches(docs).mapInArrow(run, "doc_id long, n long, name long, probes array<long>, sketch binary")
-
-
-_PACKED = ["sig_lo", "sig_hi", "node_lo", "node_hi", "budget", "label"]
+                names = pa.array([name_of(s) if len(s) else None for s in sets], pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column(0)[i:j], pa.array([len(s) for s in sets], pa.int64()), names], ["doc_id", "n", "name"])
+
+    return small_batches(docs).mapInArrow(run, "doc_id long, n long, name long")
+
+
+_PACKED = ["lo", "hi", "who", "names", "budgets"]
 _ENTRIES = "bucket int, " + ", ".join(f"{c} binary" for c in _PACKED)
 
 
 def entries(docs: DataFrame, level: int, buckets: int) -> DataFrame:
-    """The signatures of documents, packed by bucket. docs: text, and from level 1 on the component of the set as label.
+    """The signatures of texts, packed by bucket: five bytes each besides the bucket, and two for the set's place in
+    the list of names and budgets that comes with them (with a bit each for next band and deletion).
 
-    A signature takes five bytes besides its bucket, a set 38 bits of its name and two bits (next band, deletion).
-    """
+    docs: text, and where it is known the name of the set; a row whose text has another set is left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for b in batches:
             texts = b.column(0).cast(pa.binary())
-            labels = b.column(1).to_numpy(zero_copy_only=False).astype(np.int64) if b.num_columns > 1 else None
-            for i, j in spans(texts, 1 << 22):
+            meant = b.column(1).to_pylist() if b.num_columns > 1 else None
+            for i, j in spans(texts, 1 << 21 if level == 0 else 1 << 20):
                 kept: list[np.ndarray] = []
                 names: list[int] = []
-                where: list[int] = []
-                for p, q in spans(texts[i:j]):
-                    for k, s in enumerate(shingle_sets(texts[i + p : i + q].to_pylist(), SIZE)):
-                        # an equal set of this task has entered the same signatures
-                        if len(s) and (name := name_of(s)) not in seen:
-                            if len(seen) > 1_000_000:
-                                seen.clear()
-                            seen.add(name)
-                            kept.append(s)
-                            names.append(name)
-                            where.append(i + p + k)
-                if not kept:
-                    continue
-                sig, which, ahead, cut, who, next_, budget = signatures(kept, level)
-                name = np.array(names, np.int64)
-                node = name.view(U64) & U64(_BITS38)
-                left = np.zeros((len(kept), 2), np.int64)
-                left[who, next_] = budget
-                poor = budget < 0
-                bucket = ((sig >> U64(40)) * U64(buckets) >> U64(24)).astype(np.uint16 if buckets <= 65535 else np.int64)
-                by = np.argsort(bucket, kind="stable")
-                sig, which, ahead, cut, bucket = sig[by], which[by], ahead[by], cut[by], bucket[by]
-                ends = np.searchsorted(bucket, np.arange(buckets + 1))
-                full = node[which] | ahead.astype(U64) << U64(38) | cut.astype(U64) << U64(39)
-                cols = [sig.astype(np.uint32), (sig >> U64(32)).astype(np.uint8), full.astype(np.uint32), (full >> U64(32)).astype(np.uint8), np.clip(left[which, ahead], 0, 255).astype(np.uint8)]
-                lab = labels[np.array(where)] if labels is not None else None
-                rows = [[c[s:e].tobytes() for s, e in zip(ends[:-1], ends[1:], strict=True) if e > s] for c in cols]
-                ids = [x for x, (s, e) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if e > s]
-                rows.append([lab[which[s:e]].tobytes() if lab is not None else None for s, e in zip(ends[:-1], ends[1:], strict=True) if e > s])
-                if poor.any():  # overdrawn from the start: told in a row without signatures
-                    f = node[who[poor]] | next_[poor].astype(U64) << U64(38)
-                    ids.append(-1 - int(f[0] % U64(buckets)))
-                    for r, x in zip(rows, (None, None, f.astype(np.uint32).tobytes(), (f >> U64(32)).astype(np.uint8).tobytes(), None, None), strict=True):
-                        r.append(x)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), *(pa.array(r, pa.binary()) for r in rows)], ["bucket", *_PACKED])
+                for k, s in enumerate(shingle_sets(texts[i:j].to_pylist(), SIZE)):
+                    # an equal set of this task has entered the same signatures
+                    if len(s) and (name := name_of(s)) not in seen and (meant is None or meant[i + k] == name):
+                        if len(seen) > 1_000_000:
+                            seen.clear()
+                        seen.add(name)
+                        kept.append(s)
+                        names.append(name)
+                for p in range(0, len(kept), AT_ONCE):
+                    yield _packed(kept[p : p + AT_ONCE], np.array(names[p : p + AT_ONCE], np.int64), level, buckets)
 
     return small_batches(docs).mapInArrow(run, _ENTRIES)
 
 
-def _unique(*cols: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Distinct rows and how often each occurs."""
-    by = np.lexsort(cols[::-1])
-    cols = tuple(c[by] for c in cols)
-    new = np.ones(len(by), bool)
-    if len(by):
+def _packed(sets: list[np.ndarray], names: np.ndarray, level: int, buckets: int) -> pa.RecordBatch:
+    sig, which, ahead, cut, who, next_, budget = signatures(sets, level)
+    left = np.zeros((len(sets), 2), np.int64)
+    left[who, next_] = budget
+    bucket = ((sig >> U64(40)) * U64(buckets) >> U64(24)).astype(np.uint16 if buckets <= 65535 else np.int64)
+    by = np.argsort(bucket, kind="stable")
+    slot = (which * 4 + cut * 2 + ahead).astype(np.uint16)[by]
+    sig, bucket = sig[by], bucket[by]
+    lo, hi = sig.astype(np.uint32), (sig >> U64(32)).astype(np.uint8)
+    ends = np.searchsorted(bucket, np.arange(buckets + 1))
+    ids, rows = [], []
+
+    def listed(at: np.ndarray) -> list[bytes]:
+        return [names[at].tobytes(), np.clip(left[at], 0, 255).astype(np.uint8).tobytes()]
+
+    for x, (s, e) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
+        if e > s:
+            here = np.zeros(len(sets), bool)
+            here[slot[s:e] >> 2] = True
+            place = (np.cumsum(here) - 1).astype(np.uint16)
+            ids.append(x)
+            rows.append([lo[s:e].tobytes(), hi[s:e].tobytes(), (place[slot[s:e] >> 2] << 2 | slot[s:e] & 3).tobytes(), *listed(np.flatnonzero(here))])
+    if (poor := budget < 0).any():  # overdrawn from the start: told in a row without signatures
+        ids.append(-1 - int(names[who[poor][0]] % buckets))
+        rows.append([None, None, (np.arange(poor.sum()) << 2 | next_[poor]).astype(np.uint16).tobytes(), *listed(who[poor])])
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), *(pa.array([r[c] for r in rows], pa.binary()) for c in range(5))], ["bucket", *_PACKED])
+
+
+def _first_of(*cols: np.ndarray) -> np.ndarray:
+    """Where a row differs from the one before it."""
+    new = np.ones(len(cols[0]), bool)
+    if len(new):
         new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in cols])
-    first = np.flatnonzero(new)
-    return *(c[first] for c in cols), np.diff(np.append(first, len(by)))
+    return np.flatnonzero(new)
+
+
+_MET = ["a", "aa", "b", "bb", "k", "left_a", "left_b"]
+_MET_SCHEMA = "a long, aa int, b long, bb int, k int, left_a int, left_b int"
 
 
-def _meet(level: int, limit: int):
-    """Of a bucket's signatures: pairs of sets (a, b, -1, 0), and what frequent ones cost a set (a, next band, cost, budget)."""
+def _meet(level: int):
+    """Of a bucket's signatures: pairs of sets with the bands they met in (aa, bb: in the next), shared units and budgets;
+    and, with bb = -1, the units k of a set whose frequent signatures the set b leads."""
 
     def run(t: pa.Table) -> pa.Table:
         def col(name: str, kind) -> np.ndarray:
             return np.frombuffer(b"".join(x for x in t.column(name).to_pylist() if x), kind)
 
+        names, budgets = col("names", np.int64), col("budgets", np.uint8).astype(np.int64)
+        per = [len(x) // 8 for x in t.column("names").to_pylist()]
+        counts = [len(x) // 2 for x in t.column("who").to_pylist()]
+        slot = col("who", np.uint16)
+        who = (slot >> 2).astype(np.int64) + np.repeat(np.cumsum([0, *per[:-1]]), counts)
+        ahead, cut = (slot & 1).astype(np.int64), (slot >> 1 & 1).astype(np.int64)
         out: list[tuple[np.ndarray, ...]] = []
         if t.column("bucket")[0].as_py() < 0:
-            node = col("node_lo", np.uint32).astype(U64) | col("node_hi", np.uint8).astype(U64) << U64(32)
-            name, ahead, _ = _unique(node & U64(_BITS38), node >> U64(38) & U64(1))
-            out.append((name, ahead, np.full(len(name), 1 << 20), np.zeros(len(name), np.int64)))
+            none = np.zeros(len(who), np.int64)
+            out.append((names[who], ahead, none, none - 1, none + (1 << 20), none, none))
         else:
-            sig = col("sig_lo", np.uint32).astype(U64) | col("sig_hi", np.uint8).astype(U64) << U64(32)
+            sig = col("lo", np.uint32).astype(U64) | col("hi", np.uint8).astype(U64) << U64(32)
             by = np.argsort(sig)
             sig = sig[by]
             same = np.concatenate(([False], sig[1:] == sig[:-1], [False]))
             live = np.flatnonzero(same[1:] | same[:-1])
             by, sig = by[live], sig[live]
-            node = (col("node_lo", np.uint32)[by]).astype(U64) | col("node_hi", np.uint8)[by].astype(U64) << U64(32)
-            budget = col("budget", np.uint8)[by].astype(np.int64)
-            label = col("label", np.int64)
-            label = label[by] if len(label) else np.zeros(0, np.int64)
-            name = node & U64(_BITS38)
-            order = np.lexsort((node >> U64(38), name, sig))
-            sig, name, node, budget = sig[order], name[order], node[order], budget[order]
-            label = label[order] if len(label) else label
-            keep = np.ones(len(sig), bool)
-            keep[1:] = (sig[1:] != sig[:-1]) | (name[1:] != name[:-1])
-            if level == 1:  # a set may stand here with a segment and with another's deletion
-                keep[1:] |= node[1:] != node[:-1]
-            sig, name, node, budget = sig[keep], name[keep], node[keep], budget[keep]
-            label = label[keep] if len(label) else label
+            name, ahead, cut, budget = names[who[by]], ahead[by], cut[by], budgets[2 * who[by] + ahead[by]]
+            order = np.lexsort((cut, ahead, name, sig))
+            order = order[_first_of(sig[order], name[order], ahead[order], cut[order])]
+            sig, name, ahead, cut, budget = sig[order], name[order], ahead[order], cut[order], budget[order]
             if len(sig):
-                ahead, cut = (node >> U64(38) & U64(1)).astype(np.int64), (node >> U64(39)).astype(np.int64)
-                first = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
+                first = _first_of(sig)
                 size = np.diff(np.append(first, len(sig)))
-                apart = size > 1
-                if len(label):
-                    apart &= np.minimum.reduceat(label, first) != np.maximum.reduceat(label, first)
                 group = np.repeat(np.arange(len(first)), size)
-                hot = np.flatnonzero((apart & (size > limit))[group])
-                if len(hot):
-                    cost = np.where(cut[hot] > 0, 1, 2) if level == 1 else np.ones(len(hot), np.int64)
-                    # rows of a set and band together; their costs are added up
-                    by = np.lexsort((ahead[hot], name[hot]))
-                    h, c = hot[by], cost[by]
-                    new = np.flatnonzero(np.concatenate(([True], (name[h][1:] != name[h][:-1]) | (ahead[h][1:] != ahead[h][:-1]))))
-                    out.append((name[h][new], ahead[h][new], np.add.reduceat(c, new), budget[h][new]))
-                few = np.flatnonzero((apart & (size <= limit))[group])
-                g, pairs = group[few], []
-                d = 1
-                while d < len(few):
-                    i = np.flatnonzero(g[d:] == g[:-d])
-                    if not len(i):
-                        break
-                    x, y = few[i], few[i + d]
-                    ok = ((ahead[x] & ahead[y]) == 0) & ((cut[x] & cut[y]) == 0) & (name[x] != name[y])
-                    if len(label):
-                        ok &= label[x] != label[y]
-                    pairs.append((np.minimum(name[x], name[y])[ok], np.maximum(name[x], name[y])[ok]))
-                    d += 1
-                if pairs:
-                    a, b, _ = _unique(np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs]))
-                    out.append((a, b, np.full(len(a), -1), np.zeros(len(a), np.int64)))
-        cols = [np.concatenate([o[i].astype(np.int64) for o in out]) if out else np.zeros(0, np.int64) for i in range(4)]
-        return pa.table([pa.array(c) for c in cols], ["a", "b", "cost", "budget"])
+                apart = name[first] != name[first + size - 1]
+                out += [_frequent(level, np.flatnonzero((apart & (size > LIMIT))[group]), name, ahead, cut, budget, name[first][group])]
+                out += [_pairs(level, np.flatnonzero((apart & (size <= LIMIT))[group]), group, name, ahead, cut, budget)]
+        cols = [np.concatenate([o[i] for o in out]) if out else np.zeros(0, np.int64) for i in range(7)]
+        return pa.table([pa.array(c.astype(np.int64 if m in "ab" else np.int32)) for c, m in zip(cols, _MET, strict=True)], _MET)
 
     return run
 
 
+def _frequent(level: int, hot: np.ndarray, name, ahead, cut, budget, leader) -> tuple[np.ndarray, ...]:
+    by = hot[np.lexsort((leader[hot], ahead[hot], name[hot]))]
+    cost = 2 - cut[by] if level == 1 else np.ones(len(by), np.int64)
+    new = _first_of(name[by], ahead[by], leader[by])
+    at = by[new]
+    k = np.add.reduceat(cost, new) if len(new) else cost
+    return name[at], ahead[at], leader[at], np.full(len(at), -1), k, budget[at], np.zeros(len(at), np.int64)
+
+
+def _pairs(level: int, few: np.ndarray, group, name, ahead, cut, budget) -> tuple[np.ndarray, ...]:
+    g, found = group[few], []
+    for d in range(1, 2 * LIMIT):
+        i = np.flatnonzero(g[d:] == g[:-d])
+        if not len(i):
+            break
+        x, y = few[i], few[i + d]
+        ok = ((ahead[x] & ahead[y]) == 0) & ((cut[x] & cut[y]) == 0) & (name[x] != name[y])
+        found.append((x[ok], y[ok]))
+    x, y = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in (0, 1))
+    by = np.lexsort((ahead[y], ahead[x], name[y], name[x]))
+    x, y = x[by], y[by]
+    k = np.where(cut[x] | cut[y], 1, 2) if level == 1 else np.ones(len(x), np.int64)
+    new = _first_of(name[x], name[y], ahead[x], ahead[y])
+    k = np.add.reduceat(k, new) if len(new) else k
+    x, y = x[new], y[new]
+    return name[x], ahead[x], name[y], ahead[y], k, budget[x], budget[y]
+
+
+def sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """Parities of the tokens' residues, two bits or more for each token of the largest set: a row of 64-bit words for each set."""
+    words = 4
+    while words * 32 < max(map(len, sets)):
+        words *= 2
+    out = np.zeros((len(sets), words), U64)
+    for i in range(0, len(sets), step := max(1, (1 << 22) // (64 * words))):
+        part = sets[i : i + step]
+        at = np.repeat(np.arange(len(part)), [len(s) for s in part])
+        tok = (np.concatenate(part) & U64(64 * words - 1)).astype(np.int64)
+        bits = (np.bincount(at * (64 * words) + tok, minlength=len(part) * 64 * words) & 1).astype(np.uint8)
+        out[i : i + step] = np.packbits(bits).view(U64).reshape(len(part), words)
+    return out
+
+
+def _linked(a: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    size = np.array([len(x) for x in others])
+    tok = np.concatenate(others)
+    at = np.minimum(np.searchsorted(a, tok), len(a) - 1)
+    common = np.add.reduceat((a[at] == tok).astype(np.int64), np.cumsum([0, *size[:-1]]))
+    return (common > 0) & (DEN * common >= NUM * (len(a) + size - common))
+
+
+def joining(names: list[int], sets: list[np.ndarray], sides: np.ndarray) -> list[tuple[int, int]]:
+    """Links of a cell that join two components, until all linked sets are joined. With both sides 0 and 1 given, only
+    pairs across are compared. Every pair is either in one component already or compared, by sketch and then by token."""
+    order = np.argsort([len(s) for s in sets], kind="stable")
+    sets, names, sides = [sets[i] for i in order], [names[i] for i in order], sides[order]
+    n = np.array([len(s) for s in sets])
+    across = bool((sides != sides[0]).any())
+    bits, part, out = sketches(sets), np.arange(len(sets)), []
+    for p in range(len(sets) - 1):
+        stop = np.searchsorted(n, partner(n[p]), side="right")
+        rest = slice(p + 1, stop)
+        ok = part[rest] != part[p]
+        if across:
+            ok &= sides[rest] != sides[p]
+        at = p + 1 + np.flatnonzero(ok)
+        if not len(at):
+            continue
+        apart = np.bitwise_count(bits[at] ^ bits[p]).sum(1, dtype=np.int64)
+        near = apart <= most_differing(n[at], n[p])
+        at = at[near][np.argsort(apart[near], kind="stable")]
+        while len(at):  # a few at a time: most of a component's other members need not be compared once it is joined
+            some, at = at[:32], at[32:]
+            for q in some[_linked(sets[p], [sets[i] for i in some])]:
+                if part[q] != part[p]:
+                    out.append((names[p], names[q]))
+                    part[part == part[q]] = part[p]
+            at = at[part[at] != part[p]]
+    return out
+
+
+_CELL = ["kind", "cell", "i", "j"]
+
+
+def _in_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (kind, cell, i, j, side, name, text), sorted by cell and blocks, to links (a, b)."""
+    key, names, sets, sides = None, [], [], []
+    found: list[tuple[int, int]] = []
+
+    def close() -> None:
+        if len(names) > 1:
+            found.extend(joining(names, sets, np.array(sides)))
+        names.clear(), sets.clear(), sides.clear()
+
+    def links() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+        found.clear()
+        return out
+
+    for b in batches:
+        texts = b.column(6).cast(pa.binary())
+        rows = list(zip(*(b.column(c).to_pylist() for c in range(6)), strict=True))
+        for i, j in spans(texts):
+            for r, s in zip(rows[i:j], shingle_sets(texts[i:j].to_pylist(), SIZE), strict=True):
+                if r[:4] != key:
+                    close()
+                    key = r[:4]
+                # a doc_id may have two texts: it must be the set that was meant; rows may be repeated
+                if len(s) and name_of(s) == r[5] and not (names and names[-1] == r[5]):
+                    names.append(r[5])
+                    sets.append(s)
+                    sides.append(r[4])
+        yield links()
+    close()
+    yield links()
+
+
 def components(edges: DataFrame, written: Written) -> DataFrame:
     """node and label, the smallest node of its component, of all nodes in the edges (a, b). Distributed: each round
     hooks every node to its smallest neighbour, shortens the paths, and contracts the edges."""
@@ -305,9 +379,9 @@ def components(edges: DataFrame, written: Written) -> DataFrame:
         up = written.keep(e.groupBy("a").agg(F.min("b").alias("b")).select("a", F.least("a", "b").alias("p")))
         while True:
             roots = up.where("a <> p").select(F.col("a").alias("q"), F.col("p").alias("pp"))
-            up2 = written.keep(up.join(roots, up["p"] == roots["q"], "left").select("a", F.coalesce("pp", "p").alias("p"), F.col("pp").isNotNull().alias("moved")))
-            up = up2.select("a", "p")
-            if up2.where("moved").isEmpty():
+            step = written.keep(up.join(roots, up["p"] == roots["q"], "left").select("a", F.coalesce("pp", "p").alias("p"), F.col("pp").isNotNull().alias("moved")))
+            up = step.select("a", "p")
+            if step.where("moved").isEmpty():
                 break
         if labels is None:
             labels = up.select(F.col("a").alias("node"), F.col("p").alias("label"))
@@ -318,118 +392,99 @@ def components(edges: DataFrame, written: Written) -> DataFrame:
     return labels if labels is not None else e.select(F.col("a").alias("node"), F.col("b").alias("label"))
 
 
+def meetings(docs: DataFrame, level: int, written: Written) -> DataFrame:
+    """What meets in the buckets of one level, over all of them: see _meet."""
+    met = entries(docs, level, partitions(docs.sparkSession)).groupBy("bucket").applyInArrow(_meet(level), _MET_SCHEMA)
+    return written.keep(met.groupBy("a", "aa", "b", "bb").agg(F.sum("k").alias("k"), F.min("left_a").alias("left_a"), F.min("left_b").alias("left_b")))
+
+
+def costs(met: DataFrame) -> DataFrame:
+    """name, ahead, cost, budget: what the frequent signatures of a set and band cost."""
+    return met.where("bb < 0").groupBy(F.col("a").alias("name"), F.col("aa").alias("ahead")).agg(F.sum("k").alias("cost"), F.min("left_a").alias("budget"))
+
+
+def likely(met: DataFrame, cost: DataFrame) -> DataFrame:
+    """Pairs that share more units than either set has budget left; those that are both overdrawn are left to the next level."""
+    pairs = met.where("bb >= 0")
+    for x, f in (("a", "aa"), ("b", "bb")):
+        pairs = pairs.join(cost.select(F.col("name").alias(x), F.col("ahead").alias(f), F.col("cost").alias(f"cost_{x}")), [x, f], "left")
+    most = F.greatest(*(F.col(f"left_{x}") - F.coalesce(f"cost_{x}", F.lit(0)) for x in "ab"))
+    return pairs.where((most >= 0) & (F.col("k") > most)).select("a", "b")
+
+
+def cells_of(met: DataFrame, over: DataFrame) -> DataFrame:
+    """name and cell, of overdrawn sets: the leaders of their frequent signatures, without those that half the budget pays for."""
+    led = met.where("bb < 0").select(F.col("a").alias("name"), F.col("aa").alias("ahead"), F.col("b").alias("cell"), F.col("k").alias("cost"), F.col("left_a").alias("budget")).join(over, "name")
+    paid = F.sum("cost").over(W.partitionBy("name", "ahead").orderBy("cost", "cell").rowsBetween(W.unboundedPreceding, 0))
+    return led.withColumn("paid", paid).where("paid > floor(budget / 2)").select("name", "cell").distinct()
+
+
+def dealt(members: DataFrame) -> DataFrame:
+    """Members of cells (kind, cell, name, rep, n) with the tasks (i, j) that compare them, and on which side: a cell above
+    BLOCK is cut into blocks by a hash of the name, and every two of its blocks make a task."""
+    weight = F.col("n") + EXTRA
+    total = members.groupBy("kind", "cell").agg(F.sum(weight).alias("w"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    cut = members.join(total, ["kind", "cell"]).withColumn("blocks", F.ceil(F.col("w") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int"))
+    both = cut.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return both.select("kind", "cell", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), (F.col("own") > F.col("o")).cast("int").alias("side"), "name", "rep")
+
+
 class _Join:
     def __init__(self, df: DataFrame):
         self.spark = df.sparkSession
         self.written = Written(self.spark)
         self.docs = with_schema(df, ("doc_id", "long"), ("text", "string")).select("doc_id", whole_text().alias("text"))
-        self.rows = self.written.keep(summaries(self.docs))
+        self.rows = self.written.keep(described(self.docs))
         # one row for each distinct set
-        some = F.min_by(F.struct("n", "sketch", "probes"), F.coalesce("doc_id", F.lit(NULL_ID)))
-        self.sets = self.written.keep(self.rows.where("name IS NOT NULL").groupBy("name").agg(F.min(F.coalesce("doc_id", F.lit(NULL_ID))).alias("rep"), some.alias("s")).select("name", "rep", "s.n", "s.sketch", "s.probes"))
-        self.links = None
-        self.labels = self.spark.createDataFrame([], "node long, label long")
-
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """Of pairs of set names (a, b), those that link."""
-        side = lambda x: self.sets.select(F.col("name").alias(x), F.col("rep").alias(f"rep_{x}"), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
-        both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").where(F.least("n_a", "n_b") * DEN >= F.greatest("n_a", "n_b") * NUM)
-
-        def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for t in batches:
-                n = most_differing(t.column(4).to_numpy(), t.column(5).to_numpy())
-                ok = [sketch_distance(x, y) <= m for x, y, m in zip(t.column(6).to_pylist(), t.column(7).to_pylist(), n.tolist(), strict=True)]
-                yield t.select(["a", "b", "rep_a", "rep_b"]).filter(pa.array(ok, pa.bool_()))
-
-        close = self.written.keep(both.select("a", "b", "rep_a", "rep_b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(near, "a long, b long, rep_a long, rep_b long"))
-        if close.isEmpty():
-            return close.select("a", "b")
-        text = self.docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("__id"), "text")
-
-        def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for t in batches:
-                a, b, x, y = (t.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b"))
-                total = [p + q for p, q in zip(x, y, strict=True)]
-                for i, j in pieces(total):
-                    s, u = shingle_sets([v.encode() for v in x[i:j]], SIZE), shingle_sets([v.encode() for v in y[i:j]], SIZE)
-                    ok = []
-                    for k in range(j - i):
-                        common = len(np.intersect1d(s[k], u[k], assume_unique=True)) if len(s[k]) and len(u[k]) else 0
-                        whole = len(s[k]) + len(u[k]) - common
-                        # a doc_id may have two texts: it must be the set that was meant
-                        ok.append(common > 0 and DEN * common >= NUM * whole and name_of(s[k]) == a[i + k] and name_of(u[k]) == b[i + k])
-                    yield pa.RecordBatch.from_arrays([pa.array(a[i:j], pa.int64()), pa.array(b[i:j], pa.int64())], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-        full = close.join(text.select(F.col("__id").alias("rep_a"), F.col("text").alias("text_a")), "rep_a").join(text.select(F.col("__id").alias("rep_b"), F.col("text").alias("text_b")), "rep_b")
-        return self.written.keep(full.select("a", "b", "text_a", "text_b").mapInArrow(exact, "a long, b long").distinct())
-
-    def link(self, found: DataFrame) -> None:
-        """Adds links and renews the labels."""
-        if found.isEmpty():
-            return
-        self.links = found if self.links is None else self.links.unionByName(found)
-        self.labels = components(self.links, self.written)
-        release(self.spark)
-
-    def labelled(self, pairs: DataFrame) -> DataFrame:
-        """Pairs of names whose sets aren't in one component yet."""
-        one = lambda x: self.labels.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}"))
-        return pairs.join(one("a"), "a", "left").join(one("b"), "b", "left").where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b")
-
-    def likely(self, rounds: int = ROUNDS) -> None:
-        """Each set with one partner of another component, that with which it shares most probes; again while it finds
-        links. What this finds is only found sooner, and large groups of near copies become one component."""
-        probe = self.sets.select("name", F.explode("probes").alias("sig"))
-        for turn in range(rounds):
-            # another order each time, the same for all signatures, so that a set meets others than those that failed
-            place = F.struct(F.xxhash64("label", F.lit(turn)).alias("h"), F.xxhash64("name", F.lit(turn)).alias("g"), F.col("name").alias("name"), F.col("label").alias("label"))
-            own = probe.join(self.labels, F.col("name") == F.col("node"), "left").select("sig", "name", F.coalesce("label", "name").alias("label"))
-            ends = own.groupBy("sig").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo.label <> hi.label")
-            other = F.when(F.col("label") != F.col("lo.label"), F.col("lo.name")).otherwise(F.col("hi.name"))
-            shared = own.join(ends, "sig").select("name", other.alias("lead")).groupBy("name", "lead").agg(F.count(F.lit(1)).alias("k"))
-            best = shared.groupBy("name").agg(F.max_by("lead", F.struct("k", "lead")).alias("lead"))
-            found = self.verified(best.select(F.col("name").alias("a"), F.col("lead").alias("b")))
-            self.link(found)
-            if turn and found.limit(MERGED).count() < MERGED:
-                break
-
-    def run_level(self, level: int, limit: int, overdrawn: DataFrame | None) -> DataFrame:
-        """One level over all sets (level 0) or the overdrawn ones; returns the names of sets that overdraw their budgets in it."""
-        buckets = partitions(self.spark)
-        if overdrawn is None:
-            docs = self.docs.select("text")
-        else:
-            known = overdrawn.join(self.sets.select("name", "rep"), "name").join(self.labels, F.col("name") == F.col("node"), "left").select("rep", F.coalesce("label", "name").alias("label"))
-            docs = known.join(self.docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("rep"), "text"), "rep").select("text", "label")
-        met = entries(docs, level, buckets).groupBy("bucket").applyInArrow(_meet(level, limit), "a long, b long, cost long, budget long")
-        met = self.written.keep(met.groupBy("a", "b", (F.col("cost") < 0).alias("pair")).agg(F.sum("cost").alias("cost"), F.min("budget").alias("budget")))
-        short = self.sets.select("name", F.col("name").bitwiseAND(F.lit(_BITS38)).alias("short"))
-        one = lambda x: short.select(F.col("name").alias(f"name_{x}"), F.col("short").alias(x))
-        pairs = met.where("pair").select("a", "b").join(one("a"), "a").join(one("b"), "b").select(F.col("name_a").alias("a"), F.col("name_b").alias("b"))
-        if level == 0:  # names that agree in the bits kept can't be told apart above
-            twins = short.join(short.groupBy("short").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("short"), "short")
-            pairs = pairs.unionByName(twins.select(F.col("name").alias("a"), "short").join(twins.select(F.col("name").alias("b"), "short"), "short").where("a < b").select("a", "b"))
-        over = met.where("NOT pair AND cost > budget").select(F.col("a").alias("short")).distinct().join(short, "short").select("name")
-        over = self.written.keep(over)
-        release(self.spark)
-        self.link(self.verified(self.labelled(pairs)))
-        return over
+        self.sets = self.written.keep(self.rows.where("name IS NOT NULL").groupBy("name").agg(F.min(F.coalesce("doc_id", F.lit(NULL_ID))).alias("rep"), F.min("n").alias("n")))
+
+    def texts(self, names: DataFrame, source: DataFrame) -> DataFrame:
+        """text and name of the sets in `names` (name, rep); a doc_id with two texts gives both, the readers compare the name."""
+        return names.join(source, names["rep"] == source["__rep"]).select("text", "name")
+
+    def links(self) -> DataFrame:
+        keep, drop = self.written.keep, self.written.drop
+        met = meetings(self.docs.select("text"), 0, self.written)
+        cost = keep(costs(met))
+        pairs = keep(likely(met, cost))
+        over = keep(cost.where("cost > budget").select("name").distinct())
+        drop(met, cost)
+        # the texts of all sets that may still have a link: a part of the input, read from here on
+        active = pairs.select(F.col("a").alias("name")).unionByName(pairs.select(F.col("b").alias("name"))).unionByName(over).distinct()
+        reps = active.join(self.sets, "name").select("name", "rep")
+        source = self.docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("__rep"), "text")
+        live = keep(source.join(reps.select("rep").distinct(), source["__rep"] == F.col("rep"), "left_semi"))
+        found, level = [pairs], 0
+        while not over.isEmpty() and level < LAST:
+            level += 1
+            known = over.join(self.sets, "name").select("name", "rep")
+            met = meetings(self.texts(known, live), level, self.written)
+            cost = keep(costs(met))
+            found.append(keep(likely(met, cost)))
+            over = keep(cost.where("cost > budget").select("name").distinct())
+            if level < LAST:
+                drop(met, cost)
+        pairs = found[0]
+        for more in found[1:]:
+            pairs = pairs.unionByName(more)
+        groups = components(pairs, self.written)
+        members = groups.select(F.lit(0).alias("kind"), F.col("label").alias("cell"), F.col("node").alias("name"))
+        if level == LAST:
+            members = members.unionByName(cells_of(met, over).select(F.lit(1).alias("kind"), "cell", "name"))
+        tasks = dealt(members.join(self.sets, "name"))
+        rows = tasks.join(live, tasks["rep"] == live["__rep"]).select(*_CELL, "side", "name", "text")
+        # sorted streams: a task holds one cell, or two blocks of one, at a time
+        spread = rows.repartition(partitions(self.spark), *_CELL).sortWithinPartitions(*_CELL, "name")
+        return keep(small_batches(spread).mapInArrow(_in_cells, "a long, b long"))
 
     def result(self) -> DataFrame:
-        self.likely()
-        level, limit, over = 0, LIMITS[0], None
-        while True:
-            over = self.run_level(level, limit, over)
-            n = over.count()
-            if n < 2:
-                break
-            level += 1
-            limit = LIMITS[level] if level < len(LIMITS) else limit * 8
-        least = self.sets.join(self.labels, F.col("name") == F.col("node"), "left").select("name", "rep", F.coalesce("label", "name").alias("label"))
+        labels = components(self.links(), self.written)
+        least = self.sets.join(labels, F.col("name") == F.col("node"), "left").select("name", "rep", F.coalesce("label", "name").alias("label"))
         first = least.groupBy("label").agg(F.min("rep").alias("component"))
-        of = least.join(first, "label").select("name", "component")
-        out = self.rows.select("doc_id", "n", "name").join(of, "name", "left")
+        of = self.written.keep(least.join(first, "label").select("name", "component"))
+        self.written.drop(*(f for f, _ in list(self.written.paths.values()) if f is not of and f is not self.rows))
         own = F.coalesce("component", "doc_id")
+        out = self.rows.select("doc_id", "n", "name").join(of, "name", "left")
         return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(own != NULL_ID, own).alias("component_id"))
 
 
@@ -441,9 +496,9 @@ def link_documents(df: DataFrame) -> DataFrame:
 def keep_one(df: DataFrame) -> DataFrame:
     """The rows of df, all columns, of which one document of each component stays: the rows with the smallest doc_id.
     Documents with an empty set, and rows without a doc_id, all stay."""
-    base = df.drop("__id", "__h", "__rn")
-    found = link_documents(base).where("component_id IS NOT NULL AND doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return base.join(found, F.col("doc_id") == F.col("__gone"), "left_anti")
+    (gone,) = fresh(df, "gone")
+    found = link_documents(df).where("component_id IS NOT NULL AND doc_id <> component_id").select(F.col("doc_id").alias(gone)).distinct()
+    return df.join(found, df["doc_id"] == found[gone], "left_anti")
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
