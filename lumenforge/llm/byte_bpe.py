@@ -2,7 +2,9 @@
 
 Long texts are cut before encoding at safe boundaries: a blank or line feed whose preceding character is not white
 space. No match of the pattern spans such a place and no look-ahead reaches across it, so the pieces' ids put
-together are those of the whole text. Decoding goes through raw bytes; a token may end inside a character.
+together are those of the whole text. A long run of white space has no such place, and is too deep for the look-ahead's
+backtracking; it's encoded as the pattern would match it: all of it at the end of a text, else all but its last character
+as one match. Decoding goes through raw bytes; a token may end inside a character.
 
 Defined cases: a null or empty text has no tokens; equal texts have equal ids; a text of any length is encoded whole;
 an empty table gives an empty result; only doc_id and the columns made here are returned, so no column can clash.
@@ -12,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,6 +27,8 @@ from .common import table, whole_text, with_schema
 RANKS = "byte_bpe_50k.tiktoken"
 #: Characters after which a text is cut at the next safe boundary.
 CUT = 1 << 16
+#: White space by the pattern's definition, in runs that are matched here.
+_RUN = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{4096,}")
 _loaded: dict = {}
 
 
@@ -52,10 +57,20 @@ def cuts(text: str, most: int = CUT) -> Iterator[str]:
         yield text[i:]
 
 
+def matched(text: str, most: int = CUT) -> Iterator[tuple[str, bool]]:
+    """A long text in pieces, and whether a piece is one match of the pattern, a run of white space."""
+    at = 0
+    for m in _RUN.finditer(text):
+        yield from ((p, False) for p in cuts(text[at : m.start()], most))
+        at = m.end() - (m.end() < len(text))
+        yield text[m.start() : at], True
+    yield from ((p, False) for p in cuts(text[at:], most))
+
+
 def encode(text: str, enc) -> list[int]:
     if len(text) <= CUT:
         return enc.encode_ordinary(text)
-    return [x for piece in cuts(text) for x in enc.encode_ordinary(piece)]
+    return [x for piece, one in matched(text) for x in (enc._encode_single_piece(piece) if one else enc.encode_ordinary(piece))]
 
 
 def encode_documents(df: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
