@@ -16,125 +16,54 @@ column can clash.
 from __future__ import annotations
 
 import bisect
+import json
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .byte_bpe import CUT, matched
 from .common import checkpoint, dense_rank_by, small_batches, spans, table, whole_text, with_schema
 
 CAPACITY, END = 1024, 2
-#: Strings between blanks whose ids a worker remembers; the memory is emptied when full.
-MEMORY = 300_000
 _loaded: dict = {}
 
 
-class _Memo:
-    """The tokenizers library with a memory of the ids of strings that stand between blanks."""
+def _byte_of() -> dict[str, int]:
+    """How the file shows a byte: printable Latin-1 as itself, the others from U+0100 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    other = [b for b in range(256) if b not in set(shown)]
+    return {chr(b): b for b in shown} | {chr(0x100 + i): b for i, b in enumerate(other)}
 
-    def __init__(self, path: str):
-        import os
 
-        from tokenizers import Tokenizer
+def encoding(path: str):
+    """The vocabulary of a tokenizers file, with its added tokens, in tiktoken's encoder, which is faster and gives the ids that
+    the tokenizers library gives (add_special_tokens=False): merges of byte-level vocabularies are in the order of ids."""
+    import tiktoken
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.model = self.tokenizer.model
-        self.bytes = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())].__getitem__
-        self.feed = self.encode(["\n"])[0]
-        self.first: dict[str, bytes] = {}  # without a blank before
-        self.later: dict[str, bytes] = {}  # with one
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for i in range(0, len(texts), 20_000):
-            out += [b"".join(map(self.bytes, x.ids)) for x in self.tokenizer.encode_batch_fast(texts[i : i + 20_000], add_special_tokens=False)]
-        return out
-
-    def spell(self, words: list[str], blank: str) -> list[bytes]:
-        """Ids of strings of letters, each with the blank before it a match of its own: the model alone, without the splitting."""
-        code, get = self.model.tokenize, self.bytes
-        shown = "\n".join(blank + w for w in words).encode().decode("latin-1").translate(_SHOWN).split(_SHOWN[10])
-        return [b"".join([get(t.id) for t in code(w)]) for w in shown] if words else []
-
-    def learn(self, new: set[str], known: dict[str, bytes | None], blank: str) -> None:
-        """Adds strings between blanks. Letters before a run of marks, and the sides of a line feed, certainly are matches of
-        their own, so only the parts that are new go to the tokenizer. None: other white space touches the blank."""
-        words, base, marked, lines, rest = [], set(), [], [], set()
-        for s in new:
-            if _letters(s):
-                words.append(s)
-            elif not s or s[0].isspace() or s[-1].isspace():
-                known[s] = None
-            elif (w := s.rstrip(_MARKS)) is not s and _letters(w):
-                m = s[len(w) :]
-                marked.append((s, w, m))
-                if w not in known and w not in new:
-                    base.add(w)
-                rest.add(m)
-            elif 0 < s.count("\n") <= 20 and not (a := s[: (i := s.index("\n"))])[-1].isspace() and not (b := s[i + 1 :])[0].isspace():
-                lines.append((s, a, b))
-                rest.add(b)
-                if a not in known and a not in new:
-                    base.add(a)
-            else:
-                base.add(s)
-        other = []
-        for s in base:
-            (words if _letters(s) else other).append(s)
-        known.update(zip(words, self.spell(words, blank), strict=True))
-        known.update(zip(other, self.encode([blank + s for s in other] if blank else other), strict=True))
-        first = self.first
-        if lines and (again := {b for _, _, b in lines if b not in first}):
-            self.learn(again, first, "")
-        small = [x for x in rest if x not in first]
-        first.update(zip(small, self.encode(small), strict=True))
-        for s, w, m in marked:
-            known[s] = known[w] + first[m]
-        for s, a, b in lines:
-            known[s] = known[a] + self.feed + first[b]
-
-
-#: Any run of these after letters is one match; the apostrophe, with which some matches begin, isn't among them.
-_MARKS = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
-#: How byte-level vocabularies show a byte: printable Latin-1 as itself, the others from U+0100 on.
-_PRINTED = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-_SHOWN = {b: chr(b) for b in _PRINTED} | {b: chr(0x100 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
-
-
-def _letters(s: str) -> bool:
-    """Letters by every version of Unicode: those of scripts that grow go to the tokenizer."""
-    return s.isalpha() and (s.isascii() or max(s) < "\u0250")
+    if path not in _loaded:
+        with open(path, encoding="utf-8") as f:
+            held = json.load(f)
+        byte = _byte_of()
+        ranks = {bytes(byte[c] for c in k): i for k, i in held["model"]["vocab"].items()}
+        added = {x["content"]: x["id"] for x in held["added_tokens"]}
+        _loaded[path] = tiktoken.Encoding("local", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
+    return _loaded[path]
 
 
 def encode_all(texts: list[str], path: str) -> list[bytes]:
-    """Little-endian unsigned 32-bit ids of each text by the tokenizers library.
-
-    Between two characters that aren't white space a blank always starts a new match of the splitting pattern, so the
-    strings between such blanks can be encoded by themselves; most recur, and are encoded once. A text in which other
-    white space touches a blank is encoded as a whole.
-    """
-    memo = _loaded.get(path) or _loaded.setdefault(path, _Memo(path))
-    if len(memo.later) > MEMORY:
-        memo.first.clear()
-        memo.later.clear()
-    split = [x.split(" ") for x in texts]
-    later: set[str] = set()
-    for s in split:
-        later.update(s[1:])
-    memo.learn({s[0] for s in split} - memo.first.keys(), memo.first, "")
-    memo.learn(later - memo.later.keys(), memo.later, " ")
-    first, get, out = memo.first, memo.later.__getitem__, []
-    for x, s in zip(texts, split, strict=True):
-        try:
-            out.append(first[s[0]] + b"".join(map(get, s[1:])))
-        except TypeError:
-            out.append(memo.encode([x])[0])
+    """Little-endian unsigned 32-bit ids of each text."""
+    enc, out = encoding(path), []
+    for t in texts:
+        if len(t) <= CUT:
+            out.append(enc.encode_to_numpy(t, allowed_special="all").tobytes())
+        else:
+            out.append(b"".join(np.array(enc._encode_single_piece(p), np.uint32).tobytes() if one else enc.encode_to_numpy(p, allowed_special="all").tobytes() for p, one in matched(t)))
     return out
 
 
