@@ -1,13 +1,16 @@
 """Operator 7, licence scans: Dice coefficient over word bigrams against licence templates, native expressions only.
 
-Units are the lines of a text and the text as a whole. Text is lower-cased and everything but letters and digits is
+Units are the lines of a text, the text as a whole, and runs of words that stand as a template would: at every template
+bigram with an anchor word begins, or began so many words before, a run of as many words as the template has, so notices
+wrapped over lines or inside longer lines are found. Text is lower-cased and everything but letters and digits is
 white space. A unit is compared with the templates whose number of bigrams is within the bounds that the threshold
 sets (Dice >= t needs |A| >= t / (2 - t) |B| and the reverse); before that, a unit must hold one of the anchor words,
 which are chosen so that no unit without one can reach the threshold. All of it is row-local: no shuffle, no Python.
 
 Defined cases: a null or empty text has no match; ties go to the earlier licence by name, then the earlier line; the
-whole text has line -1; equal texts have equal results; long texts are scanned whole; an empty table gives an empty
-result; only doc_id and the columns made here are returned, so no column can clash.
+whole text has line -1, a run of words, of which only the best for each template counts, line -2 and comes last; equal texts
+have equal results; texts of any length are scanned whole, and only the number of distinct bigrams bounds a unit; an empty
+table gives an empty result; only doc_id and the columns made here are returned, so no column can clash.
 """
 
 from __future__ import annotations
@@ -21,6 +24,8 @@ from pyspark.sql import functions as F
 from .common import table, whole_text, with_schema
 
 THRESHOLD = 0.75
+#: Stands for the line of a run of words while matches are ordered.
+LAST = 2**31
 
 # fixed values: licence notices and texts
 TEMPLATES: list[tuple[str, str]] = [
@@ -57,9 +62,18 @@ def words(text: str) -> list[str]:
     return re.sub(r"[\W_]+", " ", text.lower()).split()
 
 
-def bigrams(text: str) -> list[str]:
+def sequence(text: str) -> list[str]:
     w = words(text)
-    return list(dict.fromkeys(f"{a} {b}" for a, b in zip(w, w[1:], strict=False)))
+    return [f"{a} {b}" for a, b in zip(w, w[1:], strict=False)]
+
+
+def bigrams(text: str) -> list[str]:
+    return list(dict.fromkeys(sequence(text)))
+
+
+def anchored(text: str, chosen: list[str]) -> list[str]:
+    """The bigrams in order, those without an anchor word replaced by an empty string."""
+    return ["" if set(chosen).isdisjoint(g.split()) else g for g in sequence(text)]
 
 
 def anchors(templates: list[tuple[str, str]], threshold: float) -> list[str]:
@@ -84,28 +98,34 @@ def anchors(templates: list[tuple[str, str]], threshold: float) -> list[str]:
 def scan(df: DataFrame, templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_matches, and of the best match license, dice and line (null without a match)."""
     templates = TEMPLATES if templates is None else templates
-    rows = sorted((name, bigrams(text)) for name, text in templates)
-    known = "array(" + ", ".join(f"named_struct('license', '{n}', 'n', {len(g)}, 'g', array({', '.join(repr(x) for x in g)}))" for n, g in rows) + ")"
+    chosen = anchors(templates, threshold)
+    rows = sorted((name, bigrams(text), anchored(text, chosen)) for name, text in templates)
+    listed = lambda g: "array(" + ", ".join(repr(x) for x in g) + ")"
+    known = "array(" + ", ".join(f"named_struct('license', '{n}', 'n', {len(g)}, 'g', {listed(g)}, 'f', {listed(f)})" for n, g, f in rows) + ")"
     ratio = threshold / (2 - threshold)
-    least, most = min(len(g) for _, g in rows) * ratio, max(len(g) for _, g in rows) / ratio
-    pattern = r"(?<![a-z0-9])(?:" + "|".join(anchors(templates, threshold)) + r")(?![a-z0-9])"
+    least = min(len(g) for _, g, _ in rows) * ratio
+    pattern = r"(?<![a-z0-9])(?:" + "|".join(chosen) + r")(?![a-z0-9])"
+    pairs = "transform(slice({0}, 2, greatest(size({0}) - 1, 0)), (x, i) -> concat({0}[i], ' ', x))"
+    fits = f"size({{0}}) >= {ratio!r}D * k.n - 1e-9D AND k.n >= {ratio!r}D * size({{0}}) - 1e-9D"
+    score = "-2.0D * size(array_intersect({0}, k.g)) / (size({0}) + k.n)"
     text = with_schema(df, ("doc_id", "long"), ("text", "string")).select("doc_id", F.regexp_replace(F.lower(whole_text()), r"[^\p{L}\p{N}\n]+", " ").alias("t"))
     # a text without an anchor is done after one pass of the pattern
-    lines = F.when(F.col("t").rlike(pattern), F.split("t", "\n"))
-    units = text.select("doc_id", F.array_append(F.transform(lines, lambda x, i: F.struct(i.cast("long").alias("line"), F.trim(x).alias("t"))), F.struct(F.lit(-1).cast("long").alias("line"), F.trim(F.translate("t", "\n", " ")).alias("t"))).alias("u"))
+    text = text.select("doc_id", F.when(F.col("t").rlike(pattern), F.col("t")).alias("t"))
+    units = text.select("doc_id", "t", F.array_append(F.transform(F.split("t", "\n"), lambda x, i: F.struct(i.cast("long").alias("line"), F.trim(x).alias("t"))), F.struct(F.lit(-1).cast("long").alias("line"), F.trim(F.translate("t", "\n", " ")).alias("t"))).alias("u"))
     # words by counting blanks; then the anchor test of each unit
-    within = F.filter("u", lambda u: (F.length(u["t"]) - F.length(F.replace(u["t"], F.lit(" "), F.lit(""))) >= floor(least)) & (F.length(u["t"]) <= 64 * (most + 1)) & u["t"].rlike(pattern))
-    split = units.select("doc_id", F.transform(within, lambda u: F.struct(u["line"].alias("line"), F.split(u["t"], " +").alias("w"))).alias("u"))
-    grams = split.select("doc_id", F.expr("transform(u, u -> named_struct('line', u.line, 'g', array_distinct(transform(slice(u.w, 2, greatest(size(u.w) - 1, 0)), (w, i) -> concat(u.w[i], ' ', w)))))").alias("u"))
+    within = F.filter("u", lambda u: (F.length(u["t"]) - F.length(F.replace(u["t"], F.lit(" "), F.lit(""))) >= floor(least)) & u["t"].rlike(pattern))
+    split = units.select("doc_id", F.transform(within, lambda u: F.struct(u["line"].alias("line"), F.split(u["t"], " +").alias("w"))).alias("u"), F.split(F.trim(F.translate("t", "\n", " ")), " +").alias("w"))
+    grams = split.select("doc_id", F.expr(f"transform(u, u -> named_struct('line', u.line, 'g', array_distinct({pairs.format('u.w')})))").alias("u"), F.expr(pairs.format("w")).alias("b"))
+    starts = "array_distinct(transform(filter(transform(b, (g, p) -> named_struct('p', p, 'q', array_position(k.f, g))), x -> x.q > 0), x -> greatest(0L, x.p + 1L - x.q)))"
+    runs = f"transform(filter(transform({starts}, s -> array_distinct(slice(b, cast(s + 1 AS int), size(k.f)))), r -> {fits.format('r')}), r -> {score.format('r')})"
     found = grams.select(
         "doc_id",
-        F.expr(
-            f"flatten(transform(u, u -> transform(filter({known}, k -> size(u.g) >= {ratio!r}D * k.n - 1e-9D AND k.n >= {ratio!r}D * size(u.g) - 1e-9D), "
-            "k -> named_struct('score', -2.0D * size(array_intersect(u.g, k.g)) / (size(u.g) + k.n), 'license', k.license, 'line', u.line))))"
-        ).alias("m"),
-    ).select("doc_id", F.filter("m", lambda m: m["score"] <= F.lit(-threshold)).alias("m"))
+        F.expr(f"flatten(transform(u, u -> transform(filter({known}, k -> {fits.format('u.g')}), k -> named_struct('score', {score.format('u.g')}, 'license', k.license, 'line', u.line))))").alias("m"),
+        F.expr(f"transform({known}, k -> named_struct('score', array_min({runs}), 'license', k.license, 'line', {LAST}L))").alias("r"),
+    ).select("doc_id", F.filter(F.concat("m", F.when(F.col("m").isNotNull(), F.col("r"))), lambda m: m["score"] <= F.lit(-threshold)).alias("m"))
     best = F.array_min("m")
-    return found.select("doc_id", F.coalesce(F.size("m"), F.lit(0)).cast("long").alias("n_matches"), best["license"].alias("license"), F.round(-best["score"], 6).alias("dice"), best["line"].alias("line"))
+    line = F.when(best["line"] == LAST, F.lit(-2)).otherwise(best["line"])
+    return found.select("doc_id", F.coalesce(F.size("m"), F.lit(0)).cast("long").alias("n_matches"), best["license"].alias("license"), F.round(-best["score"], 6).alias("dice"), line.cast("long").alias("line"))
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,16 +133,24 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def oracle() -> str:
-    """The same by unnesting every line against every template, without pruning."""
-    values = ", ".join(f"('{n}', {i}, [{', '.join(repr(x) for x in bigrams(t))}])" for i, (n, t) in enumerate(TEMPLATES))
+    """The same by unnesting every line, and every run of words, against every template, without pruning of units."""
+    chosen = anchors(TEMPLATES, THRESHOLD)
+    listed = lambda g: "[" + ", ".join(repr(x) for x in g) + "]"
+    values = ", ".join(f"('{n}', {i}, {listed(bigrams(t))}, {listed(anchored(t, chosen))})" for i, (n, t) in enumerate(TEMPLATES))
     return f"""
-WITH k(license, i, g) AS (VALUES {values}),
+WITH k(license, i, g, f) AS (VALUES {values}),
 d AS (SELECT doc_id, regexp_replace(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g') AS t FROM documents),
 l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS s, generate_subscripts(string_split(t, chr(10)), 1) - 1 AS line FROM d
       UNION ALL SELECT doc_id, replace(t, chr(10), ' '), -1 FROM d),
 w AS (SELECT doc_id, line, list_filter(string_split_regex(trim(s), ' +'), lambda x: x <> '') AS w FROM l),
-u AS (SELECT doc_id, line, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM w WHERE len(w) BETWEEN 2 AND 2000),
-m AS (SELECT doc_id, line, license, 2.0 * len(list_intersect(u.g, k.g)) / (len(u.g) + len(k.g)) AS dice FROM u JOIN k ON len(u.g) * 5 >= len(k.g) * 3 AND len(k.g) * 5 >= len(u.g) * 3),
-r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, license, line) AS rn, count(*) OVER (PARTITION BY doc_id) AS n FROM m WHERE dice >= {THRESHOLD})
-SELECT d.doc_id, CAST(coalesce(r.n, 0) AS BIGINT) AS n_matches, r.license, round(r.dice, 6) AS dice, CAST(r.line AS BIGINT) AS line FROM d LEFT JOIN r ON d.doc_id = r.doc_id AND r.rn = 1
+a AS (SELECT doc_id, line, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS b FROM w WHERE len(w) >= 2),
+u AS (SELECT doc_id, line, list_distinct(b) AS g FROM a),
+p AS (SELECT doc_id, unnest(b) AS g, generate_subscripts(b, 1) AS p FROM a WHERE line = -1),
+q AS (SELECT i, unnest(list_distinct(list_filter(f, lambda x: x <> ''))) AS g, f FROM k),
+s AS (SELECT DISTINCT p.doc_id, q.i, greatest(0, p.p - list_position(q.f, q.g)) AS s FROM p JOIN q ON p.g = q.g),
+r AS (SELECT s.doc_id, k.license, k.g AS kg, k.i, list_distinct(list_slice(a.b, s.s + 1, s.s + len(k.f))) AS g FROM s JOIN k ON s.i = k.i JOIN a ON a.doc_id = s.doc_id AND a.line = -1),
+m AS (SELECT doc_id, line, license, 2.0 * len(list_intersect(u.g, k.g)) / (len(u.g) + len(k.g)) AS dice FROM u JOIN k ON len(u.g) * 5 >= len(k.g) * 3 AND len(k.g) * 5 >= len(u.g) * 3
+      UNION ALL SELECT doc_id, {LAST}, license, max(2.0 * len(list_intersect(g, kg)) / (len(g) + len(kg))) FROM r WHERE len(g) * 5 >= len(kg) * 3 AND len(kg) * 5 >= len(g) * 3 GROUP BY doc_id, license, i),
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, license, line) AS rn, count(*) OVER (PARTITION BY doc_id) AS n FROM m WHERE dice >= {THRESHOLD})
+SELECT d.doc_id, CAST(coalesce(o.n, 0) AS BIGINT) AS n_matches, o.license, round(o.dice, 6) AS dice, CAST(CASE WHEN o.line = {LAST} THEN -2 ELSE o.line END AS BIGINT) AS line FROM d LEFT JOIN o ON d.doc_id = o.doc_id AND o.rn = 1
 """
