@@ -1,7 +1,7 @@
 """Operator 5, language identification by Bayesian evidence fusion.
 
 Text gives a likelihood of each language: hashed byte trigrams under a naive Bayes model, fitted on about FIT_ROWS
-labelled rows (those with the lowest hash, a bounded sample), tempered to the weight of WORTH trigrams because
+labelled rows (sampled by a hash of key and text, so that a text which many rows share counts by its share), tempered to the weight of WORTH trigrams because
 neighbours aren't independent. Beside the languages stands a background class for all other text, junk included: every
 bucket is equally likely under it. Three more pieces of evidence come from grouped aggregation over all rows, in which each
 row counts by its text's posterior: how often rows of a language declare which markup language, and what share each
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, table, whole_text
+from .common import checkpoint, fresh, table, whole_text
 
 FIT_ROWS = 8000
 BUCKETS = 1 << 15
@@ -54,10 +54,10 @@ def _grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(rows: DataFrame, languages: list[str], most: int = FIT_ROWS) -> np.ndarray:
-    """Log probabilities (language, bucket); a last column of zeros. rows: text and declared."""
+    """Log probabilities (language, bucket); a last column of zeros. rows: text, declared, and a key."""
     n = rows.where(F.col("declared").isin(languages)).count()
     bound = int(min(1.0, most / max(n, 1)) * 2**32)
-    sample = rows.where(F.col("declared").isin(languages) & (F.pmod(F.xxhash64(whole_text()), F.lit(2**32)) < bound))
+    sample = rows.where(F.col("declared").isin(languages) & (F.pmod(F.xxhash64(*rows.columns), F.lit(2**32)) < bound))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(languages), BUCKETS + 1), np.int64)
@@ -163,7 +163,7 @@ def identify(rows: DataFrame, languages: list[str] | None = None, model: np.ndar
     """rows: key columns, text, declared, suffix and host. Returns the key columns with the fused result."""
     languages = sorted(languages or LANGUAGES)
     rows = rows.withColumn("text", whole_text())
-    model = fit(rows.select("text", "declared"), languages) if model is None else model
+    model = fit(rows, languages) if model is None else model
     return fuse(checkpoint(text_likelihoods(rows, model)), languages)
 
 
@@ -182,16 +182,17 @@ def page_rows(df: DataFrame) -> DataFrame:
 
 def accepted_documents(df: DataFrame) -> DataFrame:
     """The rows of df, all columns, without those whose language is not accepted."""
-    from .line_dedup import keyed
+    from .line_dedup import key
 
-    base = df.drop("__id", "__h")
-    have = set(base.columns)
+    have = set(df.columns)
     col = lambda c: F.col(c) if c in have else F.lit(None).cast("string")
-    found = identify(keyed(base).select("__id", "__h", "text", col("lang").alias("declared"), F.lit(None).cast("string").alias("suffix"), col("source").alias("host")))
-    gone = checkpoint(found.where(~F.col("accepted")).select("__id", "__h").distinct())
+    i, h = fresh(df, "id", "h")
+    ids = dict(zip((i, h), key(), strict=True))
+    rows = df.select(*(v.alias(k) for k, v in ids.items()), "text", col("lang").alias("declared"), F.lit(None).cast("string").alias("suffix"), col("source").alias("host"))
+    gone = checkpoint(identify(rows).where(~F.col("accepted")).select(i, h).distinct())
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
-    return keyed(base).join(gone, ["__id", "__h"], "left_anti").select(*(f"`{c}`" for c in base.columns))
+    return df.withColumns(ids).join(gone, [i, h], "left_anti").select(*(F.col(f"`{c}`") for c in df.columns))
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
