@@ -52,6 +52,8 @@ LIMIT = 16
 LAST = 2
 #: Tokens, with EXTRA for each set, that a block of a cell holds about.
 BLOCK, EXTRA = 1 << 21, 128
+#: Signatures that a bucket holds about, and buckets at least, so that small tables are spread as well.
+BUCKET, BUCKETS = 1 << 21, 16
 #: Sets that are put into signatures at a time; their places take 14 bits.
 AT_ONCE = 1 << 14
 _K = np.random.default_rng(3).integers(1, 2**63, 4, dtype=np.uint64) * U64(2) + U64(1)
@@ -254,6 +256,8 @@ def _meet(level: int):
 
 
 def _frequent(level: int, hot: np.ndarray, name, ahead, cut, budget, leader) -> tuple[np.ndarray, ...]:
+    if level < LAST:  # only the last level's leaders are asked for
+        leader = np.zeros(len(leader), np.int64)
     by = hot[np.lexsort((leader[hot], ahead[hot], name[hot]))]
     cost = 2 - cut[by] if level == 1 else np.ones(len(by), np.int64)
     new = _first_of(name[by], ahead[by], leader[by])
@@ -392,9 +396,11 @@ def components(edges: DataFrame, written: Written) -> DataFrame:
     return labels if labels is not None else e.select(F.col("a").alias("node"), F.col("b").alias("label"))
 
 
-def meetings(docs: DataFrame, level: int, written: Written) -> DataFrame:
-    """What meets in the buckets of one level, over all of them: see _meet."""
-    met = entries(docs, level, partitions(docs.sparkSession)).groupBy("bucket").applyInArrow(_meet(level), _MET_SCHEMA)
+def meetings(docs: DataFrame, sets: DataFrame, level: int, written: Written) -> DataFrame:
+    """What meets in the buckets of one level, over all of them: see _meet. sets: n of the sets that docs hold, for the number of buckets."""
+    n = sets.agg(F.sum("n")).first()[0] or 0
+    buckets = max(BUCKETS, -(-n * (1, 3, 2)[level] // BUCKET))
+    met = entries(docs, level, buckets).groupBy("bucket").applyInArrow(_meet(level), _MET_SCHEMA)
     return written.keep(met.groupBy("a", "aa", "b", "bb").agg(F.sum("k").alias("k"), F.min("left_a").alias("left_a"), F.min("left_b").alias("left_b")))
 
 
@@ -444,7 +450,7 @@ class _Join:
 
     def links(self) -> DataFrame:
         keep, drop = self.written.keep, self.written.drop
-        met = meetings(self.docs.select("text"), 0, self.written)
+        met = meetings(self.docs.select("text"), self.sets, 0, self.written)
         cost = keep(costs(met))
         pairs = keep(likely(met, cost))
         over = keep(cost.where("cost > budget").select("name").distinct())
@@ -457,8 +463,8 @@ class _Join:
         found, level = [pairs], 0
         while not over.isEmpty() and level < LAST:
             level += 1
-            known = over.join(self.sets, "name").select("name", "rep")
-            met = meetings(self.texts(known, live), level, self.written)
+            known = over.join(self.sets, "name").select("name", "rep", "n")
+            met = meetings(self.texts(known, live), known, level, self.written)
             cost = keep(costs(met))
             found.append(keep(likely(met, cost)))
             over = keep(cost.where("cost > budget").select("name").distinct())
