@@ -102,12 +102,13 @@ def repeated_lines(df: DataFrame, least: int = MIN_WORDS, runs: bool = False) ->
     i, h = key()
     marks = written.keep(fingerprints(df.select(i.alias("id"), h.alias("h"), whole_text().alias("text")), least, runs))
     at = lambda c: F.struct("id", "h", F.col(c).alias("at"))
-    seen = marks.groupBy("fp").agg(F.min(at("low")).alias("lo"), F.max(at("high")).alias("hi")).where("lo <> hi").select("fp")
+    # written, so that the join has shuffles of its own, whose partitions Spark splits where one fingerprint fills them
+    seen = written.keep(marks.groupBy("fp").agg(F.min(at("low")).alias("lo"), F.max(at("high")).alias("hi")).where("lo <> hi").select("fp"))
     live = written.keep(marks.join(seen, "fp").select("id", "h", F.explode("wins").alias("x")).select("id", "h", "x.*"))
-    written.drop(marks)
-    first = live.groupBy("w").agg(F.min(F.struct("id", "h", "a")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("w", "first")
+    written.drop(marks, seen)
+    first = written.keep(live.groupBy("w").agg(F.min(F.struct("id", "h", "a")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("w", "first"))
     later = written.keep(live.join(first, "w").where(F.struct("id", "h", "a") > F.col("first")).select("id", "h", "a", "b"))
-    written.drop(live)
+    written.drop(live, first)
     return later.groupBy("id", "h").agg(F.collect_list(F.struct("a", "b")).alias("gone"))
 
 
