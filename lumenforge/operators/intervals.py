@@ -68,9 +68,27 @@ def tiles(length: Column, size: float, step: float, tolerance: float = 1e-6) ->
     return F.when(last - F.element_at(regular, -1) > tolerance, F.array_append(regular, last)).otherwise(regular)
 
 
-def thin(times: Column, apart: float) -> Column:
-    """Greedy thinning of a sorted array: a time stays if it is `apart` or more from the last one kept."""
-    return F.aggregate(times, F.array().cast("array<double>"), lambda kept, t: F.when((F.size(kept) == 0) | (t - F.element_at(kept, -1) >= apart), F.array_append(kept, t)).otherwise(kept))
+def thinned(df: DataFrame, key: str, at: str, apart: float, order: list[str], strict: bool = False) -> DataFrame:
+    """Greedy thinning: of each key the rows that come `apart` or more (strict: more) after the last one kept.
+
+    Which rows stay depends on those kept before, so a key is one sorted stream; only its last kept time is held, in batches of
+    rows, so a key with many rows needs no more memory than one with few.
+    """
+    import pyarrow as pa
+
+    def run(batches):
+        now = last = None
+        for b in batches:
+            keep = []
+            for k, t in zip(b.column(b.schema.get_field_index(key)).to_pylist(), b.column(b.schema.get_field_index(at)).to_pylist(), strict=True):
+                if k != now:
+                    now, last = k, None
+                stays = last is None or (t - last > apart if strict else t - last >= apart)
+                keep.append(stays)
+                last = t if stays else last
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return df.repartition(key).sortWithinPartitions(key, at, *order).mapInArrow(run, df.schema)
 
 
 def beside(df: DataFrame, keys: list[str], at: str, conditional: Column, anchor: Column, within: float, bucket: float | None = None) -> DataFrame:

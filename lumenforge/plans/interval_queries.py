@@ -78,11 +78,11 @@ def longest_run(t: Tables) -> DataFrame:
     return intervals.longest_run(seconds(t).select("user_id", F.floor(F.col("s") / 86400).alias("day")), ["user_id"], "day")
 
 
-@query()
+@query(f"""WITH RECURSIVE {EV}, d AS (SELECT DISTINCT user_id, CAST(s AS DOUBLE) AS s FROM e), g AS (SELECT user_id, min(s) AS s FROM d GROUP BY user_id UNION ALL SELECT g.user_id, (SELECT min(d.s) FROM d WHERE d.user_id = g.user_id AND d.s >= g.s + 3600) AS s FROM g WHERE EXISTS (SELECT 1 FROM d WHERE d.user_id = g.user_id AND d.s >= g.s + 3600)) SELECT user_id, s FROM g""")
 def greedy_thinning(t: Tables) -> DataFrame:
-    """Events of a user an hour or more from the last one kept. A user's times are a bounded list of numbers."""
-    g = seconds(t).groupBy("user_id").agg(F.sort_array(F.collect_set(F.col("s").cast("double"))).alias("ts"))
-    return g.select("user_id", F.explode(intervals.thin(F.col("ts"), 3600.0)).alias("s"))
+    """Events of a user an hour or more from the last one kept."""
+    d = seconds(t).where("user_id IS NOT NULL").select("user_id", F.col("s").cast("double").alias("s")).distinct()
+    return intervals.thinned(d, "user_id", "s", 3600.0, [])
 
 
 @query("""WITH d AS (SELECT doc_id, n_chars::DOUBLE AS n, greatest(0.0, n_chars - 1200.0) AS last FROM documents), r AS (SELECT doc_id, n, last, unnest(range(0, CAST(floor(last / 800) AS BIGINT) + 1)) * 800.0 AS s FROM d),
