@@ -44,23 +44,30 @@ def calibration(df: DataFrame, p: str, y: str, bins: int = 10) -> DataFrame:
 def auroc(df: DataFrame, score: str, y: str, by: list[str] | None = None, least: int = 0) -> DataFrame:
     """Area under the ROC curve by ranks, ties one half; null with a single class; groups of under `least` rows are left out.
 
-    Rows are first counted by score, so what is sorted are distinct scores, not rows.
+    Rows are first counted by score, so what is sorted are distinct scores, not rows; over a whole table, in ranges of them.
     """
+    from ..operators.ranks import running
+
     by = by or []
     s = df.groupBy(*by, score).agg(F.count_if(F.col(y)).alias("__pos"), F.count_if(~F.col(y)).alias("__neg"))
-    w = (W.partitionBy(*by) if by else W.partitionBy(F.lit(1))).orderBy(score)
-    below = F.coalesce(F.sum("__neg").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    u = s.withColumn("__u", F.col("__pos") * (below + F.col("__neg") / 2))
+    if by:
+        w = W.partitionBy(*by).orderBy(score).rowsBetween(W.unboundedPreceding, 0)
+        s = s.withColumn("__neg_upto", F.sum("__neg").over(w))
+    else:
+        s = running(s.where(F.col(score).isNotNull()), score, ["__neg"])
+    u = s.withColumn("__u", F.col("__pos") * (F.col("__neg_upto") - F.col("__neg") + F.col("__neg") / 2))
     g = (u.groupBy(*by) if by else u.groupBy()).agg(F.sum("__pos").alias("positives"), F.sum("__neg").alias("negatives"), F.sum("__u").alias("__u"))
     return g.where(F.col("positives") + F.col("negatives") >= least).select(*by, "positives", "negatives", F.round(F.try_divide(F.col("__u"), F.col("positives") * F.col("negatives")), 6).alias("auroc"))
 
 
 def best_threshold(df: DataFrame, score: str, y: str, floor: float) -> DataFrame:
     """The threshold of highest recall whose precision reaches the floor; ties: the higher threshold."""
-    s = df.groupBy(score).agg(F.count_if(F.col(y)).alias("__pos"), F.count(F.lit(1)).alias("__n"))
-    w = W.partitionBy(F.lit(1)).orderBy(F.desc(score)).rowsBetween(W.unboundedPreceding, 0)
-    c = s.select(F.col(score).alias("threshold"), F.sum("__pos").over(w).alias("tp"), F.sum("__n").over(w).alias("selected"))
-    all_ = s.groupBy().agg(F.sum("__pos").alias("positives"))
-    ok = c.join(F.broadcast(all_)).withColumn("precision", F.col("tp") / F.col("selected")).withColumn("recall", F.col("tp") / F.col("positives")).where(F.col("precision") >= floor)
+    from ..operators.ranks import running
+
+    s = df.where(F.col(score).isNotNull()).groupBy(score).agg(F.count_if(F.col(y)).alias("pos"), F.count(F.lit(1)).alias("n"))
+    all_ = s.groupBy().agg(F.sum("pos").alias("positives"), F.sum("n").alias("total"))
+    c = running(s, score, ["pos", "n"]).join(F.broadcast(all_), F.lit(True))
+    c = c.select(F.col(score).alias("threshold"), (F.col("positives") - F.col("pos_upto") + F.col("pos")).alias("tp"), (F.col("total") - F.col("n_upto") + F.col("n")).alias("selected"), "positives")
+    ok = c.withColumn("precision", F.col("tp") / F.col("selected")).withColumn("recall", F.col("tp") / F.col("positives")).where(F.col("precision") >= floor)
     best = ok.groupBy().agg(F.max_by(F.struct("threshold", "tp", "selected", "precision", "recall"), F.struct("recall", "threshold")).alias("b")).where("b IS NOT NULL").select("b.*")
     return best.select("threshold", "tp", "selected", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))

@@ -61,18 +61,34 @@ SCOPE_BLOCKS = [
 ]
 # fixed values: stop words that vote for a language of Latin script; ambiguous ones count half
 STOPWORDS = {
-    "english": "the you that what this is are don't not hell get your why stop of and",
-    "spanish": "que qué por está estás eso los las una pero hombre haciendo usted mira",
-    "portuguese": "que você não isso está fazendo uma cara meu aqui por voce nao",
-    "french": "que vous pas est les qu'est fais quoi c'est mais pourquoi arrête",
-    "german": "das sie nicht was ist der die und machst warum aufhören doch",
-    "italian": "che non cosa sei sta stai perché una questo fai basta",
-    "indonesian_malay": "yang itu kamu tidak apa ini kenapa jangan orang saja",
-    "tagalog": "ang mo ka hindi ano yan bakit wag naman iyan",
-    "turkish": "bir ne yapıyorsun değil sen bu niye yapma hayır",
-    "vietnamese": "không cái làm gì này sao đừng bạn",
+    "english": ["the", "you", "that", "what", "this", "is", "are", "don't", "not", "hell", "get", "your", "why", "stop", "of", "and"],
+    "spanish": ["que", "qué", "por", "está", "estás", "eso", "los", "las", "una", "pero", "hombre", "haciendo", "usted", "mira"],
+    "portuguese": ["que", "você", "não", "isso", "está", "fazendo", "uma", "cara", "meu", "aqui", "por", "voce", "nao"],
+    "french": ["que", "vous", "pas", "est", "les", "qu'est", "fais", "quoi", "c'est", "mais", "pourquoi", "arrête"],
+    "german": ["das", "sie", "nicht", "was", "ist", "der", "die", "und", "machst", "warum", "aufhören", "doch"],
+    "italian": ["che", "non", "cosa", "sei", "sta", "stai", "perché", "una", "questo", "fai", "basta"],
+    "indonesian_malay": ["yang", "itu", "kamu", "tidak", "apa", "ini", "kenapa", "jangan", "orang", "saja"],
+    "tagalog": ["ang", "mo", "ka", "hindi", "ano", "yan", "bakit", "wag", "naman", "iyan"],
+    "turkish": ["bir", "ne", "yapıyorsun", "değil", "sen", "bu", "niye", "yapma", "hayır"],
+    "vietnamese": ["không", "cái", "làm", "gì", "này", "sao", "đừng", "bạn"],
 }
-AMBIGUOUS = "que por una est les not no die der"
+AMBIGUOUS = ["que", "por", "una", "est", "les", "not", "no", "die", "der"]
+
+# fixed values: code points of the scripts that are told apart; other letters count as latin
+SCRIPTS = [
+    ("cyrillic", 0x0400, 0x04FF),
+    ("greek", 0x0370, 0x03FF),
+    ("arabic", 0x0600, 0x06FF),
+    ("arabic", 0x0750, 0x077F),
+    ("hebrew", 0x0590, 0x05FF),
+    ("devanagari", 0x0900, 0x097F),
+    ("bengali", 0x0980, 0x09FF),
+    ("tamil", 0x0B80, 0x0BFF),
+    ("thai", 0x0E00, 0x0E7F),
+    ("hangul", 0xAC00, 0xD7AF),
+    ("cjk", 0x4E00, 0x9FFF),
+    ("kana", 0x3040, 0x30FF),
+]
 
 
 def squeeze(c: Column) -> Column:
@@ -164,18 +180,34 @@ def scope_gate(query: Column, automatic: Column, longest: int = 120) -> Column:
     return out.otherwise("within_ordinary_social_scope")
 
 
+def _scripts(text: Column) -> Column:
+    """(letters, script) of each script in a text, latin first: letters that no other script has."""
+    ranges: dict[str, str] = {}
+    for name, lo, hi in SCRIPTS:
+        ranges[name] = ranges.get(name, "") + f"\\x{{{lo:X}}}-\\x{{{hi:X}}}"
+    count = lambda p: F.regexp_count(text, F.lit(p))
+    other = "".join(ranges.values())
+    return F.array(F.struct(count(rf"[\p{{L}}&&[^{other}]]").alias("n"), F.lit("latin").alias("s")), *[F.struct(count(rf"[\p{{L}}&&[{r}]]").alias("n"), F.lit(s).alias("s")) for s, r in ranges.items()])
+
+
+def script_fraction(c: Column, least_letters: int = 6) -> Column:
+    """The share of letters that the commonest script has; 0 for texts with too few letters."""
+    text = F.coalesce(c, F.lit(""))
+    letters = F.regexp_count(text, F.lit(r"\p{L}"))
+    return F.when(letters < least_letters, 0.0).otherwise(F.round(F.array_max(F.transform(_scripts(text), lambda x: x["n"])) / letters, 3))
+
+
 def language_guess(c: Column, least_letters: int = 6) -> Column:
-    """Language of a Latin text by stop words (unknown_latin on a tie or too few), script:<name> for others, or too_short."""
+    """Language of a Latin text by stop words (unknown_latin on a tie or too few), script:<name> for others, or too_short. Of equally common
+    scripts Latin counts, then the first in the list."""
     text = F.coalesce(c, F.lit(""))
     letters = F.regexp_count(text, F.lit(r"\p{L}"))
-    scripts = {"latin": r"\p{IsLatin}", "cyrillic": r"\p{IsCyrillic}", "greek": r"\p{IsGreek}", "arabic": r"\p{IsArabic}", "hebrew": r"\p{IsHebrew}", "devanagari": r"\p{IsDevanagari}", "hangul": r"\p{IsHangul}", "cjk": r"\p{IsHan}"}
-    counts = F.array(*[F.struct(F.regexp_count(text, F.lit(p)).alias("n"), F.lit(s).alias("s")) for s, p in scripts.items()])
     # transform over an array of one binds a value to a name, so it's computed once and the expression stays small
     let = lambda x, f: F.element_at(F.transform(F.array(x), f), 1)
-    script = F.array_max(counts)["s"]
+    script = let(_scripts(text), lambda a: F.element_at(F.filter(a, lambda x: x["n"] == F.array_max(F.transform(a, lambda y: y["n"]))), 1)["s"])
     words = F.array_distinct(F.split(F.lower(F.regexp_replace(text, r"[^\p{L}'\s]+", "")), r"\s+"))
-    half = F.array(*[F.lit(w) for w in AMBIGUOUS.split()])
-    banks = F.array(*[F.struct(F.lit(name).alias("l"), F.array(*[F.lit(w) for w in s.split()]).alias("w")) for name, s in STOPWORDS.items()])
+    half = F.array(*[F.lit(w) for w in AMBIGUOUS])
+    banks = F.array(*[F.struct(F.lit(name).alias("l"), F.array(*[F.lit(w) for w in ws]).alias("w")) for name, ws in STOPWORDS.items()])
     weight = lambda hit: F.size(F.array_except(hit, half)) + 0.5 * F.size(F.array_intersect(hit, half))
     votes = lambda ws: F.transform(banks, lambda b: F.struct(weight(F.array_intersect(b["w"], ws)).alias("n"), b["l"].alias("l")))
     ranked = let(words, lambda ws: F.sort_array(votes(ws), asc=False))

@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.hashing import order
+from . import ranks
 
 
 def round_robin(df: DataFrame, key: str, stratum: Column, seed: str, n: int) -> DataFrame:
@@ -48,15 +49,10 @@ def capped_cohort(df: DataFrame, key: str, stratum: str, unique: str, seed: str,
     return d.withColumn("__g", F.lit(1)).groupBy("__g").applyInPandas(fill, f"{key} {kind[key]}, {stratum} {kind[stratum]}, {unique} {kind[unique]}")
 
 
-def percentile_of(c: str, n: int | None = None) -> Column:
-    """The share of values that are not greater."""
-    return F.cume_dist().over(W.partitionBy(F.lit(1)).orderBy(c))
-
-
 def bands(df: DataFrame, c: str, cuts: list[float]) -> DataFrame:
     """Adds the number of the band between exact quantiles (linear interpolation)."""
-    q = df.groupBy().agg(F.percentile(c, cuts).alias("__q"))
-    return df.join(F.broadcast(q)).withColumn("band", F.size(F.filter("__q", lambda x: x < F.col(c))).cast("long")).drop("__q")
+    q = ranks.quantiles(df, c, cuts)  # one row
+    return df.join(F.broadcast(q), F.lit(True)).withColumn("band", F.size(F.filter("q", lambda x: x < F.col(c))).cast("long")).drop("q")
 
 
 def vocabulary_rotation(terms: list[list[str]], n: int) -> list[str]:

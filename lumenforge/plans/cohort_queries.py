@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import hashing
-from ..operators import intervals
+from ..operators import intervals, ranks
 from .atoms import atoms_sql, with_atoms
 from .registry import Tables, query
 
@@ -292,11 +292,10 @@ def grouped_fold_evaluation(t: Tables) -> DataFrame:
 
 @query(f"""WITH {_SC}, g AS (SELECT p, count(*) FILTER (y) AS pos, count(*) AS n FROM s GROUP BY p), c AS (SELECT p, pos, sum(pos) OVER (ORDER BY p DESC) AS tp, sum(n) OVER (ORDER BY p DESC) AS k FROM g), a AS (SELECT sum(pos * tp::DOUBLE / k) / sum(pos) AS ap FROM c), f AS (SELECT count(*) FILTER (y AND p >= 0.5) AS tp, count(*) FILTER (NOT y AND p >= 0.5) AS fp, count(*) FILTER (y AND p < 0.5) AS fn FROM s) SELECT round(ap, 6) AS average_precision, round(2.0 * tp / (2 * tp + fp + fn), 6) AS f1 FROM a, f""")
 def average_precision(t: Tables) -> DataFrame:
-    """Average precision and F1 at one half. Scores of six digits: the curve is built on at most a million distinct ones."""
-    s = _scored(t)
-    g = s.groupBy("p").agg(F.count_if("y").alias("pos"), n_rows().alias("n"))
-    w = W.partitionBy(F.lit(1)).orderBy(F.desc("p"))
-    c = g.select("pos", F.sum("pos").over(w).alias("tp"), F.sum("n").over(w).alias("k"))
+    """Average precision and F1 at one half; the curve is summed in ranges of scores."""
+    s = _scored(t).withColumn("q", -F.col("p"))
+    g = s.groupBy("q").agg(F.count_if("y").alias("pos"), n_rows().alias("n"))
+    c = ranks.running(g, "q", ["pos", "n"]).select("pos", F.col("pos_upto").alias("tp"), F.col("n_upto").alias("k"))
     a = c.agg((F.sum(F.col("pos") * F.col("tp") / F.col("k")) / F.sum("pos")).alias("ap"))
     hit = F.col("p") >= 0.5
     f = s.agg(F.count_if(F.col("y") & hit).alias("tp"), F.count_if(~F.col("y") & hit).alias("fp"), F.count_if(F.col("y") & ~hit).alias("fn"))
@@ -308,7 +307,7 @@ SELECT side, round(cut, 6) AS cut, score FROM m ORDER BY score DESC, side, cut L
 def balanced_threshold(t: Tables) -> DataFrame:
     """Of 21 quantiles and two directions, the rule with the best balanced accuracy; the first of equal ones."""
     s = _scored(t)
-    q = s.agg(F.array_distinct(F.percentile("p", [i / 20 for i in range(21)])).alias("cuts"))  # one row; scores of six digits
+    q = ranks.quantiles(s, "p", [i / 20 for i in range(21)]).select(F.array_distinct("q").alias("cuts"))  # one row
     d = s.join(F.broadcast(q), F.lit(True)).select("y", "p", F.explode("cuts").alias("cut")).withColumn("side", F.explode(F.array(F.lit("ge"), F.lit("le"))))
     hit = F.when(F.col("side") == "ge", F.col("p") >= F.col("cut")).otherwise(F.col("p") <= F.col("cut"))
     y = F.col("y")

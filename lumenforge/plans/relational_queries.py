@@ -84,23 +84,24 @@ def pending_work(t: Tables) -> DataFrame:
     return relational.pending(t.documents.select("doc_id"), t.labels, ["doc_id"], F.col("toxic") == 0)
 
 
-@query("""SELECT a.doc_id, min(b.doc_id) AS duplicate_of FROM documents a JOIN documents b ON lower(trim(substr(a.text, 1, 40))) = lower(trim(substr(b.text, 1, 40))) AND abs(a.n_chars - b.n_chars) <= 2 AND b.doc_id < a.doc_id GROUP BY a.doc_id""")
+@query("""SELECT a.doc_id, min(b.doc_id) AS duplicate_of FROM documents a JOIN documents b ON lower(trim(a.text)) = lower(trim(b.text)) AND abs(a.n_chars - b.n_chars) <= 2 AND b.doc_id < a.doc_id GROUP BY a.doc_id""")
 def content_duplicates(t: Tables) -> DataFrame:
-    return relational.content_duplicates(t.documents, "doc_id", F.lower(F.trim(F.substring("text", 1, 40))), "n_chars", 2)
+    return relational.content_duplicates(t.documents.where("text IS NOT NULL"), "doc_id", F.sha2(F.lower(F.trim("text")), 256), "n_chars", 2)
 
 
-@query("""SELECT doc_id, rank FROM (SELECT doc_id, row_number() OVER (PARTITION BY lower(trim(substr(text, 1, 40))), round_even(n_chars / 2.0, 0) ORDER BY doc_id) AS rank FROM documents) WHERE rank > 1""")
+@query("""SELECT doc_id, rank FROM (SELECT doc_id, row_number() OVER (PARTITION BY lower(trim(text)), round_even(n_chars / 2.0, 0) ORDER BY doc_id) AS rank FROM documents) WHERE rank > 1""")
 def duplicate_losers(t: Tables) -> DataFrame:
-    return relational.duplicate_losers(t.documents.select("doc_id", "text", "n_chars"), [F.lower(F.trim(F.substring("text", 1, 40))), F.bround(F.col("n_chars") / 2)], [F.col("doc_id")]).select("doc_id", "rank")
+    return relational.duplicate_losers(t.documents.select("doc_id", "text", "n_chars"), [F.sha2(F.lower(F.trim("text")), 256), F.bround(F.col("n_chars") / 2)], [F.col("doc_id")]).select("doc_id", "rank")
 
 
-@query("""WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), c AS (SELECT label, CAST(list_avg_0 AS DOUBLE) AS x FROM (SELECT label, 0 AS list_avg_0 FROM v) LIMIT 0)
- SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.e, b.e), 4) AS cosine FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id WHERE a.vec_id < 40 AND b.vec_id < 40""".replace(", c AS (SELECT label, CAST(list_avg_0 AS DOUBLE) AS x FROM (SELECT label, 0 AS list_avg_0 FROM v) LIMIT 0)", ""))
+@query("""WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)
+ SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.e, b.e), 4) AS cosine FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0""")
 def vector_pairs_of_first(t: Tables) -> DataFrame:
-    """Cosine of the pairs of equal label among the forty vectors of a calibration set (its limit is the feature)."""
-    v = t.embeddings.where("vec_id < 40").select("vec_id", "label", "embedding")
-    a, b = v.select(F.col("vec_id").alias("a"), "label", F.col("embedding").alias("ea")), v.select(F.col("vec_id").alias("b"), "label", F.col("embedding").alias("eb"))
-    return a.join(b, "label").where("a < b").select("a", "b", F.round(vectors.cosine(F.col("ea"), F.col("eb")), 4).alias("cosine"))
+    """Cosine of the search queries, every fiftieth vector, with all vectors of equal label; a label is salted into blocks."""
+    v = t.embeddings.select("vec_id", "label", F.col("embedding").alias("e"))
+    q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("a"), "label", F.col("e").alias("ea"), F.explode(F.sequence(F.lit(0), F.lit(15))).alias("salt"))
+    x = v.select(F.col("vec_id").alias("b"), "label", F.col("e").alias("eb"), F.pmod(F.xxhash64("vec_id"), F.lit(16)).cast("int").alias("salt"))
+    return q.join(x, ["label", "salt"]).where("a <> b").select("a", "b", F.round(vectors.cosine(F.col("ea"), F.col("eb")), 4).alias("cosine"))
 
 
 @query("""WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)
@@ -128,9 +129,8 @@ def voice_sandwich(t: Tables) -> DataFrame:
 def benchmark_overlap_exclusion(t: Tables) -> DataFrame:
     """Documents that hold 0.8 or more of the words of a benchmark item."""
     words = lambda d, k: d.select(k, F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{4,})"), 1)).alias("ts"))
-    b = words(t.benchmark, "item_id").withColumn("n", F.size("ts"))
-    m = b.select("item_id", "n", F.explode("ts").alias("t")).join(words(t.documents, "doc_id").select("doc_id", F.explode("ts").alias("t")), "t").groupBy("item_id", "n", "doc_id").agg(F.count(F.lit(1)).alias("k"))
-    return m.where(F.col("k") >= F.col("n") * 0.8).groupBy("doc_id").agg(F.count(F.lit(1)).alias("items"), F.max("k").alias("most"))
+    m = relational.holding(words(t.benchmark, "item_id"), words(t.documents, "doc_id"), "item_id", "doc_id", "ts", 0.8)
+    return m.groupBy("doc_id").agg(F.count(F.lit(1)).alias("items"), F.max("k").alias("most"))
 
 
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS src, l_partkey + 1000000000 AS dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey), f(node, depth) AS (SELECT 1::BIGINT, 0 UNION SELECT CASE WHEN f.depth % 2 = 0 THEN e.dst ELSE e.src END, f.depth + 1 FROM f JOIN e ON (f.depth % 2 = 0 AND e.src = f.node) OR (f.depth % 2 = 1 AND e.dst = f.node) WHERE f.depth < 2)

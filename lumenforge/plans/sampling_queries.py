@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import hashing
-from ..operators import sampling
+from ..operators import ranks, sampling
 from .registry import Tables, query
 
 SECONDS = "timestampdiff(SECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', ts)"
@@ -54,9 +54,10 @@ def capped_cohort(t: Tables) -> DataFrame:
  SELECT user_id, round((a + b) / 2, 6) AS activity, CASE WHEN (a + b) / 2 <= 0.2 THEN 'low' WHEN (a + b) / 2 BETWEEN 0.4 AND 0.6 THEN 'middle' WHEN (a + b) / 2 >= 0.8 THEN 'high' ELSE 'between' END AS band FROM c""")
 def activity_percentile_bands(t: Tables) -> DataFrame:
     u = t.events.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 3).alias("v"))
-    a = (sampling.percentile_of("n") + sampling.percentile_of("v")) / 2
+    x = (F.col("by_n") + F.col("by_v")) / 2
+    u = ranks.percentile_of(ranks.percentile_of(u, "n", "by_n"), "v", "by_v").withColumn("a", x)
     x = F.col("a")
-    return u.withColumn("a", a).select("user_id", F.round("a", 6).alias("activity"), F.when(x <= 0.2, "low").when(x.between(0.4, 0.6), "middle").when(x >= 0.8, "high").otherwise("between").alias("band"))
+    return u.select("user_id", F.round("a", 6).alias("activity"), F.when(x <= 0.2, "low").when(x.between(0.4, 0.6), "middle").when(x >= 0.8, "high").otherwise("between").alias("band"))
 
 
 @query("""WITH q AS (SELECT quantile_cont(o_totalprice, [0.2, 0.4, 0.6, 0.8]) AS q FROM orders), b AS (SELECT o_totalprice, CAST(len(list_filter(q.q, lambda x: x < o_totalprice)) AS BIGINT) AS band FROM orders, q)

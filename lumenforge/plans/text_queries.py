@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import relational
+from .atoms import pick, pick_sql
 from .registry import Tables, query
 
 
@@ -30,10 +31,12 @@ def _scope_sql(col: str) -> str:
     return f"CASE WHEN NOT auto THEN 'not_automatic_expansion' WHEN q = '' THEN 'empty_query' WHEN length(q) > 120 THEN 'query_too_long' {whens} ELSE 'within_ordinary_social_scope' END"
 
 
-@query(f"WITH d AS (SELECT doc_id, source <> 'src0' AS auto, trim(regexp_replace(CASE WHEN doc_id % 10 = 1 THEN 'police ' || substr(text, 1, 40) WHEN doc_id % 10 = 2 THEN 'dog vs cat' WHEN doc_id % 10 = 3 THEN '' ELSE substr(text, 1, CAST(100 + doc_id % 40 AS INTEGER)) END, '\\s+', ' ', 'g')) AS q FROM documents) SELECT doc_id, {_scope_sql('q')} AS reason FROM d")
+QUERIES = ["police chase", "dog vs cat", "", "queue jumper", "x" * 121, "video game night", "rude neighbour", "car crash compilation"]
+
+
+@query(f"WITH d AS (SELECT doc_id, source <> 'src0' AS auto, trim(regexp_replace({pick_sql('doc_id', QUERIES, 29)}, '\\s+', ' ', 'g')) AS q FROM documents) SELECT doc_id, {_scope_sql('q')} AS reason FROM d")
 def scope_gate(t: Tables) -> DataFrame:
-    q = F.when(F.col("doc_id") % 10 == 1, F.concat(F.lit("police "), F.substring("text", 1, 40))).when(F.col("doc_id") % 10 == 2, "dog vs cat").when(F.col("doc_id") % 10 == 3, "").otherwise(F.expr("substr(text, 1, cast(100 + doc_id % 40 as int))"))
-    return t.documents.select("doc_id", text.scope_gate(q, F.col("source") != "src0").alias("reason"))
+    return t.documents.select("doc_id", text.scope_gate(pick("doc_id", QUERIES, 29), F.col("source") != "src0").alias("reason"))
 
 
 _CONV = "trim(regexp_replace(text || CASE turn % 5 WHEN 1 THEN ' stop that' WHEN 2 THEN ' are you okay' WHEN 3 THEN ' she said so' WHEN 4 THEN ' how rude' ELSE '' END, '\\s+', ' ', 'g'))"
@@ -47,14 +50,23 @@ def intervention_features(t: Tables) -> DataFrame:
     return t.conversations.select("conv_id", "turn", *[cues[n].alias(n) for n in text.INTERVENTIONS])
 
 
-@query("WITH w AS (SELECT doc_id, lower(split_part(text, ' ', 2)) AS x FROM documents) SELECT doc_id, CASE WHEN x = '' THEN 'missing' " + " ".join(f"WHEN regexp_matches(x, '{p}') THEN '{n}'" for n, p in text.NORM_CATEGORIES) + " ELSE 'other_unmapped' END AS category FROM (SELECT doc_id, trim(regexp_replace(x, '\\s+', ' ', 'g')) AS x FROM w)")
+@query("WITH w AS (SELECT doc_id, lower(coalesce(text, '')) AS x FROM documents) SELECT doc_id, CASE WHEN x = '' THEN 'missing' " + " ".join(f"WHEN regexp_matches(x, '{p}') THEN '{n}'" for n, p in text.NORM_CATEGORIES) + " ELSE 'other_unmapped' END AS category FROM (SELECT doc_id, trim(regexp_replace(x, '\\s+', ' ', 'g')) AS x FROM w)")
 def category_first_match(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", text.norm_category(F.split_part("text", F.lit(" "), F.lit(2))).alias("category"))
+    return t.documents.select("doc_id", text.norm_category(F.col("text")).alias("category"))
+
+
+_RANGES = ", ".join(f"struct_pack(s := '{n}', lo := {lo}, hi := {hi})" for n, lo, hi in text.SCRIPTS)
+_BANKS = ", ".join("struct_pack(l := '" + n + "', w := [" + ", ".join("'" + w.replace("'", "''") + "'" for w in ws) + "])" for n, ws in text.STOPWORDS.items())
+_HALF = "[" + ", ".join(f"'{w}'" for w in text.AMBIGUOUS) + "]"
 
 
-@query()
+@query(f"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '\\p{{L}}') AS ls, list_distinct(string_split_regex(lower(regexp_replace(coalesce(text, ''), '[^\\p{{L}}''\\s]+', '', 'g')), '\\s+')) AS ws FROM documents),
+c AS (SELECT doc_id, ls, ws, list_transform([{_RANGES}], lambda r: struct_pack(s := r.s, n := len(list_filter(ls, lambda x: unicode(x) BETWEEN r.lo AND r.hi)))) AS ns FROM d),
+m AS (SELECT doc_id, ls, ws, ns, len(ls) - list_sum(list_transform(ns, lambda x: x.n)) AS latin, list_max(list_transform(ns, lambda x: x.n)) AS most FROM c),
+v AS (SELECT doc_id, unnest([{_BANKS}]) AS b, ws FROM d), x AS (SELECT doc_id, b.l AS l, len(list_intersect(b.w, ws)) - 0.5 * len(list_intersect(list_intersect(b.w, ws), {_HALF})) AS n FROM v), k AS (SELECT doc_id, list(struct_pack(n := n, l := l) ORDER BY n DESC, l DESC) AS r FROM x GROUP BY doc_id)
+SELECT m.doc_id, CASE WHEN len(ls) < 6 THEN 'too_short' WHEN latin >= most THEN CASE WHEN r[1].n >= 1.5 AND r[1].n > r[2].n THEN r[1].l ELSE 'unknown_latin' END ELSE 'script:' || list_filter(ns, lambda x: x.n = most)[1].s END AS language, CASE WHEN len(ls) < 6 THEN 0.0 ELSE round(greatest(latin, most) / len(ls), 3) END AS script_fraction FROM m JOIN k ON m.doc_id = k.doc_id""")
 def script_language_tag(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", text.language_guess(F.col("text")).alias("language"))
+    return t.documents.select("doc_id", text.language_guess(F.col("text")).alias("language"), text.script_fraction(F.col("text")).alias("script_fraction"))
 
 
 @query("""WITH p AS (SELECT unnest(['the and', 'on the', 'of the', 'is the']) AS phrase, unnest([1, 2, 3, 3]) AS tier) SELECT conv_id, turn, tier, phrase, CAST(len(regexp_extract_all(lower(text), '(?:^|[^a-z])' || phrase || '(?:[^a-z]|$)')) AS BIGINT) AS hits FROM conversations JOIN p ON regexp_matches(lower(text), '(?:^|[^a-z])' || phrase || '(?:[^a-z]|$)')""")
@@ -85,14 +97,14 @@ def json_props(t: Tables) -> DataFrame:
     return t.events.select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
-@query("SELECT doc_id, trim(regexp_replace(lower(substr(text, 1, 80)), '[^a-z0-9]+', ' ', 'g')) AS q FROM documents")
+@query("SELECT doc_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS q FROM documents")
 def normalised_query(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", text.normalise_query(F.substring("text", 1, 80)).alias("q"))
+    return t.documents.select("doc_id", text.normalise_query(F.col("text")).alias("q"))
 
 
-@query("""WITH w AS (SELECT source, unnest(regexp_extract_all(lower(substr(text, 1, 200)), '[a-z]{3,}')) AS t FROM documents), c AS (SELECT source, t, count(*) AS n FROM w WHERE t NOT IN ('the', 'and') GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, t) AS k FROM c) SELECT source, t AS token, n FROM r WHERE k <= 5""")
+@query("""WITH w AS (SELECT source, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS t FROM documents), c AS (SELECT source, t, count(*) AS n FROM w WHERE t NOT IN ('the', 'and') GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, t) AS k FROM c) SELECT source, t AS token, n FROM r WHERE k <= 5""")
 def top_title_tokens(t: Tables) -> DataFrame:
     from pyspark.sql import Window as W
 
-    c = t.documents.select("source", F.explode(text.title_tokens(F.substring("text", 1, 200), ["the", "and"])).alias("token")).groupBy("source", "token").agg(F.count(F.lit(1)).alias("n"))
+    c = t.documents.select("source", F.explode(text.title_tokens(F.col("text"), ["the", "and"])).alias("token")).groupBy("source", "token").agg(F.count(F.lit(1)).alias("n"))
     return c.withColumn("k", F.row_number().over(W.partitionBy("source").orderBy(F.desc("n"), "token"))).where("k <= 5").drop("k")

@@ -51,8 +51,29 @@ def test_cooldown_doubles_and_resets(spark):
 
 
 def test_thinning_and_tiles(spark):
-    r = spark.range(1).select(intervals.thin(F.array(*[F.lit(float(x)) for x in (1, 4, 9)]), 5.0).alias("t"), intervals.tiles(F.lit(29.0), 12.0, 8.0).alias("w")).first()
-    assert list(r.t) == [1.0, 9.0] and list(r.w) == [0.0, 8.0, 16.0, 17.0]
+    d = spark.createDataFrame([(k, float(x), x) for k in "ab" for x in (9, 1, 4, 6, 14)] + [("c", 5.0, 2), ("c", 5.0, 1)], "k string, t double, r int")
+    got = sorted((x.k, x.t, x.r) for x in intervals.thinned(d, "k", "t", 5.0, ["r"]).collect())
+    assert got == [(k, float(x), x) for k in "ab" for x in (1, 6, 14)] + [("c", 5.0, 1)]
+    assert [x.t for x in intervals.thinned(d.where("k = 'a'"), "k", "t", 5.0, [], strict=True).orderBy("t").collect()] == [1.0, 9.0]
+    assert list(spark.range(1).select(intervals.tiles(F.lit(29.0), 12.0, 8.0).alias("w")).first().w) == [0.0, 8.0, 16.0, 17.0]
+
+
+def test_running_totals_and_quantiles_are_exact(spark):
+    import numpy as np
+
+    from lumenforge.operators import ranks
+
+    x = [(i * 37) % 101 / 7 for i in range(400)]
+    d = spark.createDataFrame([(v,) for v in x], "v double")
+    assert np.allclose(ranks.quantiles(d, "v", [0, 0.1, 0.5, 0.93, 1]).first().q, np.quantile(x, [0, 0.1, 0.5, 0.93, 1]))
+    assert all(abs(r.p - np.mean(np.array(x) <= r.v)) < 1e-12 for r in ranks.percentile_of(d, "v", "p").collect())
+    assert ranks.percentile_of(d.limit(0), "v", "p").count() == 0
+
+
+def test_scripts(spark):
+    said = {"Все люди рождаются": "script:cyrillic", "すべての人間は": "script:kana", "人人生而自由在尊严": "script:cjk", "மனிதப் பிறவியினர்": "script:tamil", "มนุษย์ทั้งหลาย": "script:thai", "সমস্ত মানুষ স্বাধীন": "script:bengali", "why are you doing that": "english", "abc": "too_short"}
+    d = spark.createDataFrame(list(said.items()), "t string, want string")
+    assert all(r.got == r.want for r in d.select("want", text.language_guess(F.col("t")).alias("got")).collect())
 
 
 @pytest.mark.parametrize(("closed", "n"), [(True, 2), (False, 1)])
