@@ -45,7 +45,9 @@ def representative_per_source(t: Tables) -> DataFrame:
     return sampling.representative(t.documents.select("source", "doc_id"), "source", "doc_id", "rep")
 
 
-@query()
+@query("""WITH RECURSIVE d AS (SELECT doc_id, lang, source, row_number() OVER (ORDER BY lang, sha256('cohort:' || doc_id), doc_id) AS k FROM documents), f AS (SELECT CAST(0 AS BIGINT) AS k, '' AS lang, 0 AS n, CAST([] AS VARCHAR[]) AS used, CAST(NULL AS BIGINT) AS doc_id, CAST(NULL AS VARCHAR) AS source, false AS taken
+UNION ALL SELECT k, lang, CASE WHEN ok THEN n + 1 ELSE n END, CASE WHEN ok THEN list_append(used, source) ELSE used END, doc_id, source, ok FROM (SELECT d.k, d.lang, CASE WHEN f.lang = d.lang THEN f.n ELSE 0 END AS n, f.used, d.doc_id, d.source, CASE WHEN f.lang = d.lang THEN f.n ELSE 0 END < 12 AND len(list_filter(f.used, lambda x: x = d.source)) < 2 AS ok FROM f JOIN d ON d.k = f.k + 1))
+SELECT doc_id, lang, source FROM f WHERE taken""")
 def capped_cohort(t: Tables) -> DataFrame:
     return sampling.capped_cohort(t.documents, "doc_id", "lang", "source", "cohort", 12, 2)
 

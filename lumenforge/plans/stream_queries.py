@@ -19,17 +19,23 @@ def session_windows(t: Tables) -> DataFrame:
     return e.groupBy("user_id", F.session_window(F.date_trunc("second", "at"), "2 hours")).agg(F.count(F.lit(1)).alias("n")).select("user_id", "n")
 
 
-@query()
+@query("""WITH e AS (SELECT DISTINCT event_id, user_id, ts FROM events), m AS (SELECT max(ts) - INTERVAL 1 DAY AS mark FROM events), g AS (SELECT *, CASE WHEN ts < lag(ts) OVER w + INTERVAL 2 HOUR THEN 0 ELSE 1 END AS b FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), i AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM g),
+s AS (SELECT user_id, min(ts) AS a, max(ts) + INTERVAL 2 HOUR AS z, count(*) AS n FROM i GROUP BY user_id, k) SELECT user_id, strftime(a, '%Y-%m-%d %H:%M:%S') AS start, strftime(z, '%Y-%m-%d %H:%M:%S') AS "end", n FROM s, m WHERE z <= mark""")
 def stream_dedup_sessions(t: Tables) -> DataFrame:
-    return jobs.run_to_table(jobs.sessions(jobs.event_stream(t.spark, t.dir)), "sessions")
+    """Sessions that the watermark, a day behind the newest event, has closed; open ones aren't written yet."""
+    d = jobs.run_to_table(jobs.sessions(jobs.event_stream(t.spark, t.dir)), "sessions")
+    shown = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return d.select("user_id", shown("start"), shown("end"), "n")
 
 
-@query()
+@query("""WITH e AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events), p AS (SELECT user_id, max(k) FILTER (event_type = 'purchase') AS last FROM e GROUP BY user_id), s AS (SELECT e.user_id, count(*) FILTER (event_type NOT IN ('purchase', 'error') AND k > coalesce(last, 0)) AS streak FROM e JOIN p ON e.user_id IS NOT DISTINCT FROM p.user_id GROUP BY e.user_id)
+SELECT user_id, streak, CASE WHEN streak = 0 THEN 0.0 ELSE least(7200.0, 600.0 * 2 ** least(streak - 1, 20)) END::DOUBLE AS cooldown FROM s""")
 def stream_cooldown(t: Tables) -> DataFrame:
-    return jobs.run_to_table(jobs.cooldowns(jobs.event_stream(t.spark, t.dir)), "cooldowns", "update")
+    return jobs.run_to_table(jobs.cooldowns(jobs.event_stream(t.spark, t.dir)), "cooldowns", "update", ["user_id"])
 
 
-@query()
+@query("""WITH p AS (SELECT unnest(['alpha', 'beta']) AS platform), x AS (SELECT platform, CAST(n AS INTEGER) AS page, sha256(platform || ':' || n || ':' || i) AS h FROM p, range(3) AS a(n), range(5) AS b(i)) SELECT platform, substr(h, 1, 10) AS native_id, platform || '__' || substr(h, 1, 10) AS uid, 'title ' || substr(h, 11, 4) AS title, CAST(CAST('0x' || substr(h, 15, 4) AS BIGINT) % 600 AS DOUBLE) AS duration, page FROM x""")
 def feed_candidates(t: Tables) -> DataFrame:
+    """Candidates of two platforms by the registered adapter, three pages each; a platform without an adapter gives none."""
     register(t.spark)
-    return t.spark.read.format("lumenforge_feed").option("platforms", "alpha,beta").option("pages", "3").load()
+    return t.spark.read.format("lumenforge_feed").option("platforms", "alpha,beta,unknown").option("pages", "3").load()

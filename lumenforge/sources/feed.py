@@ -9,7 +9,7 @@ import hashlib
 from collections.abc import Iterator
 
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 SCHEMA = "platform string, native_id string, uid string, title string, duration double, page int"
 
@@ -25,9 +25,32 @@ class Pages:
             yield platform, h[:10], f"{platform}__{h[:10]}", f"title {h[10:14]}", float(int(h[14:18], 16) % 600), number
 
 
+#: Adapters by name. A platform that no adapter serves gives no rows, so a mistyped name stops nothing.
+ADAPTERS: dict[str, type[Pages]] = {}
+
+
+def adapter(*names: str):
+    """Registers an adapter for platforms."""
+
+    def add(cls: type[Pages]) -> type[Pages]:
+        ADAPTERS.update(dict.fromkeys(names, cls))
+        return cls
+
+    return add
+
+
+adapter("alpha", "beta", "a", "b")(Pages)
+
+
+def read_pages(platform: str, first: int, last: int) -> Iterator[tuple]:
+    if platform in ADAPTERS:
+        for n in range(first, last):
+            yield from ADAPTERS[platform]().page(platform, n)
+
+
 class _Part(InputPartition):
-    def __init__(self, platform: str, pages: int):
-        self.platform, self.pages = platform, pages
+    def __init__(self, platform: str, first: int, last: int):
+        self.platform, self.first, self.last = platform, first, last
 
 
 class _Reader(DataSourceReader):
@@ -35,31 +58,32 @@ class _Reader(DataSourceReader):
         self.platforms, self.pages = options.get("platforms", "alpha").split(","), int(options.get("pages", "1"))
 
     def partitions(self) -> list[InputPartition]:
-        return [_Part(p, self.pages) for p in self.platforms]
+        return [_Part(p, 0, self.pages) for p in self.platforms]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        for n in range(partition.pages):
-            yield from Pages().page(partition.platform, n)
+        return read_pages(partition.platform, partition.first, partition.last)
 
 
-class _Stream(SimpleDataSourceStreamReader):
-    """The offset is the next page of all platforms; a replayed batch reads the same pages again."""
+class _Stream(DataSourceStreamReader):
+    """The offset holds the next page of each platform; each platform is a task of its own, and a replayed batch reads the same pages again."""
 
     def __init__(self, options: dict):
         self.platforms, self.pages = options.get("platforms", "alpha").split(","), int(options.get("pages", "1"))
+        self.at = dict.fromkeys(self.platforms, 0)
 
     def initialOffset(self) -> dict:
-        return {"page": 0}
+        return dict.fromkeys(self.platforms, 0)
 
-    def _rows(self, a: int, b: int) -> Iterator[tuple]:
-        return iter([r for n in range(a, b) for p in self.platforms for r in Pages().page(p, n)])
+    def latestOffset(self) -> dict:
+        self.at = {p: min(n + 1, self.pages) for p, n in self.at.items()}
+        return dict(self.at)
 
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        end = min(start["page"] + 1, self.pages)
-        return self._rows(start["page"], end), {"page": end}
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        self.at = {p: max(self.at[p], end.get(p, 0)) for p in self.platforms}  # after a restart, from where the log ends
+        return [_Part(p, start.get(p, 0), end[p]) for p in end if end[p] > start.get(p, 0)]
 
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return self._rows(start["page"], end["page"])
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        return read_pages(partition.platform, partition.first, partition.last)
 
     def commit(self, end: dict) -> None:
         pass
@@ -76,7 +100,7 @@ class Feed(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return _Reader(self.options)
 
-    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
+    def streamReader(self, schema) -> DataSourceStreamReader:
         return _Stream(self.options)
 
 

@@ -1,4 +1,4 @@
-"""Structured Streaming: ingest with dedup, sessions, stateful cooldowns, routes, and alerts."""
+"""Structured Streaming: ingest with dedup, sessions, stateful cooldowns, windows, routes, and alerts."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -57,11 +58,27 @@ def route(batch: DataFrame, routes: dict[str, Column], sink: Callable[[str, Data
         kept.unpersist()
 
 
-def run_to_table(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over all that is there and returns what it wrote; state and output lie in the shared folder."""
+def alerts(batch: DataFrame, rules: dict[str, Column]) -> DataFrame:
+    """The rows of a snapshot that meet a rule, with the names of all rules they meet, for foreachBatch."""
+    met = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in rules.items()]))
+    return batch.withColumn("alerts", met).where(F.size("alerts") > 0)
+
+
+def folder(spark: SparkSession) -> str:
+    """The folder all executors share, as the session names it; made when unset only in local mode, where all share one machine."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="lumenforge-")
+    return found
+
+
+def run_to_table(df: DataFrame, name: str, mode: str = "append", keys: list[str] | None = None) -> DataFrame:
+    """Runs a stream over all that is there and returns what it wrote; state and output lie in the shared folder. With keys, as
+    "update" needs, the last batch's row of each key."""
     spark = df.sparkSession
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="lumenforge-")
-    base = f"{base}/stream-{name}-{uuid.uuid4().hex}"
+    base = f"{folder(spark)}/stream-{name}-{uuid.uuid4().hex}"
 
     def write(batch: DataFrame, number: int) -> None:
         # a replayed batch overwrites its own folder, so each counts once
@@ -69,4 +86,8 @@ def run_to_table(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
 
     query = df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(df.schema).parquet(f"{base}/out").select(*df.columns)
+    out = spark.read.schema(T.StructType([*df.schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{base}/out")
+    if not keys:
+        return out.select(*df.columns)
+    rest = [c for c in df.columns if c not in keys]
+    return out.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*[c if c in keys else F.col(f"r.{c}").alias(c) for c in df.columns])
