@@ -62,25 +62,28 @@ def _sketch(texts: list[bytes]) -> np.ndarray:
     h = h[np.repeat(begin - first, count) + np.arange(int(count.sum()))] if (begin != first).any() else h[: int(count.sum())]
     if not len(h):
         return np.full((len(texts), SKETCHES), 0x5EED, np.uint32)
-    # occurrence numbers: equal k-mers of a text are neighbours once sorted by text, k-mer and place
+    # occurrence numbers: k-mers that agree in 32 bits of their hash are neighbours once sorted by text, these and place ..
+    doc = np.repeat(each, count)
     if int(count.max()) < 1 << 20 and len(texts) <= 1 << 12:
         key = np.repeat((each.astype(U64) << U64(52)) - first.astype(U64), count) + np.arange(len(h), dtype=U64)
         key |= h & U64(0xFFFFFFFF00000)
         key.sort()
         group = key >> U64(20)
-        again = np.flatnonzero(group[1:] == group[:-1]) + 1
-        at = first[(key[again] >> U64(52)).astype(np.int64)] + (key[again] & U64((1 << 20) - 1)).astype(np.int64)
+        same = group[1:] == group[:-1]
+        held = np.flatnonzero(np.append(same, False) | np.append(False, same))
+        at = first[(key[held] >> U64(52)).astype(np.int64)] + (key[held] & U64((1 << 20) - 1)).astype(np.int64)
     else:
-        doc = np.repeat(each, count)
         part = h & U64(0xFFFFFFFF00000)
-        by = np.lexsort((part, doc))  # stable, so equal ones stay in text order
-        again = np.flatnonzero((doc[by][1:] == doc[by][:-1]) & (part[by][1:] == part[by][:-1])) + 1
-        at = by[again]
-    if len(again):
-        begins = np.flatnonzero(np.concatenate(([True], again[1:] != again[:-1] + 1)))
-        nth = np.arange(len(again)) - np.repeat(begins, np.diff(np.append(begins, len(again)))) + 1
+        by = np.lexsort((part, doc))
+        same = (doc[by][1:] == doc[by][:-1]) & (part[by][1:] == part[by][:-1])
+        at = by[np.append(same, False) | np.append(False, same)]
+    # .. and among these, which are few, the whole hash tells
+    if len(at):
+        at = at[np.lexsort((at, h[at], doc[at]))]
+        begins = np.flatnonzero(np.concatenate(([True], (h[at][1:] != h[at][:-1]) | (doc[at][1:] != doc[at][:-1]))))
+        nth = np.arange(len(at)) - np.repeat(begins, np.diff(np.append(begins, len(at))))
+        at, nth = at[nth > 0], nth[nth > 0]
         h[at] = mix(h[at] + nth.astype(U64) * _ODD[3, 0])
-    doc = np.repeat(each, count)
     small = (h >> U64(32)).astype(np.uint32)
     # a k-mer that is among the LEAST lies below this bound, but for one text in some ten thousand; those are done in full
     share = np.minimum(1.0, (LEAST + 14.0) / np.maximum(count, 1))
