@@ -492,10 +492,10 @@ def pcm_blocks(media: DataFrame, block: int = BLOCK) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(b.num_rows):
-                payload = decode([b.column(1)[i].as_py()])[0]
-                at = list(range(0, len(payload), block))
-                yield pa.RecordBatch.from_arrays([pa.array([b.column(0)[i].as_py()] * len(at), pa.int64()), pa.array(at, pa.int64()), pa.array([payload[k : k + block] for k in at], pa.binary())], ["doc_id", "sample_offset", "pcm"])
+            for i, j in _slices([len(x.as_buffer()) for x in b.column(1)]):
+                payloads, ids = decode(b.column(1)[i:j].to_pylist()), b.column(0)[i:j].to_pylist()
+                cut = [(d, k, p[k : k + block]) for d, p in zip(ids, payloads, strict=True) for k in range(0, len(p), block)]
+                yield pa.RecordBatch.from_arrays([pa.array([c[x] for c in cut], kind) for x, kind in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["doc_id", "sample_offset", "pcm"])
 
     return media.select("doc_id", "media").mapInArrow(run, "doc_id long, sample_offset long, pcm binary")
 

@@ -93,11 +93,8 @@ def test_line_dedup(docs):
         assert r.lines_removed == len(gone[r.doc_id]) and (r.text is None or r.n_chars == len(r.text))
 
 
-def test_line_dedup_deletes_whole_runs(docs, spark):
-    """All runs of MIN_WORDS words or more that an earlier place holds as well, whatever their length."""
-    long = [" ".join(WORDS[i : i + n]) for i, n in ((5, 12), (40, 11), (90, 3))]
-    texts = {**TEXTS, 1000: f"{long[0]}\na b\nc\n{long[1]}\nd e f\n\ng", 1003: f"own\n{long[2]}"}
-    texts |= {1001: texts[1000], 1002: texts[1000] + "\nown line", 1004: texts[1003] + "\n" + texts[1000]}
+def repeated_runs(texts):
+    """Lines of each text that go: all runs of MIN_WORDS words or more that an earlier place holds as well, whatever their length."""
     first, spans = {}, []
     for d in sorted(texts):
         lines = texts[d].split("\n")
@@ -112,12 +109,23 @@ def test_line_dedup_deletes_whole_runs(docs, spark):
     for d, a, b, key in spans:
         if first[key] != (d, a):
             gone[d].update(range(a, b + 1))
+    return gone
+
+
+def without_lines(text, gone):
+    return "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone)
+
+
+def test_line_dedup_deletes_whole_runs(docs, spark):
+    long = [" ".join(WORDS[i : i + n]) for i, n in ((5, 12), (40, 11), (90, 3))]
+    texts = {**TEXTS, 1000: f"{long[0]}\na b\nc\n{long[1]}\nd e f\n\ng", 1003: f"own\n{long[2]}"}
+    texts |= {1001: texts[1000], 1002: texts[1000] + "\nown line", 1004: texts[1003] + "\n" + texts[1000]}
+    gone = repeated_runs(texts)
     more = spark.createDataFrame([(d, texts[d]) for d in range(1000, 1005)], "doc_id long, text string")
     got = {r.doc_id: r for r in line_dedup.dedup_lines(docs.select("doc_id", "text").unionByName(more), runs=True).collect()}
     assert got[1001].text == "" and got[1002].text == "own line" and len(gone[1004]) == 7
     for d, t in texts.items():
-        assert (got[d].text or "") == "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[d])
-        assert got[d].lines_removed == len(gone[d])
+        assert (got[d].text or "") == without_lines(t, gone[d]) and got[d].lines_removed == len(gone[d])
 
 
 def test_clashing_names_come_back(spark):
@@ -147,8 +155,8 @@ def test_flac_round_trip_and_damage(docs):
         flac.decode([bytes(bad)])
 
 
-def test_jaccard_components(docs):
-    sets = {d: shingles(t) for d, t in TEXTS.items()}
+def roots(sets):
+    """The smallest key of each key's component, all pairs compared."""
     up = {d: d for d in sets}
 
     def root(x):
@@ -161,10 +169,16 @@ def test_jaccard_components(docs):
             if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
                 x, y = root(a), root(b)
                 up[max(x, y)] = min(x, y)
+    return {d: root(d) for d in sets}
+
+
+def test_jaccard_components(docs):
+    sets = {d: shingles(t) for d, t in TEXTS.items()}
+    root = roots(sets)
     got = jaccard_join.link_documents(docs).collect()
     assert len(got) == ROWS
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {d: (len(s), root(d)) for d, s in sets.items()}
-    assert {r.doc_id for r in jaccard_join.keep_one(docs).collect()} == {d for d in sets if root(d) == d}
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {d: (len(s), root[d]) for d, s in sets.items()}
+    assert {r.doc_id for r in jaccard_join.keep_one(docs).collect()} == {d for d in sets if root[d] == d}
 
 
 def test_jaccard_with_repeated_and_null_ids(spark):
@@ -395,6 +409,47 @@ def test_order_minhash(docs):
     assert 0.2 < order_minhash.likeness(same, moved) < 1
 
 
+def plain_order_minhash(text):
+    """Order MinHash with whole numbers, k-mer by k-mer, without numpy."""
+    m64, odd = 2**64 - 1, [[int(x) for x in row] for row in order_minhash._ODD]
+
+    def mix(x):
+        x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & m64
+        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & m64
+        return x ^ (x >> 31)
+
+    k, seen, h = order_minhash.K, Counter(), []
+    padded = text + bytes(max(0, k - len(text))) if text else b""
+    for i in range(len(padded) - k + 1):
+        x = padded[i : i + k]
+        v = mix((int.from_bytes(x[:8], "little") * odd[0][0] + int.from_bytes(x[8:], "little") * odd[1][0]) & m64)
+        n, seen[x] = seen[x], seen[x] + 1
+        h.append(mix((v + n * odd[3][0]) & m64) if n else v)
+    out = []
+    for a, b in odd:
+        low = sorted(range(len(h)), key=lambda i: (((h[i] >> 32) * (a % 2**32 | 1)) % 2**32, i))[: order_minhash.LEAST]
+        total = sum(mix((h[i] + (r + 1) * b) & m64) * (2 * r + 1) for r, i in enumerate(sorted(low))) & m64
+        out.append(total >> 32 if h else 0x5EED)
+    return out
+
+
+def test_order_minhash_against_plain_python():
+    r = random.Random(12)
+    texts = [b"", b"a", b"ab" * 3, b"x" * 40, b"abcabcabcabcabcabcabcabc" * 4, "日本語テキスト".encode() * 5]
+    texts += ["".join(r.choice("ab c") for _ in range(r.randint(1, 300))).encode() for _ in range(60)]
+    assert order_minhash.sketches(texts).tolist() == [plain_order_minhash(t) for t in texts]
+
+
+def test_pcm_blocks(docs):
+    rows = flac.pcm_blocks(flac.store(docs)).collect()
+    by = defaultdict(dict)
+    for r in rows:
+        by[r.doc_id][r.sample_offset] = bytes(r.pcm)
+    for d, t in TEXTS.items():
+        b = t.encode()
+        assert b"".join(by[d][k] for k in sorted(by[d])) == b + b" " * (max(192, -(-len(b) // 192) * 192) - len(b))
+
+
 def test_order_minhash_reads_every_kmer():
     """A last byte that changes is one k-mer of n: a tuple stays if, of the n + 1 k-mers of both texts, neither that one nor its successor is among the two least."""
     r = random.Random(3)
@@ -455,15 +510,43 @@ def test_sharding(docs, spark):
 
 
 def test_pipeline(spark, tmp_path):
+    """All rows of run() against lines, links and tokens found without Spark, on what the language stage accepts."""
+    from tokenizers import Tokenizer
+
     import corpus_pipeline
 
     d = tmp_path / "documents.parquet"
     spark.createDataFrame([r[:5] for r in CORPUS], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(d))
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
-    kept = language_id.accepted_documents(spark.read.parquet(str(d)))
-    after = corpus_pipeline.near_duplicates(spark, corpus_pipeline.lines(spark, kept, ""), "")
-    assert {r.doc_id for r in out.select("doc_id").distinct().collect()} == {r.doc_id for r in after.collect()}
+    kept = language_id.accepted_documents(spark.read.parquet(str(d))).select("doc_id", "text").collect()
+    assert {r.doc_id for r in kept} <= {k for k, t in TEXTS.items() if re.search(r"[^\W\d_]", t)} and len(kept) > 40
+    texts = {r.doc_id: r.text for r in kept}
+    gone = repeated_runs(texts)
+    left = {k: without_lines(t, gone[k]) for k, t in texts.items()}
+    left = {k: t for k, t in left.items() if not gone[k] or t.strip(" \n\t\r")}
+    root = roots({k: shingles(t) for k, t in left.items()})
+    tok, want = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), Counter()
+    for k, t in left.items():
+        if root[k] == k:
+            ids, at = np.array([*tok.encode(t, add_special_tokens=False).ids, 2], "<u4"), 0
+            for i, n in enumerate(([len(ids) % 1024] if len(ids) % 1024 else []) + [1024] * (len(ids) // 1024)):
+                want[k, i, at, n, zlib.crc32(ids[at : at + n].tobytes())] += sum(r.doc_id == k for r in kept)
+                at += n
+    rows = out.collect()
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == want and len(root) > len(set(root.values()))
+    load = defaultdict(list)
+    for r in rows:
+        load[r.sequence_id].append((r.offset, r.length))
+    for part in load.values():
+        assert sum(n for _, n in part) <= 1024 and all(a + n == b for (a, n), (b, _) in zip(sorted(part), sorted(part)[1:], strict=False))
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
 def test_encode_all_is_the_library():
