@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from lumenforge.llm import jaccard_join, language_id, line_dedup, packing
-from lumenforge.llm.common import shared_dir
+from lumenforge.llm.common import delete, shared_dir
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,9 +42,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{shared_dir(spark)}/lumenforge/pipeline-{uuid.uuid4().hex}"
+    folder, before = f"{shared_dir(spark)}/lumenforge/pipeline-{uuid.uuid4().hex}", None
     for i, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{i}_{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:  # read for the last time
+            delete(spark, before)
+        before = path
     return docs
