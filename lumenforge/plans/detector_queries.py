@@ -201,7 +201,8 @@ def _spoken(t: Tables) -> DataFrame:
     return t.conversations.select("conv_id", "turn", F.concat(s, F.lit(" "), F.coalesce("text", F.lit(""))).alias("said"))
 
 
-@query(f"""WITH c AS (SELECT conv_id, turn, {_SPOKEN} AS s FROM conversations) SELECT conv_id, turn, {', '.join(f"CAST(len(regexp_extract_all(lower(s), '{_q(p)}')) AS INTEGER) AS {n}" for n, p in PRIORS.items())}, CAST(length(s) - length(replace(s, '?', '')) AS INTEGER) AS question_marks FROM c""")
+# RE2 takes letters outside ASCII for no letters at \\b; the engine, as the cues mean it, for letters
+@query(f"""WITH c AS (SELECT conv_id, turn, regexp_replace({_SPOKEN}, '[^\\x00-\\x7F]', 'z', 'g') AS s FROM conversations) SELECT conv_id, turn, {', '.join(f"CAST(len(regexp_extract_all(lower(s), '{_q(p)}')) AS INTEGER) AS {n}" for n, p in PRIORS.items())}, CAST(length(s) - length(replace(s, '?', '')) AS INTEGER) AS question_marks FROM c""")
 def scene_prior_counts(t: Tables) -> DataFrame:
     """How often each cue of reporting, demonstration and person stands in a transcript."""
     return _spoken(t).select("conv_id", "turn", *[F.regexp_count(F.lower("said"), F.lit(p)).alias(n) for n, p in PRIORS.items()], (F.length("said") - F.length(F.replace("said", F.lit("?"), F.lit("")))).alias("question_marks"))

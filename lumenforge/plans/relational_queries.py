@@ -22,13 +22,13 @@ shared_sql("multi_axis_crosstab", "SELECT coalesce(r_name, '*') AS region, coale
 shared_sql("yield_by_dimension", "SELECT c_mktsegment, n_name, count(*) AS n, CAST(sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS BIGINT) AS hits, round(CAST(sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS DOUBLE) / count(*), 6) AS rate FROM @orders JOIN @customer ON o_custkey = c_custkey JOIN @nation ON c_nationkey = n_nationkey GROUP BY c_mktsegment, n_name", "orders customer nation")
 shared_sql("having_high_rate", "SELECT user_id, count(*) AS n, CAST(sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) AS BIGINT) AS hits FROM @events GROUP BY user_id HAVING count(*) >= 10 AND sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) >= 0.2 * count(*)", "events")
 shared_sql("intersect_users", "SELECT user_id FROM @events WHERE event_type = 'purchase' INTERSECT SELECT user_id FROM @events WHERE event_type = 'error'", "events")
-shared_sql("except_users", "SELECT user_id FROM @events WHERE event_type = 'view' EXCEPT SELECT user_id FROM @events WHERE event_type = 'signup'", "events")
+shared_sql("except_users", "SELECT user_id FROM @events WHERE event_type = 'view' EXCEPT SELECT user_id FROM @events WHERE event_type = 'signup' AND value > 150", "events")
 shared_sql("union_exclusions", "SELECT doc_id FROM @labels WHERE toxic = 1 UNION SELECT doc_id FROM @documents WHERE n_chars < 100", "labels documents")
-shared_sql("not_exists_anti_join", "SELECT c.c_custkey FROM @customer c WHERE NOT EXISTS (SELECT 1 FROM @orders o WHERE o.o_custkey = c.c_custkey)", "customer orders")
+shared_sql("not_exists_anti_join", "SELECT c.c_custkey FROM @customer c WHERE NOT EXISTS (SELECT 1 FROM @orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'F' AND o.o_totalprice > 150000)", "customer orders")
 shared_sql("semi_join_latest", "SELECT o_orderkey, o_custkey FROM @orders WHERE o_orderkey IN (SELECT max(o_orderkey) FROM @orders GROUP BY o_custkey)", "orders")
 shared_sql("supplier_cover", "SELECT s_nationkey, count(*) AS suppliers, round(avg(s_acctbal), 4) AS mean_balance FROM @supplier GROUP BY s_nationkey", "supplier")
 shared_sql("pricing_summary", "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc, count(*) AS n FROM @lineitem WHERE l_shipdate <= DATE '1998-09-02' GROUP BY l_returnflag, l_linestatus", "lineitem")
-shared_sql("parts_never_ordered", "SELECT p.p_partkey FROM @part p LEFT JOIN @lineitem l ON p.p_partkey = l.l_partkey WHERE l.l_partkey IS NULL", "part lineitem")
+shared_sql("parts_never_ordered", "SELECT p.p_partkey FROM @part p LEFT JOIN @lineitem l ON p.p_partkey = l.l_partkey AND l.l_quantity >= 48 WHERE l.l_partkey IS NULL", "part lineitem")
 shared_sql("inventory_vs_retained", "SELECT d.source, count(*) AS records, count(l.doc_id) AS retained, greatest(count(*) - count(l.doc_id), 0) AS missing FROM @documents d LEFT JOIN @labels l ON d.doc_id = l.doc_id GROUP BY d.source", "documents labels")
 shared_sql("gap_classification", "SELECT CASE WHEN l.doc_id IS NULL AND d.n_chars < 100 THEN 'too_short' WHEN l.doc_id IS NULL THEN 'unattempted' WHEN l.toxic = 1 THEN 'failed' ELSE 'done' END AS state, count(*) AS n FROM @documents d LEFT JOIN @labels l ON d.doc_id = l.doc_id GROUP BY 1", "documents labels")
 
