@@ -14,7 +14,7 @@ def pick(key: str, values: Sequence, step: int) -> Column:
 
 
 def pick_sql(key: str, values: Sequence, step: int) -> str:
-    shown = ", ".join("NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v) for v in values)
+    shown = ", ".join("NULL" if v is None else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v) for v in values)
     return f"list_extract([{shown}], 1 + ({key} * {step}) % 1009 % {len(values)})"
 
 

@@ -183,3 +183,15 @@ def test_capped_cohort_is_the_sequential_fill(spark):
                 want.add((x.doc_id, x.lang, x.source))
         got = sampling.capped_cohort(df, "doc_id", "lang", "source", "cohort", per_stratum, cap).collect()
         assert {tuple(x) for x in got} == want and len(got) == len(want)
+
+
+def test_tracks_follow_boxes(spark):
+    """Two boxes that cross frames keep their tracks, the larger overlap wins, and one that jumps begins a new track."""
+    from lumenforge.operators import tracks
+
+    box = lambda x: (float(x), 0.0, float(x + 10), 10.0)
+    rows = [(7, 0, 0, *box(0)), (7, 0, 1, *box(30)), (7, 1, 0, *box(32)), (7, 1, 1, *box(3)), (7, 2, 0, *box(5)), (7, 2, 1, *box(90)), (7, 2, 2, *box(8)), (8, 5, 0, *box(0))]
+    d = spark.createDataFrame(rows, "clip long, frame long, box long, x0 double, y0 double, x1 double, y1 double")
+    got = {(r.clip, r.frame, r.box): r.track for r in tracks.link(d).collect()}
+    assert [got[7, 0, 0], got[7, 0, 1], got[7, 1, 0], got[7, 1, 1]] == [0, 1, 1, 0]
+    assert got[7, 2, 0] == 0 and {got[7, 2, 1], got[7, 2, 2]} == {2, 3} and got[8, 5, 0] == 0
