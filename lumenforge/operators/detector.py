@@ -30,14 +30,10 @@ def covering(spans: Column, lo: Column, hi: Column) -> Column:
     return F.filter(spans, lambda w: (w["a"] < hi) & (w["b"] > lo))
 
 
-def occurrences(text: Column, phrase: str) -> Column:
+def occurrences(text: Column, phrase: Column) -> Column:
     """Places of a phrase, word by word, in a text: what stands between them tells where each begins."""
-    between = F.split(text, rf"\b\Q{phrase}\E\b", -1)
-    return F.transform(F.filter(F.sequence(F.lit(0), F.size(between) - 1), lambda k: k > 0), lambda k: F.aggregate(F.slice(between, 1, k), F.lit(0), lambda s, x: s + F.length(x)) + (k - 1) * len(phrase))
-
-
-def _placed(at: Column, length: int, of: Column) -> Column:
-    return F.transform(at, lambda lo: F.struct(lo.alias("lo"), (lo + length).alias("hi"), of.alias("p")))
+    between = F.split(text, F.concat(F.lit(r"\b\Q"), phrase, F.lit(r"\E\b")), -1)
+    return F.transform(F.filter(F.sequence(F.lit(0), F.size(between) - 1), lambda k: k > 0), lambda k: F.aggregate(F.slice(between, 1, k), F.lit(0), lambda s, x: s + F.length(x)) + (k - 1) * F.length(phrase))
 
 
 def phrases(df: DataFrame, keys: list[str], words: str, bank: list[tuple[str, int, float | None, tuple[int, ...]]], context: float = 5.0) -> DataFrame:
@@ -47,12 +43,14 @@ def phrases(df: DataFrame, keys: list[str], words: str, bank: list[tuple[str, in
     is the words of `context` seconds before and after.
     """
     d = df.select(*keys, spanned(F.col(words)).alias("__w")).withColumn("__t", F.array_join("__w.token", " "))
-    hits = []
+    rows = []
     for phrase, tier, window, tiers in bank:
         norm = " ".join(x for x in ("".join(ch for ch in w.lower() if ch.isascii() and (ch.isalnum() or ch == "'")) for w in phrase.split()) if x)
-        of = F.struct(F.lit(phrase).alias("phrase"), F.lit(norm).alias("norm"), F.lit(tier).alias("tier"), F.lit(window).cast("double").alias("window"), F.array(*[F.lit(x) for x in tiers]).cast("array<int>").alias("tiers"))
-        hits.append(F.when(F.contains("__t", F.lit(norm)), _placed(occurrences(F.col("__t"), norm), len(norm), of)))
-    found = d.select(*keys, "__w", F.explode(F.flatten(F.array_compact(F.array(*hits)))).alias("x")).withColumn("__c", covering(F.col("__w"), F.col("x.lo"), F.col("x.hi"))).where(F.size("__c") > 0)
+        rows.append(F.struct(F.lit(phrase).alias("phrase"), F.lit(norm).alias("norm"), F.lit(tier).alias("tier"), F.lit(window).cast("double").alias("window"), F.array(*[F.lit(x) for x in tiers]).cast("array<int>").alias("tiers")))
+    # one expression over a constant array, however many phrases there are
+    here = F.filter(F.array(*rows), lambda p: F.contains(F.col("__t"), p["norm"]))
+    hits = F.transform(here, lambda p: F.transform(occurrences(F.col("__t"), p["norm"]), lambda lo: F.struct(lo.alias("lo"), (lo + F.length(p["norm"])).alias("hi"), p.alias("p"))))
+    found = d.select(*keys, "__w", F.explode(F.flatten(hits)).alias("x")).withColumn("__c", covering(F.col("__w"), F.col("x.lo"), F.col("x.hi"))).where(F.size("__c") > 0)
     lo, hi = F.col("__c")[0]["start"], F.element_at("__c", -1)["end"]
     near = F.array_join(F.transform(F.filter("__w", lambda w: (w["end"] >= lo - context) & (w["start"] <= hi + context)), lambda w: F.trim(w["word"])), " ")
     out = found.select(*keys, "x.p.phrase", "x.p.tier", "x.p.window", "x.p.tiers", lo.alias("start"), hi.alias("end"), near.alias("context"))
