@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, flac, html_extract, jaccard_join, language_id, licenses, line_dedup, order_minhash, packing, sharding
+from . import alignment, byte_bpe, flac, hard_negatives, html_extract, jaccard_join, language_id, licenses, line_dedup, order_minhash, packing, sharding, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,9 +21,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_order_minhash": order_minhash.op8_order_minhash,
         "op9_best_fit_packing": packing.op9_best_fit_packing,
         "op10_sharding": sharding.op10_sharding,
+        "op11_token_alignment": alignment.op11_token_alignment,
+        "op12_url_filter": url_filter.op12_url_filter,
+        "op13_hard_negatives": hard_negatives.op13_hard_negatives,
         "language_id_pages": language_id.language_id_pages,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_license_scan": licenses.oracle()}
+    return {"op7_license_scan": licenses.oracle(), "op12_url_filter": url_filter.oracle(), "op13_hard_negatives": hard_negatives.oracle()}
