@@ -6,9 +6,11 @@ page names, beside these, or on a page that names none). Words in text score pos
 add-one smoothed log odds of a class inside against outside the content, from labelled pages, and one linear scan
 finds the contiguous region with the largest sum on every page. Blocks that overlap it are kept whole, but for words of
 kinds that are likelier outside (menus, forms, adverts, comments, what stands beside the main elements): these count
-nothing and are left out. A block that only its class, id or role names as furniture is of that kind if it
-holds less than half of the page's words outside links and other furniture; a wrapper around the content isn't. Between
-the main elements of one page tags cost nothing, so that all of them are reached.
+nothing and are left out. A block is named as furniture by a class, id or role all of whose parts say so (comment-list, but not
+social-history). Such a block, or a form or the like, that holds all main elements of the page is a wrapper around the content;
+any other is furniture, however many words it holds. Only on a page on which the scan finds nothing without them is the one
+with the most words opened, until a region is found. Between the main elements of one page tags cost nothing, so that all of
+them are reached.
 
 Pages are labelled where their own markup names one main element (`article`, `main`): FIT_PAGES of them, or a few more or
 less, are sampled by a hash of the whole row. They are counted where they lie; only the counts of classes, of which
@@ -45,7 +47,7 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 FURNITURE = frozenset("nav header footer aside form dialog menu button select fieldset object svg canvas audio video head iframe noscript template".split())
 MAIN = frozenset("article main".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
-#: Elements that hold one paragraph: they are furniture only if every part of a name says so.
+#: Elements that hold one paragraph.
 SINGLE = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote".split())
 #: Other elements whose tags have a weight of their own; all else shares one.
 KNOWN = INLINE | FURNITURE | MAIN | CLOSES_P | VOID | frozenset("html body dt dd li thead tbody tfoot tr td th caption colgroup center font option optgroup legend".split())
@@ -53,6 +55,8 @@ KNOWN = INLINE | FURNITURE | MAIN | CLOSES_P | VOID | frozenset("html body dt dd
 STATES = frozenset("has have with without no not is".split())
 #: Words of class, id and role that name furniture.
 NAMES = frozenset("ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion promoted breadcrumb breadcrumbs comment comments respond reply replies disqus cookie cookies consent gdpr notice notices notification popup modal overlay footer foot header masthead menu nav navbar navigation navi sidebar aside related recommended share sharing social newsletter subscribe subscription signup login search widget toolbar pagination pager skip copyright legal disclaimer tags contentinfo complementary".split())
+#: Words that stand beside one of NAMES and say nothing else.
+COMPANIONS = frozenset("area article author bar block body bottom box button buttons container content entry fixed form global group inner item items left line link links list main meta outer page panel policy post posts primary right row secondary section site slot sticky story text thread title top unit user wrap wrapper".split())
 _START = re.compile(r"<(?:!--|!\[CDATA\[|[!?]|(/?)([A-Za-z][^\s/>]*))", re.S)
 _STOP = re.compile(r">|=\s*([\"'])")
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -61,11 +65,14 @@ _SPACE = re.compile(r"\s+")
 _PART = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])")
 
 
-def named_like_furniture(attributes: str, whole: bool = False) -> bool:
+def named_like_furniture(attributes: str) -> bool:
+    """Whether a class, id or role consists of NAMES and COMPANIONS, with one of NAMES at least; numbers, and a prefix of up to three letters, don't count."""
     for m in _NAMED.finditer(attributes):
         for word in (m[1] or m[2] or m[3] or "").split():
-            parts = [p.lower() for p in _PART.split(word) if p]
-            if parts and parts[0] not in STATES and (NAMES.issuperset(parts) if whole else not NAMES.isdisjoint(parts)):
+            parts = [p.lower() for p in _PART.split(word) if p and not p.isdigit()]
+            if len(parts) > 1 and len(parts[0]) <= 3 and parts[0] not in NAMES and parts[0] not in STATES:
+                parts = parts[1:]
+            if not NAMES.isdisjoint(parts) and (NAMES | COMPANIONS).issuperset(parts):
                 return True
     return False
 
@@ -113,29 +120,37 @@ def marks(page: str) -> Iterator[tuple[int, int, str, str, str]]:
 class Token(NamedTuple):
     tag: str  # "#text", a name, or a name after a slash
     text: str
-    kind: str  # of the furniture element around, "" without one
     main: bool  # in a main element
-    block: int  # the innermost block around that is named like furniture, -1 without one
+    block: int  # the innermost block around that may be furniture, -1 without one
 
 
-def tokens(page: str) -> tuple[list[Token], list[int]]:
-    """The tokens of a page, and for each named block the one around it."""
+class Block:
+    """A block that may be furniture: of what kind, in which other, and how many main elements it holds."""
+
+    __slots__ = ("around", "kind", "mains")
+
+    def __init__(self, around: int, kind: str):
+        self.around, self.kind, self.mains = around, kind, 0
+
+
+def tokens(page: str) -> tuple[list[Token], list[Block], int]:
+    """The tokens of a page, its blocks (each after the one around it), and how many main elements it has that lie in no other."""
     out: list[Token] = []
-    outer: list[int] = []
-    open_: list[tuple[str, str, int, int]] = []  # name, and what was around: kind, main elements, block
+    blocks: list[Block] = []
+    open_: list[tuple[str, int, int]] = []  # name, and what was around: main elements, block
     where: dict[str, list[int]] = defaultdict(list)  # places in open_ by name
-    kind, mains, block, at, last_main = "", 0, -1, 0, [-1]
+    total, mains, block, at, last_main = 0, 0, -1, 0, [-1]
 
     def close(to: int) -> None:
-        nonlocal kind, mains, block
+        nonlocal mains, block
         while len(open_) > to:
-            name, kind, mains, block = open_.pop()
+            name, mains, block = open_.pop()
             where[name].pop()
             if name in MAIN:
                 last_main.pop()
 
     def put(tag: str, text: str = "") -> None:
-        out.append(Token(tag, text, kind, mains > 0, block))
+        out.append(Token(tag, text, mains > 0, block))
 
     for lo, hi, slash, name, attributes in marks(page):
         if lo < at:  # in a script or the like
@@ -165,18 +180,22 @@ def tokens(page: str) -> tuple[list[Token], list[int]]:
             elif name in ("li", "option", "tr", "td", "th", "dt", "dd") and open_ and open_[-1][0] == name:
                 close(len(open_) - 1)
             alone = name in VOID or attributes.rstrip().endswith("/")
-            before = kind, mains, block
+            before, kind = (mains, block), ""
             if name in FURNITURE and not (name == "header" and mains):
-                kind = kind or name
+                kind = name
             elif name not in ("html", "body") and attributes and _HIDDEN.search(attributes):
-                kind = kind or "hidden"
-            named = attributes and name not in ("html", "body") and not (name in MAIN and not mains) and named_like_furniture(attributes, name in SINGLE)
-            if named:
-                outer.append(block)
-                block = len(outer) - 1
-            elif name in MAIN and not mains:  # a main element isn't furniture because of how a wrapper around the page is named
-                kind, block = "", -1
-            mains += name in MAIN
+                kind = "hidden"
+            elif name not in ("html", "body", "main") and attributes and named_like_furniture(attributes):
+                kind = "named"
+            if kind:
+                blocks.append(Block(block, kind))
+                block = len(blocks) - 1
+            elif name in MAIN:
+                if not mains:
+                    total += 1
+                    if block >= 0:
+                        blocks[block].mains += 1
+                mains += 1
             if not alone:
                 where[name].append(len(open_))
                 open_.append((name, *before))
@@ -184,57 +203,90 @@ def tokens(page: str) -> tuple[list[Token], list[int]]:
                     last_main.append(len(open_) - 1)
             put(name)
             if alone:
-                kind, mains, block = before
+                mains, block = before
     if at < len(page):
         put("#text", page[at:])
-    return out, outer
-
-
-def classes(page: str) -> tuple[list[tuple[str, int]], list[Token]]:
-    """Class and words (1 for a tag) of each token of a page, and the tokens."""
-    found, outer = tokens(page)
-    held, total, link, count, links = [0] * len(outer), 0, 0, [], []
-    for t in found:
-        link = link + 1 if t.tag == "a" else max(0, link - 1) if t.tag == "/a" else link
-        n = len(t.text.split()) if t.tag == "#text" else 1
-        count.append(n)
-        links.append(link > 0)
-        if t.tag == "#text" and not t.kind and not link:
-            total += n
-            if t.block >= 0:
-                held[t.block] += n
-    for x in range(len(outer) - 1, -1, -1):
-        if outer[x] >= 0:
-            held[outer[x]] += held[x]
-    furniture: list[bool] = []
-    for x, around in enumerate(outer):
-        furniture.append(not held[x] or 2 * held[x] < total or around >= 0 and furniture[around])
-    named_main = any(t.main and t.tag == "#text" and not t.kind and n for t, n in zip(found, count, strict=True))
-    out = []
-    for t, n, a in zip(found, count, links, strict=True):
-        kind = t.kind or ("named" if t.block >= 0 and furniture[t.block] else "text")
-        if t.tag == "#text":
-            place = "in" if named_main and t.main else "beside" if named_main else "any"
-            out.append((f"word {place} {kind}" + " link" * a, n))
-        else:
-            tag = t.tag if t.tag.lstrip("/") in KNOWN else "other"
-            out.append(("tag beside" if named_main and not t.main else f"tag {tag}" + " furniture" * (kind != "text"), n))
-    return out, found
+    for b in reversed(blocks):
+        if b.around >= 0:
+            blocks[b.around].mains += b.mains
+    return out, blocks, total
+
+
+class Page:
+    """A page's tokens with their words, and the kinds of its blocks: "" for wrappers around the content."""
+
+    def __init__(self, page: str):
+        self.tokens, self.blocks, self.mains = tokens(page)
+        self.opened: set[int] = set()
+        link, self.words, self.links = 0, [], []
+        for t in self.tokens:
+            link = link + 1 if t.tag == "a" else max(0, link - 1) if t.tag == "/a" else link
+            self.words.append(len(t.text.split()) if t.tag == "#text" else 1)
+            self.links.append(link > 0)
+
+    def kinds(self) -> list[str]:
+        out: list[str] = []
+        for i, b in enumerate(self.blocks):
+            wrapper = i in self.opened or self.mains and b.mains == self.mains
+            out.append(b.around >= 0 and out[b.around] or ("" if wrapper else b.kind))
+        return out
+
+    def open(self, every: bool = False) -> bool:
+        """Takes the named block or form with the most words (outside links) for a wrapper, down to one that has words of its own."""
+        kinds, own = self.kinds(), [0] * len(self.blocks)
+        for t, n, a in zip(self.tokens, self.words, self.links, strict=True):
+            if t.tag == "#text" and t.block >= 0 and not a:
+                own[t.block] += n
+        held = own.copy()
+        inner: dict[int, list[int]] = defaultdict(list)
+        usable = [b.kind in ("named", "form") for b in self.blocks]
+        for i in range(len(self.blocks) - 1, -1, -1):
+            around = self.blocks[i].around
+            if usable[i]:
+                inner[around if around >= 0 and kinds[around] else -1].append(i)
+                if around >= 0:
+                    held[around] += held[i]
+        if every:
+            self.opened.update(i for i, u in enumerate(usable) if u)
+            return bool(self.opened)
+        at = -1
+        while choice := [i for i in inner[at] if held[i]]:
+            at = min(choice, key=lambda i: (-held[i], i))
+            self.opened.add(at)
+            if own[at]:
+                return True
+        return False
+
+    def classes(self) -> list[tuple[str, int]]:
+        """Class and words (1 for a tag) of each token."""
+        kinds = [*self.kinds(), ""]  # the last for tokens in no block
+        named_main = any(t.main and t.tag == "#text" and not kinds[t.block] and n for t, n in zip(self.tokens, self.words, strict=True))
+        out = []
+        for t, n, a in zip(self.tokens, self.words, self.links, strict=True):
+            kind = kinds[t.block] or "text"
+            if t.tag == "#text":
+                place = "in" if named_main and t.main else "beside" if named_main else "any"
+                out.append((f"word {place} {kind}" + " link" * a, n))
+            else:
+                tag = t.tag if t.tag.lstrip("/") in KNOWN else "other"
+                out.append(("tag beside" if named_main and not t.main else f"tag {tag}" + " furniture" * (kind != "text"), n))
+        return out
 
 
 def counts(page: str) -> Counter:
     """How often each class stands inside and outside the main element; empty if the page names none or several. A word is
     counted by its place, and as on a page that names no main element."""
-    scored, found = classes(page)
+    read = Page(page)
+    found, kinds = read.tokens, [*read.kinds(), ""]
     starts = sum(1 for a, b in zip([False, *(t.main for t in found)], (t.main for t in found), strict=False) if b and not a)
     out: Counter = Counter()
     if starts == 1:
-        for (kind, n), t in zip(scored, found, strict=True):
+        for (kind, n), t in zip(read.classes(), found, strict=True):
             out[kind, t.main] += n
             if kind.startswith("word"):
                 out[re.sub("^word (in|beside)", "word any", kind), t.main] += n
             elif kind == "tag beside":
-                out["tag " + (t.tag if t.tag.lstrip("/") in KNOWN else "other") + " furniture" * bool(t.kind), False] += n
+                out["tag " + (t.tag if t.tag.lstrip("/") in KNOWN else "other") + " furniture" * bool(kinds[t.block]), False] += n
     return out
 
 
@@ -301,15 +353,21 @@ def left_out(kind: str, score: float) -> bool:
 def extract(page: str | None, score: dict[str, float]) -> str:
     if not page:
         return ""
-    scored, found = classes(page)
-    values, out_of = [], []
-    for kind, n in scored:
-        v = score.get(kind)
-        v = default(kind) if v is None else v
-        gone = kind.startswith("word") and left_out(kind, v)
-        out_of.append(gone)
-        values.append(0.0 if gone else v * n)
-    lo, hi = region(values)
+    read = Page(page)
+
+    def scan() -> tuple[list[bool], int, int]:
+        values, gone = [], []
+        for kind, n in read.classes():
+            v = score.get(kind)
+            v = default(kind) if v is None else v
+            gone.append(kind.startswith("word") and left_out(kind, v))
+            values.append(0.0 if gone[-1] else v * n)
+        return gone, *region(values)
+
+    out_of, lo, hi = scan()
+    for every in (False, True):
+        if lo == hi and read.open(every):
+            out_of, lo, hi = scan()
     out, block, reached = [], [], False
 
     def close() -> None:
@@ -319,7 +377,7 @@ def extract(page: str | None, score: dict[str, float]) -> str:
             out.append(text)
         block, reached = [], False
 
-    for i, t in enumerate(found):
+    for i, t in enumerate(read.tokens):
         if t.tag == "#text":
             if not out_of[i]:
                 block.append(t.text)
