@@ -39,7 +39,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -127,8 +127,13 @@ def name_of(tokens: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(tokens.tobytes()) - 2**63
 
 
+def text_key(text: str) -> list[Column]:
+    """The text of a row, for equality: two hashes of 64 bits."""
+    return [F.xxhash64(text), F.xxhash64(F.lit("second"), text)]
+
+
 def described(docs: DataFrame) -> DataFrame:
-    """doc_id, n (tokens of its set), and name of the set, null where it is empty."""
+    """doc_id, the text's hashes, n (tokens of its set), and name of the set, null where it is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -136,9 +141,9 @@ def described(docs: DataFrame) -> DataFrame:
             for i, j in spans(texts):
                 sets = shingle_sets(texts[i:j].to_pylist(), SIZE)
                 names = pa.array([name_of(s) if len(s) else None for s in sets], pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column(0)[i:j], pa.array([len(s) for s in sets], pa.int64()), names], ["doc_id", "n", "name"])
+                yield pa.RecordBatch.from_arrays([b.column(0)[i:j], b.column(2)[i:j], b.column(3)[i:j], pa.array([len(s) for s in sets], pa.int64()), names], ["doc_id", "h1", "h2", "n", "name"])
 
-    return small_batches(docs).mapInArrow(run, "doc_id long, n long, name long")
+    return small_batches(docs).select("doc_id", "text", *(h.alias(n) for h, n in zip(text_key("text"), ("h1", "h2"), strict=True))).mapInArrow(run, "doc_id long, h1 long, h2 long, n long, name long")
 
 
 _PACKED = ["lo", "hi", "who", "names", "budgets"]
@@ -490,21 +495,27 @@ class _Join:
         of = self.written.keep(least.join(first, "label").select("name", "component"))
         self.written.drop(*(f for f, _ in list(self.written.paths.values()) if f is not of and f is not self.rows))
         own = F.coalesce("component", "doc_id")
-        out = self.rows.select("doc_id", "n", "name").join(of, "name", "left")
-        return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(own != NULL_ID, own).alias("component_id"))
+        out = self.rows.join(of, "name", "left")
+        return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(own != NULL_ID, own).alias("component_id"), own.alias("first"), "h1", "h2")
 
 
 def link_documents(df: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
-    return _Join(df).result()
+    return _Join(df).result().drop("first", "h1", "h2")
 
 
 def keep_one(df: DataFrame) -> DataFrame:
     """The rows of df, all columns, of which one document of each component stays: the rows with the smallest doc_id.
-    Documents with an empty set, and rows without a doc_id, all stay."""
-    (gone,) = fresh(df, "gone")
-    found = link_documents(df).where("component_id IS NOT NULL AND doc_id <> component_id").select(F.col("doc_id").alias(gone)).distinct()
-    return df.join(found, df["doc_id"] == found[gone], "left_anti")
+    A row goes by its doc_id and its text, so another text under the same doc_id stays unless it is linked itself.
+    Documents with an empty set, and rows without a doc_id, all stay; where one of these is in a component, it's the one."""
+    key, h1, h2 = fresh(df, "gone", "h1", "h2")
+    gone = _Join(df).result().where("doc_id <> first").select(F.col("doc_id").alias(key), F.col("h1").alias(h1), F.col("h2").alias(h2)).distinct()
+    # the text as the join reads it, in names that df doesn't have
+    one, two, text = fresh(df, "__h1", "__h2", "__text")
+    whole = df.withColumn(text, F.coalesce(F.col("text").cast("string"), F.lit("")))
+    whole = whole.withColumns(dict(zip((one, two), text_key(text), strict=True))).drop(text)
+    same = (F.col("doc_id").cast("long") == F.col(key)) & (F.col(one) == F.col(h1)) & (F.col(two) == F.col(h2))
+    return whole.join(gone, same, "left_anti").select(*[f"`{c}`" for c in df.columns])
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

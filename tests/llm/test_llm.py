@@ -190,6 +190,17 @@ def test_jaccard_with_repeated_and_null_ids(spark):
     assert Counter((r.doc_id, r.component_id) for r in got) == Counter([(5, 3), (5, 5), (3, 3), (9, 5), (None, None), (7, None), (None, None), (8, 8)])
 
 
+def test_one_document_of_each_group_stays_by_text(spark):
+    """A near copy goes, but not an unrelated text that stands under the same doc_id; columns may clash."""
+    a, b, c = (words(60) for _ in range(3))
+    near = a.rsplit(" ", 1)[0] + " other"
+    rows = [(1, a, 0), (5, near, 1), (5, b, 2), (7, c, 3), (None, near, 4), (8, None, 5), (8, "", 6), (5, near, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, h1 int")
+    assert sorted(r.h1 for r in jaccard_join.keep_one(df).collect()) == [2, 3, 4, 5, 6]
+    assert sorted(r.h1 for r in jaccard_join.keep_one(df.where("doc_id IS NOT NULL")).collect()) == [0, 2, 3, 5, 6]
+    assert jaccard_join.keep_one(df).columns == df.columns and jaccard_join.keep_one(df.limit(0)).count() == 0
+
+
 def test_jaccard_blocks(spark, monkeypatch):
     """Cells above the block size are compared block by block, and lose no link."""
     monkeypatch.setattr(jaccard_join, "BLOCK", 2000)
@@ -344,6 +355,27 @@ def timed(f, x):
     return time.process_time() - began
 
 
+def test_html_comments_and_notices_go_however_long():
+    text = lambda i, n: " ".join(WORDS[i : i + n])
+    story, want = f"<p>{text(0, 40)}</p><p>{text(50, 30)}</p>", f"{text(0, 40)}\n{text(50, 30)}"
+    said = "".join(f"<p>{text(100 + 20 * i, 20)}</p>" for i in range(8))
+    several = "".join(f"<article class=comment><p>{text(100 + 40 * i, 40)}</p></article>" for i in range(4))
+    for score in ({}, {"word any text": 1.0}):
+        for page in (
+            f"<div>{story}</div><div class='comments'>{said}</div>",
+            f"<main>{story}<div class='comments'>{said}</div></main>",
+            f"<article>{story}</article><section id=comments>{several}</section>",
+            f"<article>{story}</article><section id=comments>{several.replace(' class=comment', '')}</section>",
+            f"<article>{story}</article><aside>{several.replace(' class=comment', '')}</aside>",
+            f"<form><div class=site-header>{text(200, 9)}</div><article>{story}</article></form>",
+            f"<div class=commentsWrapper>{story}<div class=cookie-notice>{said}</div></div>",
+        ):
+            assert html_extract.extract(f"<body>{page}</body>", score) == want
+    assert html_extract.extract(f"<body><p>{text(0, 20)}</p><div class=cookie-notice>{text(100, 60)}</div></body>", {}) == text(0, 20)
+    kept = f"<main><p>{text(0, 20)}</p><section class='social-history'>{text(100, 60)}</section><section id='related-work'>{text(200, 9)}</section></main>"
+    assert html_extract.extract(kept, {}) == "\n".join([text(0, 20), text(100, 60), text(200, 9)])
+
+
 def test_html_region_is_the_best_of_all():
     r = random.Random(8)
     for _ in range(300):
