@@ -266,30 +266,6 @@ def _scored(t: Tables) -> DataFrame:
     return d.select("doc_id", "source", (F.col("quality") == 1).alias("y"), F.round(((F.col("n_chars").cast("long") * 7919) % 1009) / 1009.0, 6).alias("p"))
 
 
-_FOLD = "CAST('0x' || substr(sha256('fold:' || source), 1, 8) AS BIGINT) % 5"
-
-
-def _fold() -> Column:
-    return (F.conv(F.substring(F.sha2(F.concat(F.lit("fold:"), "source"), 256), 1, 8), 16, 10).cast("long") % 5).alias("fold")
-
-
-@query(f"""WITH {_SC}, f AS (SELECT *, {_FOLD} AS fold FROM s), c AS (SELECT a.fold, t.cut, count(*) FILTER (b.y AND b.p >= cut) AS tp, count(*) FILTER (b.y) AS pos, count(*) FILTER (NOT b.y AND b.p < cut) AS tn, count(*) FILTER (NOT b.y) AS neg FROM (SELECT DISTINCT fold FROM f) a, (SELECT unnest([0.1, 0.3, 0.5, 0.7, 0.9]) AS cut) t, f b WHERE b.fold <> a.fold GROUP BY a.fold, t.cut),
-m AS (SELECT fold, arg_max(cut, struct_pack(s := round((tp / greatest(pos, 1) + tn / greatest(neg, 1)) / 2.0, 9), c := -cut)) AS cut FROM c GROUP BY fold) SELECT f.fold, CAST(m.cut AS DOUBLE) AS cut, count(*) AS n, count(*) FILTER (y AND p >= cut) AS tp, count(*) FILTER (NOT y AND p >= cut) AS fp, count(*) FILTER (y AND p < cut) AS fn FROM f JOIN m ON f.fold = m.fold GROUP BY f.fold, m.cut""")
-def grouped_fold_evaluation(t: Tables) -> DataFrame:
-    """Five folds by source: the cut of the best balanced accuracy on four decides on the fifth. Counts by fold and cut are
-    made once; each fold's training counts are the total less its own."""
-    f = _scored(t).select("*", _fold())
-    cut = f.withColumn("cut", F.explode(F.array(*[F.lit(x) for x in (0.1, 0.3, 0.5, 0.7, 0.9)])))
-    hit = F.col("p") >= F.col("cut")
-    c = cut.groupBy("fold", "cut").agg(F.count_if(F.col("y") & hit).alias("tp"), F.count_if("y").alias("pos"), F.count_if(~F.col("y") & ~hit).alias("tn"), F.count_if(~F.col("y")).alias("neg"), n_rows().alias("n"))
-    w = W.partitionBy("cut")  # a row for each fold
-    less = lambda x: F.sum(x).over(w) - F.col(x)
-    score = F.round((less("tp") / F.greatest(less("pos"), F.lit(1)) + less("tn") / F.greatest(less("neg"), F.lit(1))) / 2, 9)
-    d = c.withColumn("score", score)
-    best = d.groupBy("fold").agg(F.max_by(F.struct("cut", "n", "tp", "pos", "tn", "neg"), F.struct(F.col("score"), -F.col("cut"))).alias("x"))
-    return best.select("fold", "x.cut", "x.n", "x.tp", (F.col("x.neg") - F.col("x.tn")).alias("fp"), (F.col("x.pos") - F.col("x.tp")).alias("fn"))
-
-
 @query(f"""WITH {_SC}, g AS (SELECT p, count(*) FILTER (y) AS pos, count(*) AS n FROM s GROUP BY p), c AS (SELECT p, pos, sum(pos) OVER (ORDER BY p DESC) AS tp, sum(n) OVER (ORDER BY p DESC) AS k FROM g), a AS (SELECT sum(pos * tp::DOUBLE / k) / sum(pos) AS ap FROM c), f AS (SELECT count(*) FILTER (y AND p >= 0.5) AS tp, count(*) FILTER (NOT y AND p >= 0.5) AS fp, count(*) FILTER (y AND p < 0.5) AS fn FROM s) SELECT round(ap, 6) AS average_precision, round(2.0 * tp / (2 * tp + fp + fn), 6) AS f1 FROM a, f""")
 def average_precision(t: Tables) -> DataFrame:
     """Average precision and F1 at one half; the curve is summed in ranges of scores."""
@@ -324,18 +300,6 @@ def rule_error_lists(t: Tables) -> DataFrame:
     return _scored(t).groupBy("source").agg(ids(hit & ~F.col("y")).alias("false_hits"), ids(~hit & F.col("y")).alias("misses"), n_rows().alias("n"))
 
 
-@query("WITH d AS (SELECT d.doc_id, CAST('0x' || substr(sha256('exp:' || source), 1, 8) AS BIGINT) % 10 AS f, quality = 1 AS y, d.n_chars >= 1500 AS a, lang = 'en' AS b FROM labels l JOIN documents d ON l.doc_id = d.doc_id), x AS (SELECT *, CASE WHEN f < 6 THEN 'train' WHEN f < 8 THEN 'calibration' ELSE 'test' END AS side, CASE WHEN a AND b THEN 'both' WHEN a THEN 'a' WHEN b THEN 'b' ELSE 'none' END AS pattern FROM d), m AS (SELECT pattern, (count(*) FILTER (y) + 1.0) / (count(*) + 2.0) AS p FROM x WHERE side = 'train' GROUP BY pattern) SELECT side, count(*) AS n, round(avg(CASE WHEN (coalesce(m.p, 0.5) >= 0.5) = y THEN 1.0 ELSE 0.0 END), 6) AS model, round(avg(CASE WHEN a = y THEN 1.0 ELSE 0.0 END), 6) AS single_rule, round(avg(CASE WHEN y THEN 1.0 ELSE 0.0 END), 6) AS always_yes FROM x LEFT JOIN m ON x.pattern = m.pattern GROUP BY side")
-def split_experiment(t: Tables) -> DataFrame:
-    """Sources split into train, calibration and test; a model of vote patterns fitted on train, beside two baselines."""
-    d = t.labels.join(t.documents.select("doc_id", "source", "n_chars", "lang"), "doc_id")
-    f = F.conv(F.substring(F.sha2(F.concat(F.lit("exp:"), "source"), 256), 1, 8), 16, 10).cast("long") % 10
-    a, b = F.col("n_chars") >= 1500, F.col("lang") == "en"
-    x = d.select((F.col("quality") == 1).alias("y"), a.alias("a"), F.when(f < 6, "train").when(f < 8, "calibration").otherwise("test").alias("side"), F.when(a & b, "both").when(a, "a").when(b, "b").otherwise("none").alias("pattern"))
-    m = x.where("side = 'train'").groupBy("pattern").agg(((F.count_if("y") + 1.0) / (n_rows() + 2.0)).alias("p"))
-    j = x.join(F.broadcast(m), "pattern", "left")  # four patterns
-    rate = lambda c: F.round(F.avg(c.cast("double")), 6)
-    return j.groupBy("side").agg(n_rows().alias("n"), rate((F.coalesce("p", F.lit(0.5)) >= 0.5) == F.col("y")).alias("model"), rate(F.col("a") == F.col("y")).alias("single_rule"), rate(F.col("y")).alias("always_yes"))
-
 
 VOTE = {"v1": ([-1, 0, 1, 1], 673), "v2": ([-1, 0, 1], 677), "v3": ([0, 1, 1, -1], 683)}
 

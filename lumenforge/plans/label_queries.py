@@ -9,6 +9,7 @@ from ..functions import stats
 from ..functions.contracts import gate
 from ..functions.hashing import split
 from ..operators import labelmodel
+from ..operators.shared import written
 from .registry import Tables, query
 
 #: lf_id, family, vote, SQL condition in the dialect of Spark and of the oracle.
@@ -94,11 +95,22 @@ def shadow_band_counts(t: Tables) -> DataFrame:
     return labelmodel.score(labelmodel.collapse(votes(t)), gates(t), FIXED).groupBy("band").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+#: Votes of the families of every document, and the counts of their patterns, for the fit in SQL.
+WIDE = f"wide AS (SELECT d.doc_id AS item_id, [{', '.join(f'coalesce(max(vote) FILTER (family = {f!r}), 0)' for f in FAMILIES)}] AS v FROM documents d LEFT JOIN fam ON fam.item_id = d.doc_id GROUP BY d.doc_id)"
+BAND = """CASE WHEN {failed} THEN 'gate_failed_review' WHEN list_count(list_filter(v, lambda x: x <> 0)) = 0 OR {unknown} THEN 'insufficient_evidence_abstain'
+ WHEN list_contains(v, 1) AND list_contains(v, -1) THEN 'disagreement_manual_review' WHEN posterior >= 0.9 AND list_contains(v, 1) THEN 'high_confidence_candidate'
+ WHEN posterior >= 0.9 THEN 'insufficient_evidence_abstain' WHEN posterior <= 0.1 THEN 'likely_failure_or_reroute' ELSE 'insufficient_evidence_abstain' END"""
+
+
+@query(f"""WITH RECURSIVE {FAMILY}, {WIDE}, patterns AS MATERIALIZED (SELECT v, count(*) AS n FROM wide GROUP BY v), {labelmodel.fit_sql('patterns', FAMILIES)},
+post AS (SELECT item_id, v, round({labelmodel.posterior_sql('v', FAMILIES)}, 6) AS posterior FROM wide, model)
+SELECT item_id, posterior, {BAND.format(failed='d.n_chars < 50 OR coalesce(l.toxic, 0) <> 0', unknown='l.toxic IS NULL')} AS band, CAST(list_count(list_filter(v, lambda x: x <> 0)) AS INTEGER) AS families, CAST(NULL AS INTEGER) AS acceptance_label, false AS delete_media
+FROM post JOIN documents d ON d.doc_id = item_id LEFT JOIN labels l ON l.doc_id = item_id""")
 def flagship_shadow_rank(t: Tables) -> DataFrame:
-    """Votes, family collapse, the fitted label model, gates, bands, and a rank by posterior with a total order."""
-    collapsed = labelmodel.collapse(votes(t))
-    model = labelmodel.fit(collapsed, FAMILIES)
+    """Votes, family collapse, the fitted label model, gates, bands, and a rank by posterior with a total order. The collapsed votes
+    are written once; fit and scores read them."""
+    collapsed = written(labelmodel.collapse(votes(t)), "votes")
+    model = labelmodel.fit(collapsed, FAMILIES, items=t.documents.select(F.col("doc_id").alias("item_id")))
     out = labelmodel.score(collapsed, gates(t), model)
     return out.select("item_id", "posterior", "band", F.size("family_votes").alias("families"), F.lit(None).cast("int").alias("acceptance_label"), F.lit(False).alias("delete_media")).orderBy(F.desc("posterior"), "item_id")
 

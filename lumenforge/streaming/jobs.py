@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.shared import folder
+
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
@@ -64,16 +65,6 @@ def alerts(batch: DataFrame, rules: dict[str, Column]) -> DataFrame:
     return batch.withColumn("alerts", met).where(F.size("alerts") > 0)
 
 
-def folder(spark: SparkSession) -> str:
-    """The folder all executors share, as the session names it; made when unset only in local mode, where all share one machine."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="lumenforge-")
-    return found
-
-
 def run_to_table(df: DataFrame, name: str, mode: str = "append", keys: list[str] | None = None) -> DataFrame:
     """Runs a stream over all that is there and returns what it wrote; state and output lie in the shared folder. With keys, as
     "update" needs, the last batch's row of each key."""
