@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.shared import folder
+from .crawl import Batches
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -28,18 +27,32 @@ def sessions(events: DataFrame, gap: str = "2 hours", late: str = "1 day") -> Da
     return g.select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
-def _step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """A find resets the streak, an error leaves it, anything else lengthens it. The state is one number for each user."""
-    rows = pd.concat(list(batches)).sort_values(["at", "event_id"])
-    streak = state.get[0] if state.exists else 0
-    for kind in rows["event_type"]:
-        streak = 0 if kind == "purchase" else streak if kind == "error" else streak + 1
-    state.update((streak,))
-    yield pd.DataFrame({"user_id": [key[0]], "streak": [streak], "cooldown": [0.0 if streak == 0 else min(7200.0, 600.0 * 2 ** min(streak - 1, 20))]})
+COOLDOWN = "user_id long, streak long, cooldown double"
 
 
-def cooldowns(events: DataFrame) -> DataFrame:
-    return events.select("user_id", "at", "event_id", "event_type").groupBy("user_id").applyInPandasWithState(_step, "user_id long, streak long, cooldown double", "streak long", "update", GroupStateTimeout.NoTimeout)
+def cooldown_batch(table: Batches, rows: DataFrame, number: int) -> None:
+    """For foreachBatch: a find resets a user's streak, an error leaves it, anything else lengthens it. A batch is summed by user before
+    it meets the streaks so far, so no task holds the rows of a user, however many."""
+    d = rows.select("user_id", "event_type", F.struct("at", "event_id").alias("k"))
+    last = d.where("event_type = 'purchase'").groupBy("user_id").agg(F.max("k").alias("last"))
+    own = F.col("user_id").eqNullSafe(F.col("u"))
+    counted = ~F.col("event_type").isin("purchase", "error") & (F.col("last").isNull() | (F.col("k") > F.col("last")))
+    now = d.join(last.withColumnRenamed("user_id", "u"), own, "left").groupBy("user_id").agg(F.count_if(counted).alias("more"), F.max(F.col("last").isNotNull()).alias("found"))
+    both = now.select("user_id", "more", "found", F.lit(0).cast("long").alias("streak")).unionByName(table.last(number).select("user_id", F.lit(0).cast("long").alias("more"), F.lit(False).alias("found"), "streak"))
+    streak = F.when(F.max("found"), F.lit(0)).otherwise(F.sum("streak")) + F.sum("more")
+    sums = both.groupBy("user_id").agg(streak.cast("long").alias("streak"))
+    table.put(number, sums.withColumn("cooldown", F.when(F.col("streak") == 0, 0.0).otherwise(F.least(F.lit(7200.0), 600.0 * F.pow(F.lit(2.0), F.least(F.col("streak") - 1, F.lit(20)))))))
+    table.forget()
+
+
+def cooldowns(events: DataFrame, base: str | None = None) -> DataFrame:
+    """Runs the stream of events over all that is there and returns user_id, streak and cooldown; a later run with the same base goes on."""
+    spark = events.sparkSession
+    base = base or f"{folder(spark)}/stream-cooldowns-{uuid.uuid4().hex}"
+    table = Batches(spark, f"{base}/streaks", COOLDOWN)
+    query = events.writeStream.foreachBatch(lambda rows, number: cooldown_batch(table, rows, number)).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return table.last()
 
 
 def tumbling(events: DataFrame, size: str = "6 hours", step: str | None = None, late: str = "1 day") -> DataFrame:
