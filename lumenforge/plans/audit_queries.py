@@ -403,11 +403,12 @@ def train_test_split(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.when(f < 0.7, "train").otherwise("test").alias("side"))
 
 
-@query("""WITH v AS (SELECT vec_id, list_transform(range(1, 5), lambda i: embedding[i]::DOUBLE) AS e, label FROM embeddings) SELECT vec_id, 'scene.' || (i - 1) AS feature, round(e[i], 6) AS value FROM v, range(1, 5) t(i) UNION ALL SELECT vec_id, 'meta.label', CAST(label AS DOUBLE) FROM v""".replace("t(i)", "AS t(i)"))
+@query("""SELECT vec_id, 'scene.' || (i - 1) AS feature, round(embedding[i]::DOUBLE, 6) AS value FROM embeddings, unnest(range(1, len(embedding) + 1)) AS u(i) UNION ALL SELECT vec_id, 'meta.label', CAST(label AS DOUBLE) FROM embeddings""")
 def flattened_features(t: Tables) -> DataFrame:
-    """Nested sections as named features: a vector by place, other fields by name."""
-    scene = F.map_from_entries(F.transform(F.slice("embedding", 1, 4), lambda x, i: F.struct(F.concat(F.lit("scene."), i.cast("string")), F.round(x.cast("double"), 6))))
-    return t.embeddings.select("vec_id", F.explode(F.map_concat(scene, F.create_map(F.lit("meta.label"), F.col("label").cast("double")))).alias("feature", "value"))
+    """Nested sections as named features: a vector by place, all of it, other fields by name."""
+    scene = F.transform("embedding", lambda x, i: F.struct(F.concat(F.lit("scene."), i.cast("string")).alias("feature"), F.round(x.cast("double"), 6).alias("value")))
+    label = F.array(F.struct(F.lit("meta.label").alias("feature"), F.col("label").cast("double").alias("value")))
+    return t.embeddings.select("vec_id", F.explode(F.concat(scene, label)).alias("x")).select("vec_id", "x.*")
 
 
 @query("""WITH f AS (SELECT unnest(['scene.a', 'scene.b', 'meta.x', 'text.n']) AS feature) SELECT doc_id, split_part(feature, '.', 1) AS section, count(*) AS n FROM documents, f WHERE NOT (feature = 'text.n' AND doc_id % 2 = 0) GROUP BY doc_id, 2""")
@@ -428,10 +429,10 @@ def rebased_segments(t: Tables) -> DataFrame:
     return d.select("conv_id", F.explode(cut).alias("x")).select("conv_id", "x.*")
 
 
-@query("WITH o AS (SELECT doc_id, doc_id % 7 AS idx FROM documents), n AS (SELECT DISTINCT doc_id // 7 AS k FROM documents) SELECT k, count(*) AS n FROM n JOIN documents d ON d.doc_id // 7 = k GROUP BY k")
+@query("WITH h AS (SELECT doc_id // 7 AS k, doc_id, source FROM documents WHERE doc_id % 14 = 0), n AS (SELECT doc_id // 7 AS k, doc_id, source FROM documents WHERE doc_id % 14 <> 0 QUALIFY row_number() OVER (PARTITION BY doc_id // 7 ORDER BY source, doc_id) = 1) SELECT k, doc_id, source, false AS new FROM h UNION ALL SELECT k, doc_id, source, true FROM n WHERE k NOT IN (SELECT k FROM h)")
 def insert_or_ignore(t: Tables) -> DataFrame:
-    """Keys enter a table once: rows whose key is there are ignored, of new ones the first stays."""
-    d = t.documents.select(F.expr("doc_id div 7").alias("k"), "doc_id")
-    held = relational.insert_new(d.where("doc_id % 14 = 0"), d, ["k"], [F.col("doc_id").asc()])
-    every = d.where("doc_id % 14 = 0").select("k").unionByName(held.select("k")).distinct()
-    return every.join(d.groupBy("k").agg(n_rows().alias("n")), "k")
+    """Keys enter a table once: rows whose key is there are ignored, of new ones the first by source and number stays."""
+    d = t.documents.select(F.expr("doc_id div 7").alias("k"), "doc_id", "source")
+    held, incoming = d.where("doc_id % 14 = 0"), d.where("doc_id % 14 <> 0")
+    added = relational.insert_new(held, incoming, ["k"], ["source", "doc_id"])
+    return held.withColumn("new", F.lit(False)).unionByName(added.withColumn("new", F.lit(True)))

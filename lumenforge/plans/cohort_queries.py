@@ -119,9 +119,10 @@ def matched_negatives(t: Tables) -> DataFrame:
     d = t.documents.select("doc_id", "source")
     src = d.where("doc_id % 9 = 0").select("source").distinct().withColumn("known", F.lit(True))
     n = d.where("doc_id % 9 > 0 AND doc_id % 4 < 2").join(src, "source", "left").select("doc_id", "source", (F.coalesce("known", F.lit(False)) & (F.col("doc_id") % 4 == 1)).alias("matched"))
-    c = n.agg(F.count_if("matched").alias("c")).join(d.agg(n_rows().alias("total")), F.lit(True))  # one row of counts
-    have, total = c.first()
-    rest = n.where("NOT matched").orderBy("source", "doc_id").limit(max(0, total // 3 - have))
+    have = F.broadcast(n.agg(F.count_if("matched").alias("have")))  # one row, as the next
+    room = F.broadcast(d.agg(F.floor(n_rows() / 3).alias("third")))
+    placed = ranks.numbered(n.where("NOT matched"), [], ["source", "doc_id"], "place").join(have, F.lit(True)).join(room, F.lit(True))
+    rest = placed.where("place < greatest(0, third - have)").select(*n.columns)
     return n.where("matched").unionByName(rest)
 
 
@@ -219,21 +220,18 @@ def ranked_review(t: Tables) -> DataFrame:
     return d.select("doc_id", score.alias("score")).orderBy(F.desc("score"), "doc_id").limit(100)
 
 
-@query("""WITH RECURSIVE s AS (SELECT user_id, n FROM (SELECT user_id, count(*) AS n FROM events WHERE user_id IS NOT NULL GROUP BY user_id) WHERE n > 2), p AS (SELECT user_id, n, [0, n - 1, n // 2] AS held FROM s UNION ALL
-SELECT user_id, n, list_append(held, list_extract(list_sort([struct_pack(d := -list_min(list_transform(held, lambda h: abs(h - i))), i := i) FOR i IN range(0, n) IF NOT list_contains(held, i)]), 1).i) FROM p WHERE len(held) < least(n, 8)) SELECT user_id, arg_max(held, len(held)) AS places FROM p GROUP BY user_id""")
+@query("""WITH RECURSIVE o AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS ordinal FROM events WHERE user_id IS NOT NULL), s AS (SELECT user_id, count(*) AS n FROM o GROUP BY user_id),
+p AS (SELECT user_id, n, CASE WHEN n > 2 THEN [0, n - 1, n // 2] ELSE range(n) END AS held FROM s UNION ALL
+SELECT user_id, n, list_append(held, list_extract(list_sort([struct_pack(d := -list_min(list_transform(held, lambda h: abs(h - i))), i := i) FOR i IN range(0, n) IF NOT list_contains(held, i)]), 1).i) FROM p WHERE len(held) < n),
+f AS (SELECT user_id, arg_max(held, len(held)) AS places FROM p GROUP BY user_id) SELECT o.user_id, o.event_id, o.ordinal, list_position(f.places, o.ordinal) - 1 AS place FROM o JOIN f USING (user_id)""")
 def farthest_first_order(t: Tables) -> DataFrame:
-    """The first eight ordinals of each user's rows: first, last and middle, then always the one farthest from those taken."""
-    s = t.events.where("user_id IS NOT NULL").groupBy("user_id").agg(n_rows().alias("n")).where("n > 2")
-
-    def more(held: Column, _: Column) -> Column:
-        # between two neighbours the farthest place is their middle: no place needs to be compared with all others
-        a = F.array_sort(held)
-        gaps = F.transform(F.sequence(F.lit(1), F.size(a) - 1), lambda k: F.struct((-F.floor((F.element_at(a, k + 1) - F.element_at(a, k)) / 2)).alias("d"), (F.element_at(a, k) + F.floor((F.element_at(a, k + 1) - F.element_at(a, k)) / 2)).alias("i")))
-        best = F.array_min(gaps)
-        return F.when(best["d"] < 0, F.array_append(held, best["i"])).otherwise(held)
-
-    start = F.array(F.lit(0).cast("long"), F.col("n") - 1, F.floor(F.col("n") / 2))
-    return s.select("user_id", F.aggregate(F.sequence(F.lit(1), F.lit(5)), start, more).alias("places"))
+    """The place of each of a user's rows in an order that covers them evenly at every length: first, last and middle, then always the
+    one farthest from those taken. Places come from a sort by a distance that each row knows by itself, in ranges."""
+    o = ranks.numbered(t.events.where("user_id IS NOT NULL").select("user_id", "event_id"), ["user_id"], ["event_id"], "ordinal")
+    n = o.groupBy("user_id").agg(n_rows().alias("n"))
+    key = ranks.spread_out(F.col("n"), F.col("ordinal"))
+    d = o.join(n, "user_id").withColumn("key", key).select("user_id", "event_id", "ordinal", F.col("key.d").alias("d"), F.col("key.i").alias("i"))
+    return ranks.numbered(d, ["user_id"], ["d", "i"], "place").select("user_id", "event_id", "ordinal", "place")
 
 
 @query("""WITH RECURSIVE s AS (SELECT user_id, epoch(ts) AS x, row_number() OVER (PARTITION BY user_id ORDER BY epoch(ts), CASE event_type WHEN 'purchase' THEN 0 ELSE 1 END, event_id) AS k, event_id FROM events WHERE user_id IS NOT NULL), g AS (SELECT user_id, k, x AS last, event_id, true AS kept FROM s WHERE k = 1
@@ -292,12 +290,12 @@ def balanced_threshold(t: Tables) -> DataFrame:
     return m.orderBy(F.desc("score"), "side", "cut").limit(1).select("side", F.round("cut", 6).alias("cut"), "score")
 
 
-@query(f"WITH {_SC}, r AS (SELECT source, y, p >= 0.7 AS rule FROM s) SELECT source, coalesce(list_sort(list(doc_id) FILTER (rule AND NOT y)), []) AS false_hits, coalesce(list_sort(list(doc_id) FILTER (NOT rule AND y)), []) AS misses, count(*) AS n FROM (SELECT source, doc_id, y, p >= 0.7 AS rule FROM s) GROUP BY source")
+@query(f"WITH {_SC}, e AS (SELECT source, CASE WHEN y THEN 'miss' ELSE 'false_hit' END AS kind, doc_id FROM s WHERE (p >= 0.7) <> y) SELECT source, kind, doc_id, count(*) OVER (PARTITION BY source, kind) AS of_kind FROM e")
 def rule_error_lists(t: Tables) -> DataFrame:
-    """The items that a frozen rule gets wrong, by source and kind of error."""
-    hit = F.col("p") >= 0.7
-    ids = lambda c: F.array_sort(F.collect_list(F.when(c, F.col("doc_id"))))
-    return _scored(t).groupBy("source").agg(ids(hit & ~F.col("y")).alias("false_hits"), ids(~hit & F.col("y")).alias("misses"), n_rows().alias("n"))
+    """Each item that a frozen rule gets wrong, by source and kind of error, with how many of the kind there are."""
+    e = _scored(t).where((F.col("p") >= 0.7) != F.col("y")).select("source", F.when(F.col("y"), "miss").otherwise("false_hit").alias("kind"), "doc_id")
+    return e.join(e.groupBy("source", "kind").agg(n_rows().alias("of_kind")), ["source", "kind"])
+
 
 
 

@@ -91,7 +91,7 @@ def content_duplicates(t: Tables) -> DataFrame:
 
 @query("""SELECT doc_id, rank FROM (SELECT doc_id, row_number() OVER (PARTITION BY lower(trim(text)), round_even(n_chars / 2.0, 0) ORDER BY doc_id) AS rank FROM documents) WHERE rank > 1""")
 def duplicate_losers(t: Tables) -> DataFrame:
-    return relational.duplicate_losers(t.documents.select("doc_id", "text", "n_chars"), [F.sha2(F.lower(F.trim("text")), 256), F.bround(F.col("n_chars") / 2)], [F.col("doc_id")]).select("doc_id", "rank")
+    return relational.duplicate_losers(t.documents.select("doc_id", "text", "n_chars"), [F.sha2(F.lower(F.trim("text")), 256), F.bround(F.col("n_chars") / 2)], ["doc_id"]).select("doc_id", "rank")
 
 
 @query("""WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)
