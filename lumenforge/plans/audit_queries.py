@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import text, vectors
+from ..functions import json_walk, text, vectors
 from ..operators import intervals, relational
 from .atoms import atoms_sql, pick, pick_sql, with_atoms
 from .registry import Tables, query
@@ -248,11 +248,15 @@ def manifest_merge_check(t: Tables) -> DataFrame:
     return j.select("rows_in", "items", (F.col("rows_in") - F.col("items")).alias("repeated"), "first_index", "last_index", ((F.col("ks") == F.col("last_index") + 1) & (F.col("first_index") == 0)).alias("gapless"), ((F.col("rows_in") == F.col("items")) & (F.col("ks") == F.col("rows_in"))).alias("disjoint"))
 
 
-@query("WITH h AS (SELECT page_id, unnest(regexp_extract_all(html, '\"(/[a-z]+)\"', 1)) AS uid FROM pages UNION ALL SELECT event_id, json_extract_string(props, '$.k') FROM events) SELECT DISTINCT uid FROM h WHERE uid IS NOT NULL")
+_ARTEFACT = """repeat('{{"rows": [', ({n} % 40){int}) || '{{"uid": " d' || {n} || '", "at": 3, "more": [{{"item_id": "witnessed:' || coalesce(source, '') || ':' || {n} || '"}}, {{"candidate_id": "other:x:1", "video_id": ""}}, "uid"]}}' || repeat(']}}', ({n} % 40){int})"""
+
+
+@query(f"WITH a AS (SELECT CAST({_ARTEFACT.format(n='doc_id', int='::INTEGER')} AS JSON) AS x FROM documents UNION ALL SELECT CAST(props AS JSON) FROM events WHERE json_valid(props)), k AS (SELECT t.key, t.atom ->> '$' AS v FROM a, json_tree(a.x) AS t WHERE t.type = 'VARCHAR') SELECT DISTINCT uid FROM (SELECT CASE WHEN key IN ('uid', 'video_id', 'source_uid') THEN nullif(trim(v), '') ELSE nullif(regexp_extract(trim(v), '^(?:instructional|witnessed|commentary):([^:]+):', 1), '') END AS uid FROM k WHERE key IN ('uid', 'video_id', 'source_uid', 'item_id', 'candidate_id')) WHERE uid IS NOT NULL")
 def uid_harvest(t: Tables) -> DataFrame:
-    """Ids found in artefacts of any form, as one set."""
-    a = t.pages.select(F.explode(F.regexp_extract_all("html", F.lit('"(/[a-z]+)"'), 1)).alias("uid"))
-    return a.unionByName(t.events.select(F.get_json_object("props", "$.k").alias("uid"))).where("uid IS NOT NULL").distinct()
+    """Ids found in JSON artefacts at any depth, as one set."""
+    a = t.documents.select(F.expr(_ARTEFACT.format(n="doc_id", int="") .replace("(doc_id % 40)", "cast(doc_id % 40 as int)")).alias("x")).unionByName(t.events.select(F.col("props").alias("x")))
+    return json_walk.harvested(a, "x")
+
 
 
 @query("WITH r AS (SELECT doc_id, doc_id % 40 AS item, CASE WHEN doc_id % 3 = 0 THEN 'e' END AS err FROM documents) SELECT item, coalesce(arg_min(doc_id, doc_id) FILTER (err IS NULL), min(doc_id)) AS doc_id, bool_and(err IS NOT NULL) AS failed FROM r GROUP BY item")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import json_walk, text
 from ..operators import intervals, relational
 from .atoms import atoms_sql, pick, pick_sql, with_atoms
 from .registry import Tables, query
@@ -90,16 +90,18 @@ def media_timing(t: Tables) -> DataFrame:
     return d.select("doc_id", F.col("s").alias("timeline_start"), F.col("e").alias("timeline_end"), F.round(cover, 6).alias("coverage"), F.when(~F.col("video"), F.array(F.lit("no_video_stream"))).otherwise(flags).alias("flags"))
 
 
-TRANSFORMS = ['{"op": "crop"}', '{"op": "trim", "prior_transform": {"op": "mute", "audio_removed": true}}', '{"op": "x", "prior_transform": {"op": "y", "prior_transform": {"audio_removed": true}}}', '{"audio_removed": true}', '{"audio_removed": false, "prior_transform": {"op": "z"}}', None]
+#: Chains of transforms as long as the document's number says, up to sixty steps, ending in one of these.
+TRANSFORMS = ['{"op": "crop"}', '{"op": "mute", "audio_removed": true}', '{"output_audio_removed": true}', '{"audio_removed": false}', '{"audio_removed": "true"}', '{"op": "x", "note": "prior_transform"}']
 
 
-@query(f"SELECT doc_id, coalesce(contains(x, '\"audio_removed\": true'), false) AS removed FROM (SELECT doc_id, {pick_sql('doc_id', TRANSFORMS, 821)} AS x FROM documents)")
+@query(f"""WITH RECURSIVE c AS (SELECT doc_id, CAST(repeat('{{"op": "cut", "audio_removed": false, "prior_transform": ', (doc_id % 61)::INTEGER) || {pick_sql('doc_id', TRANSFORMS, 821)} || repeat('}}', (doc_id % 61)::INTEGER) AS JSON) AS x FROM documents),
+w AS (SELECT doc_id, x, coalesce(CAST(json_extract(x, '$.audio_removed') AS VARCHAR) = 'true', false) OR coalesce(CAST(json_extract(x, '$.output_audio_removed') AS VARCHAR) = 'true', false) AS removed FROM c UNION ALL SELECT doc_id, json_extract(x, '$.prior_transform'), coalesce(CAST(json_extract(x, '$.prior_transform.audio_removed') AS VARCHAR) = 'true', false) OR coalesce(CAST(json_extract(x, '$.prior_transform.output_audio_removed') AS VARCHAR) = 'true', false) FROM w WHERE json_extract(x, '$.prior_transform') IS NOT NULL)
+SELECT doc_id, bool_or(removed) AS removed FROM w GROUP BY doc_id""")
 def audio_removed(t: Tables) -> DataFrame:
-    """Whether a transform, or one before it in its chain, took the sound away; chains are looked through to eight steps."""
-    x = pick("doc_id", TRANSFORMS, 821)
-    steps = ["$" + ".prior_transform" * i + ".audio_removed" for i in range(8)]
-    found = F.array(*[F.coalesce(F.get_json_object(x, s) == "true", F.lit(False)) for s in steps])
-    return t.documents.select("doc_id", F.array_contains(found, True).alias("removed"))
+    """Whether a transform, or one before it in its chain, however long, took the sound away."""
+    n = (F.col("doc_id") % 61).cast("int")
+    x = F.concat(F.repeat(F.lit('{"op": "cut", "audio_removed": false, "prior_transform": '), n), pick("doc_id", TRANSFORMS, 821), F.repeat(F.lit("}"), n))
+    return t.documents.select("doc_id", json_walk.in_chain(x, "prior_transform", ["audio_removed", "output_audio_removed"]).alias("removed"))
 
 
 # --- recovery ------------------------------------------------------------------------------------------------
