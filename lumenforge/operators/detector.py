@@ -5,24 +5,38 @@ Words are an array of structs (word, start, end) of one transcript: as long as a
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as words_
 from . import intervals
 
 
-def spanned(words: Column) -> Column:
-    """The words that keep letters or digits, with token, and the span (a, b) of the token in the tokens joined by blanks."""
-    kept = F.filter(F.transform(words, lambda w: F.struct(w["word"].alias("word"), w["start"].alias("start"), w["end"].alias("end"), words_.normalise_token(w["word"]).alias("token"))), lambda w: w["token"] != "")
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<word:string,start:double,end:double,token:string,a:int,b:int>>").alias("out"))
+def offsets(parts: Column, gap: Column) -> Column:
+    """Where each of the strings of an array starts if they are joined with `gap` characters between them: one running sum over a batch."""
+
+    def run(parts: pa.Array, gap: pa.Array) -> pa.Array:
+        sizes = pc.fill_null(parts.value_lengths(), 0).to_numpy(zero_copy_only=False)
+        width = pc.fill_null(pc.utf8_length(parts.flatten()), 0).to_numpy(zero_copy_only=False) + np.repeat(pc.fill_null(gap, 0).to_numpy(zero_copy_only=False), sizes)
+        ends = np.concatenate(([0], np.cumsum(width)))
+        lists = np.concatenate(([0], np.cumsum(sizes)))
+        starts = ends[:-1] - np.repeat(ends[lists[:-1]], sizes)
+        return pa.ListArray.from_arrays(pa.array(lists, pa.int32()), pa.array(starts, pa.int32()))
 
-    def add(s: Column, w: Column) -> Column:
-        after = s["at"] + F.length(w["token"])
-        one = F.struct(w["word"].alias("word"), w["start"].cast("double").alias("start"), w["end"].cast("double").alias("end"), w["token"].alias("token"), s["at"].alias("a"), after.alias("b"))
-        return F.struct((after + 1).alias("at"), F.concat(s["out"], F.array(one)).alias("out"))
+    # annotations name Arrow's types, which tells what kind of function it is
+    run.__annotations__ = {"parts": pa.Array, "gap": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, T.ArrayType(T.IntegerType()))(parts, gap)
 
-    return F.aggregate(kept, start, add, lambda s: s["out"])
+
+def spanned(words: Column) -> Column:
+    """The words that keep letters or digits, with token, and the span (a, b) of the token in the tokens joined by blanks."""
+    kept = F.filter(F.transform(words, lambda w: F.struct(w["word"].alias("word"), w["start"].cast("double").alias("start"), w["end"].cast("double").alias("end"), words_.normalise_token(w["word"]).alias("token"))), lambda w: w["token"] != "")
+    at = offsets(F.coalesce(kept["token"], F.array().cast("array<string>")), F.lit(1))
+    return F.zip_with(kept, at, lambda w, a: F.struct(w["word"].alias("word"), w["start"].alias("start"), w["end"].alias("end"), w["token"].alias("token"), a.alias("a"), (a + F.length(w["token"])).alias("b")))
 
 
 def covering(spans: Column, lo: Column, hi: Column) -> Column:
@@ -30,10 +44,9 @@ def covering(spans: Column, lo: Column, hi: Column) -> Column:
     return F.filter(spans, lambda w: (w["a"] < hi) & (w["b"] > lo))
 
 
-def occurrences(text: Column, phrase: Column) -> Column:
-    """Places of a phrase, word by word, in a text: what stands between them tells where each begins."""
-    between = F.split(text, F.concat(F.lit(r"\b\Q"), phrase, F.lit(r"\E\b")), -1)
-    return F.transform(F.filter(F.sequence(F.lit(0), F.size(between) - 1), lambda k: k > 0), lambda k: F.aggregate(F.slice(between, 1, k), F.lit(0), lambda s, x: s + F.length(x)) + (k - 1) * F.length(phrase))
+def between(text: Column, phrase: Column) -> Column:
+    """What stands between the places of a phrase, word by word, in a text."""
+    return F.split(text, F.concat(F.lit(r"\b\Q"), phrase, F.lit(r"\E\b")), -1)
 
 
 def phrases(df: DataFrame, keys: list[str], words: str, bank: list[tuple[str, int, float | None, tuple[int, ...]]], context: float = 5.0) -> DataFrame:
@@ -49,11 +62,14 @@ def phrases(df: DataFrame, keys: list[str], words: str, bank: list[tuple[str, in
         rows.append(F.struct(F.lit(phrase).alias("phrase"), F.lit(norm).alias("norm"), F.lit(tier).alias("tier"), F.lit(window).cast("double").alias("window"), F.array(*[F.lit(x) for x in tiers]).cast("array<int>").alias("tiers")))
     # one expression over a constant array, however many phrases there are
     here = F.filter(F.array(*rows), lambda p: F.contains(F.col("__t"), p["norm"]))
-    hits = F.transform(here, lambda p: F.transform(occurrences(F.col("__t"), p["norm"]), lambda lo: F.struct(lo.alias("lo"), (lo + F.length(p["norm"])).alias("hi"), p.alias("p"))))
-    found = d.select(*keys, "__w", F.explode(F.flatten(hits)).alias("x")).withColumn("__c", covering(F.col("__w"), F.col("x.lo"), F.col("x.hi"))).where(F.size("__c") > 0)
+    d = d.select(*keys, "__w", F.explode(here).alias("p"), "__t").select(*keys, "__w", "p", between(F.col("__t"), F.col("p.norm")).alias("__parts"))
+    width = F.length("p.norm")
+    places = F.transform(F.slice(F.col("__at"), 2, F.greatest(F.size("__at") - 1, F.lit(0))), lambda x: x - width)
+    d = d.withColumn("__at", offsets(F.col("__parts"), width)).select(*keys, "__w", "p", F.explode(places).alias("lo"))
+    found = d.withColumn("__c", covering(F.col("__w"), F.col("lo"), F.col("lo") + width)).where(F.size("__c") > 0)
     lo, hi = F.col("__c")[0]["start"], F.element_at("__c", -1)["end"]
     near = F.array_join(F.transform(F.filter("__w", lambda w: (w["end"] >= lo - context) & (w["start"] <= hi + context)), lambda w: F.trim(w["word"])), " ")
-    out = found.select(*keys, "x.p.phrase", "x.p.tier", "x.p.window", "x.p.tiers", lo.alias("start"), hi.alias("end"), near.alias("context"))
+    out = found.select(*keys, "p.phrase", "p.tier", "p.window", "p.tiers", lo.alias("start"), hi.alias("end"), near.alias("context"))
     anchors = out.where("window IS NULL").groupBy(*keys).agg(F.collect_list(F.struct("tier", "start")).alias("__a"))
     beside = F.exists("__a", lambda a: F.array_contains(F.col("tiers"), a["tier"]) & (F.abs(a["start"] - F.col("start")) <= F.col("window")))
     return out.join(anchors, keys, "left").where(F.col("window").isNull() | F.coalesce(beside, F.lit(False))).drop("window", "tiers", "__a")
@@ -61,7 +77,8 @@ def phrases(df: DataFrame, keys: list[str], words: str, bank: list[tuple[str, in
 
 def prefix_at(tokens: Column, quote: Column) -> Column:
     """For each place of the tokens, how many tokens of the quote, from its first, stand there."""
-    longest = lambda i: F.size(F.filter(F.sequence(F.lit(1), F.size(quote)), lambda n: F.slice(tokens, i, n) == F.slice(quote, 1, n)))
+    # a token is compared once for each place and token of the quote; the length grows while it has all up to there
+    longest = lambda i: F.aggregate(F.sequence(F.lit(1), F.size(quote)), F.lit(0), lambda n, k: F.when((n == k - 1) & F.coalesce(F.get(tokens, i + k - 2) == F.get(quote, k - 1), F.lit(False)), k).otherwise(n))
     return F.when((F.size(quote) > 0) & (F.size(tokens) > 0), F.transform(F.sequence(F.lit(1), F.size(tokens)), longest)).otherwise(F.array().cast("array<int>"))
 
 
