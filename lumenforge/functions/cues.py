@@ -7,6 +7,22 @@ from pyspark.sql import functions as F
 
 from .text import squeeze
 
+# fixed values: titles of scripted series, games, compilations and recurring brands, matched in any case
+TITLE_JUNK = [
+    r"\bfull\s+(movie|film|episode)\b", r"\bepisode\s+\d+\b", r"\bofficial\s+trailer\b",
+    r"\bgameplay\b", r"\bwalkthrough\b", r"\blet'?s\s+play\b", r"\bgta\s*[v5]?\b", r"\bfivem\b",
+    r"\bminecraft\b", r"\broblox\b", r"\bwwe\b", r"\baew\b", r"\bsmackdown\b", r"\bwrestl",
+    r"\bcompilation\b",
+    r"\bs\d{1,2}e\d{1,2}\b", r"\bep\.?\s*#?\s*\d+", r"\bdhar\s*mann\b",
+    r"(?:dash\s*cam|bad\s+driv|idiot\s+driv|road\s+rage|car\s+crashes?)[^\n]*#\s*\d+",
+    r"\bvines\b", r"\bpick.?up\s+lines?\b", r"\breddit\s+(?:cheating|stor(?:y|ies))\b", r"#reddit\b",
+    r"\bwalang\s+hanggang\s+paalam\b",
+    r"\bgets\s+grounded\b", r"\bmisbehaves\s+at\b",
+    r"\bkitchen\s*nightmare", r"\bhell'?s\s*kitchen\b", r"\bhotel\s*hell\b",
+    r"\bmaster\s*chef\b", r"\bgordon\s*ramsay\b",
+    r"\bdramatize\s*me\b", r"\bownage\s*pranks?\b", r"\bprank\s*invasion\b",
+    r"\bkissing\s*prank", r"\btelenovela\b", r"\bteleserye\b", r"\btry\s*not\s*to\s*laugh\b",
+]
 # fixed values: cues of authority
 AUTHORITY_TAGS = ["arrest", "authority", "detention", "police order"]
 AUTHORITY_NORMS = ["authority assertion", "compliance with authority", "compliance with police orders", "law enforcement", "law enforcement action", "law enforcement involvement", "obey police orders", "respect law enforcement", "surrender"]
@@ -97,3 +113,7 @@ def social_text(domain: Column, grounded: list[Column], procedural: Column, pers
     relabel = atomic & ~((norm == "yes") & (polarity == "yes"))
     problem = F.when((route == "strict_social_alignment") != strict, "strict_route_mismatch").when((route == "relabel_required") != relabel, "relabel_route_mismatch").when((route == "instructional_retrieval_only") & atomic, "grounded_needs_strict_or_relabel")
     return {"strict": strict, "relabel": relabel, "problem": problem}
+
+
+def junk_title(title: Column) -> Column:
+    return F.coalesce(title, F.lit("")).rlike("(?i)" + "|".join(TITLE_JUNK))

@@ -171,13 +171,13 @@ def pair_classes(t: Tables) -> DataFrame:
     return d.select("doc_id", F.when(F.col("delta") > 0.02, None).when(F.col("aligned") <= 4, "near_exact_reencode").when((F.col("best") <= 12) & (F.col("jaccard") >= 0.5), "likely_same_episode_edit").alias("kind"))
 
 
-@query("""WITH b AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z]{4,}')) AS ts FROM benchmark), d AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z]{4,}')) AS ts FROM documents WHERE n_chars < 400),
+@query("""WITH b AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z]{4,}')) AS ts FROM benchmark), d AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z]{4,}')) AS ts FROM documents),
 s AS (SELECT doc_id, item_id, round(len(list_intersect(d.ts, b.ts))::DOUBLE / len(list_distinct(list_concat(d.ts, b.ts))), 9) AS score FROM d JOIN b ON list_has_any(d.ts, b.ts)) SELECT doc_id, arg_max(item_id, struct_pack(s := score, i := item_id)) AS nearest, max(score) AS score FROM s GROUP BY doc_id""")
 def nearest_by_jaccard(t: Tables) -> DataFrame:
-    """For each short document the item whose words are most alike; ties go to the later item. Only pairs that share a word meet:
+    """For each document the item whose words are most alike; ties go to the later item. Only pairs that share a word meet:
     words are joined and counted, no cross join."""
     toks = lambda df, k: df.select(k, text.tokens(F.col("text"), 4).alias("ts"))
-    d, b = toks(t.documents.where("n_chars < 400"), "doc_id"), toks(t.benchmark, "item_id")
+    d, b = toks(t.documents, "doc_id"), toks(t.benchmark, "item_id")
     shared = d.select("doc_id", F.size("ts").alias("n"), F.explode("ts").alias("w")).join(b.select("item_id", F.size("ts").alias("m"), F.explode("ts").alias("w")), "w").groupBy("doc_id", "item_id").agg(n_rows().alias("k"), F.first("n").alias("n"), F.first("m").alias("m"))
     score = F.round(F.col("k") / (F.col("n") + F.col("m") - F.col("k")), 9)
     return shared.withColumn("score", score).groupBy("doc_id").agg(F.max_by("item_id", F.struct("score", "item_id")).alias("nearest"), F.max("score").alias("score"))

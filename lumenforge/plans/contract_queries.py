@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import contracts as c
+from ..functions import contracts as c, cues
 from ..functions import text
 from .atoms import atoms_sql, with_atoms
 from .registry import Tables, query
@@ -241,16 +241,19 @@ def policy_refresh(t: Tables) -> DataFrame:
     return d.select("doc_id", F.when(reason.isNotNull() | F.coalesce(F.col("old").rlike("^(blocked_theme:|auto_scope:)"), F.lit(False)), reason).otherwise(F.col("old")).alias("policy_reason"))
 
 
-CANDIDATE = {"title": (["queue row", "Full Movie 2020", "GTA 5 gameplay", "neighbour shouts", None, "minecraft skit"], 577), "channel": (["Alice", " Clip Farm ", "CLIP FARM", "", None, "bob"], 587), "duration": ([30.0, 600.0, 1800.0, 1800.5, None], 593)}
+#: Titles as they come, in front of the document's own first words.
+CANDIDATE = {"title": (["queue row", "Full  Movie 2020", "GTA 5 online", "neighbour shouts", None, "minecraft base", "S01E04", "Ep. #12", "Dash cam fails #3", "let's play it", "a skit", "Wrestling", "Hells kitchen", "gameplays", "Try not to LAUGH"], 577), "channel": (["Alice", " Clip Farm ", "CLIP FARM", "", None, "bob"], 587), "duration": ([30.0, 600.0, 1800.0, 1800.5, None], 593)}
+_JUNK = "|".join(cues.TITLE_JUNK).replace("'", "''")
 
 
-@query(f"""SELECT doc_id, CASE WHEN duration > 1800 THEN 'too_long' WHEN regexp_matches(coalesce(title, ''), 'full\\s*movie|game\\s*play|\\bskit\\b', 'i') THEN 'junk_title' WHEN lower(trim(channel)) IN ('clip farm', 'soap hub') THEN 'blocked_channel' ELSE 'kept' END AS outcome FROM ({atoms_sql('documents', 'doc_id', CANDIDATE)})""")
+@query(f"""SELECT doc_id, CASE WHEN duration > 1800 THEN 'too_long' WHEN regexp_matches(title || ' ' || coalesce(text, ''), '{_JUNK}', 'i') THEN 'junk_title' WHEN lower(trim(channel)) IN ('clip farm', 'soap hub') THEN 'blocked_channel' ELSE 'kept' END AS outcome FROM (SELECT a.*, text FROM ({atoms_sql('documents', 'doc_id', CANDIDATE)}) a JOIN documents d ON a.doc_id = d.doc_id)""")
 def candidate_prefilter(t: Tables) -> DataFrame:
     """Length, title and channel before anything is fetched; an unknown length passes. The blocklist is a configured list: broadcast by its size."""
-    d = with_atoms(t.documents, "doc_id", CANDIDATE)
+    d = with_atoms(t.documents, "doc_id", CANDIDATE, "text")
     blocked = t.spark.createDataFrame([("clip farm",), ("soap hub",)], "blocked string")
     d = d.join(F.broadcast(blocked), F.lower(F.trim("channel")) == F.col("blocked"), "left")
-    return d.select("doc_id", F.when(F.col("duration") > 1800, "too_long").when(F.coalesce("title", F.lit("")).rlike(r"(?i)full\s*movie|game\s*play|\bskit\b"), "junk_title").when(F.col("blocked").isNotNull(), "blocked_channel").otherwise("kept").alias("outcome"))
+    junk = cues.junk_title(F.concat("title", F.lit(" "), F.coalesce("text", F.lit(""))))
+    return d.select("doc_id", F.when(F.col("duration") > 1800, "too_long").when(junk, "junk_title").when(F.col("blocked").isNotNull(), "blocked_channel").otherwise("kept").alias("outcome"))
 
 
 PROVENANCE = {"query": (["q1", "q2", None], 599), "conflict": ([True, False, False, None], 601)}

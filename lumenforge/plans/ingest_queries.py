@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import json_walk, text
 from ..operators import intervals, relational
+from ..operators.shared import written
 from .atoms import atoms_sql, pick, pick_sql, with_atoms
 from .registry import Tables, query
 
@@ -203,12 +204,13 @@ def hashed_words(t: Tables) -> DataFrame:
     return b.join(length, "doc_id").select("doc_id", "bucket", F.round(F.col("n") / F.col("len"), 9).alias("weight"))
 
 
-@query("""WITH o AS (SELECT label AS clip, vec_id % 4 AS track, vec_id, embedding[1]::DOUBLE * 100 AS x, embedding[2]::DOUBLE * 100 AS y, embedding[3]::DOUBLE AS g FROM embeddings), p AS (SELECT clip, track, count(*) FILTER (vec_id < 250) AS n0, count(*) FILTER (vec_id >= 250) AS n1, avg(x) FILTER (vec_id < 250) AS x0, avg(x) FILTER (vec_id >= 250) AS x1, avg(y) FILTER (vec_id < 250) AS y0, avg(y) FILTER (vec_id >= 250) AS y1, avg(g) FILTER (vec_id < 250) AS g0, avg(g) FILTER (vec_id >= 250) AS g1 FROM o GROUP BY clip, track),
+@query("""WITH m AS (SELECT label AS clip, (min(vec_id) + max(vec_id)) // 2 AS middle FROM embeddings GROUP BY label), o AS (SELECT label AS clip, vec_id % 4 AS track, vec_id < middle AS pre, embedding[1]::DOUBLE * 100 AS x, embedding[2]::DOUBLE * 100 AS y, embedding[3]::DOUBLE AS g FROM embeddings JOIN m ON m.clip = label), p AS (SELECT clip, track, count(*) FILTER (pre) AS n0, count(*) FILTER (NOT pre) AS n1, avg(x) FILTER (pre) AS x0, avg(x) FILTER (NOT pre) AS x1, avg(y) FILTER (pre) AS y0, avg(y) FILTER (NOT pre) AS y1, avg(g) FILTER (pre) AS g0, avg(g) FILTER (NOT pre) AS g1 FROM o GROUP BY clip, track),
 d AS (SELECT clip, sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2) AS head, abs(g1 - g0) AS gaze FROM p WHERE n0 >= 2 AND n1 >= 2) SELECT clip, count(*) AS tracks, round(max(head), 6) AS head, round(max(gaze), 6) AS gaze, count(*) FILTER (head >= 8 OR gaze >= 0.08) AS reactors, round(avg(CASE WHEN head >= 8 OR gaze >= 0.08 THEN 1.0 ELSE 0.0 END), 6) AS synchrony FROM d GROUP BY clip""")
 def track_synchrony(t: Tables) -> DataFrame:
-    """How far tracks of faces move and look elsewhere across a boundary, and the share that react together."""
+    """How far tracks of faces move and look elsewhere across the middle of each clip, and the share that react together."""
     e = lambda i: F.element_at("embedding", i).cast("double")
-    o = t.embeddings.select(F.col("label").alias("clip"), (F.col("vec_id") % 4).alias("track"), (F.col("vec_id") < 250).alias("pre"), (e(1) * 100).alias("x"), (e(2) * 100).alias("y"), e(3).alias("g"))
+    m = t.embeddings.groupBy(F.col("label").alias("clip")).agg(F.expr("(min(vec_id) + max(vec_id)) div 2").alias("middle"))
+    o = t.embeddings.join(m, F.col("label") == F.col("clip")).select("clip", (F.col("vec_id") % 4).alias("track"), (F.col("vec_id") < F.col("middle")).alias("pre"), (e(1) * 100).alias("x"), (e(2) * 100).alias("y"), e(3).alias("g"))
     side = lambda c, pre: F.avg(F.when(F.col("pre") == pre, F.col(c)))
     p = o.groupBy("clip", "track").agg(F.count_if("pre").alias("n0"), F.count_if(~F.col("pre")).alias("n1"), *[(side(c, False) - side(c, True)).alias(f"d{c}") for c in "xyg"]).where("n0 >= 2 AND n1 >= 2")
     d = p.select("clip", F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")).alias("head"), F.abs("dg").alias("gaze"))
@@ -216,11 +218,16 @@ def track_synchrony(t: Tables) -> DataFrame:
     return d.groupBy("clip").agg(n_rows().alias("tracks"), F.round(F.max("head"), 6).alias("head"), F.round(F.max("gaze"), 6).alias("gaze"), F.count_if(moved).alias("reactors"), F.round(F.avg(moved.cast("double")), 6).alias("synchrony"))
 
 
-@query("""WITH t AS (SELECT doc_id, n_chars, list_distinct(regexp_extract_all(lower(text), '[a-z]{3,}')) AS ts FROM documents WHERE n_chars < 300) SELECT a.doc_id AS ka, b.doc_id AS kb, round(len(list_intersect(a.ts, b.ts))::DOUBLE / len(list_distinct(list_concat(a.ts, b.ts))), 6) AS jaccard, abs(a.n_chars - b.n_chars) <= 0.02 * greatest(a.n_chars, b.n_chars) AS same_length FROM t a JOIN t b ON a.doc_id < b.doc_id AND list_has_any(a.ts, b.ts) AND len(list_intersect(a.ts, b.ts))::DOUBLE / len(list_distinct(list_concat(a.ts, b.ts))) >= 0.5""")
+@query("""WITH t AS (SELECT doc_id, n_chars, list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z]{3,}'))) AS ts FROM documents), r AS (SELECT min(doc_id) AS doc_id, arg_min(n_chars, doc_id) AS n_chars, ts, len(ts) AS n FROM t WHERE len(ts) > 0 GROUP BY ts), k AS (SELECT doc_id, n, unnest(ts) AS tok FROM r),
+s AS (SELECT a.doc_id AS ka, b.doc_id AS kb, count(*) AS k, any_value(a.n) AS na, any_value(b.n) AS nb FROM k a JOIN k b ON a.tok = b.tok AND a.doc_id < b.doc_id GROUP BY 1, 2)
+SELECT ka, kb, round(k::DOUBLE / (na + nb - k), 6) AS jaccard, abs(x.n_chars - y.n_chars) <= 0.02 * greatest(x.n_chars, y.n_chars) AS same_length FROM s JOIN r x ON x.doc_id = ka JOIN r y ON y.doc_id = kb WHERE k::DOUBLE / (na + nb - k) >= 0.5""")
 def episode_pairs(t: Tables) -> DataFrame:
-    """Short documents whose words are alike, pair by pair, with whether their lengths are; found through rare words, not all pairs."""
-    d = t.documents.where("n_chars < 300").select("doc_id", "n_chars", text.tokens(F.col("text"), 3).alias("ts"))
-    j = relational.near_pairs(d, d, "doc_id", "doc_id", "ts", 0.5).where("ka < kb")
-    a, b = d.select(F.col("doc_id").alias("ka"), F.col("n_chars").alias("na")), d.select(F.col("doc_id").alias("kb"), F.col("n_chars").alias("nb"))
+    """Documents whose words are alike, pair by pair, with whether their lengths are. Documents of the same words stand for each other: the
+    first of them is in the pairs, so copies make none. Found through rare words, not all pairs."""
+    d = t.documents.select("doc_id", "n_chars", F.array_sort(text.tokens(F.col("text"), 3)).alias("ts")).where(F.size("ts") > 0)
+    first = d.groupBy(F.xxhash64("ts").alias("__h"), F.md5(F.array_join("ts", " ")).alias("__m")).agg(F.min_by(F.struct("doc_id", "n_chars", "ts"), "doc_id").alias("x")).select("x.*")
+    r = written(first, "word-sets")
+    j = relational.near_pairs(r, r, "doc_id", "doc_id", "ts", 0.5).where("ka < kb")
+    a, b = r.select(F.col("doc_id").alias("ka"), F.col("n_chars").alias("na")), r.select(F.col("doc_id").alias("kb"), F.col("n_chars").alias("nb"))
     near = F.abs(F.col("na") - F.col("nb")) <= 0.02 * F.greatest("na", "nb")
     return j.join(a, "ka").join(b, "kb").select("ka", "kb", F.round("jaccard", 6).alias("jaccard"), near.alias("same_length"))

@@ -86,13 +86,34 @@ def rules(t: Tables) -> DataFrame:
     return t.spark.createDataFrame(RULES, _RULE)
 
 
-@query(f"""WITH {RULES_SQL} SELECT rule_id, CASE WHEN len(list_filter(uses, lambda u: u NOT IN ({', '.join(repr(u) for u in lfs.USES)}))) > 0 THEN 'unknown_use' WHEN accepts THEN 'automatic_acceptance' WHEN abs(precision - tp::DOUBLE / (tp + fp)) > 1e-9 THEN 'metric_arithmetic'
+#: What the declarations of a measured rule vary in, picked by its counts.
+_USES = [["review_routing", "shadow_lf_vote"], ["acceptance_gate"], ["review_ranking"], [], ["delete"]]
+_MEASURED = f"""c AS (SELECT coalesce(source, '') || '/' || coalesce(lang, '') AS rule_id, count(*) FILTER (quality = 1) AS tp, count(*) FILTER (quality = 0) AS fp FROM labels l JOIN documents d ON l.doc_id = d.doc_id GROUP BY 1),
+rules AS (SELECT rule_id, CASE tp % 5 {" ".join(f"WHEN {i} THEN {u!r}::VARCHAR[]" for i, u in enumerate(_USES))} END AS uses, CASE WHEN fp % 4 = 3 THEN 'failed_transfer' WHEN fp % 9 = 8 THEN 'draft' ELSE 'audited_for_declared_use' END AS status, (tp + fp) % 13 = 12 AS accepts, tp, fp,
+ tp::DOUBLE / nullif(tp + fp, 0) + CASE WHEN (tp + 2 * fp) % 11 = 10 THEN 0.01 ELSE 0 END AS precision, CASE WHEN tp % 3 > 0 THEN ['true'] ELSE []::VARCHAR[] END AS triggers, 'final_pillar_acceptance' AS target, tp % 4 AS confirmations, tp + fp AS selected, tp::DOUBLE / nullif(tp + fp, 0) AS wilson FROM c)"""
+
+
+@query(f"""WITH {_MEASURED} SELECT rule_id, tp, fp, CASE WHEN len(list_filter(uses, lambda u: u NOT IN ({', '.join(repr(u) for u in lfs.USES)}))) > 0 THEN 'unknown_use' WHEN accepts THEN 'automatic_acceptance' WHEN abs(precision - tp::DOUBLE / (tp + fp)) > 1e-9 THEN 'metric_arithmetic'
 WHEN status = 'audited_for_declared_use' AND (len(uses) = 0 OR tp IS NULL) THEN 'active_without_use_or_evidence' WHEN status = 'failed_transfer' AND len(uses) > 0 THEN 'failed_with_uses' WHEN status NOT IN ('audited_for_declared_use', 'failed_transfer') THEN 'status'
 WHEN list_has_any(uses, ['review_routing', 'review_ranking', 'strict_route_exclusion']) AND NOT list_contains(uses, 'acceptance_gate') AND len(triggers) = 0 THEN 'no_triggers'
 WHEN list_contains(uses, 'acceptance_gate') AND NOT coalesce(target = 'final_pillar_acceptance' AND confirmations >= 2 AND selected >= 50 AND precision >= 0.9 AND wilson >= 0.8, false) THEN 'promotion_contract' END AS problem FROM rules""")
 def registry_problems(t: Tables) -> DataFrame:
-    """The registry against its contract: uses, metrics that add up, triggers, and what an acceptance gate must have proven."""
-    return rules(t).select("rule_id", lfs.rule_problem().alias("problem"))
+    """A registry of rules, one for each source and language with what the labels say of it, against the contract: uses, metrics that add
+    up, triggers, and what an acceptance gate must have proven."""
+    none = lambda c: F.coalesce(c, F.lit(""))
+    d = t.labels.join(t.documents.select("doc_id", "source", "lang"), "doc_id")
+    c = d.groupBy(F.concat(none("source"), F.lit("/"), none("lang")).alias("rule_id")).agg(F.count_if(F.col("quality") == 1).alias("tp"), F.count_if(F.col("quality") == 0).alias("fp"))
+    tp, fp, n = F.col("tp"), F.col("fp"), F.col("tp") + F.col("fp")
+    uses = F.lit(None).cast("array<string>")
+    for i, u in enumerate(_USES):
+        uses = F.when(tp % 5 == i, F.array(*[F.lit(x) for x in u]).cast("array<string>")).otherwise(uses)
+    share = F.try_divide(tp.cast("double"), n.cast("double"))
+    rules_ = c.select(
+        "rule_id", "tp", "fp", uses.alias("uses"), F.when(fp % 4 == 3, "failed_transfer").when(fp % 9 == 8, "draft").otherwise("audited_for_declared_use").alias("status"), (n % 13 == 12).alias("accepts"),
+        (share + F.when((tp + 2 * fp) % 11 == 10, 0.01).otherwise(0.0)).alias("precision"), F.when(tp % 3 > 0, F.array(F.lit("true"))).otherwise(F.array().cast("array<string>")).alias("triggers"),
+        F.lit("final_pillar_acceptance").alias("target"), (tp % 4).alias("confirmations"), n.alias("selected"), share.alias("wilson"),
+    )
+    return rules_.select("rule_id", "tp", "fp", lfs.rule_problem().alias("problem"))
 
 
 SIGNAL = {"scan": (["true", "false", None], 331), "authority": (["true", "false"], 337), "staging": (["true", "false", "false"], 347), "channel": (["true", "false"], 349), "polarity": (["violation", "correct", "explanation", "contrast"], 353)}

@@ -9,7 +9,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.shared import folder
-from ..sources.feed import register
 from ..streaming import crawl, jobs, status
 from .interval_queries import EV
 from .registry import Tables, query
@@ -38,11 +37,14 @@ def stream_cooldown(t: Tables) -> DataFrame:
     return jobs.cooldowns(jobs.event_stream(t.spark, t.dir))
 
 
-@query("""WITH p AS (SELECT unnest(['alpha', 'beta']) AS platform), x AS (SELECT platform, CAST(n AS INTEGER) AS page, sha256(platform || ':' || n || ':' || i) AS h FROM p, range(3) AS a(n), range(5) AS b(i)) SELECT platform, substr(h, 1, 10) AS native_id, platform || '__' || substr(h, 1, 10) AS uid, 'title ' || substr(h, 11, 4) AS title, CAST(CAST('0x' || substr(h, 15, 4) AS BIGINT) % 600 AS DOUBLE) AS duration, page FROM x""")
+@query("""WITH u AS (SELECT page_id, lower(regexp_extract(url, '://([^/?#]*)', 1)) AS host, regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS path FROM pages), c AS (SELECT page_id, regexp_extract(host, '([^.]*)$', 1) AS platform, path FROM u)
+SELECT page_id, platform, platform || '__' || regexp_replace(path, '[^A-Za-z0-9_-]', '_', 'g') AS uid FROM c WHERE platform IN ('com', 'org')""")
 def feed_candidates(t: Tables) -> DataFrame:
-    """Candidates of two platforms by the registered adapter, three pages each; a platform without an adapter gives none."""
-    register(t.spark)
-    return t.spark.read.format("lumenforge_feed").option("platforms", "alpha,beta,unknown").option("pages", "3").load()
+    """Pages as candidates of the platforms that an adapter serves; others give none. An id is made safe for file names."""
+    known = ["com", "org"]
+    host = F.lower(F.regexp_extract("url", "://([^/?#]*)", 1))
+    d = t.pages.select("page_id", F.substring_index(host, ".", -1).alias("platform"), F.regexp_extract("url", "://[^/?#]*([^?#]*)", 1).alias("path")).where(F.col("platform").isin(known))
+    return d.select("page_id", "platform", F.concat("platform", F.lit("__"), F.regexp_replace("path", "[^A-Za-z0-9_-]", "_")).alias("uid"))
 
 
 # --- status machine, crawl loop and monitor ---------------------------------------------------------
