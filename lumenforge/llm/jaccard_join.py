@@ -20,8 +20,10 @@ few of them that half of its budget pays for those (two linked sets can't both b
 pairs of all levels make cells as well: the connected parts of their graph. In a cell, sets are compared as parity sketches
 (a bit for each residue, flipped by each token: two sketches differ in no more bits than the sets in tokens) and,
 where these allow it, token by token, but only while they aren't in one component yet. A task returns only links that join
-two components: fewer than it has sets. A cell above BLOCK is cut into blocks, and each two blocks are a task of their own, so no
-task holds more than two blocks, however large a group of near copies is.
+two components: fewer than it has sets. A cell above BLOCK is cut into blocks. First each block is compared in itself, then one set for each
+block, of its largest component, with those of the other blocks. A group of near copies is one component by then, and each of its texts has
+been read once. Only sets that are still outside their cell's largest component go to its other blocks, and, cut into
+blocks of their own, to each other: what moves grows with these sets, not with the square of the group, and nothing is left uncompared.
 
 Sets are compared through 64-bit hashes of their tokens, and equal sets, which are one vertex throughout, are recognised
 by a 64-bit hash. The result holds the components, not the pairs.
@@ -319,7 +321,7 @@ def joining(names: list[int], sets: list[np.ndarray], sides: np.ndarray) -> list
     order = np.argsort([len(s) for s in sets], kind="stable")
     sets, names, sides = [sets[i] for i in order], [names[i] for i in order], sides[order]
     n = np.array([len(s) for s in sets])
-    across = bool((sides != sides[0]).any())
+    across = bool((sides != sides[0]).any()) or sides[0] >= STAYS
     bits, part, out = sketches(sets), np.arange(len(sets)), []
     for p in range(len(sets) - 1):
         stop = np.searchsorted(n, partner(n[p]), side="right")
@@ -430,14 +432,41 @@ def cells_of(met: DataFrame, over: DataFrame) -> DataFrame:
     return led.withColumn("paid", paid).where("paid > floor(budget / 2)").select("name", "cell").distinct()
 
 
-def dealt(members: DataFrame) -> DataFrame:
-    """Members of cells (kind, cell, name, rep, n) with the tasks (i, j) that compare them, and on which side: a cell above
-    BLOCK is cut into blocks by a hash of the name, and every two of its blocks make a task."""
-    weight = F.col("n") + EXTRA
-    total = members.groupBy("kind", "cell").agg(F.sum(weight).alias("w"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    cut = members.join(total, ["kind", "cell"]).withColumn("blocks", F.ceil(F.col("w") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int"))
-    both = cut.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return both.select("kind", "cell", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), (F.col("own") > F.col("o")).cast("int").alias("side"), "name", "rep")
+def cut(members: DataFrame) -> DataFrame:
+    """Members of cells (kind, cell, name, rep, n) of two or more with how many blocks their cell has, and their own: a cell above BLOCK is cut
+    by a hash of the name."""
+    total = members.groupBy("kind", "cell").agg(F.sum(F.col("n") + EXTRA).alias("w"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    d = members.join(total, ["kind", "cell"]).withColumn("blocks", F.ceil(F.col("w") / BLOCK).cast("int"))
+    return d.select("kind", "cell", "name", "rep", "n", "blocks", F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int").alias("own"))
+
+
+#: Sides of tasks in which only pairs across are compared, also where one side is empty.
+STAYS, MOVES = 2, 3
+
+
+def leaders(known: DataFrame) -> DataFrame:
+    """One set for each block of a cell, of the largest component in it, to be compared with those of the cell's other blocks."""
+    each = known.groupBy("kind", "cell", "own", "label").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("name", "rep")).alias("x"))
+    top = each.groupBy("kind", "cell", "own").agg(F.max_by("x", F.struct("m", "label")).alias("x"))
+    return top.select("kind", "cell", F.lit(-1).alias("i"), F.lit(-1).alias("j"), F.lit(0).alias("side"), "x.name", "x.rep")
+
+
+def rest(known: DataFrame) -> DataFrame:
+    """The tasks that compare what is left of cut cells: sets outside the largest component of their cell move, to each block of those inside
+    and to each other; those inside stay where they are. Without any that move there is nothing left to do."""
+    size = known.groupBy("kind", "cell", "label").agg(F.count(F.lit(1)).alias("m"))
+    largest = size.groupBy("kind", "cell").agg(F.max_by("label", F.struct("m", "label")).alias("most"))
+    d = known.join(largest, ["kind", "cell"])
+    moving = d.where("label <> most")
+    weight = moving.groupBy("kind", "cell").agg(F.ceil(F.sum(F.col("n") + EXTRA) / BLOCK).cast("int").alias("parts"))
+    moving = moving.join(weight, ["kind", "cell"]).withColumn("part", F.pmod(F.xxhash64(F.lit(7), "name"), F.col("parts")).cast("int"))
+    staying = d.where("label = most").join(weight, ["kind", "cell"])
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    a = moving.withColumn("o", upto("blocks")).select("kind", "cell", F.col("o").alias("i"), F.col("part").alias("j"), F.lit(MOVES).alias("side"), "name", "rep")
+    b = staying.withColumn("o", upto("parts")).select("kind", "cell", F.col("own").alias("i"), F.col("o").alias("j"), F.lit(STAYS).alias("side"), "name", "rep")
+    c = moving.withColumn("o", upto("parts"))
+    c = c.select((F.col("kind") + 2).alias("kind"), "cell", F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j"), (F.col("part") > F.col("o")).cast("int").alias("side"), "name", "rep")
+    return a.unionByName(b).unionByName(c)
 
 
 class _Join:
@@ -482,11 +511,26 @@ class _Join:
         members = groups.select(F.lit(0).alias("kind"), F.col("label").alias("cell"), F.col("node").alias("name"))
         if level == LAST:
             members = members.unionByName(cells_of(met, over).select(F.lit(1).alias("kind"), "cell", "name"))
-        tasks = dealt(members.join(self.sets, "name"))
+        cells = keep(cut(members.join(self.sets, "name")))
+        first = self.compared(cells.select("kind", "cell", F.col("own").alias("i"), F.col("own").alias("j"), F.lit(0).alias("side"), "name", "rep"), live)
+        large = cells.where("blocks > 1")
+        if large.isEmpty():
+            return first
+        # a text of a cut cell has been read once so far; what its block has joined decides whether it goes anywhere else
+        second = self.compared(leaders(self.known(large, first)), live)
+        both = first.unionByName(second)
+        return both.unionByName(self.compared(rest(self.known(large, both)), live))
+
+    def known(self, members: DataFrame, links: DataFrame) -> DataFrame:
+        labels = components(links, self.written)
+        return self.written.keep(members.join(labels, members["name"] == labels["node"], "left").select(*members.columns, F.coalesce("label", "name").alias("label")))
+
+    def compared(self, tasks: DataFrame, live: DataFrame) -> DataFrame:
+        """Links (a, b) of tasks (kind, cell, i, j, side, name, rep) that join components of the sets in each."""
         rows = tasks.join(live, tasks["rep"] == live["__rep"]).select(*_CELL, "side", "name", "text")
         # sorted streams: a task holds one cell, or two blocks of one, at a time
         spread = rows.repartition(partitions(self.spark), *_CELL).sortWithinPartitions(*_CELL, "name")
-        return keep(small_batches(spread).mapInArrow(_in_cells, "a long, b long"))
+        return self.written.keep(small_batches(spread).mapInArrow(_in_cells, "a long, b long"))
 
     def result(self) -> DataFrame:
         labels = components(self.links(), self.written)

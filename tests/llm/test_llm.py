@@ -594,3 +594,29 @@ def test_encode_all_is_the_library():
     bits = ["a", "été", "ж", "中", "word", "'s", "don't", "  ", "\n", "\n\n", "\t", ".", "!?", "&&&", "12", "<|endoftext|>", "́", "🙂", "end.\nNext", "x--y", '"', " "]
     texts = ["", "\n a\nb c\nd", "hello <|endoftext|> world", "a" + " " * 80_000 + "<|endoftext|>  x", "\n" * 70_000, "w " * 50_000] + ["".join(r.choice(bits) + (" " if r.random() < 0.5 else "") for _ in range(r.randint(0, 30))) for _ in range(2000)]
     assert packing.encode_all(texts, path) == [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
+def test_jaccard_moves_texts_of_a_group_once(spark, monkeypatch):
+    """Rows written for one group of near copies grow with the group, not with its square; and no link is lost."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 4000)
+    moved = []
+    kept = jaccard_join._Join.compared
+
+    def counted(self, tasks, live):
+        moved[-1] += tasks.count()
+        return kept(self, tasks, live)
+
+    monkeypatch.setattr(jaccard_join._Join, "compared", counted)
+    r = random.Random(4)
+    base = [r.choice(WORDS) for _ in range(90)]
+    for n in (150, 600):
+        moved.append(0)
+        rows = []
+        for i in range(n):
+            w = list(base)
+            w[r.randrange(90)] = f"e{i}"
+            rows.append((i, " ".join(w)))
+        rows += [(n + i, " ".join(base[:45] + [f"o{i}x{k}" for k in range(40)])) for i in range(5)]  # outside
+        got = {x.doc_id: x.component_id for x in jaccard_join.link_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got == {d: 0 if d < n else d for d, _ in rows}
+    assert moved[0] < 3 * 155 + 60 and moved[1] < 5 * moved[0]
