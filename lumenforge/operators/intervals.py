@@ -105,3 +105,16 @@ def reduce_eq(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
     for k in keys[1:]:
         out = out & (a[k] == b[k])
     return out
+
+
+def with_tail(total: Column, size: float, stride: float, tolerance: float = 0.25) -> Column:
+    """Windows (start, end) of `size` at every stride while they end before `total`, and one that ends there, unless the one before starts
+    within the tolerance; a shorter total is one window."""
+    n = F.ceil((total - size) / stride)
+    starts = F.transform(F.sequence(F.lit(0), n - 1), lambda i: i * F.lit(stride))
+    last = total - size
+    far = F.abs(F.element_at(starts, -1) - last) > tolerance
+    whole = F.when(far, F.concat(starts, F.array(last))).otherwise(starts)
+    each = F.transform(F.when(total > size, whole), lambda s: F.struct(s.alias("start"), F.least(total, s + size).alias("end")))
+    one = F.array(F.struct(F.lit(0.0).alias("start"), total.cast("double").alias("end")))
+    return F.when(total > size, each).when(total.isNotNull(), one)
