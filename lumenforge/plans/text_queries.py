@@ -81,8 +81,8 @@ def phrase_detect_tiers(t: Tables) -> DataFrame:
  SELECT item_id AS ka, doc_id AS kb, round(len(list_intersect(a.ts, d.ts))::DOUBLE / len(list_distinct(list_concat(a.ts, d.ts))), 6) AS jaccard FROM a JOIN d ON len(a.ts) > 0 AND len(d.ts) > 0 AND len(list_intersect(a.ts, d.ts))::DOUBLE / len(list_distinct(list_concat(a.ts, d.ts))) >= 0.3""")
 def token_jaccard_pairs(t: Tables) -> DataFrame:
     toks = lambda d, k: d.select(k, text.tokens(F.col("text"), 5).alias("ts"))
-    j = relational.near_pairs(toks(t.benchmark, "item_id"), toks(t.documents, "doc_id"), "item_id", "doc_id", "ts", 0.3)
-    return j.select("ka", "kb", F.round("jaccard", 6).alias("jaccard"))
+    j = relational.near_items(toks(t.benchmark, "item_id"), toks(t.documents, "doc_id"), "item_id", "doc_id", "ts", 0.3)
+    return j.select(F.col("item_id").alias("ka"), F.col("doc_id").alias("kb"), F.round("jaccard", 6).alias("jaccard"))
 
 
 @query("SELECT page_id, h AS href, CAST(ordinality AS BIGINT) AS place FROM (SELECT page_id, unnest(list_distinct_ordered) AS h, generate_subscripts(list_distinct_ordered, 1) - 1 AS ordinality FROM (SELECT page_id, list_filter(regexp_extract_all(html, 'href=\"(/[^\"]*)\"', 1), lambda x, i: list_position(regexp_extract_all(html, 'href=\"(/[^\"]*)\"', 1), x) = i) AS list_distinct_ordered FROM pages))")

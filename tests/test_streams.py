@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenforge.functions import json_walk
-from lumenforge.operators import experiments, labelmodel, ranks, relational, tracks
+from lumenforge.operators import detector, experiments, intervals, labelmodel, ranks, relational, reviews, tracks
 from lumenforge.sources import cursor, release
 from lumenforge.streaming import crawl, status
 
@@ -298,3 +298,43 @@ def test_items_without_votes_count_in_the_fit(spark):
     items = spark.createDataFrame([(str(i),) for i in range(50)], "item_id string")
     some, whole = labelmodel.fit(votes, ["f"], rounds=1), labelmodel.fit(votes, ["f"], rounds=1, items=items)
     assert whole.prior < some.prior and labelmodel.patterns(votes, ["f"], items) == [((0,), 45), ((1,), 5)]
+
+
+def test_windows_end_with_the_medium(spark):
+    def by_hand(total, size, stride):
+        if total <= size:
+            return [(0.0, total)]
+        starts, v = [], 0.0
+        while v + size < total:
+            starts.append(v)
+            v += stride
+        if not starts or abs(starts[-1] - (total - size)) > 0.25:
+            starts.append(total - size)
+        return [(x, min(total, x + size)) for x in starts]
+
+    totals = [0.0, 3.0, 6.0, 6.1, 6.3, 9.0, 9.2, 9.26, 12.0, 30.5]
+    got = spark.createDataFrame([(x,) for x in totals], "t double").select("t", intervals.with_tail(F.col("t"), 6.0, 3.0).alias("w")).collect()
+    assert {r.t: [tuple(x) for x in r.w] for r in got} == {x: by_hand(x, 6.0, 3.0) for x in totals}
+    assert spark.range(1).select(intervals.with_tail(F.lit(None).cast("double"), 6.0, 3.0).alias("w")).first().w is None
+
+
+def test_judgments_of_unknown_pairs_are_an_error(spark):
+    pairs = spark.createDataFrame([(1, "A", True), (2, "B", None)], "pair_id int, positive_side string, vlm_correct boolean")
+    said = spark.createDataFrame([(1, "A", "sure", ["x"]), (2, "A", None, []), (2, "cant_tell", "sure", ["x", "y"])], "pair_id int, choice string, confidence string, flags array<string>")
+    r = reviews.scored_pairs(pairs, said).first()
+    assert (r.pairs, r.both_saw, r.vlm_correct, r.decided, r.cant_tell, r.correct, r.sure, r.sure_correct, r.decided_on_both, r.human_correct) == (2, 1, 1, 2, 1, 1, 1, 1, 1, 1)
+    assert [tuple(x) for x in r.flags] == [("x", 2), ("y", 1)]
+    with pytest.raises(ValueError, match="9"):
+        reviews.scored_pairs(pairs, said.withColumn("pair_id", F.lit(9)))
+
+
+def test_spans_are_found_in_time_linear_in_the_words(spark):
+    words = F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.struct(F.concat(F.lit("It's"), F.lit("!!"), i.cast("string")).alias("word"), i.cast("double").alias("start"), (i + 1).cast("double").alias("end")))
+    small = spark.createDataFrame([(3,), (0,), (1,)], "n int").where("n > 0").select("n", words.alias("w")).select("n", detector.spanned(F.col("w")).alias("s")).collect()
+    assert {r.n: [(x.token, x.a, x.b) for x in r.s] for r in small} == {3: [("it's1", 0, 5), ("it's2", 6, 11), ("it's3", 12, 17)], 1: [("it's1", 0, 5)]}
+    took = []
+    for n in (20_000, 20_000, 160_000):
+        began = time.time()
+        spark.createDataFrame([(n,)], "n int").select(detector.spanned(words).alias("s")).select(F.element_at("s", -1).alias("x")).collect()
+        took.append(time.time() - began)
+    assert took[2] < 24 * max(took[1], 0.5)
