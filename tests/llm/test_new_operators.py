@@ -4,6 +4,8 @@ import hashlib
 import json
 import os
 import random
+import re
+import struct
 from collections import Counter, defaultdict
 
 import duckdb
@@ -13,10 +15,11 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 import sentencepiece
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lumenforge.llm import alignment, hard_negatives, url_filter
+from lumenforge.llm import alignment, hard_negatives, html_extract, jaccard_join, language_id, sharding, url_filter
 
 
 # --- alignment -----------------------------------------------------------------------------------
@@ -254,3 +257,77 @@ def test_hard_negatives_of_nothing(spark):
     df = spark.createDataFrame([], "vec_id long, label int, embedding array<float>")
     assert hard_negatives.mine(df, F.col("vec_id") % 100 == 0).count() == 0
     assert os.path.exists(public_tokenizers.path(alignment.A_FILE))
+
+
+# --- earlier operators, outside Spark ------------------------------------------------------------
+
+
+def test_rendezvous_outside_spark(spark):
+    """Hashes and draws in Python: the shard of each key before and after one more shard."""
+    keys = [None, -5, *range(300)]
+
+    def best(key, weights):
+        name = "\x00null" if key is None else str(key)
+        first = xxhash.xxh64_intdigest(name.encode(), seed=42)
+        draws = []
+        for i, w in enumerate(weights):
+            h = xxhash.xxh64_intdigest(struct.pack("<i", i), seed=first)
+            draws.append((-np.log(((h >> 12) + 0.5) / 2.0**52) / w, i))
+        return min(draws)[1]
+
+    df = spark.createDataFrame([(k, f"text {k}") for k in keys], "doc_id long, text string")
+    got = {r.doc_id: (r.shard, r.grown_shard) for r in sharding.shard(df).collect()}
+    assert got == {k: (best(k, [1.0] * 16), best(k, [1.0] * 17)) for k in keys}
+
+
+def test_text_likelihoods_outside_spark(spark):
+    """The trigram model in plain Python: counts, smoothing, and each text's tempered log likelihoods."""
+    r = random.Random(3)
+    word = lambda letters: "".join(r.choice(letters) for _ in range(r.randint(2, 6)))
+    rows = [(i, " ".join(word("abcdx" if i % 2 else "abyz") for _ in range(12)) + (" 12 É!" if i % 5 == 0 else ""), "en" if i % 2 else "fr") for i in range(60)] + [(99, "", "en"), (98, "12 34", "fr")]
+
+    def grams(text):
+        b = [32, *text.encode(), 32]
+        low = [x + 32 if 65 <= x <= 90 else x for x in b]
+        low = [32 if x < 65 else x for x in low]
+        out = []
+        for x, y, z in zip(low, low[1:], low[2:], strict=False):
+            if y > 32:
+                g = (x * 0x9E3779B1 + y * 0x85EBCA77 + z * 0xC2B2AE3D) % 2**32
+                g ^= g >> 15
+                out.append((g * 0x2C1B3C6D % 2**32) >> 17)
+        return out
+
+    n = language_id.BUCKETS
+    counts = {x: Counter(g for _, t, y in rows if y == x for g in grams(t)) for x in ("en", "fr")}
+    total = {x: sum(c.values()) for x, c in counts.items()}
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    d = language_id.document_rows(df)
+    model = language_id.fit(d, ["en", "fr"])
+    for x, row in zip(("en", "fr"), model, strict=True):
+        for g in list(counts["en"])[:50] + [0, 7]:
+            assert abs(row[g] - np.log((counts[x][g] + 0.05) / (total[x] + 0.05 * n))) < 1e-4
+    got = {r.doc_id: r.ll for r in language_id.text_likelihoods(d, model).collect()}
+    for i, t, _ in rows:
+        g = grams(t)
+        if not re.search(r"[^\W\d_]", t):
+            assert got[i] is None
+            continue
+        for k in range(3):
+            mean = -np.log(n) if k == 2 else np.mean([model[k][x] for x in g])
+            assert abs(got[i][k] - mean * min(len(g), language_id.WORTH)) < 2e-3
+
+
+def test_null_ids_and_repeated_pages(spark):
+    page = "<article><p>one two three</p></article>"
+    pages = spark.createDataFrame([(None, "u", page), (1, None, page), (1, None, page), (2, "v", None)], "page_id long, url string, html string")
+    got = sorted(((r.page_id, r.text) for r in html_extract.extract_pages(pages, {}).collect()), key=repr)
+    assert got == [(1, "one two three"), (1, "one two three"), (2, ""), (None, "one two three")]
+    assert language_id.identify(language_id.page_rows(pages.limit(0))).count() == 0
+    long = " ".join(f"w{i}" for i in range(60_000))
+    docs = spark.createDataFrame([(1, long), (2, long + " end"), (3, long[: len(long) // 2])], "doc_id long, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.link_documents(docs).collect()} == {1: (59_996, 1), 2: (59_997, 1), 3: (jaccard_words(long[: len(long) // 2]) - 4, 3)}
+
+
+def jaccard_words(text):
+    return len(text.split())
