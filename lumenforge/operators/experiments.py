@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Of the probe, fixed values.
 EPOCHS, RATE, L2 = 60, 0.5, 1e-4
+#: Values (of all rows together) up to which the driver takes the steps itself, in place of a job for each.
+SMALL = 2_000_000
 #: Distinct scores that isotonic regression takes, at most; the label model has at most 3 to the number of families.
 MOST_SCORES = 100_000
 
@@ -41,38 +43,56 @@ def summed(partial: DataFrame, size: int) -> np.ndarray:
     return total
 
 
+def _gradient(b: pa.RecordBatch, w: np.ndarray) -> np.ndarray:
+    """The sum over a batch's rows (grp, idx, val, y) of each group's gradient."""
+    total, dim = np.zeros(w.shape), w.shape[1] - 1
+    g, y = b.column(0).to_numpy(), b.column(3).to_numpy()
+    at, val = (b.column(c).flatten().to_numpy(zero_copy_only=False) for c in (1, 2))
+    row = np.repeat(np.arange(len(g)), b.column(1).value_lengths().to_numpy(zero_copy_only=False))
+    logit = np.bincount(row, w[g[row], at] * val, len(g)) + w[g, dim]
+    off = 1 / (1 + np.exp(-logit)) - y
+    np.add.at(total, (g[row], at), off[row] * val)
+    np.add.at(total, (g, dim), off)
+    return total
+
+
+def _step(weights: np.ndarray, gradient: np.ndarray, counts: np.ndarray, rate: float, l2: float) -> np.ndarray:
+    out, some = weights.copy(), counts > 0
+    out[some] -= rate * (gradient[some] / counts[some, None] + l2 * weights[some])
+    return out
+
+
 def train_logistic(rows: DataFrame, groups: int, dim: int, epochs: int = EPOCHS, rate: float = RATE, l2: float = L2) -> np.ndarray:
     """Weights (with the bias last) of one model for each group, by full-batch gradient steps from zero.
 
     rows: grp int (from 0), idx array<int>, val array<double>, y double; read once in each epoch, so they should be a written table.
-    All groups take a step in one job. A group without rows keeps zeros.
+    All groups take a step in one job, or, with SMALL values or fewer, on the driver. A group without rows keeps zeros.
     """
     width = dim + 1
     sc = rows.sparkSession.sparkContext
-    counts = np.zeros(groups)
-    for r in rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).collect():  # a row for each group
-        counts[r["grp"]] = r["n"]
+    counts, values = np.zeros(groups), 0
+    for r in rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("idx") + 1).alias("m")).collect():  # a row for each group
+        counts[r["grp"]], values = r["n"], values + r["m"]
     weights = np.zeros((groups, width))
     data = rows.select(F.col("grp").cast("int"), F.col("idx").cast("array<int>"), F.col("val").cast("array<double>"), F.col("y").cast("double"))
+    held = data.toArrow().combine_chunks().to_batches() if values <= SMALL else None
     for _ in range(epochs):
+        if held is not None:
+            gradient = np.zeros((groups, width))
+            for b in held:
+                gradient += _gradient(b, weights)
+            weights = _step(weights, gradient, counts, rate, l2)
+            continue
         shared = sc.broadcast(weights)
 
         def partial(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            w, total = shared.value, np.zeros((groups, width))
+            total = np.zeros((groups, width))
             for b in batches:
-                g, y = b.column(0).to_numpy(), b.column(3).to_numpy()
-                at, val = (b.column(c).flatten().to_numpy(zero_copy_only=False) for c in (1, 2))
-                row = np.repeat(np.arange(len(g)), b.column(1).value_lengths().to_numpy(zero_copy_only=False))
-                logit = np.bincount(row, w[g[row], at] * val, len(g)) + w[g, dim]
-                off = 1 / (1 + np.exp(-logit)) - y
-                np.add.at(total, (g[row], at), off[row] * val)
-                np.add.at(total, (g, dim), off)
+                total += _gradient(b, shared.value)
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
 
         gradient = summed(data.mapInArrow(partial, "sums binary"), groups * width).reshape(groups, width)
-        held = counts > 0
-        weights = weights.copy()
-        weights[held] -= rate * (gradient[held] / counts[held, None] + l2 * weights[held])
+        weights = _step(weights, gradient, counts, rate, l2)
         shared.destroy()
     return weights
 

@@ -230,7 +230,9 @@ def test_places_and_even_orders(spark):
     assert sorted((r.id, r["rank"]) for r in lost.collect()) == [(2, 2), (3, 3), (4, 2), (5, 4), (6, 5), (7, 6), (8, 3), (9, 7), (10, 8), (11, 9)]
 
 
-def test_gradient_steps_equal_numpy(spark):
+@pytest.mark.parametrize("small", [0, experiments.SMALL])
+def test_gradient_steps_equal_numpy(spark, monkeypatch, small):
+    monkeypatch.setattr(experiments, "SMALL", small)
     r = np.random.default_rng(4)
     n, dim = 80, 6
     x, y, g = r.normal(size=(n, dim)) * (r.random((n, dim)) < 0.5), r.integers(0, 2, n), r.integers(0, 2, n)
