@@ -137,8 +137,8 @@ def _ranges(ids: DataFrame, n: int) -> list[int]:
 def with_next(df: DataFrame) -> DataFrame:
     """doc_id, text, and the text of the next document by ascending doc_id (after the last: the first).
 
-    Documents are dealt out by ranges of doc_id. The first document of each range is sent to the range before as
-    well, so every task has all it needs; what the driver learns is one id for each range.
+    Documents are dealt out by ranges of doc_id, one to a task. The first document of each range is sent to the range before as
+    well, so every task has all it needs; what the driver learns is one id for each range. Rows of one doc_id are one range.
     """
     spark, n = df.sparkSession, partitions(df.sparkSession)
     rows = with_schema(df, ("doc_id", "long"), ("text", "string")).select("doc_id", whole_text().alias("text"), F.coalesce("doc_id", F.lit(NULL_ID)).alias("__id"))
@@ -160,7 +160,7 @@ def with_next(df: DataFrame) -> DataFrame:
     dealt = rows.withColumn("__to", F.explode(to("__id")))
     # a copy goes after all of its range; the first document's copy goes to the last range
     dealt = dealt.withColumn("__copy", F.col("__to") < 0).withColumn("__to", F.when(F.col("__copy"), -1 - F.col("__to")).otherwise(F.col("__to")))
-    dealt = dealt.repartition(n, "__to").sortWithinPartitions("__to", "__copy", "__id", "text")
+    dealt = dealt.repartitionById(n, F.col("__to")).sortWithinPartitions("__to", "__copy", "__id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "text", "next_text"]
