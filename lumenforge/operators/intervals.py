@@ -118,3 +118,15 @@ def with_tail(total: Column, size: float, stride: float, tolerance: float = 0.25
     each = F.transform(F.when(total > size, whole), lambda s: F.struct(s.alias("start"), F.least(total, s + size).alias("end")))
     one = F.array(F.struct(F.lit(0.0).alias("start"), total.cast("double").alias("end")))
     return F.when(total > size, each).when(total.isNotNull(), one)
+
+
+def rebased(segments: Column, trims: Column) -> Column:
+    """Segments (array of start, end, text) carried through a chain of trims (array of start, end), each in the time of the cut before: what
+    doesn't touch a trim goes, the rest moves to its time, uncut. As long as a transcript times its repairs."""
+    shape = "array<struct<start:double,end:double,text:string>>"
+
+    def cut(held: Column, trim: Column) -> Column:
+        kept = F.filter(held, lambda s: s["start"].isNotNull() & s["end"].isNotNull() & (s["end"] >= trim["start"]) & (s["start"] <= trim["end"]))
+        return F.transform(kept, lambda s: F.struct(F.round(s["start"] - trim["start"], 3).alias("start"), F.round(s["end"] - trim["start"], 3).alias("end"), s["text"].alias("text"))).cast(shape)
+
+    return F.aggregate(trims, segments.cast(shape), cut)

@@ -121,3 +121,17 @@ def social_candidates(t: Tables) -> DataFrame:
     for c, v in ALLOWED.items():
         ok = ok & F.col(c).isin(v)
     return with_atoms(t.documents, "doc_id", ATOMS).select("doc_id", F.coalesce(ok, F.lit(False)).alias("candidate"))
+
+
+TRIMS = [(7.0, 60.0), (2.5, 31.0), (-1.0, 20.0), (0.25, 12.0)]
+_TRIMMED = " UNION ALL ".join(f"SELECT {i + 1} AS k, {a}::DOUBLE AS lo, {b}::DOUBLE AS hi" for i, (a, b) in enumerate(TRIMS))
+
+
+@query(f"WITH RECURSIVE t AS ({_TRIMMED}), s AS (SELECT conv_id, turn, 0 AS k, (turn * 5.0)::DOUBLE AS a, (turn * 5.0 + 4)::DOUBLE AS b FROM conversations), c AS (SELECT conv_id, turn, k, a::DOUBLE AS a, b::DOUBLE AS b FROM s UNION ALL SELECT conv_id, turn, t.k, round(a - lo, 3)::DOUBLE, round(b - lo, 3)::DOUBLE FROM c JOIN t ON t.k = c.k + 1 WHERE b >= lo AND a <= hi AND t.k <= conv_id % 5) SELECT conv_id, turn, a AS start, b AS \"end\" FROM c WHERE k = conv_id % 5")
+def rebased_chain(t: Tables) -> DataFrame:
+    """Segments through as many trims as the conversation has been repaired by, none to four."""
+    trims = F.slice(F.array(*[F.struct(F.lit(a).alias("start"), F.lit(b).alias("end")) for a, b in TRIMS]), 1, (F.col("conv_id") % 5).cast("int"))
+    turn = F.col("turn")
+    one = F.array(F.struct((turn * 5.0).alias("start"), (turn * 5.0 + 4).alias("end"), F.lit("").alias("text")))
+    d = t.conversations.select("conv_id", "turn", F.explode(intervals.rebased(one, trims)).alias("s"))
+    return d.select("conv_id", "turn", "s.start", "s.end")
