@@ -223,7 +223,7 @@ def ranked_review(t: Tables) -> DataFrame:
 @query("""WITH RECURSIVE o AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS ordinal FROM events WHERE user_id IS NOT NULL), s AS (SELECT user_id, count(*) AS n FROM o GROUP BY user_id),
 p AS (SELECT user_id, n, CASE WHEN n > 2 THEN [0, n - 1, n // 2] ELSE range(n) END AS held FROM s UNION ALL
 SELECT user_id, n, list_append(held, list_extract(list_sort([struct_pack(d := -list_min(list_transform(held, lambda h: abs(h - i))), i := i) FOR i IN range(0, n) IF NOT list_contains(held, i)]), 1).i) FROM p WHERE len(held) < n),
-f AS (SELECT user_id, arg_max(held, len(held)) AS places FROM p GROUP BY user_id) SELECT o.user_id, o.event_id, o.ordinal, list_position(f.places, o.ordinal) - 1 AS place FROM o JOIN f USING (user_id)""")
+f AS (SELECT user_id, arg_max(held, len(held)) AS places FROM p GROUP BY user_id) SELECT o.user_id, o.event_id, o.ordinal, CAST(list_position(f.places, o.ordinal) - 1 AS BIGINT) AS place FROM o JOIN f USING (user_id)""")
 def farthest_first_order(t: Tables) -> DataFrame:
     """The place of each of a user's rows in an order that covers them evenly at every length: first, last and middle, then always the
     one farthest from those taken. Places come from a sort by a distance that each row knows by itself, in ranges."""
