@@ -84,16 +84,17 @@ FEATURES = "uid string, pillar string, clip string, error string, low_level map<
 
 def feature_index(spark: SparkSession, ledgers: list[str]) -> DataFrame:
     """Features by pillar, uid and the index in the medium's file name (0 without one). Failed rows are left out; later ledgers, and
-    within one later rows, override."""
+    within one later rows, override. Rows of a ledger of several files go by file, block and place in the block: numbers of rows are only
+    compared within a block, which one task reads in order, however files are packed into tasks."""
     out = None
     for i, path in enumerate(ledgers):
-        d = spark.read.schema(FEATURES).json(path).select("*", F.lit(i).alias("ledger"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+        d = spark.read.schema(FEATURES).json(path).select("*", F.lit(i).alias("ledger"), _path().alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
         out = d if out is None else out.unionByName(d)
     if out is None:
         return spark.createDataFrame([], "pillar string, uid string, idx int, low_level map<string, double>, keypoints map<string, double>, clip_scores struct<mean_probabilities: array<double>>")
     named = F.regexp_extract(F.coalesce("clip", F.lit("")), r"(?:clip|demo)_(\d+)\.mp4$", 1)
     ok = out.where((F.coalesce("error", F.lit("")) == "") & (F.coalesce("uid", F.lit("")) != "") & (F.coalesce("pillar", F.lit("")) != "")).withColumn("idx", F.when(named == "", 0).otherwise(named.cast("int")))
-    last = F.max_by(F.struct("low_level", "keypoints", "clip_scores"), F.struct("ledger", "block", "row"))
+    last = F.max_by(F.struct("low_level", "keypoints", "clip_scores"), F.struct("ledger", "path", "block", "row"))
     return ok.groupBy("pillar", "uid", "idx").agg(last.alias("f")).select("pillar", "uid", "idx", "f.*")
 
 
