@@ -24,3 +24,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{folder(spark)}/lumenforge/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def finished(spark: SparkSession, path: str) -> bool:
+    """Whether a write to this folder was committed."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """The names of what lies in a folder, sorted; none if it isn't there."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(s.getPath().getName() for s in fs.listStatus(where)) if fs.exists(where) else []
