@@ -62,6 +62,29 @@ SOCIAL_ACTION = r"\b(?:apolog(?:ize|ise|ized|ised|izing|ising)|ask(?:ed|ing)?|at
 SOCIAL_DOMAINS = ["interpersonal_treatment", "communicative_act", "role_or_care_obligation", "shared_space_convention", "solo_social_convention"]
 
 
+# The concepts that a search query may belong to, each with its pattern.
+QUERY_CONCEPTS = {
+    "queue_line_cutting": r"queue|line cut|cutting in line|jump.*line",
+    "interruption": r"interrupt|talk over|speaks over",
+    "public_noise": r"loud music|speakerphone|quiet zone|library noise|noise complaint",
+    "littering_shared_cleanup": r"litter|leave.*trash|shopping cart|dog poop|pick up after dog",
+    "customer_worker_treatment": r"rude customer|berat.*cashier|yell.*server|customer.*employee|abuse.*staff",
+    "sharing_turn_taking": r"shar(?:e|ing)|taking turns|turn taking",
+    "borrowing_returning": r"borrow|return.*item|take.*without asking",
+    "roommate_chores": r"roommate|housemate|chores|clean.*shared",
+    "neighbor_etiquette": r"neighbor|neighbour|driveway|property line",
+    "transit_seating": r"bus seat|train seat|public transport|subway etiquette|priority seat",
+    "personal_space": r"personal space|too close|touch.*without",
+    "phone_etiquette": r"phone etiquette|speakerphone|texting etiquette|group chat",
+    "door_elevator": r"hold.*door|elevator etiquette|block.*doorway",
+    "gossip_credit_exclusion": r"gossip|takes credit|steal.*credit|exclude.*coworker|left out",
+    "apology_honesty": r"apolog|honesty|lying|lies to|deceiv",
+    "bullying_bystander": r"bully|bystander.*interven|stand.*up for",
+    "dining_guest": r"table manners|dining etiquette|dinner guest|overstay|tipping etiquette",
+    "punctuality": r"punctual|late.*meeting|arriv.*late|on time",
+}
+
+
 def _has(c: Column, pattern: str) -> Column:
     return F.coalesce(c, F.lit("")).rlike("(?i)" + pattern)
 
@@ -117,3 +140,8 @@ def social_text(domain: Column, grounded: list[Column], procedural: Column, pers
 
 def junk_title(title: Column) -> Column:
     return F.coalesce(title, F.lit("")).rlike("(?i)" + "|".join(TITLE_JUNK))
+
+
+def concepts(query: Column) -> Column:
+    """The names of all concepts that a search query belongs to, whatever its case."""
+    return F.array_compact(F.array(*[F.when(F.coalesce(query, F.lit("")).rlike(f"(?i){p}"), F.lit(n)) for n, p in QUERY_CONCEPTS.items()]))

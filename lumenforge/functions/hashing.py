@@ -35,3 +35,13 @@ def order(seed: str, key: Column) -> Column:
 
 def window_id(prefix: str, *parts: Column) -> Column:
     return F.concat(F.lit(prefix), F.substring(F.sha2(F.concat_ws("\x00", *[p.cast("string") for p in parts]), 256), 1, 20))
+
+
+def worker(key: Column, shares: dict[str, int]) -> Column:
+    """The worker of a key: as many buckets as the shares add up to, dealt to the workers in order."""
+    bucket = shard(key, sum(shares.values()))
+    out, upto = F.lit(None).cast("string"), sum(shares.values())
+    for name, n in reversed(shares.items()):
+        out = F.when(bucket < upto, name).otherwise(out)
+        upto -= n
+    return out

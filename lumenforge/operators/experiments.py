@@ -222,3 +222,43 @@ def out_of_fold(df: DataFrame, pipeline, fold: str, folds: int, keep: list[str])
     for x in parts[1:]:
         out = out.unionByName(x)
     return out
+
+
+def best_rule(df: DataFrame, value: str, gold: Column, side: Column, most: int = 101) -> DataFrame:
+    """The rule `value >= cut` (ge) or `value <= cut` (le) with the best balanced accuracy on the train side, and how it does on the test
+    side: direction, cut, train, test (balanced accuracies) and tp, fp, fn, tn of the test side. Cuts are the distinct values, or `most`
+    quantiles of them, linear between neighbours, if there are as many; of equal rules ge and the lesser cut win. No row with fewer
+    than ten rows to train on or five to test. Rows without a value take no part.
+
+    Rows are counted by how many cuts they reach, so what meets all cuts is a few rows.
+    """
+    from . import ranks
+    from .shared import written
+
+    d = written(df.select(F.col(value).cast("double").alias("v"), gold.alias("y"), side.alias("s")).where("v IS NOT NULL AND y IS NOT NULL"), "values")
+    each = d.where("s = 'train'").select("v").distinct()
+    if each.limit(most).count() < most:
+        cuts = each.agg(F.array_sort(F.collect_list("v")).alias("q"))  # fewer than `most` values
+    else:
+        cuts = ranks.quantiles(each, "v", [i / (most - 1) for i in range(most)]).select(F.array_sort(F.array_distinct("q")).alias("q"))
+    placed = d.join(F.broadcast(cuts), F.lit(True)).select("s", "y", F.size(F.filter("q", lambda c: c <= F.col("v"))).alias("upto"), F.size(F.filter("q", lambda c: c < F.col("v"))).alias("below"))
+    n = placed.groupBy("s", "y", "upto", "below").agg(F.count(F.lit(1)).alias("n"))
+    x = n.join(F.broadcast(cuts), F.lit(True)).select("s", "y", "upto", "below", "n", F.posexplode("q").alias("i", "cut")).withColumn("direction", F.explode(F.array(F.lit("ge"), F.lit("le"))))
+    hit = F.when(F.col("direction") == "ge", F.col("i") < F.col("upto")).otherwise(F.col("i") >= F.col("below"))
+    part = lambda s, c: F.coalesce(F.sum(F.when((F.col("s") == s) & c, F.col("n"))), F.lit(0))
+    y = F.col("y")
+    kinds = {"tp": y & hit, "fp": ~y & hit, "fn": y & ~hit, "tn": ~y & ~hit}
+    g = x.groupBy("direction", "cut").agg(*[part(s, c).alias(f"{s}_{k}") for s in ("train", "test") for k, c in kinds.items()])
+    c = F.col
+    rate = lambda s: F.round((c(f"{s}_tp") / F.greatest(c(f"{s}_tp") + c(f"{s}_fn"), F.lit(1)) + c(f"{s}_tn") / F.greatest(c(f"{s}_tn") + c(f"{s}_fp"), F.lit(1))) / 2, 9)
+    rows = lambda s: sum((c(f"{s}_{k}") for k in ("fp", "fn", "tn")), c(f"{s}_tp"))
+    g = g.where((rows("train") >= 10) & (rows("test") >= 5)).select("direction", "cut", rate("train").alias("train"), rate("test").alias("test"), *[c(f"test_{k}").alias(k) for k in kinds])
+    return g.orderBy(F.desc("train"), "direction", "cut").limit(1)
+
+
+def rule_errors(df: DataFrame, value: str, gold: Column, side: Column, rule: DataFrame) -> DataFrame:
+    """The rows of the test side that a rule, one row of best_rule, gets wrong, with what it says (predicted)."""
+    d = df.withColumns({"__y": gold, "__s": side}).where(F.col("__s") == "test").where(F.col(value).isNotNull() & F.col("__y").isNotNull())
+    r = rule.select(F.col("direction").alias("__d"), F.col("cut").alias("__c"))  # one row
+    d = d.join(F.broadcast(r), F.lit(True)).withColumn("predicted", F.when(F.col("__d") == "ge", F.col(value) >= F.col("__c")).otherwise(F.col(value) <= F.col("__c")))
+    return d.where(F.col("predicted") != F.col("__y")).drop("__y", "__s", "__d", "__c")

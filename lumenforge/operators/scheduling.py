@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.hashing import fraction
+
 
 def cooldown_replay(runs: DataFrame, keys: list[str], order: list[str], found: Column, failed: Column, base: float, failure: float, most: float) -> DataFrame:
     """The streak of runs without anything new after each run, and the seconds to wait.
@@ -21,10 +23,12 @@ def cooldown_replay(runs: DataFrame, keys: list[str], order: list[str], found: C
     return d.withColumn("cooldown", wait).drop("__f", "__x", "__g")
 
 
-def staleness_pick(df: DataFrame, key: str, recent: Column, now: Column, weight: Column) -> DataFrame:
-    """The key with the largest weight * (age + 1); ties: the smaller key."""
+def staleness_pick(df: DataFrame, key: str, recent: Column, now: Column, weight: Column, seed: str | None = None) -> DataFrame:
+    """The key with the largest weight * (age + 1); ties: the smaller key. With a seed, up to one is added by its digest with the key,
+    so that keys of nearly the same age don't always come in one order."""
     g = df.groupBy(key).agg(F.max(recent).alias("recent"), F.max(weight).alias("weight")).where("weight > 0")
-    return g.withColumn("score", F.col("weight") * (F.greatest(F.lit(0.0), now - F.coalesce("recent", F.lit(0.0))) + 1)).orderBy(F.desc("score"), key).limit(1)
+    jitter = F.lit(0.0) if seed is None else fraction(seed, F.col(key))
+    return g.withColumn("score", F.col("weight") * (F.greatest(F.lit(0.0), now - F.coalesce("recent", F.lit(0.0))) + 1) + jitter).orderBy(F.desc("score"), key).limit(1)
 
 
 def prune(df: DataFrame, processed: Column, hits: Column, least: int, rate: float) -> DataFrame:
