@@ -98,5 +98,5 @@ def strata_rounds(df: DataFrame, key: str, unique: str, stratum: str, seed: str,
 
     kind = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     # a row of nulls, so that the check runs for an empty table as well
-    none = df.sparkSession.createDataFrame([(None,) * 4], few.schema)
+    none = df.sparkSession.range(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in few.schema.fields])
     return few.unionByName(none).withColumn("__g", F.lit(1)).groupBy("__g").applyInPandas(lambda rows: turns(rows[rows["h"].notna()]), f"place long, {key} {kind[key]}, {unique} {kind[unique]}, {stratum} {kind[stratum]}")

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from lumenforge.functions import cues, hashing, vectors
 from lumenforge.operators import experiments, sampling, scheduling
+from lumenforge.plans import catalog
+
+from .conftest import SF
 
 
 def test_frame_metrics_equal_numpy(spark):
@@ -98,7 +101,7 @@ def test_rounds_over_strata_equal_the_plain_loop(spark):
     rng = random.Random(2)
     # one stratum and one source hold a third of the rows each
     rows = [(i, "hot" if rng.random() < 0.33 else None if rng.random() < 0.05 else f"s{rng.randrange(60)}", "a" if rng.random() < 0.33 else rng.choice(["b", "c+d", "e"])) for i in range(800)]
-    df = spark.createDataFrame(rows, "id long, source string, cues string")
+    df = spark.createDataFrame(rows, "id long, source string, cues string").withColumn("cues", F.coalesce("cues", F.lit("none")))  # not nullable, as in the query
     for count in (1, 7, 40, 58):
         got = [(r.id, r.source, r.cues) for r in sampling.strata_rounds(df, "id", "source", "cues", "x", count).orderBy("place").collect()]
         assert got == plain_rounds(rows, "x", count) and len(got) == count
@@ -129,3 +132,11 @@ def test_workers_and_jitter(spark):
     for seed in "pqrst":
         assert scheduling.staleness_pick(df, "k", F.col("at"), F.lit(9.0), F.lit(1.0), seed).first().k == max("abc", key=lambda k: draw(seed, k))
     assert scheduling.staleness_pick(df, "k", F.col("at"), F.lit(9.0), F.lit(1.0)).first().k == "a"
+
+
+def test_rounds_over_the_documents(spark):
+    rows = catalog.queries()["source_disjoint_rounds"](spark, SF).collect()
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "source", "lang", "n_chars").collect()
+    stratum = lambda r: "+".join(sorted(n for n, c in (("even", r.n_chars % 2 == 0), ("en", r.lang == "en"), ("long", r.n_chars > 2000)) if c)) or "<no-cue>"
+    want = plain_rounds([(r.doc_id, r.source, stratum(r)) for r in docs], "rounds", 15)
+    assert [(r.doc_id, r.source, r.stratum) for r in sorted(rows, key=lambda r: r.place)] == want
