@@ -8,18 +8,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators import intervals
 from ..operators.shared import folder
 from ..streaming import crawl, jobs, status
-from .interval_queries import EV
+from .interval_queries import EV, seconds
 from .registry import Tables, query
 
 
 @query(f"""WITH {EV}, d AS (SELECT DISTINCT event_id, user_id, s FROM e), g AS (SELECT *, CASE WHEN s - lag(s) OVER (PARTITION BY user_id ORDER BY s, event_id) < 7200 THEN 0 ELSE 1 END AS b FROM d), i AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY s, event_id) AS k FROM g)
  SELECT user_id, count(*) AS n FROM i GROUP BY user_id, k""")
 def session_windows(t: Tables) -> DataFrame:
-    """The batch form of the session stream: sessions of two hours by user."""
-    e = t.events.select("event_id", "user_id", F.to_timestamp(F.col("ts").cast("string")).alias("at")).distinct()
-    return e.groupBy("user_id", F.session_window(F.date_trunc("second", "at"), "2 hours")).agg(F.count(F.lit(1)).alias("n")).select("user_id", "n")
+    """The batch form of the session stream: sessions of two hours by user. Events just two hours apart are of two sessions; Spark's own
+    session windows would merge them."""
+    e = seconds(t).select("event_id", "user_id", "s").distinct()
+    g = intervals.gap_islands(e, ["user_id"], F.col("s"), 7199, ["event_id"])  # of whole seconds, fewer than 7,200
+    return g.groupBy("user_id", "island").agg(F.count(F.lit(1)).alias("n")).select("user_id", "n")
 
 
 @query("""WITH e AS (SELECT DISTINCT event_id, user_id, ts FROM events), m AS (SELECT max(ts) - INTERVAL 1 DAY AS mark FROM events), g AS (SELECT *, CASE WHEN ts < lag(ts) OVER w + INTERVAL 2 HOUR THEN 0 ELSE 1 END AS b FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), i AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM g),

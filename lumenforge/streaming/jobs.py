@@ -21,10 +21,11 @@ def event_stream(spark: SparkSession, sf_dir: str, per_trigger: int = 1000) -> D
 
 
 def sessions(events: DataFrame, gap: str = "2 hours", late: str = "1 day") -> DataFrame:
-    """Events once each within the watermark, counted by user and session."""
+    """Events once each within the watermark, counted by user and session. An event just `gap` after the one before starts a session: Spark
+    merges windows that touch, so they are a microsecond shorter until they are counted."""
     once = events.withWatermark("at", late).dropDuplicatesWithinWatermark(["event_id"])
-    g = once.groupBy("user_id", F.session_window("at", gap)).agg(F.count(F.lit(1)).alias("n"))
-    return g.select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
+    g = once.groupBy("user_id", F.session_window("at", f"{gap} -1 microseconds")).agg(F.count(F.lit(1)).alias("n"))
+    return g.select("user_id", F.col("session_window.start").alias("start"), (F.col("session_window.end") + F.expr("INTERVAL 1 MICROSECOND")).alias("end"), "n")
 
 
 COOLDOWN = "user_id long, streak long, cooldown double"

@@ -340,3 +340,20 @@ def test_spans_are_found_in_time_linear_in_the_words(spark):
         spark.createDataFrame([(n,)], "n int").select(detector.spanned(words).alias("s")).select(F.element_at("s", -1).alias("x")).collect()
         took.append(time.time() - began)
     assert took[2] < 24 * max(took[1], 0.5)
+
+
+def test_events_just_two_hours_apart_are_of_two_sessions(spark, tmp_path):
+    from lumenforge.plans import catalog
+    from lumenforge.streaming import jobs
+
+    # the last event, of another user, closes the sessions before
+    rows = [(1, "2024-01-01 00:00:00", 7), (2, "2024-01-01 02:00:00", 7), (2, "2024-01-01 02:00:00", 7), (3, "2024-01-01 03:59:59", 7), (4, "2024-01-01 00:00:00", None), (5, "2024-01-09 00:00:00", 8)]
+    d = spark.createDataFrame(rows, "event_id long, s string, user_id long").select("event_id", F.col("s").cast("timestamp_ntz").alias("ts"), "user_id", F.lit("view").alias("event_type"), F.lit(1.0).alias("value"), F.lit("").alias("props"))
+    d.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    got = catalog.queries()["session_windows"](spark, str(tmp_path)).collect()
+    assert sorted((r.user_id or 0, r.n) for r in got) == [(0, 1), (7, 1), (7, 2), (8, 1)]
+    one = tmp_path / "stream" / "events.parquet"
+    one.parent.mkdir()
+    one.write_bytes(next((tmp_path / "events.parquet").glob("part-*")).read_bytes())
+    got = jobs.run_to_table(jobs.sessions(jobs.event_stream(spark, str(one.parent))), "sessions").collect()
+    assert sorted((r.user_id or 0, str(r.start)[11:], str(r.end)[11:], r.n) for r in got) == [(0, "00:00:00", "02:00:00", 1), (7, "00:00:00", "02:00:00", 1), (7, "02:00:00", "05:59:59", 2)]
