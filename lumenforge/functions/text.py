@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -91,6 +93,11 @@ SCRIPTS = [
 ]
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f names it: transform over an array of one binds it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def squeeze(c: Column) -> Column:
     """White space as single blanks, trimmed."""
     return F.trim(F.regexp_replace(c, r"\s+", " "))
@@ -180,39 +187,58 @@ def scope_gate(query: Column, automatic: Column, longest: int = 120) -> Column:
     return out.otherwise("within_ordinary_social_scope")
 
 
-def _scripts(text: Column) -> Column:
-    """(letters, script) of each script in a text, latin first: letters that no other script has."""
+def _scripts(letters: Column) -> Column:
+    """(letters, script) of each script among the letters of a text, latin first: letters that no other script has."""
     ranges: dict[str, str] = {}
     for name, lo, hi in SCRIPTS:
         ranges[name] = ranges.get(name, "") + f"\\x{{{lo:X}}}-\\x{{{hi:X}}}"
-    count = lambda p: F.regexp_count(text, F.lit(p))
-    other = "".join(ranges.values())
-    return F.array(F.struct(count(rf"[\p{{L}}&&[^{other}]]").alias("n"), F.lit("latin").alias("s")), *[F.struct(count(rf"[\p{{L}}&&[{r}]]").alias("n"), F.lit(s).alias("s")) for s, r in ranges.items()])
+    # letters before all scripts go first: of most Latin texts nothing is left to search
+    rest = F.regexp_replace(letters, rf"[\x{{0}}-\x{{{min(lo for _, lo, _ in SCRIPTS) - 1:X}}}]+", "")
+    own = lambda x, r: F.length(x) - F.length(F.regexp_replace(x, f"[{r}]+", ""))
+    counts = lambda x: F.array(*[F.when(x == "", 0).otherwise(own(x, r)) for r in ranges.values()])
+    latin = lambda ns: F.length(letters) - F.aggregate(ns, F.lit(0), lambda m, n: m + n)
+    return let(let(rest, counts), lambda ns: F.array(F.struct(latin(ns).alias("n"), F.lit("latin").alias("s")), *[F.struct(ns[i].alias("n"), F.lit(s).alias("s")) for i, s in enumerate(ranges)]))
+
+
+def _tag(c: Column, least_letters: int) -> Column:
+    """n (letters), and most (n and s) of the commonest script of a text, if it has enough letters."""
+    first = lambda a: let(F.array_max(F.transform(a, lambda y: y["n"])), lambda m: F.element_at(F.filter(a, lambda x: x["n"] == m), 1))
+    letters = F.regexp_replace(F.coalesce(c, F.lit("")), r"\P{L}+", "")
+    return let(letters, lambda x: F.struct(F.length(x).alias("n"), F.when(F.length(x) >= least_letters, let(_scripts(x), first)).alias("most")))
+
+
+def _fraction(tag: Column, least_letters: int) -> Column:
+    return F.when(tag["n"] < least_letters, 0.0).otherwise(F.round(tag["most"]["n"] / tag["n"], 3))
+
+
+def _language(c: Column, tag: Column, least_letters: int) -> Column:
+    words = F.split(F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), r"[^\p{L}'\s]+", "")), r"\s+")
+    # a text's words are searched once, for those of all banks
+    known = F.array_intersect(words, F.array(*[F.lit(w) for w in dict.fromkeys(w for ws in STOPWORDS.values() for w in ws)]))
+    half = F.array(*[F.lit(w) for w in AMBIGUOUS])
+    banks = F.array(*[F.struct(F.lit(name).alias("l"), F.array(*[F.lit(w) for w in ws]).alias("w")) for name, ws in STOPWORDS.items()])
+    weight = lambda hit: F.size(F.array_except(hit, half)) + 0.5 * F.size(F.array_intersect(hit, half))
+    votes = lambda ws: F.transform(banks, lambda b: F.struct(let(F.array_intersect(b["w"], ws), weight).alias("n"), b["l"].alias("l")))
+    ranked = let(known, lambda ws: F.sort_array(votes(ws), asc=False))
+    latin = let(ranked, lambda r: F.when((r[0]["n"] >= 1.5) & (r[0]["n"] > r[1]["n"]), r[0]["l"]).otherwise("unknown_latin"))
+    script = tag["most"]["s"]
+    return F.when(tag["n"] < least_letters, "too_short").when(script == "latin", latin).otherwise(F.concat(F.lit("script:"), script))
 
 
 def script_fraction(c: Column, least_letters: int = 6) -> Column:
     """The share of letters that the commonest script has; 0 for texts with too few letters."""
-    text = F.coalesce(c, F.lit(""))
-    letters = F.regexp_count(text, F.lit(r"\p{L}"))
-    return F.when(letters < least_letters, 0.0).otherwise(F.round(F.array_max(F.transform(_scripts(text), lambda x: x["n"])) / letters, 3))
+    return let(_tag(c, least_letters), lambda t: _fraction(t, least_letters))
 
 
 def language_guess(c: Column, least_letters: int = 6) -> Column:
     """Language of a Latin text by stop words (unknown_latin on a tie or too few), script:<name> for others, or too_short. Of equally common
     scripts Latin counts, then the first in the list."""
-    text = F.coalesce(c, F.lit(""))
-    letters = F.regexp_count(text, F.lit(r"\p{L}"))
-    # transform over an array of one binds a value to a name, so it's computed once and the expression stays small
-    let = lambda x, f: F.element_at(F.transform(F.array(x), f), 1)
-    script = let(_scripts(text), lambda a: F.element_at(F.filter(a, lambda x: x["n"] == F.array_max(F.transform(a, lambda y: y["n"]))), 1)["s"])
-    words = F.array_distinct(F.split(F.lower(F.regexp_replace(text, r"[^\p{L}'\s]+", "")), r"\s+"))
-    half = F.array(*[F.lit(w) for w in AMBIGUOUS])
-    banks = F.array(*[F.struct(F.lit(name).alias("l"), F.array(*[F.lit(w) for w in ws]).alias("w")) for name, ws in STOPWORDS.items()])
-    weight = lambda hit: F.size(F.array_except(hit, half)) + 0.5 * F.size(F.array_intersect(hit, half))
-    votes = lambda ws: F.transform(banks, lambda b: F.struct(weight(F.array_intersect(b["w"], ws)).alias("n"), b["l"].alias("l")))
-    ranked = let(words, lambda ws: F.sort_array(votes(ws), asc=False))
-    latin = let(ranked, lambda r: F.when((r[0]["n"] >= 1.5) & (r[0]["n"] > r[1]["n"]), r[0]["l"]).otherwise("unknown_latin"))
-    return F.when(letters < least_letters, "too_short").otherwise(let(script, lambda s: F.when(s == "latin", latin).otherwise(F.concat(F.lit("script:"), s))))
+    return let(_tag(c, least_letters), lambda t: _language(c, t, least_letters))
+
+
+def language_tag(c: Column, least_letters: int = 6) -> Column:
+    """Both of these, as language and script_fraction; letters are counted once."""
+    return let(_tag(c, least_letters), lambda t: F.struct(_language(c, t, least_letters).alias("language"), _fraction(t, least_letters).alias("script_fraction")))
 
 
 def iso_duration(c: Column) -> Column:

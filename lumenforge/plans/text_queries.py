@@ -66,7 +66,7 @@ m AS (SELECT doc_id, ls, ws, ns, len(ls) - list_sum(list_transform(ns, lambda x:
 v AS (SELECT doc_id, unnest([{_BANKS}]) AS b, ws FROM d), x AS (SELECT doc_id, b.l AS l, len(list_intersect(b.w, ws)) - 0.5 * len(list_intersect(list_intersect(b.w, ws), {_HALF})) AS n FROM v), k AS (SELECT doc_id, list(struct_pack(n := n, l := l) ORDER BY n DESC, l DESC) AS r FROM x GROUP BY doc_id)
 SELECT m.doc_id, CASE WHEN len(ls) < 6 THEN 'too_short' WHEN latin >= most THEN CASE WHEN r[1].n >= 1.5 AND r[1].n > r[2].n THEN r[1].l ELSE 'unknown_latin' END ELSE 'script:' || list_filter(ns, lambda x: x.n = most)[1].s END AS language, CASE WHEN len(ls) < 6 THEN 0.0 ELSE round(greatest(latin, most) / len(ls), 3) END AS script_fraction FROM m JOIN k ON m.doc_id = k.doc_id""")
 def script_language_tag(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", text.language_guess(F.col("text")).alias("language"), text.script_fraction(F.col("text")).alias("script_fraction"))
+    return t.documents.select("doc_id", text.language_tag(F.col("text")).alias("x")).select("doc_id", "x.*")
 
 
 @query("""WITH p AS (SELECT unnest(['the and', 'on the', 'of the', 'is the']) AS phrase, unnest([1, 2, 3, 3]) AS tier) SELECT conv_id, turn, tier, phrase, CAST(len(regexp_extract_all(lower(text), '(?:^|[^a-z])' || phrase || '(?:[^a-z]|$)')) AS BIGINT) AS hits FROM conversations JOIN p ON regexp_matches(lower(text), '(?:^|[^a-z])' || phrase || '(?:[^a-z]|$)')""")

@@ -195,3 +195,12 @@ def test_tracks_follow_boxes(spark):
     got = {(r.clip, r.frame, r.box): r.track for r in tracks.link(d).collect()}
     assert [got[7, 0, 0], got[7, 0, 1], got[7, 1, 0], got[7, 1, 1]] == [0, 1, 1, 0]
     assert got[7, 2, 0] == 0 and {got[7, 2, 1], got[7, 2, 2]} == {2, 3} and got[8, 5, 0] == 0
+
+
+def test_language_tag_searches_a_text_twice(spark):
+    texts = ["The cat is not what you think of, and that is why", "Привет всем, как дела?", "漢字かな交じり文です漢字", "ab", None, "Ελληνικά and латиница ok", "abcdef абвгде", "Աբգդեզ mot"]
+    d = spark.createDataFrame([(t,) for t in texts], "text string").repartition(1)
+    x = d.select("text", text.language_tag(F.col("text")).alias("x")).select("text", "x.*")
+    got = {r.text: (r.language, r.script_fraction) for r in x.collect()}
+    assert got == {texts[0]: ("english", 1.0), texts[1]: ("script:cyrillic", 1.0), texts[2]: ("script:cjk", 0.5), "ab": ("too_short", 0.0), None: ("too_short", 0.0), texts[5]: ("script:cyrillic", 0.381), texts[6]: ("unknown_latin", 0.5), texts[7]: ("unknown_latin", 1.0)}
+    assert x._jdf.queryExecution().optimizedPlan().toString().count("coalesce(text#") == 2
