@@ -101,11 +101,17 @@ def recovered(words: Column, first: Column, first_size: Column, last: Column, la
 
 def pseudo_words(text: Column, start: Column, end: Column) -> Column:
     """Words of a segment without times, spread evenly over it; a text without blanks is cut into characters."""
-    t = words_.squeeze(F.coalesce(text, F.lit("")))
-    units = F.when(F.contains(t, F.lit(" ")) | (F.length(t) < 2), F.split(t, " ")).otherwise(F.filter(F.split(t, ""), lambda c: c != ""))
-    step = F.greatest(end - start, F.lit(0.0)) / F.size(units)
-    at = lambda i: F.round(F.when(i == F.size(units), end).otherwise(start + i * step), 3)
-    return F.when((t != "") & start.isNotNull() & end.isNotNull(), F.transform(units, lambda w, i: F.struct(w.alias("word"), F.round(start + i * step, 3).alias("start"), at(i + 1).alias("end")))).otherwise(F.array().cast("array<struct<word:string,start:double,end:double>>"))
+    known = start.isNotNull() & end.isNotNull()
+    cut = lambda t: F.when(F.contains(t, F.lit(" ")) | (F.length(t) < 2), F.split(t, " ")).otherwise(F.filter(F.split(t, ""), lambda c: c != ""))
+
+    def timed(units: Column) -> Column:
+        step = F.greatest(end - start, F.lit(0.0)) / F.size(units)
+        at = lambda i: F.round(F.when(i == F.size(units), end).otherwise(start + i * step), 3)
+        return F.transform(units, lambda w, i: F.struct(w.alias("word"), F.round(start + i * step, 3).alias("start"), at(i + 1).alias("end")))
+
+    # a text is squeezed and cut once, not for each of its words
+    spoken = words_.let(words_.squeeze(F.coalesce(text, F.lit(""))), lambda t: F.when((t != "") & known, words_.let(cut(t), timed)))
+    return F.coalesce(spoken, F.array().cast("array<struct<word:string,start:double,end:double>>"))
 
 
 ANSWER = "struct<is_target:string,hard_negative_type:string,modality:string,agent:string,reactions:array<struct<quote:string,tag:string>>>"

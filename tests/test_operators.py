@@ -204,3 +204,16 @@ def test_language_tag_searches_a_text_twice(spark):
     got = {r.text: (r.language, r.script_fraction) for r in x.collect()}
     assert got == {texts[0]: ("english", 1.0), texts[1]: ("script:cyrillic", 1.0), texts[2]: ("script:cjk", 0.5), "ab": ("too_short", 0.0), None: ("too_short", 0.0), texts[5]: ("script:cyrillic", 0.381), texts[6]: ("unknown_latin", 0.5), texts[7]: ("unknown_latin", 1.0)}
     assert x._jdf.queryExecution().optimizedPlan().toString().count("coalesce(text#") == 2
+
+
+def test_long_segments_are_cut_once(spark):
+    import time
+
+    from lumenforge.operators import detector
+
+    n = 20_000
+    d = spark.range(1).select(F.explode(detector.pseudo_words(F.repeat(F.lit("so  it "), n // 2), F.lit(0.0), F.lit(float(n)))).alias("w"))
+    start = time.time()
+    r = d.agg(F.count(F.lit(1)).alias("n"), F.sum("w.start").alias("s"), F.max("w.end").alias("e")).first()
+    assert (r.n, r.s, r.e) == (n, n * (n - 1) / 2, float(n))
+    assert time.time() - start < 20  # a text that was cut again for each word took minutes
