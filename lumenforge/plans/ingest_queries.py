@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import json_walk, text
-from ..operators import intervals, relational
+from ..operators import intervals, similar
 from ..operators.shared import written
 from .atoms import atoms_sql, pick, pick_sql, with_atoms
 from .registry import Tables, query
@@ -223,11 +223,11 @@ s AS (SELECT a.doc_id AS ka, b.doc_id AS kb, count(*) AS k, any_value(a.n) AS na
 SELECT ka, kb, round(k::DOUBLE / (na + nb - k), 6) AS jaccard, abs(x.n_chars - y.n_chars) <= 0.02 * greatest(x.n_chars, y.n_chars) AS same_length FROM s JOIN r x ON x.doc_id = ka JOIN r y ON y.doc_id = kb WHERE k::DOUBLE / (na + nb - k) >= 0.5""")
 def episode_pairs(t: Tables) -> DataFrame:
     """Documents whose words are alike, pair by pair, with whether their lengths are. Documents of the same words stand for each other: the
-    first of them is in the pairs, so copies make none. Found through rare words, not all pairs."""
+    first of them is in the pairs, so copies make none. Found through the rare words that blocks of documents share."""
     d = t.documents.select("doc_id", "n_chars", F.array_sort(text.tokens(F.col("text"), 3)).alias("ts")).where(F.size("ts") > 0)
     first = d.groupBy(F.xxhash64("ts").alias("__h"), F.md5(F.array_join("ts", " ")).alias("__m")).agg(F.min_by(F.struct("doc_id", "n_chars", "ts"), "doc_id").alias("x")).select("x.*")
     r = written(first, "word-sets")
-    j = relational.near_pairs(r, r, "doc_id", "doc_id", "ts", 0.5).where("ka < kb")
+    j = similar.similar_pairs(r, "doc_id", "ts", 0.5)
     a, b = r.select(F.col("doc_id").alias("ka"), F.col("n_chars").alias("na")), r.select(F.col("doc_id").alias("kb"), F.col("n_chars").alias("nb"))
     near = F.abs(F.col("na") - F.col("nb")) <= 0.02 * F.greatest("na", "nb")
     return j.join(a, "ka").join(b, "kb").select("ka", "kb", F.round("jaccard", 6).alias("jaccard"), near.alias("same_length"))

@@ -1,6 +1,8 @@
 """Operators on literal rows."""
 
+import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -217,3 +219,30 @@ def test_long_segments_are_cut_once(spark):
     r = d.agg(F.count(F.lit(1)).alias("n"), F.sum("w.start").alias("s"), F.max("w.end").alias("e")).first()
     assert (r.n, r.s, r.e) == (n, n * (n - 1) / 2, float(n))
     assert time.time() - start < 20  # a text that was cut again for each word took minutes
+
+
+def test_similar_pairs_are_all_found_and_few_others_compared(spark, monkeypatch):
+    from lumenforge.operators import similar
+
+    rnd = random.Random(5)
+    sets = [sorted({f"w{int(rnd.paretovariate(0.6)) % 4000}" for _ in range(rnd.choice((1, 2, 3, 8, 40, 80)))}) for _ in range(300)]
+    sets += [sorted({*(w for w in s if rnd.random() < 0.8), f"x{i}"}) for i, s in enumerate(sets[:100])]
+    jaccard = lambda a, b: len({*a} & {*b}) / len({*a} | {*b})
+    d = spark.createDataFrame(list(enumerate([*sets, []])), "k long, ts array<string>")
+    left = []
+    kept = similar.written
+    monkeypatch.setattr(similar, "written", lambda df, name: left.append((name, kept(df, name))) or left[-1][1])
+    monkeypatch.setattr(similar, "BLOCK", 500)
+    monkeypatch.setattr(similar, "ROWS", 1000)
+    for least, frequent in ((0.8, 0), (0.5, 50), (0.5, 500_000)):
+        monkeypatch.setattr(similar, "FREQUENT", frequent)
+        want = {(i, j): jaccard(sets[i], sets[j]) for i in range(400) for j in range(i + 1, 400)}
+        got = {(r.ka, r.kb): r.jaccard for r in similar.similar_pairs(d, "k", "ts", least).collect()}
+        assert got == {p: x for p, x in want.items() if x >= least}
+        if frequent < 500_000:  # tokens that aren't put in order come by hash
+            continue
+        # fewer are compared than share a token of their prefixes, which is what a join by these tokens compares
+        f = Counter(w for x in sets for w in x)
+        first = [{*sorted(x, key=lambda w: (f[w], w))[: len(x) - math.ceil(len(x) * least) + 1]} for x in sets]
+        plain = sum(1 for i, j in want if first[i] & first[j] and min(len(sets[i]), len(sets[j])) >= least * max(len(sets[i]), len(sets[j])))
+        assert dict(left)["near-pairs"].count() < plain
