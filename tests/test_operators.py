@@ -246,3 +246,13 @@ def test_similar_pairs_are_all_found_and_few_others_compared(spark, monkeypatch)
         first = [{*sorted(x, key=lambda w: (f[w], w))[: len(x) - math.ceil(len(x) * least) + 1]} for x in sets]
         plain = sum(1 for i, j in want if first[i] & first[j] and min(len(sets[i]), len(sets[j])) >= least * max(len(sets[i]), len(sets[j])))
         assert dict(left)["near-pairs"].count() < plain
+
+
+@pytest.mark.parametrize("name", ["vector_pairs", "vector_pairs_of_first"])
+def test_lengths_of_vectors_are_taken_once(spark, name):
+    from lumenforge.plans import catalog
+
+    from .conftest import SF
+
+    plan = catalog.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.split("Join ")[0].count("aggregate(") == 1  # of each pair its product alone
