@@ -45,15 +45,15 @@ def summed(partial: DataFrame, size: int) -> np.ndarray:
 
 def _gradient(b: pa.RecordBatch, w: np.ndarray) -> np.ndarray:
     """The sum over a batch's rows (grp, idx, val, y) of each group's gradient."""
-    total, dim = np.zeros(w.shape), w.shape[1] - 1
+    groups, width = w.shape
+    dim = width - 1
     g, y = b.column(0).to_numpy(), b.column(3).to_numpy()
     at, val = (b.column(c).flatten().to_numpy(zero_copy_only=False) for c in (1, 2))
     row = np.repeat(np.arange(len(g)), b.column(1).value_lengths().to_numpy(zero_copy_only=False))
     logit = np.bincount(row, w[g[row], at] * val, len(g)) + w[g, dim]
     off = 1 / (1 + np.exp(-logit)) - y
-    np.add.at(total, (g[row], at), off[row] * val)
-    np.add.at(total, (g, dim), off)
-    return total
+    total = np.bincount(g[row].astype(np.int64) * width + at, off[row] * val, groups * width)
+    return (total + np.bincount(g.astype(np.int64) * width + dim, off, groups * width)).reshape(groups, width)
 
 
 def _step(weights: np.ndarray, gradient: np.ndarray, counts: np.ndarray, rate: float, l2: float) -> np.ndarray:
