@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import intervals
+from ..operators import intervals, ranks
 from ..operators.shared import folder
+from ..sources.feed import Pages
 from ..streaming import crawl, jobs, status
 from .interval_queries import EV, seconds
 from .registry import Tables, query
@@ -40,14 +41,17 @@ def stream_cooldown(t: Tables) -> DataFrame:
     return jobs.cooldowns(jobs.event_stream(t.spark, t.dir))
 
 
-@query("""WITH u AS (SELECT page_id, lower(regexp_extract(url, '://([^/?#]*)', 1)) AS host, regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS path FROM pages), c AS (SELECT page_id, regexp_extract(host, '([^.]*)$', 1) AS platform, path FROM u)
-SELECT page_id, platform, platform || '__' || regexp_replace(path, '[^A-Za-z0-9_-]', '_', 'g') AS uid FROM c WHERE platform IN ('com', 'org')""")
+@query(f"""WITH u AS (SELECT page_id, lower(regexp_extract(url, '://([^/?#]*)', 1)) AS host, regexp_extract(url, '(?s)://(.*)', 1) AS native_id, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title FROM pages), c AS (SELECT page_id, regexp_extract(host, '([^.]*)$', 1) AS platform, native_id, title FROM u)
+SELECT page_id, platform, native_id, platform || '__' || regexp_replace(native_id, '[^A-Za-z0-9_-]', '_', 'g') AS uid, title, CAST((row_number() OVER (PARTITION BY platform ORDER BY page_id NULLS FIRST, native_id, title NULLS FIRST) - 1) // {Pages.size} AS INTEGER) AS page FROM c WHERE platform <> ''""")
 def feed_candidates(t: Tables) -> DataFrame:
-    """Pages as candidates of the platforms that an adapter serves; others give none. An id is made safe for file names."""
-    known = ["com", "org"]
+    """Pages as candidates of the platforms that their hosts name, and the page of its platform's feed that each is on; a url without a
+    host names none. An id is the whole url after its scheme, made safe for file names."""
     host = F.lower(F.regexp_extract("url", "://([^/?#]*)", 1))
-    d = t.pages.select("page_id", F.substring_index(host, ".", -1).alias("platform"), F.regexp_extract("url", "://[^/?#]*([^?#]*)", 1).alias("path")).where(F.col("platform").isin(known))
-    return d.select("page_id", "platform", F.concat("platform", F.lit("__"), F.regexp_replace("path", "[^A-Za-z0-9_-]", "_")).alias("uid"))
+    title = F.regexp_extract("html", "(?is)<title[^>]*>(.*?)</title>", 1)
+    d = t.pages.select("page_id", F.substring_index(host, ".", -1).alias("platform"), F.regexp_extract("url", "(?s)://(.*)", 1).alias("native_id"), title.alias("title")).where("platform <> ''")
+    n = ranks.numbered(d, ["platform"], ["page_id", "native_id", "title"], "place")
+    uid = F.concat("platform", F.lit("__"), F.regexp_replace("native_id", "[^A-Za-z0-9_-]", "_"))
+    return n.select("page_id", "platform", "native_id", uid.alias("uid"), "title", F.floor(F.col("place") / Pages.size).cast("int").alias("page"))
 
 
 # --- status machine, crawl loop and monitor ---------------------------------------------------------

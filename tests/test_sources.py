@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lumenforge.plans import catalog
 from lumenforge.sources import corpus, feed
 from lumenforge.streaming import jobs
 
@@ -72,6 +73,18 @@ def test_unknown_platforms_give_nothing(spark):
     assert list(feed.read_pages("nowhere", 0, 3)) == [] and len(list(feed.read_pages("alpha", 1, 2))) == feed.Pages.size
 
 
+def test_pages_of_every_platform_are_candidates(spark, tmp_path):
+    urls = ["https://a.example.net/en/1?x=2#top", "https://b.example.net/en/1", "http://A.example.ORG/ä b", None, "no host", *[f"https://c.net/{i}" for i in range(4)], "https://a.dev", "https://a.example.net/en/1?x=2#top"]
+    rows = [(i, u, f"<head><TITLE lang='en'>t\n{i}</title></head>" if i else None) for i, u in enumerate(urls)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    out = {r.page_id: r for r in catalog.queries()["feed_candidates"](spark, str(tmp_path)).collect()}
+    assert set(out) == {0, 1, 2, 5, 6, 7, 8, 9, 10}  # no platform is left out; what names none has no candidate
+    assert (out[0].platform, out[0].native_id, out[0].uid, out[0].title) == ("net", "a.example.net/en/1?x=2#top", "net__a_example_net_en_1_x_2_top", None)
+    assert (out[2].platform, out[2].uid, out[2].title) == ("org", "org__A_example_ORG___b", "t\n2") and out[9].uid == "dev__a_dev"
+    assert out[1].uid != out[0].uid == out[10].uid  # one path on two hosts is two candidates
+    assert [out[i].page for i in (0, 1, 5, 6, 7, 8, 10)] == [0, 0, 0, 0, 0, 1, 1] and out[2].page == out[9].page == 0
+
+
 def test_stream_over_several_files_keeps_the_last_state(spark, tmp_path):
     kinds = ["view", "view", "purchase", "error", "view", "view"]
     rows = [(i, f"2024-01-01 0{i}:00:00", 7, k, 1.0, "{}") for i, k in enumerate(kinds)]
