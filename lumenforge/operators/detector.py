@@ -84,9 +84,14 @@ def prefix_at(tokens: Column, quote: Column) -> Column:
 
 def located(prefixes: Column, least: int) -> Column:
     """(length, places from 0) of the longest prefix of at least so many tokens; length 0 and no places if there is none."""
-    most = F.coalesce(F.array_max(prefixes), F.lit(0))
-    places = F.filter(F.transform(prefixes, lambda n, i: F.when(n == most, i)), lambda i: i.isNotNull())
-    return F.when(most >= least, F.struct(most.alias("length"), places.alias("places"))).otherwise(F.struct(F.lit(0).alias("length"), F.array().cast("array<int>").alias("places")))
+    none = F.struct(F.lit(0).alias("length"), F.array().cast("array<int>").alias("places"))
+
+    def at(p: Column, most: Column) -> Column:
+        places = F.filter(F.transform(p, lambda n, i: F.when(n == most, i)), lambda i: i.isNotNull())
+        return F.when(most >= least, F.struct(most.alias("length"), places.alias("places"))).otherwise(none)
+
+    # the prefixes and their longest are found once, not again for each place
+    return words_.let(prefixes, lambda p: words_.let(F.coalesce(F.array_max(p), F.lit(0)), lambda most: at(p, most)))
 
 
 def recovered(words: Column, first: Column, first_size: Column, last: Column, last_size: Column, most: float) -> Column:

@@ -89,7 +89,8 @@ class Stage:
     def outcomes(self, schema: T.StructType) -> DataFrame:
         """All outcomes of finished parts, with the name of their run."""
         kinds = T.StructType([*(schema[k] for k in self.keys), *OUTCOME.fields])
-        out = self.spark.createDataFrame([], kinds).withColumn("run", F.lit(""))
+        # an empty relation that the optimizer sees as one, so nothing is moved to be compared with it
+        out = self.spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in kinds.fields], F.lit("").alias("run"))
         for name in folders(self.spark, f"{self.path}/outcomes"):
             parts = [f"{self.path}/outcomes/{name}/{i}" for i in folders(self.spark, f"{self.path}/outcomes/{name}")]
             done = [p for p in parts if finished(self.spark, p)]
@@ -130,18 +131,24 @@ class Stage:
 def prompt(words: Column, title: Column, ask: str, least: int, hint: bool, most: int | None = None) -> Column:
     """The message for a transcript: title, how it is timed, what is said between triple quotes, and what is asked. Null where fewer
     than `least` words are said: no call is needed. `most` is the number of characters that a model takes; by default all."""
-    said = F.trim(F.array_join(F.transform(words, lambda w: F.trim(F.coalesce(w["word"], F.lit("")))), " "))
-    n = F.size(F.filter(F.split(said, r"\s+"), lambda x: x != ""))
-    timed = F.filter(words, lambda w: w["start"].isNotNull() & w["end"].isNotNull())
-    gaps = F.zip_with(F.slice(timed, 2, F.greatest(F.size(timed) - 1, F.lit(0))), F.slice(timed, 1, F.greatest(F.size(timed) - 1, F.lit(0))), lambda b, a: b["start"] - a["end"])
-    breaks = F.size(F.filter(gaps, lambda g: g > 1.5))
-    length = F.when(F.size(timed) > 0, F.element_at(timed, -1)["end"] - F.element_at(timed, 1)["start"]).otherwise(0.0)
-    kind = F.when(breaks >= 6, "many breaks, likely action").otherwise("few breaks, likely narration")
-    timing = F.format_string("Timing: %d s, %d words, %d pauses (%s).\n\n", F.bround(length).cast("long"), F.size(words), breaks, kind)
     head = F.when(F.coalesce(title, F.lit("")) != "", F.concat(F.lit('Title: "'), title, F.lit('"\n\n'))).otherwise("")
-    body = said if most is None else F.substring(said, 1, most)
-    whole = F.concat(head, timing if hint else F.lit(""), F.lit('Transcript:\n"""'), body, F.lit('"""\n\n' + ask))
-    return F.when(n >= least, whole)
+
+    def timing(timed: Column) -> Column:
+        rest = F.greatest(F.size(timed) - 1, F.lit(0))
+        gaps = F.zip_with(F.slice(timed, 2, rest), F.slice(timed, 1, rest), lambda b, a: b["start"] - a["end"])
+        breaks = F.size(F.filter(gaps, lambda g: g > 1.5))
+        length = F.when(F.size(timed) > 0, F.element_at(timed, -1)["end"] - F.element_at(timed, 1)["start"]).otherwise(0.0)
+        kind = lambda n: F.when(n >= 6, "many breaks, likely action").otherwise("few breaks, likely narration")
+        return words_.let(breaks, lambda n: F.format_string("Timing: %d s, %d words, %d pauses (%s).\n\n", F.bround(length).cast("long"), F.size(words), n, kind(n)))
+
+    def whole(said: Column) -> Column:
+        n = F.size(F.filter(F.split(said, r"\s+"), lambda x: x != ""))
+        timed = F.filter(words, lambda w: w["start"].isNotNull() & w["end"].isNotNull())
+        body = said if most is None else F.substring(said, 1, most)
+        return F.when(n >= least, F.concat(head, words_.let(timed, timing) if hint else F.lit(""), F.lit('Transcript:\n"""'), body, F.lit('"""\n\n' + ask)))
+
+    # the words are joined, and their times looked at, once for each transcript
+    return words_.let(F.trim(F.array_join(F.transform(words, lambda w: F.trim(F.coalesce(w["word"], F.lit("")))), " ")), whole)
 
 
 # --- after the model ---------------------------------------------------------------------------------------------
@@ -156,7 +163,9 @@ def demo_spans(df: DataFrame, keys: Sequence[str], words: str, answer: str, pad:
     the start quote if that isn't found; what isn't found is null. A clip is `pad` wider on both sides, where the span has a
     length. An answer that isn't JSON, or says no, has no scenes.
     """
-    a = df.select(*keys, detector.spanned(F.col(words)).alias("w"), F.from_json(answer, LESSON).alias("a")).where("a.is_instructional = 'yes'")
+    # words are taken apart only where an answer says yes
+    a = df.select(*keys, F.col(words).alias("w"), F.from_json(answer, LESSON).alias("a")).where("a.is_instructional = 'yes'")
+    a = a.select(*keys, detector.spanned(F.col("w")).alias("w"), "a")
     d = a.select(*keys, "w", F.col("w.token").alias("toks"), F.posexplode("a.demos").alias("demo", "d")).where("d IS NOT NULL")
     tokens = lambda c: F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"\s+"), words_.normalise_token), lambda x: x != "")
     d = d.withColumns({"q1": tokens(F.col("d.start_quote")), "q2": tokens(F.col("d.end_quote"))})

@@ -73,7 +73,7 @@ def answered(t: Tables) -> tuple[DataFrame, DataFrame]:
     stage.run("1b", calls, steady)
     no = stage.settled(calls.schema).where("kind = 'instr' AND outcome = 'ok' AND get_json_object(result, '$.is_instructional') = 'no'").select("conv_id", "turn")
     candid = stages.prompt(F.col("words"), F.concat(F.lit("turn "), F.col("turn")), ASK["candid"], LEAST["candid"], True)
-    again = rows.join(no, ["conv_id", "turn"]).select("conv_id", "turn", F.lit("candid").alias("kind"), candid.alias("prompt"))
+    again = rows.where("kind = 'instr'").join(no, ["conv_id", "turn"]).select("conv_id", "turn", F.lit("candid").alias("kind"), candid.alias("prompt"))
     stage.run("2", again, steady)
     return rows, stage.settled(calls.schema)
 
@@ -107,7 +107,9 @@ z AS (SELECT conv_id, turn, 0 AS demo, CASE WHEN m1 >= 3 THEN los[a1] END AS sta
 def instructional_spans(t: Tables) -> DataFrame:
     """Times of the enacted scenes that answers quote, and of their clips."""
     rows, done = answered(t)
-    a = rows.join(done.where("kind = 'instr' AND outcome = 'ok'").select("conv_id", "turn", "result"), ["conv_id", "turn"])
+    # only instr rows have such outcomes, and only a yes has scenes: other words needn't be moved
+    yes = done.where("kind = 'instr' AND outcome = 'ok' AND get_json_object(result, '$.is_instructional') = 'yes'").select("conv_id", "turn", "result")
+    a = rows.where("kind = 'instr'").join(yes, ["conv_id", "turn"])
     return stages.demo_spans(a, ["conv_id", "turn"], "words", "result").drop("polarity", "norm", "explanation")
 
 

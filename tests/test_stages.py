@@ -2,6 +2,7 @@
 
 import json
 import os
+import time
 import uuid
 
 import pytest
@@ -135,6 +136,18 @@ def test_demo_spans(spark):
     assert {(r.id, r.start) for r in out if r.id != 1} == {(5, None)}
 
 
+def test_demo_spans_of_long_transcripts(spark):
+    """Time grows with the words: what a quote's prefixes are is found once for each place, not again for each pair of places."""
+    n = 20_000
+    words = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct(F.concat(F.lit("w"), i).alias("word"), i.cast("double").alias("start"), (i + 0.5).alias("end")))
+    demo = {"start_quote": "w19000 w19001 w19002 indeed", "end_quote": "w19997 w19998 w19999"}
+    df = spark.range(1).select("id", words.alias("words"), F.lit(json.dumps({"is_instructional": "yes", "demos": [demo]})).alias("answer"))
+    began = time.monotonic()
+    out = stages.demo_spans(df, ["id"], "words", "answer").collect()
+    assert [(r.start, r.end, r.clip_start, r.clip_end) for r in out] == [(19000.0, 19999.5, 18999.0, 20000.5)]
+    assert time.monotonic() - began < 30
+
+
 def test_routes_and_sinks(spark, tmp_path):
     rows = [(1, "null", 0, None, "drop:other", 0), (2, "seed", 2, "commentary", None, 0), (3, "seed", 2, "witnessed", None, 2), (4, "seed", 2, "witnessed", None, 0), (5, "seed", 0, None, "drop:other", 0), (6, None, 0, None, None, None), (7, "null", 1, "witnessed", None, 1), (8, "seed", 1, None, None, 1)]
     df = spark.createDataFrame(rows, "id long, known string, kept int, modality string, verdict string, clips int")
