@@ -90,13 +90,13 @@ def split_calibration(t: Tables) -> DataFrame:
 
 # --- what text alone tells: probes by channel -------------------------------------------------------
 
-DIM, TOKENS = 4096, 400  # of the probe, fixed values
+DIM = 4096  # of the probe, a fixed value
 LEAST_TRAIN, LEAST_TEST, LEAST_SLICE = 100, 50, 20
 CHANNELS = ["transcript_text", "metadata_text"]
 _PROBE = f"""r AS (SELECT d.doc_id, source, quality::DOUBLE AS y, CASE WHEN f < 0.6 THEN 'train' WHEN f < 0.8 THEN 'calibration' ELSE 'test' END AS part, text AS transcript_text, concat_ws(' ', lang, source, split_part(text, '.', 1)) AS metadata_text
  FROM (SELECT *, ('0x' || substr(sha256('probe:' || source), 1, 12))::BIGINT / 281474976710656.0 AS f FROM documents) d JOIN labels l ON l.doc_id = d.doc_id),
 l AS (SELECT doc_id AS id, source, y, part, 0 AS grp, transcript_text AS t FROM r UNION ALL SELECT doc_id, source, y, part, 1, metadata_text FROM r),
-k AS (SELECT id, grp, any_value(source) AS source, any_value(y) AS y, any_value(part) AS part, ('0x' || substr(md5(tok), 1, 8))::BIGINT % {DIM} AS pos, count(*) AS n FROM (SELECT *, unnest(regexp_extract_all(lower(t), '[a-zA-Z'']{{2,}}')[1:{TOKENS}]) AS tok FROM l WHERE part <> 'calibration' AND t <> '') GROUP BY id, grp, 6),
+k AS (SELECT id, grp, any_value(source) AS source, any_value(y) AS y, any_value(part) AS part, ('0x' || substr(md5(tok), 1, 8))::BIGINT % {DIM} AS pos, count(*) AS n FROM (SELECT *, unnest(regexp_extract_all(lower(t), '[a-zA-Z'']{{2,}}')) AS tok FROM l WHERE part <> 'calibration' AND t <> '') GROUP BY id, grp, 6),
 k2 AS (SELECT id, grp, pos, n / sqrt(sum(n * n) OVER (PARTITION BY id, grp)) AS val FROM k),
 vec AS MATERIALIZED (SELECT l.id, l.grp, l.part, l.source, l.y, k2.pos, k2.val FROM l JOIN k2 ON k2.id = l.id AND k2.grp = l.grp WHERE l.part <> 'calibration' UNION ALL SELECT id, grp, part, source, y, {DIM}, 1.0 FROM l WHERE part <> 'calibration' AND t <> ''),
 size AS (SELECT grp, count(DISTINCT id) FILTER (part = 'train') AS train, count(DISTINCT id) FILTER (part = 'test') AS test FROM vec GROUP BY grp),
@@ -108,18 +108,17 @@ _AREA = """a AS (SELECT {by}, count(*) FILTER (y) AS positives, count(*) FILTER
 
 
 def _bags(t: Tables) -> DataFrame:
-    """A row for each labelled document and channel: grp, id, source, part, y, idx and val."""
+    """A row for each labelled document and channel: grp, id, source, part, y, idx and val, of all words of the channel's text."""
     d = t.labels.join(t.documents.select("doc_id", "source", "lang", "text"), "doc_id")
     text = {"transcript_text": F.col("text"), "metadata_text": F.concat_ws(" ", "lang", "source", F.substring_index("text", ".", 1))}
     channels = F.explode(F.array(*[F.struct(F.lit(i).alias("grp"), text[c].alias("t")) for i, c in enumerate(CHANNELS)]))
     r = d.select(F.col("doc_id").alias("id"), "source", F.col("quality").cast("double").alias("y"), split("probe", F.col("source")).alias("part"), channels.alias("c")).select("id", "source", "y", "part", "c.*")
-    words = F.explode_outer(F.slice(F.regexp_extract_all(F.lower("t"), F.lit("([a-zA-Z']{2,})"), 1), 1, TOKENS))
+    words = F.explode_outer(F.regexp_extract_all(F.lower("t"), F.lit("([a-zA-Z']{2,})"), 1))
     k = r.where("part <> 'calibration' AND t <> ''").withColumn("w", words)
     at = (F.conv(F.substring(F.md5("w"), 1, 8), 16, 10).cast("long") % DIM).cast("int")
     n = k.groupBy("grp", "id", "source", "part", "y", at.alias("at")).agg(F.count("w").alias("n"))
-    g = n.groupBy("grp", "id", "source", "part", "y").agg(F.array_sort(F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", "n")))).alias("x"))  # TOKENS buckets at most
-    length = F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, e: a + e["n"] * e["n"]))
-    return g.select("grp", "id", "source", "part", "y", F.col("x.at").alias("idx"), F.transform("x", lambda e: e["n"] / length).alias("val"))
+    g = n.groupBy("grp", "id", "source", "part", "y").agg(F.array_sort(F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", "n")))).alias("x"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("length"))  # DIM places at most
+    return g.select("grp", "id", "source", "part", "y", F.col("x.at").alias("idx"), F.transform("x", lambda e: e["n"] / F.col("length")).alias("val"))
 
 
 def _probe(t: Tables) -> tuple[DataFrame, DataFrame]:

@@ -357,3 +357,20 @@ def test_events_just_two_hours_apart_are_of_two_sessions(spark, tmp_path):
     one.write_bytes(next((tmp_path / "events.parquet").glob("part-*")).read_bytes())
     got = jobs.run_to_table(jobs.sessions(jobs.event_stream(spark, str(one.parent))), "sessions").collect()
     assert sorted((r.user_id or 0, str(r.start)[11:], str(r.end)[11:], r.n) for r in got) == [(0, "00:00:00", "02:00:00", 1), (7, "00:00:00", "02:00:00", 1), (7, "02:00:00", "05:59:59", 2)]
+
+
+@pytest.fixture(scope="module")
+def late_words(spark, tmp_path_factory):
+    """A folder of documents whose label is told by a word that comes after 400 others."""
+    d = str(tmp_path_factory.mktemp("late-words"))
+    rows = [(i, f"s{i % 30}", "en", "A title. " + "word " * 400 + ("early" if i // 30 % 2 else "late")) for i in range(900)]
+    spark.createDataFrame(rows, "doc_id long, source string, lang string, text string").coalesce(1).write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(i, i // 30 % 2) for i, *_ in rows], "doc_id long, quality int").coalesce(1).write.parquet(f"{d}/labels.parquet")
+    return d
+
+
+def test_probe_slices_read_whole_texts(spark, late_words):
+    from lumenforge.plans import catalog
+
+    r = catalog.queries()["leakage_probe_slices"](spark, late_words).where("channel = 'transcript_text'").collect()
+    assert r and {x.auroc for x in r} == {1.0}
