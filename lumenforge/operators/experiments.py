@@ -14,10 +14,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .shared import written
+
 #: Of the probe, fixed values.
 EPOCHS, RATE, L2 = 60, 0.5, 1e-4
 #: Values (of all rows together) up to which the driver takes the steps itself, in place of a job for each.
 SMALL = 2_000_000
+#: Values of a block of rows that a task reads at once, in each epoch; a row is never cut.
+BLOCK = 500_000
+_BLOCK = "grp binary, sizes binary, idx binary, val binary, y binary"
 #: Distinct scores that isotonic regression takes, at most; the label model has at most 3 to the number of families.
 MOST_SCORES = 100_000
 
@@ -43,16 +48,32 @@ def summed(partial: DataFrame, size: int) -> np.ndarray:
     return total
 
 
-def _gradient(b: pa.RecordBatch, w: np.ndarray) -> np.ndarray:
-    """The sum over a batch's rows (grp, idx, val, y) of each group's gradient."""
+def _arrays(b: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """Of rows (grp, idx, val, y): grp, how many values each has, idx, val and y."""
+    at, val = (b.column(c).flatten().to_numpy(zero_copy_only=False) for c in (1, 2))
+    return b.column(0).to_numpy(), b.column(1).value_lengths().to_numpy(zero_copy_only=False), at, val, b.column(3).to_numpy()
+
+
+def _packed(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Rows as blocks of packed arrays of `most` values, so that an epoch takes no row apart."""
+    kinds = (np.int32, np.int32, np.int32, np.float64, np.float64)
+    for b in batches:
+        upto, i = np.cumsum(b.column(1).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)), 0
+        while i < b.num_rows:
+            j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + most, "right")))
+            yield pa.RecordBatch.from_arrays([pa.array([x.astype(t).tobytes()], pa.binary()) for x, t in zip(_arrays(b.slice(i, j - i)), kinds, strict=True)], ["grp", "sizes", "idx", "val", "y"])
+            i = j
+
+
+def _gradient(g: np.ndarray, sizes: np.ndarray, at: np.ndarray, val: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The sum over rows of each group's gradient."""
     groups, width = w.shape
     dim = width - 1
-    g, y = b.column(0).to_numpy(), b.column(3).to_numpy()
-    at, val = (b.column(c).flatten().to_numpy(zero_copy_only=False) for c in (1, 2))
-    row = np.repeat(np.arange(len(g)), b.column(1).value_lengths().to_numpy(zero_copy_only=False))
-    logit = np.bincount(row, w[g[row], at] * val, len(g)) + w[g, dim]
+    row = np.repeat(np.arange(len(g)), sizes)
+    place = g[row].astype(np.int64) * width + at
+    logit = np.bincount(row, w.ravel()[place] * val, len(g)) + w[g, dim]
     off = 1 / (1 + np.exp(-logit)) - y
-    total = np.bincount(g[row].astype(np.int64) * width + at, off[row] * val, groups * width)
+    total = np.bincount(place, off[row] * val, groups * width)
     return (total + np.bincount(g.astype(np.int64) * width + dim, off, groups * width)).reshape(groups, width)
 
 
@@ -65,8 +86,9 @@ def _step(weights: np.ndarray, gradient: np.ndarray, counts: np.ndarray, rate: f
 def train_logistic(rows: DataFrame, groups: int, dim: int, epochs: int = EPOCHS, rate: float = RATE, l2: float = L2) -> np.ndarray:
     """Weights (with the bias last) of one model for each group, by full-batch gradient steps from zero.
 
-    rows: grp int (from 0), idx array<int>, val array<double>, y double; read once in each epoch, so they should be a written table.
-    All groups take a step in one job, or, with SMALL values or fewer, on the driver. A group without rows keeps zeros.
+    rows: grp int (from 0), idx array<int>, val array<double>, y double; read twice, so they should be a written table. They are packed into
+    blocks, which each epoch reads. All groups take a step in one job, or, with SMALL values or fewer, on the driver. A group without rows
+    keeps zeros.
     """
     width = dim + 1
     sc = rows.sparkSession.sparkContext
@@ -75,23 +97,25 @@ def train_logistic(rows: DataFrame, groups: int, dim: int, epochs: int = EPOCHS,
         counts[r["grp"]], values = r["n"], values + r["m"]
     weights = np.zeros((groups, width))
     data = rows.select(F.col("grp").cast("int"), F.col("idx").cast("array<int>"), F.col("val").cast("array<double>"), F.col("y").cast("double"))
-    held = data.toArrow().combine_chunks().to_batches() if values <= SMALL else None
+    held = [_arrays(b) for b in data.toArrow().combine_chunks().to_batches()] if values <= SMALL else None
+    blocks = None if held is not None else written(data.mapInArrow(lambda batches, most=BLOCK: _packed(batches, most), _BLOCK), "steps")
     for _ in range(epochs):
         if held is not None:
             gradient = np.zeros((groups, width))
             for b in held:
-                gradient += _gradient(b, weights)
+                gradient += _gradient(*b, weights)
             weights = _step(weights, gradient, counts, rate, l2)
             continue
         shared = sc.broadcast(weights)
 
         def partial(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            total = np.zeros((groups, width))
+            total, kinds = np.zeros((groups, width)), (np.int32, np.int32, np.int32, np.float64, np.float64)
             for b in batches:
-                total += _gradient(b, shared.value)
+                for r in range(b.num_rows):
+                    total += _gradient(*(np.frombuffer(c[r].as_buffer(), t) for c, t in zip(b.columns, kinds, strict=True)), shared.value)
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
 
-        gradient = summed(data.mapInArrow(partial, "sums binary"), groups * width).reshape(groups, width)
+        gradient = summed(blocks.mapInArrow(partial, "sums binary"), groups * width).reshape(groups, width)
         weights = _step(weights, gradient, counts, rate, l2)
         shared.destroy()
     return weights
@@ -233,7 +257,6 @@ def best_rule(df: DataFrame, value: str, gold: Column, side: Column, most: int =
     Rows are counted by how many cuts they reach, so what meets all cuts is a few rows.
     """
     from . import ranks
-    from .shared import written
 
     d = written(df.select(F.col(value).cast("double").alias("v"), gold.alias("y"), side.alias("s")).where("v IS NOT NULL AND y IS NOT NULL"), "values")
     each = d.where("s = 'train'").select("v").distinct()

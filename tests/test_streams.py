@@ -374,3 +374,23 @@ def test_probe_slices_read_whole_texts(spark, late_words):
 
     r = catalog.queries()["leakage_probe_slices"](spark, late_words).where("channel = 'transcript_text'").collect()
     assert r and {x.auroc for x in r} == {1.0}
+
+
+def test_probes_read_whole_texts(spark, late_words):
+    from lumenforge.plans import catalog
+
+    assert {x.channel: x.auroc for x in catalog.queries()["leakage_probes"](spark, late_words).collect()}["transcript_text"] == 1.0
+
+
+def test_rows_of_training_are_packed_into_bounded_blocks(spark, monkeypatch):
+    rows = [(i % 2, list(range(i % 7)), [0.5] * (i % 7), float(i % 3 == 0)) for i in range(60)]
+    df = spark.createDataFrame(rows, "grp int, idx array<int>, val array<double>, y double").repartition(3).cache()
+    want = experiments.train_logistic(df, 2, 7, epochs=5)
+    blocks = []
+    kept = experiments.written
+    monkeypatch.setattr(experiments, "written", lambda df, name: blocks.append(kept(df, name)) or blocks[-1])
+    monkeypatch.setattr(experiments, "SMALL", 0)
+    monkeypatch.setattr(experiments, "BLOCK", 10)
+    assert np.allclose(experiments.train_logistic(df, 2, 7, epochs=5), want)
+    sizes = [[*np.frombuffer(r.sizes, np.int32)] for r in blocks[0].collect()]
+    assert sum(map(len, sizes)) == 60 and all(sum(x) <= 10 or len(x) == 1 for x in sizes)
