@@ -256,3 +256,23 @@ def test_lengths_of_vectors_are_taken_once(spark, name):
 
     plan = catalog.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.split("Join ")[0].count("aggregate(") == 1  # of each pair its product alone
+
+
+def test_blocks_of_sets_are_bounded_in_bytes(spark, monkeypatch):
+    from lumenforge.operators import similar
+
+    rnd = random.Random(8)
+    sets = [sorted({f"w{rnd.randrange(3000)}" for _ in range(rnd.choice((2, 30, 200, 900)))}) for _ in range(200)]
+    sets += [sorted({*(w for w in s if rnd.random() < 0.9), f"x{i}"}) for i, s in enumerate(sets[:60])]
+    jaccard = lambda a, b: len({*a} & {*b}) / len({*a} | {*b})
+    left = {}
+    kept = similar.written
+    monkeypatch.setattr(similar, "written", lambda df, name: left.setdefault(name, kept(df, name)))
+    monkeypatch.setattr(similar, "BLOCK", 20_000)
+    for least in (0.3, 0.5, 0.8):
+        left.clear()
+        got = {(r.ka, r.kb): r.jaccard for r in similar.similar_pairs(spark.createDataFrame(list(enumerate(sets)), "k long, ts array<string>"), "k", "ts", least).collect()}
+        want = {(i, j): jaccard(sets[i], sets[j]) for i in range(len(sets)) for j in range(i + 1, len(sets))}
+        assert got == {p: x for p, x in want.items() if x >= least}
+        for r in left["blocks"].collect():
+            assert len(r["keys"]) == 8 or sum(len(v) for v in r if isinstance(v, bytes | bytearray)) <= 2 * 20_000
