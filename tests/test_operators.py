@@ -276,3 +276,26 @@ def test_blocks_of_sets_are_bounded_in_bytes(spark, monkeypatch):
         assert got == {p: x for p, x in want.items() if x >= least}
         for r in left["blocks"].collect():
             assert len(r["keys"]) == 8 or sum(len(v) for v in r if isinstance(v, bytes | bytearray)) <= 2 * 20_000
+
+
+def test_cosines_of_all_pairs_by_blocks(spark, monkeypatch):
+    from lumenforge.operators import relational
+
+    monkeypatch.setattr(relational, "BLOCK", 5)
+    rnd = random.Random(9)
+    vector = lambda n: [rnd.uniform(-1, 1) for _ in range(n)]
+    rows = [(i * 7 % 53, i % 2 if i < 45 else 2, vector(4)) for i in range(50)]
+    rows += [(60, 0, None), (61, 0, [0.0] * 4), (62, 0, [1.0, None, 0.0, 0.0]), (63, 0, vector(3)), (64, 0, vector(3)), (65, 0, []), (66, None, vector(4)), (None, 0, vector(4)), (67, 3, vector(4))]
+    d = spark.createDataFrame(rows, "k long, g int, v array<double>")
+
+    def cosine(a, b):
+        if not a or not b or len(a) != len(b) or None in a or None in b or not any(a) or not any(b):
+            return None
+        return round(sum(x * y for x, y in zip(a, b, strict=True)) / math.sqrt(sum(x * x for x in a) * sum(y * y for y in b)), 4)
+
+    want = {(k, m): cosine(v, w) for k, g, v in rows for m, h, w in rows if None not in (k, m, g) and g == h and k < m}
+    p = relational.cosine_pairs(d, "g", "k", "v")
+    got = p.collect()
+    assert len(got) == len(want) and {(r.a, r.b): r.cosine for r in got} == want
+    assert " Join " not in p._jdf.queryExecution().optimizedPlan().toString()  # a row for each vector and block, not for each pair
+    assert relational.cosine_pairs(d.limit(0), "g", "k", "v").count() == 0
